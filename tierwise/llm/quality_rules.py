@@ -96,8 +96,8 @@ def votes(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {
         "symbols": vote(c["n_marked_words"] / n, lambda x: x < 0.03, lambda x: x > 0.25),
         "capitals": vote(c["n_upper_words"] / n, lambda x: x < 0.10, lambda x: x > 0.40),
-        "repetition": vote(c["n_repeat_words"] / n, lambda x: x < 0.08, lambda x: x > 0.30),
-        "lines": np.where(c["n_lines"] < 2, 0, vote(c["n_dup_lines"] / lines, lambda x: x < 0.05, lambda x: x > 0.30)),
+        "repetition": vote(c["n_repeat_words"] / n, lambda x: x < 0.08, lambda x: x > 0.50),
+        "lines": np.where(c["n_lines"] < 4, 0, vote(c["n_dup_lines"] / lines, lambda x: x < 0.10, lambda x: x > 0.45)),
         "word_length": vote(c["word_chars"] / n, lambda x: (x > 3) & (x < 9), lambda x: (x < 2) | (x > 16)),
         "bars": vote(c["n_bars"] / n, lambda x: x < 0.0, lambda x: x > 0.10),
         "bangs": vote(c["n_bangs"] / n, lambda x: x < 0.05, lambda x: x > 0.30),
@@ -123,31 +123,40 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return tx.mapped(docs.select(F.col(id_col), F.col(text_col)), of, schema)
 
 
-def fitted(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict]:
+def fitted(pattern: np.ndarray, count: np.ndarray, rounds: int = 200, noise: float = 0.002) -> tuple[np.ndarray, dict]:
     """Posterior probability of good for each pattern, and the estimated accuracies.
 
-    Two classes, rules independent given the class, a table of three outcomes for each. It starts from
-    the belief that a text with any bad vote is bad, and adds a pseudo-count to each cell.
+    Bad texts are of several kinds: there is one good class and, for each rule, a bad class that starts
+    from the texts which that rule calls bad. Rules are independent given the class; an abstention says
+    nothing. A rule is taken to call a good text bad at most once in ``1 / noise`` and a text of its own
+    kind good at most once in ten, so that the classes keep their meaning.
     """
     k = len(RULES)
     v = (pattern[:, None] // 3 ** np.arange(k)) % 3  # 0 bad, 1 abstains, 2 good
-    one_hot = np.stack([v == o for o in range(3)], 2).astype(float)
-    good = np.where((v == 0).any(1), 0.05, 0.95)
+    one_hot = np.stack([v == 0, v == 2], 2).astype(float)
     w = count.astype(float)
-    table = np.full((2, k, 3), 1 / 3)
-    prior = np.full(2, 0.5)
+    belong = np.full((len(pattern), k + 1), 0.01)  # the last class is the good one
+    bad = v == 0
+    belong[:, :k] += bad / np.maximum(bad.sum(1, keepdims=True), 1)
+    belong[:, k] += ~bad.any(1)
+    belong /= belong.sum(1, keepdims=True)
+    own = np.arange(k)
     for _ in range(rounds):
-        old = good
-        for y, p in ((0, 1 - good), (1, good)):
-            mass = np.einsum("p,pko->ko", w * p, one_hot) + np.where(y, [0.05, 0.5, 1.0], [1.0, 0.5, 0.5])
-            table[y] = mass / mass.sum(1, keepdims=True)
-            prior[y] = (w * p).sum() + 1
+        old = belong
+        said = np.einsum("p,pc,pko->cko", w, belong, one_hot) + 1
+        says_bad = said[:, :, 0] / said.sum(2)
+        says_bad[own, own] = np.maximum(says_bad[own, own], 0.9)
+        says_bad[k] = np.minimum(says_bad[k], noise)
+        table = np.stack([says_bad, 1 - says_bad], 2)
+        prior = w @ belong + 1
         prior /= prior.sum()
-        like = np.log(prior) + np.einsum("pko,yko->py", one_hot, np.log(table))
-        good = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
-        if np.abs(good - old).max(initial=0) < 1e-9:
+        like = np.log(prior) + np.einsum("pko,cko->pc", one_hot, np.log(table))
+        belong = np.exp(like - like.max(1, keepdims=True))
+        belong /= belong.sum(1, keepdims=True)
+        if np.abs(belong - old).max(initial=0) < 1e-9:
             break
-    return good, {"prior": prior.tolist(), "tables": {r: table[:, i].tolist() for i, r in enumerate(RULES)}}
+    accuracy = {r: {"bad_if_good": float(table[k, i, 0]), "bad_if_own_kind": float(table[i, i, 0])} for i, r in enumerate(RULES)} if len(pattern) else {}
+    return belong[:, k], accuracy
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, max_repeat_percent: int = 50, min_words: int = 50) -> DataFrame:
