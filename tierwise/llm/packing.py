@@ -12,9 +12,10 @@ ids are kept. A text of any length is one document; its tokens are held in memor
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,67 +23,120 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text as tx
 from .storage import written
 
-_unsafe = re.compile(r"\s\s|^\s|\s$")
-_splitter = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, Encoder] = {}
+_white = np.zeros(256, bool)
+_white[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_alnum = np.zeros(256, bool)
+_alnum[0x30:0x3A] = _alnum[0x41:0x5B] = _alnum[0x61:0x7B] = True
+_mark = np.zeros(256, bool)
+_mark[0x21:0x7F] = True
+_mark &= ~_alnum
+_mark[ord("'")] = False
+_wide_white = np.zeros(256, bool)  # first bytes of the white space characters beyond ASCII
+_wide_white[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+SLOTS = 1 << 21
 
 
 class Encoder:
-    """A byte-level BPE of the tokenizers library behind a table of the words it has met.
+    """A byte-level BPE of the tokenizers library behind a table of the chunks it has met.
 
-    A single space between two non-spaces always starts a pre-token, so words with their leading space
-    can be encoded alone. The table is emptied when it holds ``limit`` characters.
+    Texts are cut where a pre-token always ends: before a lone space between two non-spaces, before an
+    ASCII mark that follows a letter or digit, and after a lone line end. Chunks are found by hash, so a text
+    costs a few array operations; only new chunks are encoded. The table is emptied at ``limit`` chunks.
     """
 
-    def __init__(self, path: str, limit: int = 4_000_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.size, self.chars, self.used = np.empty(1 << 20, np.uint32), [], 0, 0
-
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)):
-            ids = found.ids
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.place[word] = len(self.size)
-            self.size.append(len(ids))
-            self.used += len(ids)
-            self.chars += len(word)
+        self.slot = np.full(SLOTS, -1, np.int32)
+        self.rest: dict[int, int] = {}
+        self.keys, self.start, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids, self.known, self.used = np.zeros(1 << 18, np.uint16), 0, 0
+
+    def _grown(self, array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate((array, np.zeros(max(len(array), size - len(array)), array.dtype)))
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        k, n = self.known, len(found)
+        self.keys, self.start, self.size = (self._grown(x, k + n) for x in (self.keys, self.start, self.size))
+        if flat.max(initial=0) > np.iinfo(self.ids.dtype).max:
+            self.ids = self.ids.astype(np.uint32)
+        self.ids = self._grown(self.ids, self.used + len(flat))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.keys[k : k + n], self.size[k : k + n] = hashes, size
+        self.start[k : k + n] = self.used + np.cumsum(size) - size
+        self.known, self.used = k + n, self.used + len(flat)
+        place = (hashes % np.uint64(SLOTS)).astype(np.int64)
+        number = np.arange(k, k + n, dtype=np.int32)
+        first = np.unique(place, return_index=True)[1]
+        first = first[self.slot[place[first]] < 0]
+        self.slot[place[first]] = number[first]
+        late = np.ones(n, bool)
+        late[first] = False
+        self.rest.update(zip(hashes[late].tolist(), number[late].tolist()))
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Chunk numbers, -1 for unknown ones."""
+        at = self.slot[(hashes % np.uint64(SLOTS)).astype(np.int64)]
+        other = np.flatnonzero((at >= 0) & (self.keys[np.maximum(at, 0)] != hashes))
+        at[other] = [self.rest.get(h, -1) for h in hashes[other].tolist()]
+        return at
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.chars > self.limit:
+    @staticmethod
+    def cuts(t: tx.Texts) -> np.ndarray:
+        """Byte offsets at which the texts of a slice can be cut, their own starts included."""
+        data = np.concatenate((np.zeros(3, np.uint8), t.data, np.zeros(1, np.uint8)))
+        here, after, before, two, three = data[3:-1], data[4:], data[2:-2], data[1:-3], data[:-4]
+        wide_before = (before >= 0x80) & (((two == 0xC2) & ((before == 0x85) | (before == 0xA0))) | ((three >= 0xE1) & (three <= 0xE3) & (two <= 0x9A)))
+        space = (here == 0x20) & ~_white[before] & ~wide_before & ~_white[after] & ~_wide_white[after]
+        latin = (two == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        mark = _mark[here] & (_alnum[before] | latin)
+        line = (before == 0x0A) & (two > 0x20) & (two < 0x7F) & ~_white[here] & ~_wide_white[here]
+        cut = space | mark | line
+        inner = np.flatnonzero(cut)
+        starts = t.start[:-1]
+        edge = np.zeros(len(here) + 1, bool)
+        edge[t.start] = True
+        last = np.flatnonzero(edge[1:])  # a cut at a text's last byte saw the next text's first one
+        inner = inner[~edge[inner] & ~(np.isin(inner, last) & (here[inner] == 0x20))]
+        return np.sort(np.concatenate((inner, np.unique(starts[np.diff(t.start) > 0]))))
+
+    def encode(self, t: tx.Texts) -> list[np.ndarray]:
+        """The ids of each text of a slice."""
+        if self.known > self.limit:
             self.clear()
-        split, missing, get = [], set(), self.place
-        for text in texts:
-            words = None if "<|" in text else _splitter.split(text) if _unsafe.search(text) else text.split(" ")
-            split.append(words)
-            if words:
-                missing.update(w for w in words[1:] if w not in get)
-        if missing:
-            self._learn(sorted(missing))
-        size = np.array(self.size, np.int64)
-        start = np.cumsum(size) - size
-        out = []
-        for text, words in zip(texts, split):
-            if words is None or len(words) == 1:
-                out.append(self.whole(text))
-                continue
-            at = np.fromiter(map(get.__getitem__, words[1:]), np.int64, len(words) - 1)
-            n = size[at]
-            total = int(n.sum())
-            index = np.arange(total) + np.repeat(start[at] - (np.cumsum(n) - n), n)
-            out.append(np.concatenate((self.whole(words[0]), self.ids[index])))
+        cut = self.cuts(t)
+        ends = np.append(cut[1:], len(t.data))
+        hashes = t.hashes(cut, ends, tx.BYTES)
+        at = self._find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            own, first = np.unique(hashes[new], return_index=True)
+            raw = t.data.tobytes()
+            self._learn(own, [raw[cut[i] : ends[i]].decode() for i in new[first]])
+            at[new] = self._find(hashes[new])
+        n = self.size[at].astype(np.int64)
+        index = np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        ids = self.ids[index].astype(np.uint32)
+        total = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(cut, t.start)]
+        out = [ids[a:b] for a, b in zip(total[:-1], total[1:])]
+        special = np.flatnonzero((t.data[:-1] == 0x3C) & (t.data[1:] == 0x7C))
+        for i in np.unique(np.searchsorted(t.start, special, "right") - 1).tolist():
+            out[i] = self.whole(t.data[t.start[i] : t.start[i + 1]].tobytes().decode())
         return out
 
 
@@ -175,10 +229,9 @@ def packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         types = None
         for batch in batches:
             types = [batch.schema.field(0).type, *[pa.int64()] * 6, pa.binary()]
-            for i in range(0, len(batch), 256):
-                keys = batch.column(0).slice(i, 256).to_pylist()
-                texts = [x or "" for x in batch.column(1).slice(i, 256).to_pylist()]
-                for key, ids in zip(keys, own.encode(texts)):
+            for t in tx.slices(batch.column(1)):
+                keys = batch.column(0).slice(t.first, t.n).to_pylist()
+                for key, ids in zip(keys, own.encode(t)):
                     ids = np.append(ids, np.uint32(end_id))
                     packer.add(key, 0, ids, len(ids))
                 if len(packer.done) > 20_000:
