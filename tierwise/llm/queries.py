@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import decontamination
 from .html_extraction import html_extraction
 from .license_scan import license_scan
+from .ngram_join import ngram_components
 from .packing import packing
 from .quality_rules import quality_rules
 from .url_filters import url_filters
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters(table(spark, sf_dir, "pages"), rules)
@@ -54,6 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_url_filters": op2_url_filters,
     "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
@@ -67,6 +73,16 @@ _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+c as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from p join c u on u.doc_id = a join c v on v.doc_id = b where 100 * k >= 75 * (u.n + v.n - k)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as x, doc_id as y from documents union select r.x, e.b from r join e on r.y = e.a)
+select d.doc_id, coalesce(n, 0) as n_shingles, m as component_id
+from documents d left join c on d.doc_id = c.doc_id join (select x, min(y) as m from r group by x) g on d.doc_id = g.x""",
     "op2_url_filters": f"""
 with rules(rh, rp, said) as (values {", ".join(str(r) for r in URL_RULES)}),
 p as (select page_id, url, {_HOST} as host, {_PATH} as path from pages),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fresh_path
+from ..sources.storage import fresh_path
 from .text import mapped
 
 RECORDS = "record_type string, record_id string, concurrent_to string, target_uri string, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean, fields map<string,string>, payload binary"
