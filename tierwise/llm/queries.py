@@ -12,6 +12,7 @@ from .license_scan import license_scan
 from .ngram_join import ngram_components
 from .packing import packing
 from .quality_rules import quality_rules
+from .suffix_dedup import suffix_dedup
 from .url_filters import url_filters
 from .warc import round_trip
 
@@ -36,6 +37,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_filters": op2_url_filters,
     "op4_license_scan": op4_license_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,
