@@ -2,5 +2,34 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of ``Tables``."""
+
+    def register(fn: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return register
+
+
+from .plans import aggregates, graphs, joins, partitions, scalars, sources, spatial, windows  # noqa: E402, F401
