@@ -120,7 +120,6 @@ def _counted(survey: DataFrame, bits: int) -> np.ndarray:
 
     rows = survey.filter("block is not null").select("block", "counts")
     salted = rows.repartition("block", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(add, "block int, counts binary")
-    half = salted.withColumn("counts", F.col("counts"))
 
     def finish(batches: Iterator[pa.RecordBatch]):
         total: dict[int, np.ndarray] = {}
@@ -131,7 +130,7 @@ def _counted(survey: DataFrame, bits: int) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
-    found = half.repartition("block").mapInArrow(finish, "block int, counts binary").collect()
+    found = salted.repartition("block").mapInArrow(finish, "block int, counts binary").collect()
     out = np.zeros(1 << bits, np.uint32)
     for r in found:
         own = np.frombuffer(r["counts"], np.uint32)
@@ -200,8 +199,7 @@ def _products(docs: DataFrame, text_col: str, k: int, bits: int, counts, bounds:
             centre = left[np.maximum.accumulate(np.where(starts, np.arange(len(left)), 0))]
             near = 100 * np.minimum(n[centre], n[left]) >= bounds.percent * np.maximum(n[centre], n[left])
             ok = near & (centre != left) & bounds.possible(n[centre], pos[centre], n[left], pos[left])
-            a, b = name[centre[ok]], name[left[ok]]
-            pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
+            pairs.append(np.stack((name[centre[ok]], name[left[ok]]), 1))
             left = left[~near]
         pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
         for i in range(0, len(pair), 1 << 16):
@@ -217,47 +215,71 @@ def _products(docs: DataFrame, text_col: str, k: int, bits: int, counts, bounds:
     return dealt.repartition(blocks, "block").mapInArrow(multiply, "a long, b long, column long, n long, pos long")
 
 
-def _confirmed(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, classes: DataFrame, bounds: Bounds, broadcast_rows: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the threshold. Only the texts of one document of each class are read again."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    wanted = written(names.join(classes, "digest").select("hash", "digest"), "wanted")
+def _confirmed(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, classes: DataFrame, bounds: Bounds, broadcast_rows: int, per_task: int = 4096) -> DataFrame:
+    """Those of the pairs (centre, other) whose sets reach the threshold.
+
+    Only texts of classes in the pairs are cut into shingles again, and a set is sent once for each centre
+    it is compared with. A centre of more than ``per_task`` pairs is sent to several tasks.
+    """
+    pairs = pairs.select("centre", "other")
+    shards = pairs.groupBy("centre").agg(F.floor(F.count(F.lit(1)) / per_task).alias("top"))
+    asked = (
+        pairs.join(shards, "centre").select(F.col("other").alias("digest"), F.struct(F.col("centre"), F.pmod(F.col("other"), F.col("top") + 1).alias("shard"), F.lit(False).alias("leads")).alias("to"))
+        .unionByName(shards.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))).select(F.col("centre").alias("digest"), F.struct("centre", "shard", F.lit(True).alias("leads")).alias("to")))
+        .groupBy("digest").agg(F.collect_set("to").alias("to"))
+    )
+    wanted = written(asked.join(classes, "digest").select("hash", "digest", "to"), "wanted")
     small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
     rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    NAMES = ["centre", "shard", "leads", "digest", "n", "held"]
+
+    def packed(batches: Iterator[pa.RecordBatch]):
+        seen: set[int] = set()
+        rows: list[tuple] = []
+        held = 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], names=NAMES)
 
-    def packed(batch: pa.RecordBatch):
-        asked = batch.column(1).to_pylist()
-        names, sizes, blobs, held = [], [], [], 0
-        for i, s in sets_of(batch.column(0), k):
-            if digest(s) != asked[i]:
-                continue
-            short = np.unique(s & U((1 << 40) - 1))
-            names.append(asked[i])
-            sizes.append(len(s))
-            blobs.append(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES_PER_SHINGLE].tobytes())
-            held += len(blobs[-1])
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["digest", "n", "held"])
-                names, sizes, blobs, held = [], [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["digest", "n", "held"])
-
-    sets = tx.mapped(rows.join(F.broadcast(wanted) if small else wanted, "hash").select("text", "digest"), packed, "digest long, n long, held binary")
-    sets = written(sets.dropDuplicates(["digest"]), "sets")
-    side = lambda c: sets.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), F.col("held").alias(f"held_{c}"))
+        for batch in batches:
+            asked, to = batch.column(1).to_pylist(), batch.column(2)
+            for i, s in sets_of(batch.column(0), k):
+                if asked[i] in seen or digest(s) != asked[i]:
+                    continue
+                seen.add(asked[i])
+                short = np.unique(s & U((1 << 40) - 1))
+                blob = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES_PER_SHINGLE].tobytes()
+                for x in to[i].as_py():
+                    rows.append((x["centre"], x["shard"], x["leads"], asked[i], len(s), blob))
+                    held += len(blob)
+                if held > 8 << 20:
+                    yield out()
+                    rows, held = [], 0
+        if rows:
+            yield out()
 
     def full(blob: bytes) -> np.ndarray:
         out = np.zeros((len(blob) // BYTES_PER_SHINGLE, 8), np.uint8)
         out[:, :BYTES_PER_SHINGLE] = np.frombuffer(blob, np.uint8).reshape(-1, BYTES_PER_SHINGLE)
         return out.view("<u8").ravel()
 
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for i, (x, y, n, m) in enumerate(zip(batch["held_a"], batch["held_b"], batch["n_a"].to_pylist(), batch["n_b"].to_pylist())):
-            shared = len(np.intersect1d(full(x.as_py()), full(y.as_py()), assume_unique=True))
-            if 100 * shared >= bounds.percent * (n + m - shared):
-                keep.append(i)
-        return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return tx.mapped(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), compare, "a long, b long")
+    def compare(batches: Iterator[pa.RecordBatch]):
+        centre, own, n = None, None, 0  # the rows of a centre follow one another, its own set first
+        for batch in batches:
+            found = []
+            for c, name, m, blob in zip(batch["centre"].to_pylist(), batch["digest"].to_pylist(), batch["n"].to_pylist(), batch["held"]):
+                if name == c:
+                    if c != centre:
+                        centre, own, n = c, full(blob.as_py()), m
+                elif c == centre:
+                    shared = len(np.intersect1d(own, full(blob.as_py()), assume_unique=True))
+                    if 100 * shared >= bounds.percent * (n + m - shared):
+                        found.append((c, name))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    sets = rows.join(F.broadcast(wanted) if small else wanted, "hash").select("text", "digest", "to").mapInArrow(packed, "centre long, shard long, leads boolean, digest long, n long, held binary")
+    met = sets.repartition("centre", "shard").sortWithinPartitions("centre", "shard", F.desc("leads"))
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, table_bits: int = 20, blocks: int | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -275,14 +297,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = spark.sparkContext.broadcast(_counted(survey, table_bits))
     found = written(_products(docs, text_col, k, table_bits, counts, bounds, blocks), "products")
 
-    links = written(_confirmed(docs, text_col, k, found.filter("b is not null").select("a", "b").distinct(), classes, bounds, broadcast_rows), "links")
+    links = written(_confirmed(docs, text_col, k, found.filter("b is not null").select(F.col("a").alias("centre"), F.col("b").alias("other")).distinct(), classes, bounds, broadcast_rows), "links")
     part = connected_components(links, "a", "b")
     entry = found.filter("b is null").select(F.col("a").alias("name"), "column", "n", "pos")
-    entry = entry.join(part, entry["name"] == part["node"], "left").select("name", "column", "n", "pos", F.coalesce("component", "name").alias("part"))
+    entry = entry.join(part, entry["name"] == part["node"], "left").select("name", "column", "n", "pos", F.coalesce("component", "name").alias("part")).repartition(blocks, "column")
     mixed = entry.groupBy("column").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("column")
     entry = written(entry.join(mixed, "column"), "entries")
     x, y = entry.alias("x"), entry.alias("y")
-    rest = x.join(y, F.expr(f"x.column = y.column and x.part < y.part and {bounds.possible_sql()}")).select(F.expr("least(x.name, y.name)").alias("a"), F.expr("greatest(x.name, y.name)").alias("b")).distinct()
+    rest = x.join(y, F.expr(f"x.column = y.column and x.part < y.part and {bounds.possible_sql()}")).select(F.col("x.name").alias("centre"), F.col("y.name").alias("other")).distinct()
     rest = written(rest, "rest")
     more = written(_confirmed(docs, text_col, k, rest, classes, bounds, broadcast_rows), "links")
     part = connected_components(links.unionByName(more), "a", "b")
