@@ -3,8 +3,8 @@
 Paragraphs are lines. Words and word pairs, hashed to a fixed number of columns, feed a multinomial
 logistic regression over licence families, "none" and "other" (licence-like text of no known family).
 It is trained here: positives are the families' template sentences with words dropped and words of the
-corpus around them; negatives are a bounded sample of the corpus's own paragraphs (``negatives`` rows
-with the smallest digests). Scores are calibrated by a temperature fitted on held-out examples; below
+corpus around them; negatives are a bounded sample of the corpus's own paragraphs (the ``negatives``
+lines, their first 400 characters, with the smallest digests of id and line). Scores are calibrated by a temperature fitted on held-out examples; below
 ``least`` the family is unknown. A family is reported only if the paragraph also holds enough of the
 word pairs of one of its templates.
 
@@ -124,14 +124,15 @@ class Classifier:
             if sure[i] >= least and held.get(best[i], 0) >= confirm:
                 continue
             top = max(held, key=held.get)
-            best[i] = top if held[top] >= 0.999 else other if p[i, none] < 1 - least and max(held.values()) >= 0.3 else none
+            best[i] = top if held[top] >= 0.999 else other if p[i, none] < 1 - least and max(held.values()) >= confirm else none
         return best, sure
 
 
-def trained(docs: DataFrame, text_col: str, negatives: int, copies: int = 40) -> Classifier:
+def trained(docs: DataFrame, id_col: str, text_col: str, negatives: int, copies: int = 40) -> Classifier:
     """A classifier from the templates and at most ``negatives`` paragraphs of the corpus."""
-    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).filter(F.trim("line") != "").select(F.substring("line", 1, 400).alias("line")).distinct()
-    sample = [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(negatives).collect()]
+    lines = docs.select(F.col(id_col), F.explode(F.split(F.col(text_col), "\n")).alias("line")).filter(F.trim("line") != "")
+    lines = lines.select(F.substring("line", 1, 400).alias("line"), F.xxhash64(id_col, "line").alias("place"))
+    sample = sorted({r["line"] for r in lines.orderBy("place", "line").limit(negatives).collect()})
     model = Classifier()
     rng = model.rng
     known = {s.lower() for v in TEMPLATES.values() for s in v}
@@ -158,7 +159,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The model has a fixed size and is broadcast for that reason. Every paragraph of every text is judged.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, text_col, negatives))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, id_col, text_col, negatives))
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_paragraphs long, n_licensed long, families string, family string, probability double"
 
     def of(batch: pa.RecordBatch):
