@@ -1,0 +1,335 @@
+"""Operators against plain versions, edge cases included."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from helpers import WORD, components, counts, edge_docs, edge_rows, hits, long_text, lower, repeated, same
+
+from tierwise.llm import html_extraction as H
+from tierwise.llm import suffix_dedup as SD
+from tierwise.llm import text as tx
+from tierwise.llm import warc as WA
+from tierwise.llm.decontamination import clean_rows, decontamination
+from tierwise.llm.license_scan import FAMILIES, TEMPLATES, license_scan
+from tierwise.llm.lm_scoring import lm_scoring
+from tierwise.llm.ngram_join import ngram_components, one_of_each
+from tierwise.llm.packing import packing
+from tierwise.llm.quality_rules import fitted, kept_rows, quality_rules
+from tierwise.llm.suffix_dedup import deduplicated, suffix_dedup
+from tierwise.llm.url_filters import url_filters
+
+DATA = "/root/testdata/sf0.001"
+
+
+def tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def table_rows(spark, name="documents"):
+    return [tuple(r) for r in spark.read.parquet(f"{DATA}/{name}.parquet").select("doc_id" if name == "documents" else "item_id", "text").collect()]
+
+
+def test_ngram_join_edges(spark):
+    same(ngram_components(edge_docs(spark)), components(edge_rows()))
+
+
+def test_ngram_join_chain_and_threshold(spark):
+    words = [f"t{i}" for i in range(104)]
+    rows = [(10 - k, " ".join(words[:k * 3] + [f"x{k}_{i}" for i in range(104 - k * 3)][:0] + words[k * 3:])) for k in range(2)]
+    for k in range(8):  # each differs from the next by a few words, the ends by many
+        own = list(words)
+        for j in range(k):
+            own[10 * j + 3] = f"new{j}"
+        rows.append((100 + k, " ".join(own)))
+    rows.append((50, " ".join(words[:60] + [f"far{i}" for i in range(44)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(ngram_components(docs), components(rows))
+
+
+def test_ngram_join_many_near_copies(spark):
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for j in rng.choice(150, rng.integers(0, 7), replace=False):
+            own[j] = f"edit{i}_{j}"
+        rows.append((i, " ".join(own)))
+    same(ngram_components(spark.createDataFrame(rows, "doc_id long, text string")), components(rows))
+
+
+def test_one_of_each_keeps_columns(spark):
+    docs = edge_docs(spark)
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    lead = {(i, c) for i, _, c in components(edge_rows()) if i == c}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in lead}
+
+
+def test_url_filters(spark):
+    rows = [
+        (1, "http://www.Example.com/en/a?x#y"), (2, "https://example.com/en/"), (3, "https://a.b.net/es/q"), (4, "ftp://net/fr/"), (5, "http://sub.example.com/en"), (6, None), (7, ""), (8, "no scheme"),
+        (9, "http://"), (10, "http://x.org/en/"), (11, "http://evilexample.com/en/1"), (11, "http://evilexample.com/en/1"), (None, "http://com"), (12, "http://example.com/en/http://net/es/"), (13, "http://notnet/es/"), (14, "x://com?/"), (15, "http://a.net/es/" + "p/" * 3000),
+    ]
+    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")], "host string, path string, verdict string")
+
+    def judged(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (lower(m[1]), m[2]) if m else ("", "")
+        fits = [(len(h + p), h + p, v) for h, p, v in (tuple(r) for r in rules.collect()) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        return host, path, best[1], best[2]
+
+    got = url_filters(spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string"), rules)
+    same(got, [(i, *judged(u)) for i, u in rows])
+    assert url_filters(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
+@pytest.mark.parametrize("shares", [{}, {"word_share": 2e-3, "context_share": 2e-3, "listed_share": 1e-3}])
+def test_lm_scoring_base(spark, shares):
+    rows = table_rows(spark)
+    rows += [(None, None), (1000, ""), (1001, long_text(3000)), (1001, long_text(3000))]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
+    words = [[lower(w) for w in re.findall(WORD, t or "")] + [None] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    c = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    n, v = sum(c.values()), len(c)
+    exp = defaultdict(list)
+    for (i, _), ws, h in zip(rows, words, held):
+        exp[i].append((h, len(ws), sum(c[w] > 0 for w in ws), n, sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)))
+    per_token = [0.0, 0.0]
+    for r in lm_scoring(docs, **shares).collect():
+        e = exp[r["doc_id"]].pop()
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == e[:4]
+        assert r["base_score"] == pytest.approx(e[4], rel=1e-9)
+        assert r["score"] <= 0
+        if r["held_out"]:
+            per_token[0] += r["base_score"]
+            per_token[1] += r["score"]
+    if not shares:
+        assert per_token[1] > per_token[0]  # the tree tells held-out texts better than word frequencies do
+
+
+def test_lm_states_are_distributions(spark):
+    from tierwise.llm.lm_scoring import Tree
+
+    words = np.sort(tx.mix(np.arange(1, 6, dtype=np.uint64)))
+    tree = Tree(words, np.array([40, 30, 20, 10, 5]), 105, 5)
+    state = tree.grow(np.array([0, 1]), np.array([40.0, 30.0]), np.array([-1, -1]), np.array([0, 0, 1]), np.array([1, 2, 3]), np.array([25, 10, 28]))
+    assert (state >= 0).all()
+    deep = tree.grow(np.array([9]), np.array([25.0]), np.array([state[0]]), np.array([0]), np.array([4]), np.array([24]))
+    unknown = 1 - 10 ** tree.root.astype(float)
+    for s in [*state, *deep]:
+        p = 10 ** tree.logs(np.full(5, s), np.arange(5))
+        rare = 10 ** tree.logs(np.array([s]), np.array([-1]))[0] * (1 - (10**tree.root).sum())
+        assert p.sum() + rare == pytest.approx(1.0, abs=1e-6)
+    assert (unknown > 0).all()
+
+
+def test_license_scan(spark):
+    rows = [(i, f"some words of the corpus number {i}\n{s}\nmore words") for i, s in enumerate(x for v in TEMPLATES.values() for x in v)]
+    plain = [(1000 + i, t) for i, t in enumerate(("nothing here\nat all", None, "", " \n ", long_text(20_000)))]
+    got = {r["doc_id"]: r for r in license_scan(edge_docs(spark, [*rows, *plain, (3, rows[3][1])])).collect()}
+    family = [n for n, v in TEMPLATES.items() for _ in v]
+    right = sum(family[i] in got[i]["families"].split(",") for i in range(len(rows)))
+    assert right >= 0.9 * len(rows)
+    assert all(got[i]["families"] == "" and got[i]["family"] is None for i, _ in plain)
+    assert got[1001]["n_paragraphs"] == 0 and FAMILIES[-1] == "none"
+    assert license_scan(edge_docs(spark, [])).count() == 0
+
+
+def test_license_scan_on_the_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = {"MIT License": "MIT", "Apache License": "Apache-2.0", "GNU General Public": "GPL", "CC BY-NC": "CC-BY-NC", "All rights reserved": "other"}
+    got = {r["doc_id"]: set(filter(None, r["families"].split(","))) for r in license_scan(docs).collect()}
+    for r in docs.collect():
+        want = {f for s, f in names.items() if s in (r["text"] or "")}
+        assert want == got[r["doc_id"]], (r["doc_id"], want, got[r["doc_id"]])
+
+
+def test_suffix_rounds():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        m, w = int(rng.integers(1, 10)), int(rng.integers(1, 9))
+        table = rng.integers(0, 3, (m, w)).astype(np.uint16)
+        for column, order, common in SD.suffix_rounds(table):
+            rows = [tuple(table[i, column:]) for i in order]
+            assert rows == sorted(rows)
+            for i in range(1, m):
+                k = 0
+                while k < len(rows[i]) and rows[i][k] == rows[i - 1][k] > 0:
+                    k += 1
+                assert common[i] == k
+
+
+def test_suffix_dedup_edges(spark):
+    same(suffix_dedup(edge_docs(spark)), repeated(edge_rows()))
+    assert suffix_dedup(edge_docs(spark, [])).count() == 0
+
+
+def test_suffix_dedup_short_and_shifted_matches(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcde é"), n))
+    shared = [text(n) for n in (49, 50, 51, 70, 120)]
+    rows = [(i, text(int(rng.integers(0, 60))) + shared[int(rng.integers(5))] + text(int(rng.integers(0, 60))) + shared[int(rng.integers(5))]) for i in range(60)]
+    rows += [(70, "a" * 300), (71, "a" * 49), (72, "a" * 80), (73, "ab" * 60)]
+    rng.shuffle(rows)
+    rows = [(int(i), str(t)) for i, t in rows]
+    same(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")), repeated(rows))
+
+
+def test_deduplicated_texts(spark):
+    docs = edge_docs(spark)
+    out = deduplicated(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    by = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert (6, "") in by and (0, None) in by
+
+
+def unpacked(docs, out, length=2048):
+    """Checks windows and joins the pieces of each document again."""
+    from tokenizers import Tokenizer
+
+    encode = lambda t: [*Tokenizer.from_file(tokenizer()).encode(t or "", add_special_tokens=False).ids, 1]
+    ids = {}
+    for r in docs.collect():
+        ids.setdefault(r["doc_id"], []).append(encode(r["text"]))
+    windows, pieces = defaultdict(list), defaultdict(list)
+    for r in out.collect():
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        assert any(len(x) == r["doc_tokens"] and zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for x in ids[r["doc_id"]])
+    padding = 0
+    for w in windows.values():
+        at = 0
+        for offset, n in sorted(w):
+            assert offset == at and n > 0
+            at += n
+        assert at <= length
+        padding += 0 if at & at - 1 == 0 else length - at
+    assert {k: sum(len(x) for x in v) for k, v in ids.items()} == {k: sum(p[1] for p in v) for k, v in pieces.items()}
+    return padding
+
+
+def test_packing(spark):
+    docs = edge_docs(spark).repartition(3)
+    out = packing(docs, tokenizer())
+    assert unpacked(docs, out) == 0
+    assert packing(edge_docs(spark, []), tokenizer()).count() == 0
+
+
+def test_packing_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(5)
+    assert unpacked(docs, packing(docs, tokenizer(), open_windows=4)) == 0
+
+
+def page(body, head=""):
+    return f"<!DOCTYPE html><html><head><title>T</title>{head}</head><body>{body}</body></html>"
+
+
+def test_html_extraction(spark):
+    menu, foot = "<nav><a href=/a>Home</a></nav>", "<footer>&copy; us</footer>"
+    rows = [
+        (1, "http://a.com/1", page(f"{menu}<article><h1>One &amp; two</h1><p>First\n  para <b>bold</b><br>line<p>Second &lt;x&gt;</article>{foot}")),
+        (2, "http://a.com/2", page(f"{menu}<main><p>Text<div class='ad'>Buy</div><p>More</main><section id=comments><p>Nice!</section>{foot}")),
+        (3, "http://b.com/3", None), (4, None, ""), (5, "http://b.com/5", "<p>open <i>italic"), (6, "http://b.com/6", "plain text only"),
+        (7, "http://b.com/7", page("<article><p>Keep</p><script>var a='</p><p>no';</script><form>Name <input></form><aside>Side</aside></article>")), (7, "http://b.com/7", page("<article><p>Keep</p></article>")),
+        (8, "http://b.com/8", "<article><p>cut off in a tag</p><p class='x"), (None, "http://b.com/9", "<div class='cookie-notice'>We use cookies</div><div><p>Body text</p></div>"),
+        (10, "http://b.com/10", "<div>" * 400 + "deep" + "</div>" * 400), (11, "http://b.com/11", "<p>" + "long text " * 50_000 + "</p>"),
+    ]
+    got = Counter((r["page_id"], r["text"]) for r in H.html_extraction(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, template string")).collect())
+    want = Counter({(1, "One & two\nFirst para bold line\nSecond <x>"): 1, (2, "Text\nMore"): 1, (3, ""): 1, (4, ""): 1, (5, "open italic"): 1, (6, "plain text only"): 1, (7, "Keep"): 2, (8, "cut off in a tag"): 1, (None, "Body text"): 1, (10, "deep"): 1, (11, ("long text " * 50_000).strip()): 1})
+    assert got == want
+    assert H.html_extraction(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_constant_slots_are_template(spark):
+    rows = [(i, f"http://c.com/{i}", page(f"<div><p>Join our letter</p></div><div><p>Story {i} tells of {i * 7}</p></div>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in H.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} tells of {i * 7}" for i in range(6)}
+
+
+def test_simple_tree_matching():
+    a = ["x", 1, None, [["p", 1, None, []], ["q", 1, None, []], ["r", 1, None, []]]]
+    b = ["x", 1, None, [["q", 1, None, []], ["s", 1, None, []], ["r", 1, None, []]]]
+    assert H.matched(a, b) == 3 and H.matched(a, ["y", 1, None, []]) == 0
+    assert [s[0] for s in H.merged(a, b)[3]] == ["p", "q", "s", "r"]
+
+
+def test_warc_round_trip(spark):
+    big = "<p>" + "x" * 200
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, "http://a\n/3", "short"), (4, None, "short"), (5, "http://a/5", None), (6, "http://a/6", "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 10), (None, "http://a/7", big), (6, "http://a/6", "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 10), (8, "http://é/ü?q#f", "é" * 99), (9, "http://a/9", "y" * 400_000)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, size int")
+    import hashlib
+
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        again = len(b) >= 100 and first.get(h or "", i) != i
+        want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[h] if again else None))
+    same(WA.round_trip(pages), want)
+    assert WA.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_payloads_and_links(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/x?y", "<p>é\r\n\r\n</p>"), (2, None, None)], "page_id long, url string, html string")
+    WA.write_archives(pages, str(tmp_path / "w"))
+    t = {r["metadata"]["fields"]["id"]: r for r in WA.transactions(WA.read_records(spark, str(tmp_path / "w"))).collect()}
+    assert bytes(t["1"]["response"]["payload"]).decode() == "<p>é\r\n\r\n</p>" and t["1"]["response"]["digest_ok"]
+    assert t["1"]["request"]["target_uri"] == "http://a/x?y" and t["2"]["response"]["payload_bytes"] == 0 and t["2"]["response"]["target_uri"] is None
+
+
+def test_decontamination_edges(spark):
+    item = " ".join(f"bench{i}" for i in range(30))
+    items = [(1, item), (2, "short item text"), (2, "short item text"), (3, None), (4, ""), (5, "a a a a a a a a a a a a a a"), (10, item.upper())]
+    rows = edge_rows() + [(100, "x " * 50 + item), (101, "x " * 2000 + item), (102, "a " * 40), (103, " ".join(item.split()[:12])), (104, "so SHORT, item-text! it is"), (105, "short\nitem\ttext")]
+    bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, n_words int")
+    same(decontamination(edge_docs(spark, rows), bench), hits(rows, items))
+    same(decontamination(edge_docs(spark, rows), bench.limit(0)), hits(rows, []))
+    assert decontamination(edge_docs(spark, []), bench).count() == 0
+    with pytest.raises(ValueError, match="parts"):
+        decontamination(edge_docs(spark, rows), bench, max_benchmark_words=5)
+
+
+def test_decontamination_table(spark):
+    docs, bench = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "benchmark"))
+    same(decontamination(docs, bench), hits(table_rows(spark), table_rows(spark, "benchmark")))
+
+
+def test_quality_counts(spark):
+    rows = edge_rows() + table_rows(spark) + [(500, "a b c a b c d"), (501, "x\nx\n x\n\nx"), (502, "#*$%&|<> é€"), (503, "w " * 49)]
+    got = [tuple(r)[:6] for r in quality_rules(edge_docs(spark, rows)).collect()]
+    assert Counter(got) == Counter((i, *counts(t)) for i, t in rows)
+    assert quality_rules(edge_docs(spark, [])).count() == 0
+
+
+def test_quality_against_labels(spark):
+    data = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    rows = quality_rules(spark.read.parquet(f"{data}/documents.parquet")).select("doc_id", "kept", "base_failed").join(labels, "doc_id").filter("not base_failed").collect()
+    assert sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.98 * len(rows)
+
+
+def test_quality_model_recovers_kinds():
+    from tierwise.llm.quality_rules import RULES
+
+    fine = sum(2 * 3**k for k in range(len(RULES)))
+    good, _ = fitted(np.array([fine, fine - 2, fine - 2 * 3]), np.array([1000, 50, 40]))
+    assert good[0] > 0.9 and good[1] < 0.5 and good[2] < 0.5
+
+
+def test_filters_keep_columns(spark):
+    docs = edge_docs(spark, edge_rows() + [(200, "clean words " + " ".join(f"c{i}" for i in range(80)))])
+    bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(40)))], "item_id long, text string")
+    assert clean_rows(docs, bench).columns == docs.columns == kept_rows(docs).columns
+    assert 5 not in {r["doc_id"] for r in clean_rows(docs, bench).collect()}
+    assert 200 in {r["doc_id"] for r in kept_rows(docs).collect()}
