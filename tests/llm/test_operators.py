@@ -254,6 +254,15 @@ def test_html_constant_slots_are_template(spark):
     assert got == {i: f"Story {i} tells of {i * 7}" for i in range(6)}
 
 
+def test_html_deep_and_wide():
+    deep = H.tree("<div>" * 5000 + "core" + "</div>" * 5000 + "<p>after")
+    assert H.content(deep, None) == ["core", "after"]
+    wide = H.tree("<article>" + "".join(f"<p>p{i}</p><h2>h{i}</h2>" for i in range(1500)) + "</article>")
+    other = H.tree("<article><h2>first</h2>" + "".join(f"<h2>h{i}</h2><p>q{i}</p>" for i in range(1500)) + "</article>")
+    template = H.merged(H.summary("page", [wide]), H.summary("page", [other]))
+    assert len(H.content(wide, template)) == 3000 and len(H.content(other, template)) == 3001
+
+
 def test_simple_tree_matching():
     a = ["x", 1, None, [["p", 1, None, []], ["q", 1, None, []], ["r", 1, None, []]]]
     b = ["x", 1, None, [["q", 1, None, []], ["s", 1, None, []], ["r", 1, None, []]]]
