@@ -178,8 +178,8 @@ def ag19(t: Tables):
 select variant, case when bool_or(policy) then 'variant' when bool_or(gone > 0 and gone < members) then 'incomplete' when count(total) = 0 then 'uncounted' end as withheld, coalesce(string_agg(case when gone = members then cast(unit as varchar) end, ',' order by unit), '') as set_aside
 from v where variant <> 3 or unit = 6 group by 1""")
 def ag20(t: Tables):
-    n = t.spark.createDataFrame([(0,), (1,), (2,), (3,)], "variant int")
-    v = A.complete_sums(units(t), "unit", "atom", "v").join(F.broadcast(n), F.expr("not (variant = 1 and unit = 1) and (variant <> 3 or unit = 6)")).withColumn("policy", F.col("variant") == 2)
+    v = A.complete_sums(units(t), "unit", "atom", "v").withColumn("variant", F.explode(F.array(*[F.lit(x) for x in range(4)])))
+    v = v.filter("not (variant = 1 and unit = 1) and (variant <> 3 or unit = 6)").withColumn("policy", F.col("variant") == 2)
     return A.withholding(v, "variant", "policy").withColumn("set_aside", F.array_join(F.col("set_aside").cast("array<string>"), ","))
 
 

@@ -99,7 +99,8 @@ def g6(t: Tables):
 def ag28(t: Tables):
     e = edges(t)
     lone = t.supplier.select(F.col("s_suppkey").alias("src")).join(e, "src", "left_anti")
-    return e.agg(F.expr("count(1) div 2").alias("edges")).crossJoin(lone.agg(F.count(F.lit(1)).alias("isolated")))
+    both = e.select(F.lit(True).alias("edge")).unionByName(lone.select(F.lit(False).alias("edge")))
+    return both.agg(F.expr("count_if(edge) div 2").alias("edges"), F.count_if(~F.col("edge")).alias("isolated"))
 
 
 @query("ag29_component_attributes", components_sql(_M, "frame") + " select component, round(avg(population), 4) as mean, cast(sum(population) as bigint) as population, first(atom order by population desc, atom) as principal from c join m using (atom) group by 1")

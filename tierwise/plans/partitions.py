@@ -63,21 +63,21 @@ union all select 2, 'u' || (s_suppkey % 7), 'Child ' || s_suppkey, 'claim' from
 
 def claims(t: Tables):
     k = F.col("s_suppkey")
-    n = t.spark.createDataFrame([(0,), (1,), (2,)], "variant int")
+    each = t.supplier.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in range(3)])))
     name = lambda p: F.concat(F.lit(p), k)
     unit = F.concat(F.lit("u"), k % 7)
-    base = t.supplier.join(F.broadcast(n), ~((F.col("variant") == 0) & (k % 29 == 3))).select("variant", unit.alias("unit"), F.when((k % 31 == 5) & (F.col("variant") == 0), name("nobody ")).otherwise(name("S ")).alias("claim"), F.lit("claim").alias("kind"))
+    base = each.filter(~((F.col("variant") == 0) & (k % 29 == 3))).select("variant", unit.alias("unit"), F.when((k % 31 == 5) & (F.col("variant") == 0), name("nobody ")).otherwise(name("S ")).alias("claim"), F.lit("claim").alias("kind"))
     more = lambda v, cond, u, p, kind: t.supplier.filter(cond).select(F.lit(v).alias("variant"), u.alias("unit"), name(p).alias("claim"), F.lit(kind).alias("kind"))
     rows = base.unionByName(more(0, k % 23 == 1, F.lit("u6"), "S ", "claim")).unionByName(more(0, k % 41 == 2, unit, "S ", "claim")).unionByName(more(0, k % 37 == 4, F.lit("u0"), "S ", "exclude")).unionByName(more(2, k % 19 == 0, unit, "Child ", "claim"))
     roster = t.supplier.select(name("S ").alias("atom"), F.col("s_nationkey"))
     folds = t.supplier.filter(k % 19 == 0).select(name("Child ").alias("child"), name("S ").alias("parent"))
-    return P.resolved_claims(rows, roster, folds), roster, n
+    return P.resolved_claims(rows, roster, folds), roster
 
 
 def problems(t: Tables):
-    c, roster, n = claims(t)
+    c, roster = claims(t)
     units = c.select("variant", "unit").distinct()
-    universe = roster.select("atom").join(F.broadcast(n), F.lit(True))
+    universe = roster.select("atom", F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("variant"))
     return P.claim_problems(c, units, universe)
 
 
@@ -98,12 +98,12 @@ def g11(t: Tables):
 
 @query("g15_valid_variants", _PROBLEMS + " select v as variant from (values (0), (1), (2)) x(v) where v not in (select variant from p)")
 def g15(t: Tables):
-    return P.valid_variants(claims(t)[2], problems(t))
+    return P.valid_variants(t.spark.createDataFrame([(0,), (1,), (2,)], "variant int"), problems(t))
 
 
 @query("g12_forbidden", "select v as variant, 'u' || (s_suppkey % 7) as unit, 'S ' || s_suppkey as atom, 'frame ' || s_nationkey as frame from supplier, (values (1)) x(v) where s_nationkey < 3 and s_suppkey % 7 not in (0, 1)")
 def g12(t: Tables):
-    c, roster, _ = claims(t)
+    c, roster = claims(t)
     forbidden = roster.filter("s_nationkey < 3").select("atom", F.concat(F.lit("frame "), "s_nationkey").alias("frame"))
     units = c.select("variant", "unit").distinct().withColumn("kind", F.when(F.col("unit") == "u0", "territory").otherwise("proposed"))
     promoted = units.filter("unit = 'u1'").select("variant", "unit")
@@ -138,7 +138,7 @@ select variant, units, atoms, withheld, set_aside, case when withheld is null th
 def g16(t: Tables):
     k = F.col("s_suppkey")
     n = t.spark.createDataFrame([(0, False), (1, True), (2, False)], "variant int, policy boolean")
-    m = t.supplier.join(F.broadcast(n), F.lit(True)).select(
+    m = t.supplier.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in range(3)]))).select(
         "variant", (k % 7).alias("unit"), F.concat(F.lit("Unit "), k % 7).alias("name"), k.alias("atom"), F.concat(F.lit("UNIT "), F.col("s_nationkey") % 7).alias("origin"),
         F.when(~((k % 7 == 6) | (F.col("variant") == 2) & (k == 8)), k + 1).alias("population"), F.when(k % 7 != 5, k * 10).alias("area"),
     )

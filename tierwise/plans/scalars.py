@@ -139,7 +139,8 @@ def prj2(t: Tables):
 @query("prj3_required_text", "select count(*) filter (length(trim(p_name)) > 0) as kept, count(*) filter (coalesce(length(trim(p_name)), 0) = 0) as rejected from part")
 def prj3(t: Tables):
     split = R.split_rows(t.part, R.is_text(F.col("p_name")))
-    return split.ok.agg(F.count(F.lit(1)).alias("kept")).crossJoin(split.rejected.agg(F.count(F.lit(1)).alias("rejected")))
+    sides = split.ok.select(F.lit(True).alias("ok")).unionByName(split.rejected.select(F.lit(False).alias("ok")))
+    return sides.agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"))
 
 
 @query("prj4_scan_filter", "select event_id, event_type, value from events where event_type in ('click', 'view')")

@@ -36,7 +36,7 @@ def src2(t: Tables):
 def src3(t: Tables):
     rows = t.nation.agg(F.collect_list(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("frame"), F.col("n_nationkey").alias("area"))).alias("rows"))
     totals = t.region.agg(F.collect_list(F.struct(F.col("r_regionkey").alias("frame"), (50 + F.col("r_regionkey") * 5).alias("published"))).alias("published"))
-    found, published = R.read_published(t.spark, _json(t, rows.crossJoin(totals), "published"), "name: string, frame: int, area: long", "frame: int, published: long")
+    found, published = R.read_published(t.spark, _json(t, rows.withColumn("file", F.lit(1)).join(totals.withColumn("file", F.lit(1)), "file"), "published"), "name: string, frame: int, area: long", "frame: int, published: long")
     return found.groupBy("frame").agg(F.sum("area").alias("area")).join(published, "frame").withColumn("delta", F.col("area") - F.col("published"))
 
 
@@ -78,7 +78,8 @@ def snk1(t: Tables):
 def snk2(t: Tables):
     path = fresh_path(t.spark, "artifact")
     R.write_artifact(t.nation.select("n_name", "n_regionkey"), path, "n_name", t.nation.agg(F.count(F.lit(1)).cast("int").alias("sources")))
-    return t.spark.read.parquet(f"{path}/rows").crossJoin(t.spark.read.parquet(f"{path}/provenance"))
+    provenance = t.spark.read.parquet(f"{path}/provenance").first()
+    return t.spark.read.parquet(f"{path}/rows").withColumn("sources", F.lit(provenance["sources"]))
 
 
 @query("snk3_neighbours", """with e as (select distinct a.l_suppkey as src, b.l_suppkey as dst from lineitem a join lineitem b on a.l_partkey = b.l_partkey and a.l_shipdate = b.l_shipdate and a.l_suppkey <> b.l_suppkey)
