@@ -104,6 +104,19 @@ fits as (
   from p join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
 select p.page_id, host, path, rule, coalesce(said, 'allow') as verdict
 from p left join fits on p.page_id = fits.page_id and p.url = fits.url and k = 1""",
+    "op5_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(generate_series(0, n - 50)) as i from d where n >= 50)),
+f as (select s, min(doc_id) as first from w group by s),
+hit as (select w.doc_id, i from w join f using (s) where first < w.doc_id),
+cut as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from hit),
+grp as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as g from cut),
+span as (select doc_id, min(i) as low, max(i) + 50 as high from grp group by doc_id, g),
+gap as (select doc_id, coalesce(lag(high) over (partition by doc_id order by low), 0) as a, low as b from span union all select d.doc_id, coalesce(max(high), 0), max(n) from d left join span on d.doc_id = span.doc_id group by d.doc_id),
+kept as (select gap.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a) as k from gap join d on gap.doc_id = d.doc_id group by gap.doc_id),
+tot as (select doc_id, sum(high - low) as removed, count(*) as spans from span group by doc_id)
+select d.doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(k)) as kept_sha256
+from d join kept on d.doc_id = kept.doc_id left join tot on d.doc_id = tot.doc_id""",
     "op8_warc": """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
 f as (select d, min(page_id) as first from p where n >= 100 group by d)
