@@ -132,6 +132,8 @@ def trained(docs: DataFrame, id_col: str, text_col: str, negatives: int, copies:
     """A classifier from the templates and at most ``negatives`` paragraphs of the corpus."""
     lines = docs.select(F.col(id_col), F.explode(F.split(F.col(text_col), "\n")).alias("line")).filter(F.trim("line") != "")
     lines = lines.select(F.substring("line", 1, 400).alias("line"), F.xxhash64(id_col, "line").alias("place"))
+    share = min(1.0, 2.0 * negatives / max(lines.count(), 1))  # so that tasks send about as many lines as are wanted
+    lines = lines.filter(F.col("place") <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True))
     sample = sorted({r["line"] for r in lines.orderBy("place", "line").limit(negatives).collect()})
     model = Classifier()
     rng = model.rng
