@@ -126,18 +126,27 @@ def scanned(batch_text, ids: list, sets: list[Patterns]):
         yield t, n_words, covered[offset[1:]] - covered[offset[:-1]], items
 
 
+def _shared(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, max_benchmark_words: int):
+    """The compiled benchmark as a broadcast; beyond the bound on its size ValueError."""
+    size = benchmark.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text_col), F.lit("")), r"[^0-9A-Za-z\x80-\x{10FFFF}]+"))).alias("n")).first()["n"] or 0
+    if size > max_benchmark_words:
+        raise ValueError(f"benchmark has about {size} words; pass it in parts of at most {max_benchmark_words}")
+    items = [(r[0], r[1]) for r in benchmark.select(F.col(item_col), F.col(item_text_col)).collect()]
+    ids = [str(x[0]) for x in items]
+    return benchmark.sparkSession.sparkContext.broadcast((ids, compiled(items, window)))
+
+
+def _contaminated(n_words: np.ndarray, n_hit: np.ndarray, share: int) -> np.ndarray:
+    return (n_hit > 0) & (share * n_hit >= n_words)
+
+
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, max_benchmark_words: int = 20_000_000) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated. No shuffle.
 
     The benchmark is compiled on the driver and sent to all tasks. Its size is checked before: beyond
     ``max_benchmark_words`` it raises ValueError, and the caller passes the benchmark in parts.
     """
-    size = benchmark.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text_col), F.lit("")), r"[^0-9A-Za-z\x80-\x{10FFFF}]+"))).alias("n")).first()["n"] or 0
-    if size > max_benchmark_words:
-        raise ValueError(f"benchmark has about {size} words; pass it in parts of at most {max_benchmark_words}")
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(item_col), F.col(item_text_col)).collect()]
-    ids = [str(x[0]) for x in items]
-    shared = docs.sparkSession.sparkContext.broadcast((ids, compiled(items, window)))
+    shared = _shared(benchmark, item_col, item_text_col, window, max_benchmark_words)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
     def of(batch: pa.RecordBatch):
@@ -151,7 +160,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     pa.array(n_hit.astype(np.int64)),
                     pa.array([len(x) for x in found], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]),
-                    pa.array((n_hit > 0) & (share * n_hit >= n_words)),
+                    pa.array(_contaminated(n_words, n_hit, share)),
                 ],
                 names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
@@ -159,7 +168,16 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return tx.mapped(docs.select(F.col(id_col), F.col(text_col)), of, schema)
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns unchanged."""
-    bad = decontamination(docs, benchmark, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, max_benchmark_words: int = 20_000_000) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns unchanged. Rows are judged where they are read: no shuffle."""
+    shared = _shared(benchmark, item_col, item_text_col, window, max_benchmark_words)
+    at = docs.columns.index(text_col)
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, sets = shared.value
+        keep = np.ones(len(batch), bool)
+        for t, n_words, n_hit, _ in scanned(batch.column(at), names, sets):
+            keep[t.first : t.first + t.n] = ~_contaminated(n_words, n_hit, share)
+        return batch.filter(pa.array(keep))
+
+    return tx.mapped(docs, of, docs.schema)

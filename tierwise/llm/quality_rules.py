@@ -106,6 +106,12 @@ def votes(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     }
 
 
+def patterns(c: dict[str, np.ndarray]) -> np.ndarray:
+    """The votes on each text as one base-3 number."""
+    v = votes(c)
+    return sum((v[r].astype(np.int32) + 1) * 3**k for k, r in enumerate(RULES))
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row the counts of COUNTS and the votes as one base-3 number ``pattern``."""
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS) + ", pattern int"
@@ -113,8 +119,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def of(batch: pa.RecordBatch):
         for t in tx.slices(batch.column(1)):
             c = counts(t)
-            v = votes(c)
-            code = sum((v[r].astype(np.int32) + 1) * 3**k for k, r in enumerate(RULES))
+            code = patterns(c)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(t.first, t.n), *(pa.array(c[k]) for k in COUNTS), pa.array(code.astype(np.int32))],
                 names=[id_col, *COUNTS, "pattern"],
@@ -159,18 +164,21 @@ def fitted(pattern: np.ndarray, count: np.ndarray, rounds: int = 200, noise: flo
     return belong[:, k], accuracy
 
 
+def posteriors(rows: DataFrame) -> dict[int, float]:
+    """Posterior of good of every vote pattern met; at most 3**9 rows reach the driver."""
+    seen = rows.filter(F.col("n_words") > 0).groupBy("pattern").count().collect()
+    pattern = np.array([r["pattern"] for r in seen], np.int64)
+    good, _ = fitted(pattern, np.array([r["count"] for r in seen], np.int64))
+    return dict(zip(pattern.tolist(), good.tolist()))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, max_repeat_percent: int = 50, min_words: int = 50) -> DataFrame:
     """Per row: id, counts, ``base_failed``, ``quality`` (posterior of good) and ``kept``.
 
-    One pass counts vote patterns, one joins the posteriors; the only data on the driver is one row per
-    pattern (3**9 at most). The pattern table is broadcast for the same reason.
+    One pass counts vote patterns, one joins the posteriors, whose table is broadcast as it has a fixed bound.
     """
-    spark = docs.sparkSession
     rows = measured(docs, id_col, text_col)
-    seen = rows.filter(F.col("n_words") > 0).groupBy("pattern").count().collect()
-    pattern = np.array([r["pattern"] for r in seen], np.int64)
-    good, _ = fitted(pattern, np.array([r["count"] for r in seen], np.int64))
-    model = spark.createDataFrame([(int(p), float(g)) for p, g in zip(pattern, good)], "pattern int, quality double")
+    model = docs.sparkSession.createDataFrame(list(posteriors(rows).items()), "pattern int, quality double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (
         rows.join(F.broadcast(model), "pattern", "left")
@@ -181,7 +189,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns unchanged. Ids must be unique among rows to be judged apart."""
-    judged = quality_rules(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(judged, docs[id_col].eqNullSafe(judged["__kept"]), "left_semi")
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, max_repeat_percent: int = 50, min_words: int = 50) -> DataFrame:
+    """The rows of ``docs`` that pass, all columns unchanged. Rows are judged where they are read: no shuffle."""
+    model = posteriors(measured(docs, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.zeros(len(batch), bool)
+        for t in tx.slices(batch.column(at)):
+            c = counts(t)
+            good = np.array([model.get(p, 0.0) for p in patterns(c).tolist()]) >= at_least
+            sound = (c["n_words"] >= min_words) & (100 * c["n_repeat_words"] <= max_repeat_percent * c["n_words"])
+            keep[t.first : t.first + t.n] = good & sound
+        return batch.filter(pa.array(keep))
+
+    return tx.mapped(docs, of, docs.schema)
