@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tierwise.functions import names as N
 from tierwise.operators import aggregates as A
@@ -206,3 +207,33 @@ def test_undirected_chains_stop_at_branches(spark):
     assert c[(1, False)] == [1, 2, 3] and c[(4, False)] == [4] and c[(5, False)] == [5]
     assert sorted(c[(10, True)]) == [10, 11, 12] and c[(10, True)][0] == 10
     assert bag(branches) == [("d",)]
+
+
+def test_arcs_of_many_owners_keep_their_edges(spark):
+    owners = list(range(1, 1203))
+    inc = spark.createDataFrame([("wide", a) for a in owners] + [("pair", 1202), ("pair", 1300), (None, 1400)], "arc string, atom long")
+    edges, crowded = G.adjacency(inc, "arc", "atom")
+    assert [tuple(r) for r in crowded.collect()] == [("wide", 1202)]
+    assert edges.count() == edges.distinct().count() == 1202 * 1201 + 2
+    small = spark.createDataFrame([(f"arc {k % 3}", k) for k in range(20)], "arc string, atom long")
+    want = sorted((a, b) for a in range(20) for b in range(20) if a != b and a % 3 == b % 3)
+    assert sorted(tuple(r) for r in G.adjacency(small, "arc", "atom", max_owners=2)[0].collect()) == want
+
+
+def test_links_connect_what_edges_connect(spark):
+    rng = random.Random(4)
+    inc = spark.createDataFrame([(f"a{rng.randrange(40)}", rng.randrange(60)) for _ in range(90)] + [("wide", k) for k in range(100, 1300)], "arc string, atom long")
+    members = spark.createDataFrame([(k, k % 2) for k in [*range(60), *range(100, 1300)]], "atom long, key int")
+    own = inc.distinct()
+    links = G.links(inc, "arc", "atom", members, ["key"])
+    assert links.count() <= 2 * own.count()
+    found = G.components_within(links, members, ["key"])
+    assert bag(found) == bag(G.components_within(G.adjacency(inc, "arc", "atom")[0], members, ["key"]))
+    assert {r["component"] for r in found.filter("atom >= 100").collect()} == {100, 101}
+
+
+def test_more_than_ten_thousand_bands(spark):
+    bands = spark.range(10_500).select(F.concat(F.lit("b"), "id").alias("band"), F.col("id").cast("double").alias("from"), (F.col("id") + 1).cast("double").alias("to"))
+    values = spark.range(100, 10_500, 100).select((F.col("id") + 0.5).alias("v"))
+    got = A.banded(values, "v", bands).collect()
+    assert len(got) == 104 and all(r["band"] == f"b{int(r['v'])}" for r in got)

@@ -64,7 +64,7 @@ def index_of(rates: Sequence[str]) -> Column:
 def banded(df: DataFrame, value: str, bands: DataFrame) -> DataFrame:
     """``band`` with from <= value < to, null where no band holds the value."""
     b = bands.select(F.col("band"), F.col("from").alias("__from"), F.col("to").alias("__to"))
-    return df.join(F.broadcast(b.limit(10_000)), (F.col(value) >= F.col("__from")) & (F.col(value) < F.col("__to")), "left").drop("__from", "__to")
+    return df.join(b, (F.col(value) >= F.col("__from")) & (F.col(value) < F.col("__to")), "left").drop("__from", "__to")
 
 
 def band_counts(df: DataFrame, bands: DataFrame) -> DataFrame:

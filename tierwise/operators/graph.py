@@ -15,18 +15,33 @@ from .components import connected_components
 
 
 def adjacency(incidence: DataFrame, arc: str, atom: str, max_owners: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Edges between atoms that share an arc, and the arcs of more than ``max_owners`` atoms, which make no edges.
+    """Edges between all atoms that share an arc, and the arcs of more than ``max_owners`` atoms.
 
-    The join is quadratic in the owners of an arc; a boundary has two. Arcs beyond the bound are returned
-    for the caller to judge, so nothing goes unseen.
+    The edges are quadratic in the owners of an arc; a boundary has two. An arc beyond the bound is dealt over
+    several tasks, each with about ``max_owners`` of its atoms as sources, and is also returned for the caller
+    to judge. Where only connected groups are sought, ``links`` is linear.
     """
     own = incidence.select(F.col(arc).alias("arc"), F.col(atom).alias("atom")).filter("arc is not null and atom is not null").distinct()
     n = own.groupBy("arc").agg(F.count(F.lit(1)).alias("owners"))
-    few = own.join(n.filter((F.col("owners") > 1) & (F.col("owners") <= max_owners)), "arc", "left_semi")
-    edges = few.select("arc", F.col("atom").alias("src")).join(few.select("arc", F.col("atom").alias("dst")), "arc").filter("src <> dst").select("src", "dst").distinct()
+    shared = own.join(n.filter("owners > 1").withColumn("parts", F.ceil(F.col("owners") / max_owners).cast("int")), "arc")
+    src = shared.select("arc", F.pmod(F.xxhash64("atom"), F.col("parts")).cast("int").alias("part"), F.col("atom").alias("src"))
+    dst = shared.select("arc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("atom").alias("dst"))
+    edges = src.join(dst, ["arc", "part"]).filter("src <> dst").select("src", "dst").distinct()
     return edges, n.filter(F.col("owners") > max_owners)
 
 
+def links(incidence: DataFrame, arc: str, atom: str, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges that connect what ``adjacency`` connects inside each key: from each atom of an arc to the smallest one.
+
+    As many as there are owners at most, and in the place of ``adjacency`` for connected groups inside ``keys`` only.
+    """
+    own = incidence.select(F.col(arc).alias("arc"), F.col(atom).alias("atom")).filter("arc is not null and atom is not null")
+    own = own.join(members.select("atom", F.struct(*keys).alias("__key")), "atom").distinct()
+    least = own.groupBy("arc", "__key").agg(F.min("atom").alias("dst"))
+    out = own.join(least, ["arc", "__key"]).filter("atom <> dst").select(F.col("atom").alias("src"), "dst").distinct()
+    return out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def graph_problems(edges: DataFrame, roster: DataFrame, incidence: DataFrame | None = None) -> DataFrame:
     """(kind, node, detail): unknown and missing nodes, self, duplicate and asymmetric edges, arcs of over two owners."""
     e = edges.select("src", "dst")
