@@ -254,6 +254,29 @@ def test_html_constant_slots_are_template(spark):
     assert got == {i: f"Story {i} tells of {i * 7}" for i in range(6)}
 
 
+def test_html_copies_keep_their_text(spark):
+    article = "<article><h1>Title</h1><p>First</p><p>Second</p></article>"
+    rows = []
+    for n in (2, 3, 20, 1000):
+        rows += [(n, f"http://same{n}.com/{i}", page(f"<nav>Menu</nav>{article}")) for i in range(n)]
+        rows += [(n, f"http://bare{n}.com/{i}", page("<h1>Title</h1><p>First</p><p>Second</p>")) for i in range(n)]
+        rows += [(n, f"http://menus{n}.com/{i}", page(f"<div><p>Menu {i}</p></div><div>{article}</div>")) for i in range(n)]
+    rows += [(0, f"http://mixed.com/{i}", page(f"<div><p>Join us</p></div><div><p>{'Copy' if i < 50 else f'Story {i}'}</p></div>")) for i in range(60)]
+    got = H.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()
+    assert len(got) == len(rows)
+    assert {r["text"] for r in got if r["page_id"]} == {"Title\nFirst\nSecond"}
+    assert {r["text"] for r in got if not r["page_id"]} == {"Copy", *(f"Story {i}" for i in range(50, 60))}
+
+
+def test_html_pages_of_template_alone_keep_it():
+    rows = [H.tree(page(f"<div><p>Join us</p></div><div><p>Story {i}</p></div>")) for i in range(5)]
+    template = H.summary("page", [rows[0]])
+    for r in rows[1:]:
+        template = H.merged(template, H.summary("page", [r]))
+    assert H.content(rows[0], template) == ["Story 0"]
+    assert H.content(H.tree(page("<div><p>Join us</p></div>")), template) == ["Join us"]
+
+
 def test_html_deep_and_wide():
     deep = H.tree("<div>" * 5000 + "core" + "</div>" * 5000 + "<p>after")
     assert H.content(deep, None) == ["core", "after"]

@@ -2,9 +2,9 @@
 
 Pages become small trees of block elements. Pages of one host are aligned by simple tree matching, one
 after another, with the host's template: matched nodes count, and a node's text stays constant as long
-as all pages agree. Templates are built per partition and host first and then merged by the same
-matching, so a host with a third of all pages costs one small tree per partition. Nodes that stay
-constant over enough pages are template; the varying slots are content, except those whose element or
+as all pages agree. Pages of equal content count once, so copies make no template. Templates are built per
+partition and host first and then merged by the same matching, so a host with a third of all pages costs
+one small tree per partition. Nodes that stay constant over enough different pages are template; the varying slots are content, except those whose element or
 class says menu, header, footer, sidebar, notice, advert, form or comments.
 
 Elements nested deeper than ``DEPTH`` lend their text to the deepest kept one, and lists of very many mixed
@@ -14,6 +14,7 @@ block elements; repeated rows give equal results; pages without a host share one
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -237,16 +238,20 @@ def merged(a: list, b: list, within: bool = False) -> list:
     return [a[0], max(a[1], b[1]) if within else a[1] + b[1], a[2] if a[2] == b[2] else None, merged_slots(a[3], b[3], within)]
 
 
+def _has_main(node: Node) -> bool:
+    return not node.aside and (node.main or any(map(_has_main, node.kids)))
+
+
 def content(page: Node, template: list | None, outside: int = 3, inside: int = 20, share: float = 0.5) -> list[str]:
     """The text blocks in page order that are neither template nor aside.
 
-    A slot is template if at least ``share`` of the host's pages have it, and all of them with equal
-    text: ``outside`` pages suffice, ``inside`` an article more are asked for, as articles are copied.
+    A slot is template if at least ``share`` of the host's different pages have it, and all of them with equal
+    text: ``outside`` pages suffice, ``inside`` an article more are asked for. A slot that holds a main element
+    is never template, nor is all that a page has to say: a page of constant slots alone keeps them.
     """
     pages = template[1] if template else 0
-    kept: list[tuple[Node, bool]] = []
 
-    def walk(node: Node, slot: list | None, main: bool) -> None:
+    def walk(node: Node, slot: list | None, main: bool, kept: list[tuple[Node, bool]]) -> list[tuple[Node, bool]]:
         groups = slots_of(node)
         twin: dict[int, list] = {}
         if slot is not None:
@@ -255,29 +260,52 @@ def content(page: Node, template: list | None, outside: int = 3, inside: int = 2
         for i, (_, group) in enumerate(groups):
             t = twin.get(i)
             constant = t is not None and t[2] is not None and t[1] >= (inside if main else outside) and t[1] >= share * pages
-            if constant:
+            if constant and not any(map(_has_main, group)):
                 continue
             for kid in group:
                 if kid.label == "#":
                     kept.append((kid, main))
                 elif not kid.aside:
-                    walk(kid, t, main or kid.main)
+                    walk(kid, t, main or kid.main, kept)
+        return kept
+
+    def chosen(kept: list[tuple[Node, bool]], main: bool) -> list[str]:
+        if main:
+            return [n.text for n, inside_main in kept if inside_main]
+        return [n.text for n, _ in kept if 2 * n.linked <= len(n.text)]
 
-    walk(page, template, False)
-    if any(main for _, main in kept):
-        return [n.text for n, main in kept if main]
-    return [n.text for n, _ in kept if 2 * n.linked <= len(n.text)]
+    every = walk(page, None, False, [])
+    main = any(m for _, m in every)
+    return template and chosen(walk(page, template, False, []), main) or chosen(every, main)
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, template: one row per host."""
+    """host, template: one row per host, of its different pages.
+
+    Pages that say the same outside of asides and template (copies, mirrors, one article under several menus)
+    count as one page, since what is equal on them tells nothing of what is template.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]):
+        seen: set[tuple[str | None, int]] = set()
+        for batch in batches:
+            rows = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                page = tree(html.as_py() or "")
+                says = int.from_bytes(hashlib.blake2b("\n".join(content(page, None)).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+                if (host, says) not in seen:
+                    seen.add((host, says))
+                    rows.append((host, says, json.dumps(summary("page", [page]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["host", "says", "template"])
 
     def induce(batches: Iterator[pa.RecordBatch]):
         known: dict[str, list] = {}
+        seen: set[tuple[str | None, int]] = set()
         for batch in batches:
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = summary("page", [tree(html.as_py() or "")])
-                known[host] = merged(known[host], own) if host in known else own
+            for host, says, one in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, says) not in seen:
+                    seen.add((host, says))
+                    known[host] = merged(known[host], json.loads(one)) if host in known else json.loads(one)
         if known:
             yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(t) for t in known.values()])], names=["host", "template"])
 
@@ -289,7 +317,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         if known:
             yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(t) for t in known.values()])], names=["host", "template"])
 
-    part = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(induce, "host string, template string")
+    part = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(parse, "host string, says long, template string")
+    part = part.repartition("host", "says").mapInArrow(induce, "host string, template string")
     salted = part.repartition("host", F.pmod(F.spark_partition_id(), F.lit(32))).mapInArrow(join, "host string, template string")
     return salted.repartition("host").mapInArrow(join, "host string, template string")
 
