@@ -277,6 +277,22 @@ def test_html_pages_of_template_alone_keep_it():
     assert H.content(H.tree(page("<div><p>Join us</p></div>")), template) == ["Join us"]
 
 
+def test_html_links_are_text():
+    assert H.content(H.tree(page("<div><p>Start</p><p><a href=/x>a paragraph that is a link</a></p><ul><li><a href=/y>entry</a></ul></div>")), None) == ["Start", "a paragraph that is a link", "entry"]
+    assert H.content(H.tree(page("<a name=top><p>One</p><p>Two <a href=/z>link")), None) == ["One", "Two link"]
+
+
+def test_html_raw_elements_without_end_tag():
+    for raw in ("<svg width='1'/>", "<math/>", "<canvas />", "<iframe src='/x'/>"):
+        assert H.content(H.tree(page(f"<p>before {raw} after</p><p>More</p>")), None) == ["before after", "More"]
+        assert H.content(H.tree(page(f"<p>before {raw} after</p>{raw[:-2]}>no</{raw[1:].split('/')[0].split()[0]}><p>More</p>")), None) == ["before after", "More"]
+    assert H.content(H.tree(page("<div><p>Keep<canvas>no</p></div><p>More</p>")), None) == ["Keep", "More"]
+    assert H.content(H.tree(page("<div>Keep<script>var x = '<p>';</div><p>More</p>")), None) == ["Keep", "More"]
+    assert H.content(H.tree("<p>Keep<script>var x = 1; cut"), None) == ["Keep"]
+    many = H.tree("<div>" + "<p>t<iframe src=a />" * 20_000 + "</div>")
+    assert len(H.content(many, None)) == 20_000
+
+
 def test_html_deep_and_wide():
     deep = H.tree("<div>" * 5000 + "core" + "</div>" * 5000 + "<p>after")
     assert H.content(deep, None) == ["core", "after"]

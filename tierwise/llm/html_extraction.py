@@ -9,7 +9,8 @@ class says menu, header, footer, sidebar, notice, advert, form or comments.
 
 Elements nested deeper than ``DEPTH`` lend their text to the deepest kept one, and lists of very many mixed
 elements are aligned greedily; neither loses text. Null or empty html gives an empty text; truncated or ill-nested pages are repaired as browsers do for
-block elements; repeated rows give equal results; pages without a host share one template.
+block elements; script and the like without an end tag end with
+the block they are in; repeated rows give equal results; pages without a host share one template.
 """
 
 from __future__ import annotations
@@ -33,7 +34,11 @@ from .url_filters import host_of
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {t: re.compile(rf"</{t}\s*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas", "audio", "video")}
+RAW_AGAIN = {t: re.compile(rf"<{t}[\s/>]", re.I) for t in RAW}
+FOREIGN = frozenset(("svg", "math"))  # their elements may be closed by a slash
+CODE = frozenset(("script", "style", "textarea", "title"))
 BLOCKS = frozenset("html head body nav header footer aside main article section div ul ol li menu dl dt dd p h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption address details summary dialog hgroup center hr".split())
+BLOCK_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in BLOCKS}
 ENDS_P = BLOCKS - {"html", "head", "body"}
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 ASIDE_TAGS = frozenset("head nav header footer aside form menu dialog fieldset".split())
@@ -47,10 +52,10 @@ MAIN_ROLES = frozenset(("main", "article"))
 class Node:
     """An element with children, or (label '#') a block of text."""
 
-    __slots__ = ("aside", "kids", "label", "linked", "main", "text")
+    __slots__ = ("aside", "kids", "label", "main", "text")
 
-    def __init__(self, label: str, text: str = "", aside: bool = False, main: bool = False, linked: int = 0):
-        self.label, self.text, self.aside, self.main, self.linked, self.kids = label, text, aside, main, linked, []
+    def __init__(self, label: str, text: str = "", aside: bool = False, main: bool = False):
+        self.label, self.text, self.aside, self.main, self.kids = label, text, aside, main, []
 
 
 def _element(tag: str, attributes: str) -> Node:
@@ -70,17 +75,15 @@ def tree(html: str) -> Node:
     root = Node("page")
     stack: list[tuple[str, Node]] = [("page", root)]
     pending: list[str] = []
-    linked, in_link, at = 0, False, 0
+    at = 0
     too_deep: Counter[str] = Counter()  # open elements beyond DEPTH; their text belongs to the deepest kept one
 
     def flush() -> None:
-        nonlocal linked
         if pending:
             text = " ".join(unescape("".join(pending)).split())
             if text:
-                stack[-1][1].kids.append(Node("#", text, linked=linked))
+                stack[-1][1].kids.append(Node("#", text))
             pending.clear()
-        linked = 0
 
     def close(names, fence=()) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -91,20 +94,35 @@ def tree(html: str) -> Node:
                 del stack[k:]
                 return
 
+    found: dict[str, re.Match | None] = {}  # the next end tag by name
+
+    def ahead(pattern: re.Pattern, name: str) -> re.Match | None:
+        if name not in found or (found[name] and found[name].start() < at):
+            found[name] = pattern.search(html, at)
+        return found[name]
+
+    def raw_end(tag: str, slashed: bool) -> int:
+        """Where a raw element ends: at once if it is closed by a slash, else with its end tag or an open block's."""
+        if slashed and tag in FOREIGN:
+            return at
+        end = ahead(RAW[tag], tag)
+        if slashed and tag not in CODE and (not end or RAW_AGAIN[tag].search(html, at, end.start())):
+            return at
+        if end:
+            return end.end()
+        ends = [x.start() for name in {name for name, _ in stack[1:]} if (x := ahead(BLOCK_END[name], "/" + name))]
+        return min(ends, default=len(html))
+
     while m := TAG.search(html, at):
         if m.start() > at:
             pending.append(html[at : m.start()])
-            if in_link:
-                linked += m.start() - at
         at = m.end()
         tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "a":
-                in_link = False
-            elif too_deep[tag]:
+            if too_deep[tag]:
                 flush()
                 too_deep[tag] -= 1
             elif tag in BLOCKS:
@@ -114,8 +132,7 @@ def tree(html: str) -> Node:
                 pending.append(" ")
             continue
         if tag in RAW:
-            end = RAW[tag].search(html, at)
-            at = end.end() if end else len(html)
+            at = raw_end(tag, m[3].endswith("/"))
             pending.append(" ")
         elif tag in BLOCKS:
             flush()
@@ -131,8 +148,6 @@ def tree(html: str) -> Node:
             stack[-1][1].kids.append(node)
             if tag != "hr" and not m[3].endswith("/"):
                 stack.append((tag, node))
-        elif tag == "a":
-            in_link = not m[3].endswith("/")
         elif tag in ("br", "img", "wbr", "input"):
             pending.append(" ")
         elif tag == "button":
@@ -270,9 +285,7 @@ def content(page: Node, template: list | None, outside: int = 3, inside: int = 2
         return kept
 
     def chosen(kept: list[tuple[Node, bool]], main: bool) -> list[str]:
-        if main:
-            return [n.text for n, inside_main in kept if inside_main]
-        return [n.text for n, _ in kept if 2 * n.linked <= len(n.text)]
+        return [n.text for n, inside_main in kept if inside_main or not main]
 
     every = walk(page, None, False, [])
     main = any(m for _, m in every)
