@@ -143,6 +143,35 @@ def test_license_scan(spark):
     assert license_scan(edge_docs(spark, [])).count() == 0
 
 
+NOTICES = {
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy and modify",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at the address below.",
+}
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for name, notice in NOTICES.items():
+        for width in (40, 60, 72, 80):
+            for lead in ("", " * ", "# "):
+                lines = textwrap.wrap(notice, width - len(lead))
+                for around in ([], [f"plain words of file {k} that stand before and after it" for k in range(40)]):
+                    want[len(rows)] = name
+                    rows.append((len(rows), "\n".join(lead + x for x in [*around, *lines, *around])))
+    apart = (len(rows), "Redistribution and use in source and\n\nbinary forms, with or without\n\nmodification, are permitted")
+    pair = (apart[0] + 1, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")
+    got = {r["doc_id"]: r for r in license_scan(edge_docs(spark, [*rows, apart, pair])).collect()}
+    assert {i: got[i]["families"] for i in want} == want
+    assert all(got[i]["n_licensed"] == 1 for i in want)
+    assert "BSD" not in got[apart[0]]["families"]
+    assert got[pair[0]]["families"] == "Apache-2.0,MIT" and got[pair[0]]["n_licensed"] == 2
+
+
 def test_license_scan_on_the_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names = {"MIT License": "MIT", "Apache License": "Apache-2.0", "GNU General Public": "GPL", "CC BY-NC": "CC-BY-NC", "All rights reserved": "other"}

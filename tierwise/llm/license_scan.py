@@ -1,12 +1,16 @@
 """License scans: a trained paragraph classifier confirmed by template comparison.
 
-Paragraphs are lines. Words and word pairs, hashed to a fixed number of columns, feed a multinomial
+Paragraphs are lines, and notices that are wrapped over several lines of a block (lines without a blank one
+between them). Words and word pairs, hashed to a fixed number of columns, feed a multinomial
 logistic regression over licence families, "none" and "other" (licence-like text of no known family).
 It is trained here: positives are the families' template sentences with words dropped and words of the
 corpus around them; negatives are a bounded sample of the corpus's own paragraphs (the ``negatives``
 lines, their first 400 characters, with the smallest digests of id and line). Scores are calibrated by a temperature fitted on held-out examples; below
 ``least`` the family is unknown. A family is reported only if the paragraph also holds enough of the
-word pairs of one of its templates.
+word pairs of one of its templates. Wrapped notices are found by these pairs, line ends disregarded: where
+enough pairs of a template lie close together and no line has as many alone, the lines that hold them are judged
+as one paragraph. All templates compete for it, the one it holds the largest share of wins, and lines of it that
+hold less are not judged apart.
 
 Null and blank texts have no paragraphs. Rows are judged one by one. An empty table trains on templates
 alone and gives an empty result.
@@ -40,15 +44,16 @@ FAMILIES = [*TEMPLATES, "none"]
 COLUMNS = 1 << 16
 
 
-def paragraphs(t: tx.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a slice, the word offsets of its non-blank lines, and the text each line is of."""
+def paragraphs(t: tx.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a slice, the word offsets of its non-blank lines, the text each line is of, and if it begins a block."""
     starts, ends, offset = t.words(tx.ALNUM_WORDS)
     words = t.hashes(starts, ends)
     left = np.concatenate((t.start[:-1], np.flatnonzero(t.data == 10) + 1))
     left.sort()
-    first = np.unique(np.searchsorted(starts, left))
-    first = first[first < len(words)]
-    return words, np.append(first, len(words)), np.searchsorted(offset, first, "right") - 1
+    first, lines = np.unique(np.searchsorted(starts, left), return_counts=True)  # blank lines share the word that comes next
+    first, lines = first[first < len(words)], lines[first < len(words)]
+    owner = np.searchsorted(offset, first, "right") - 1
+    return words, np.append(first, len(words)), owner, (lines > 1) | (np.diff(owner, prepend=-1) != 0)
 
 
 def features(words: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +75,7 @@ class Classifier:
         for k, name in enumerate(FAMILIES[:-1]):
             for sentence in TEMPLATES[name]:
                 for t in tx.slices(pa.array([sentence], pa.large_string())):
-                    words, offset, _ = paragraphs(t)
+                    words, offset, _, _ = paragraphs(t)
                     self.pairs.append((k, np.unique(features(words, offset)[2])))
 
     def logits(self, column: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -86,7 +91,7 @@ class Classifier:
     def fit(self, lines: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 4.0, decay: float = 1e-5) -> float:
         """Gradient descent on four fifths, the temperature on the rest; gives the accuracy on the rest."""
         t = next(iter(tx.slices(pa.array(lines, pa.large_string()), 1 << 40)))
-        words, offset, owner = paragraphs(t)
+        words, offset, owner, _ = paragraphs(t)
         column, ptr, _ = features(words, offset)
         y = labels[owner]
         held = self.rng.random(len(y)) < 0.2
@@ -128,6 +133,51 @@ class Classifier:
         return best, sure
 
 
+    def shares(self, own: np.ndarray) -> list[float]:
+        """Of each template the share of its pairs that ``own`` holds."""
+        return [float(np.isin(pairs, own).mean()) if len(pairs) else 0.0 for _, pairs in self.pairs]
+
+    def wrapped(self, words: np.ndarray, offset: np.ndarray, fresh: np.ndarray, least: float, confirm: float) -> list[tuple[int, int, int, float, list[int]]]:
+        """Notices over several lines: first line, line after the last, family, probability, and the lines they take up."""
+        block = np.append(offset[:-1][fresh], len(words))
+        twos, at = tx.windows(words, block, 2)
+        some = np.flatnonzero(np.isin(twos, np.concatenate([pairs for _, pairs in self.pairs])))
+        twos, at = twos[some], at[some]
+        line, last = (np.searchsorted(offset, x, "right") - 1 for x in (at, at + 1))
+        end = block[np.searchsorted(block, at, "right")]
+        spans = set()
+        for _, pairs in self.pairs:
+            own = np.flatnonzero(np.isin(twos, pairs))
+            k = max(1, int(np.ceil(confirm * len(pairs) - 1e-9)))
+            if len(own) < k:
+                continue
+            stop = np.searchsorted(at[own], np.minimum(at[own] + 2 * (len(pairs) + 1), end[own]))  # within twice its length
+            for i in np.flatnonzero((stop - np.arange(len(own)) >= k) & (line[own] < last[own[stop - 1]])):
+                if len(np.unique(twos[own[i : stop[i]]])) >= k:
+                    spans.add((int(line[own[i]]), int(last[own[stop[i] - 1]]) + 1))
+        pairs_of = lambda a, b: tx.windows(words[offset[a] : offset[b]], np.array([0, offset[b] - offset[a]]), 2)[0]
+        found = []
+        for a, b in spans:
+            held = self.shares(pairs_of(a, b))
+            top = max(range(len(held)), key=lambda j: (held[j], len(self.pairs[j][1])))
+            alone = [self.shares(pairs_of(x, x + 1)) for x in range(a, b)]
+            if held[top] >= confirm and held[top] > max(x[top] for x in alone):
+                found.append((-held[top], -len(self.pairs[top][1]), b - a, a, top, [a + i for i, x in enumerate(alone) if max(x) < held[top]]))
+        out, taken = [], set()
+        for share, _, n, a, top, lines in sorted(found):
+            if taken.isdisjoint(range(a, a + n)):
+                column, ptr, _ = features(words[offset[a] : offset[a + n]], np.array([0, offset[a + n] - offset[a]]))
+                p = self.softmax(self.logits(column, ptr) / self.temperature)[0]
+                family, none = self.pairs[top][0], len(FAMILIES) - 1
+                if -share < 0.999 and p[family] < least:
+                    if p[none] >= 1 - least:
+                        continue
+                    family = none - 1
+                taken.update(range(a, a + n))
+                out.append((a, a + n, family, float(p[family]), lines))
+        return out
+
+
 def trained(docs: DataFrame, id_col: str, text_col: str, negatives: int, copies: int = 40) -> Classifier:
     """A classifier from the templates and at most ``negatives`` paragraphs of the corpus."""
     lines = docs.select(F.col(id_col), F.explode(F.split(F.col(text_col), "\n")).alias("line")).filter(F.trim("line") != "")
@@ -160,6 +210,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, n_paragraphs, n_licensed, families (sorted, comma-joined), family (of the surest paragraph), probability.
 
     The model has a fixed size and is broadcast for that reason. Every paragraph of every text is judged.
+    n_paragraphs counts the lines that are not blank; a wrapped notice counts once in n_licensed.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained(docs, id_col, text_col, negatives))
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_paragraphs long, n_licensed long, families string, family string, probability double"
@@ -167,9 +218,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of(batch: pa.RecordBatch):
         model = shared.value
         for t in tx.slices(batch.column(1), 1 << 18):
-            words, offset, owner = paragraphs(t)
+            words, offset, owner, fresh = paragraphs(t)
             best, sure = model.judge(words, offset, least, confirm) if len(owner) else (np.empty(0, int), np.empty(0))
             found: dict[int, list[tuple[float, str]]] = {}
+            for a, _, family, p, lines in model.wrapped(words, offset, fresh, least, confirm) if len(owner) else ():
+                best[lines] = len(FAMILIES) - 1
+                found.setdefault(int(owner[a]), []).append((p, FAMILIES[family]))
             for i in np.flatnonzero(best != len(FAMILIES) - 1):
                 found.setdefault(int(owner[i]), []).append((float(sure[i]), FAMILIES[best[i]]))
             rows = [found.get(i, []) for i in range(t.n)]
