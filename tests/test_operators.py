@@ -237,3 +237,22 @@ def test_more_than_ten_thousand_bands(spark):
     values = spark.range(100, 10_500, 100).select((F.col("id") + 0.5).alias("v"))
     got = A.banded(values, "v", bands).collect()
     assert len(got) == 104 and all(r["band"] == f"b{int(r['v'])}" for r in got)
+
+
+def test_grown_by_connected_piece(spark):
+    atoms, edges = grid()
+    schema = "atom string, frame string, population long, score double, lon double, lat double, seat boolean"
+    cut = [(a, b) for a, b in edges if {a[2], b[2]} != {"1", "2"}]  # each frame falls into two pieces
+    a, e = spark.createDataFrame([(x, None if f == "g" else f, *rest) for x, f, *rest in atoms], schema), spark.createDataFrame(cut, "src string, dst string")
+    rule = P.Rule(3000, 200.0, 0.5)
+    import pandas as pd
+
+    want = []
+    for f in ("f", "g"):
+        own = [x for x in atoms if x[1] == f]
+        pdf = pd.DataFrame(own, columns=[c.split()[0] for c in schema.split(", ")])
+        pdf["neighbours"] = [[d for s, d in cut if s == x] for x in pdf["atom"]]
+        want += [(None if f == "g" else f, *r[1:]) for r in P._grow(rule)(pdf).itertuples(index=False)]
+    assert bag(P.grown(a, e, rule, max_atoms=9)) == sorted(want, key=repr)
+    with pytest.raises(ValueError, match="too large"):
+        P.grown(a, e, rule, max_atoms=8)

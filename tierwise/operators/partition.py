@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, slug
+from ..sources.storage import written
 from . import aggregates as A
 from .graph import components_within
 from .joins import folded
@@ -33,7 +34,7 @@ def rule_problems(atoms: DataFrame, edges: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _grow(rule: Rule):
-    """A frame's units, grown one after another: the order decides, so a frame is one task."""
+    """The units of a connected piece of a frame, grown one after another: the order decides, so a piece is one task."""
     import numpy as np
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -70,15 +71,17 @@ def grown(atoms: DataFrame, edges: DataFrame, rule: Rule, max_atoms: int = 200_0
     """Units of each frame: from the largest qualifying seat, else the largest atom left, the nearest neighbour
     that keeps both limits is taken until none is left. Gives (frame, atom, centre, centre_kind, population).
 
-    Frames run in parallel, a frame in one task; a frame of over ``max_atoms`` atoms raises ValueError.
+    Growth never leaves a connected piece of a frame, so pieces run in parallel, a piece in one task; a piece of
+    over ``max_atoms`` atoms raises ValueError.
     """
-    big = [r["frame"] for r in atoms.groupBy("frame").count().filter(F.col("count") > max_atoms).limit(20).collect()]
+    atoms = written(components_within(edges, atoms, ["frame"]), "pieces")
+    big = [(r["frame"], r["component"]) for r in atoms.groupBy("frame", "component").count().filter(F.col("count") > max_atoms).limit(20).collect()]
     if big:
-        raise ValueError(f"frames too large for one task: {big}")
+        raise ValueError(f"connected pieces (frame, smallest atom) too large for one task: {big}")
     near = edges.groupBy(F.col("src").alias("atom")).agg(F.collect_list("dst").alias("neighbours"))
     rows = atoms.join(near, "atom", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(near.schema["neighbours"].dataType)))
     kind = atoms.schema["atom"].dataType.simpleString()
-    return rows.groupBy("frame").applyInPandas(_grow(rule), f"frame {atoms.schema['frame'].dataType.simpleString()}, atom {kind}, centre {kind}, centre_kind string, population {atoms.schema['population'].dataType.simpleString()}")
+    return rows.groupBy("frame", "component").applyInPandas(_grow(rule), f"frame {atoms.schema['frame'].dataType.simpleString()}, atom {kind}, centre {kind}, centre_kind string, population {atoms.schema['population'].dataType.simpleString()}")
 
 
 def grown_problems(atoms: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
