@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import WORD, components, counts, edge_docs, edge_rows, hits, long_text, lower, repeated, same
 
@@ -196,6 +197,49 @@ def test_suffix_rounds():
                 assert common[i] == k
 
 
+@pytest.mark.parametrize("block", [1, 3, 7])
+def test_suffix_rounds_block_by_block(block):
+    rng = np.random.default_rng(block)
+    for _ in range(20):
+        table = rng.integers(0, 4, (int(rng.integers(1, 30)), 12)).astype(np.uint16)
+        for (c, o, p), (c2, o2, p2) in zip(SD.suffix_rounds(table), SD.suffix_rounds(table, block)):
+            assert c == c2 and o.tolist() == o2.tolist() and p.tolist() == p2.tolist()
+
+
+def test_suffix_dedup_frequent_anchor(spark, monkeypatch):
+    """An anchor that a third of the rows hold in differing contexts, taken whole and split down to single runs."""
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    core, wide = text(20), text(45)
+    rows = [(i, text(60) + (core if i % 3 == 0 else wide + text(int(rng.integers(0, 3))) if i % 3 == 1 else "") + text(60)) for i in range(90)]
+    rows += [(100 + i, rows[i][1][40:]) for i in range(0, 30, 7)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), repeated(rows)
+    same(suffix_dedup(docs), want)
+    whole = SD.repeated_spans
+    monkeypatch.setattr(SD, "repeated_spans", lambda *a: whole(*a, bucket_bytes=1000, sample_rows=50, frequent_rows=5, group_rows=2))
+    same(suffix_dedup(docs), want)
+
+
+def test_suffix_dedup_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(SD, "PIECE", 128)
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("ab"), 2000))
+    t = next(tx.slices(pa.array([text], pa.large_string())))
+    runs = [(base + low, base + high) for part, base in SD.pieces(t, 50) for a in [SD.Anchors(part, 50)] for low, high in zip(a.low, a.high)]
+    assert sorted(x for low, high in runs for x in range(low, high + 1)) == list(range(2000 - 49))
+
+
+@pytest.mark.parametrize("length", [17, 20, 200])
+def test_suffix_dedup_other_lengths(spark, length):
+    rng = np.random.default_rng(length)
+    part = ["".join(rng.choice(list("abc"), 3 * length)) for _ in range(4)]
+    rows = [(i, part[i % 4][: int(rng.integers(length, 3 * length))] + part[int(rng.integers(4))]) for i in range(12)]
+    same(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=length), repeated(rows, length))
+    for bad in (16, 10_001):
+        with pytest.raises(ValueError, match="length"):
+            suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=bad)
+
+
 def test_suffix_dedup_edges(spark):
     same(suffix_dedup(edge_docs(spark)), repeated(edge_rows()))
     assert suffix_dedup(edge_docs(spark, [])).count() == 0
@@ -220,6 +264,14 @@ def test_deduplicated_texts(spark):
     assert (6, "") in by and (0, None) in by
 
 
+def test_deduplicated_keeps_columns_of_any_name(spark):
+    rows = [(i, "same passage of more than fifty bytes, over and over again " * 2, i, str(i), 2.0 * i, i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hash long, key string, spans double, __key long")
+    out = deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in out.collect()) == [r[2:] for r in rows]
+
+
 def unpacked(docs, out, length=2048):
     """Checks windows and joins the pieces of each document again."""
     from tokenizers import Tokenizer
