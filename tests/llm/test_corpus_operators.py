@@ -18,7 +18,8 @@ from tierwise.llm.license_scan import FAMILIES, TEMPLATES, license_scan
 from tierwise.llm.lm_scoring import lm_scoring
 from tierwise.llm.ngram_join import ngram_components, one_of_each
 from tierwise.llm.packing import packing
-from tierwise.llm.quality_rules import fitted, kept_rows, quality_rules
+from tierwise.llm.quality_rules import RULES, fitted, kept_rows, measured, quality_rules, votes
+from tierwise.llm.quality_rules import counts as quality_counts
 from tierwise.llm.suffix_dedup import deduplicated, suffix_dedup
 from tierwise.llm.url_filters import url_filters
 
@@ -448,12 +449,65 @@ def test_quality_against_labels(spark):
     assert sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.98 * len(rows)
 
 
-def test_quality_model_recovers_kinds():
-    from tierwise.llm.quality_rules import RULES
-
-    fine = sum(2 * 3**k for k in range(len(RULES)))
-    good, _ = fitted(np.array([fine, fine - 2, fine - 2 * 3]), np.array([1000, 50, 40]))
-    assert good[0] > 0.9 and good[1] < 0.5 and good[2] < 0.5
+def pattern_of(**bad):
+    """All rules vote good but those named: -1 bad, 0 abstains."""
+    return sum((bad.get(r, 1) + 1) * 3**k for k, r in enumerate(RULES))
+
+
+def test_quality_em_against_a_plain_one():
+    rng = np.random.default_rng(4)
+    drawn = [pattern_of(**{r: int(rng.choice((-1, 0, 1), p=(0.5, 0.1, 0.4) if bad and k < 5 else (0.03, 0.07, 0.9))) for k, r in enumerate(RULES)}) for bad in rng.random(400) < 0.3]
+    seen = Counter(drawn)
+    pattern = np.array(sorted(seen))
+    good, accuracy = fitted(pattern, np.array([seen[x] for x in pattern]))
+    says = [[p // 3**k % 3 for k in range(len(RULES))] for p in drawn]
+    bad = [min(0.98, max(0.02, (v.count(0) + 0.1) / (v.count(0) + v.count(2) / 4 + 1))) for v in says]
+    for _ in range(500):
+        table = {}
+        for c, belong, prior in (("good", [1 - b for b in bad], (0.5, 1, 8.5)), ("bad", bad, (3.5, 2, 4.5))):
+            for k in range(len(RULES)):
+                sums = list(prior)
+                for v, b in zip(says, belong):
+                    sums[v[k]] += b
+                table[c, k] = [x / sum(sums) for x in sums]
+        share = (sum(bad) + 1) / (len(bad) + 5)
+        old, bad = bad, []
+        for v in says:
+            x, y = share, 1 - share
+            for k, o in enumerate(v):
+                x, y = x * table["bad", k][o], y * table["good", k][o]
+            bad.append(x / (x + y))
+        if max(abs(x - y) for x, y in zip(bad, old)) < 1e-10:
+            break
+    got = dict(zip(pattern.tolist(), good.tolist()))
+    assert all(got[p] == pytest.approx(1 - b, abs=1e-7) for p, b in zip(drawn, bad))
+    assert accuracy["symbols"]["bad_if_bad"] == pytest.approx(table["bad", 0][0], abs=1e-7)
+
+
+def test_quality_unreliable_rule_is_outvoted():
+    both, lone, fine = pattern_of(symbols=-1, density=-1), pattern_of(sentences=-1), pattern_of()
+    good, accuracy = fitted(np.array([fine, both, lone]), np.array([1000, 60, 300]))
+    assert good[0] > 0.95 and good[1] < 0.05 and good[2] > 0.5  # one bad vote of a rule that often errs does not reject
+    assert accuracy["sentences"]["bad_if_good"] > 0.1 > accuracy["symbols"]["bad_if_good"]
+
+
+def test_quality_rules_vote_both_ways():
+    texts = ["w#d " * 60, "a | b " * 60, "HEY YOU! " * 60, "x\n" * 60, "The fox ran on, and the dog slept. " + " ".join(f"word{i}" for i in range(60)) + ".\n" * 5, "y" * 2000, "some words here.\nmore of them now.\nand yet more.\nthe last of it."]
+    met = {r: set() for r in RULES}
+    for t in tx.slices(pa.array(texts, pa.large_string())):
+        for r, v in votes(quality_counts(t)).items():
+            met[r] |= set(v.tolist())
+    assert all({-1, 1} <= m for m in met.values())
+
+
+def test_quality_is_not_all_must_pass(spark):
+    data = "/root/testdata/sf0.01"
+    rows = measured(spark.read.parquet(f"{data}/documents.parquet")).collect()
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    sound = [r for r in rows if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
+    passes = {r["doc_id"]: all(r["pattern"] // 3**k % 3 for k in range(len(RULES))) for r in sound}
+    differ = [i for i in passes if passes[i] != kept[i]]
+    assert 0 < len(differ) < 0.05 * len(sound)
 
 
 def test_filters_keep_columns(spark):

@@ -1,10 +1,14 @@
 """Quality rules: weak supervision instead of an all-must-pass filter.
 
-Each rule looks at a few counts of a text and votes good, bad or abstains. The vote patterns of all
-documents are counted (at most 3**rules patterns, whatever the corpus), expectation-maximisation over
-those counts estimates how often each rule votes what on good and on bad texts, and the posterior
-probability of good decides. Null, empty and blank texts count as no words; rows are judged one by one,
-so repeated rows get equal results; an empty table gives an empty result.
+Each rule looks at a few counts of a text and votes good, bad or abstains; several rules look at the same
+kind of fault from different sides. The vote patterns of all documents are counted (at most 3**rules patterns,
+whatever the corpus), expectation-maximisation over those counts estimates how often each rule votes good,
+votes bad and abstains on good texts and on bad ones (so abstentions tell as much as they differ between the two),
+and the posterior probability of good decides. A bad vote that no other rule supports weighs as much as its
+rule is found to be reliable: it can be outvoted, and texts without any bad vote can be rejected.
+
+Null, empty and blank texts count as no words; rows are judged one by one, so repeated rows get equal results; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
 from . import text as tx
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_upper_words", "n_marked_words", "n_bars", "n_bangs", "n_ended_lines", "n_distinct")
-RULES = ("symbols", "capitals", "repetition", "lines", "word_length", "bars", "bangs", "sentences", "variety")
+EXTRA = ("n_lines", "n_upper_words", "n_marked_words", "n_plain_words", "n_bars", "n_bangs", "n_ended_lines", "n_distinct")
+RULES = ("symbols", "density", "plain", "bars", "capitals", "bangs", "sentences", "repetition", "lines", "variety", "word_length")
 
 _symbol = np.zeros(256, bool)
 _symbol[[ord(c) for c in "#*$%&|<>"]] = True
@@ -27,6 +32,8 @@ _upper = np.zeros(256, bool)
 _upper[0x41:0x5B] = True
 _low = np.zeros(256, bool)
 _low[0x61:0x7B] = True
+_letter = tx.ALNUM_WORDS.copy()
+_letter[0x30:0x3A] = False
 _end = np.zeros(256, bool)
 _end[[ord(c) for c in ".!?:;\"')"]] = True
 
@@ -78,6 +85,7 @@ def counts(t: tx.Texts) -> dict[str, np.ndarray]:
         "n_lines": by(line_owner),
         "n_upper_words": by(owner[(upper >= 2) & (low == 0)]),
         "n_marked_words": by(owner[marks > 0]),
+        "n_plain_words": by(owner[per_word(_letter[data]) >= ends - starts - 1]),
         "n_bars": t.per_text(data == _bar),
         "n_bangs": t.per_text(data == _bang),
         "n_ended_lines": by(line_owner[ended]),
@@ -94,15 +102,17 @@ def votes(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return np.where(bad(value), -1, np.where(good(value), 1, 0)).astype(np.int8)
 
     return {
-        "symbols": vote(c["n_marked_words"] / n, lambda x: x < 0.03, lambda x: x > 0.25),
+        "symbols": vote(c["n_marked_words"] / n, lambda x: x < 0.03, lambda x: x > 0.10),
+        "density": vote(c["n_symbols"] / np.maximum(c["word_chars"], 1), lambda x: x < 0.005, lambda x: x > 0.02),
+        "plain": vote(c["n_plain_words"] / n, lambda x: x > 0.90, lambda x: x < 0.75),
+        "bars": vote(c["n_bars"] / n, lambda x: x < 0.01, lambda x: x > 0.05),
         "capitals": vote(c["n_upper_words"] / n, lambda x: x < 0.10, lambda x: x > 0.40),
-        "repetition": vote(c["n_repeat_words"] / n, lambda x: x < 0.08, lambda x: x > 0.50),
-        "lines": np.where(c["n_lines"] < 4, 0, vote(c["n_dup_lines"] / lines, lambda x: x < 0.10, lambda x: x > 0.45)),
-        "word_length": vote(c["word_chars"] / n, lambda x: (x > 3) & (x < 9), lambda x: (x < 2) | (x > 16)),
-        "bars": vote(c["n_bars"] / n, lambda x: x < 0.0, lambda x: x > 0.10),
-        "bangs": vote(c["n_bangs"] / n, lambda x: x < 0.05, lambda x: x > 0.30),
-        "sentences": vote(c["n_ended_lines"] / lines, lambda x: x > 0.5, lambda x: x < 0.0),
-        "variety": vote(c["n_distinct"] / np.sqrt(n), lambda x: x > 5, lambda x: x < 1.5),
+        "bangs": vote(c["n_bangs"] / n, lambda x: x < 0.02, lambda x: x > 0.15),
+        "sentences": vote(c["n_ended_lines"] / lines, lambda x: x > 0.65, lambda x: x < 0.5),
+        "repetition": vote(c["n_repeat_words"] / n, lambda x: x < 0.08, lambda x: x > 0.25),
+        "lines": np.where(c["n_lines"] < 4, 0, vote(c["n_dup_lines"] / lines, lambda x: x < 0.10, lambda x: x > 0.15)),
+        "variety": vote(c["n_distinct"] / np.sqrt(n), lambda x: x > 5, lambda x: x < 4.5),
+        "word_length": vote(c["word_chars"] / n, lambda x: (x > 3) & (x < 9), lambda x: (x < 2) | (x > 14)),
     }
 
 
@@ -128,44 +138,41 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return tx.mapped(docs.select(F.col(id_col), F.col(text_col)), of, schema)
 
 
-def fitted(pattern: np.ndarray, count: np.ndarray, rounds: int = 200, noise: float = 0.002) -> tuple[np.ndarray, dict]:
+#: What is taken as seen of each rule before any text is: bad votes, abstentions and good votes, on good texts and on bad ones.
+SEEN_IF_GOOD, SEEN_IF_BAD = (0.5, 1.0, 8.5), (3.5, 2.0, 4.5)
+SEEN_TEXTS = (4.0, 1.0)  # good and bad texts
+
+
+def fitted(pattern: np.ndarray, count: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, dict]:
     """Posterior probability of good for each pattern, and the estimated accuracies.
 
-    Bad texts are of several kinds: there is one good class and, for each rule, a bad class that starts
-    from the texts which that rule calls bad. Rules are independent given the class; an abstention says
-    nothing. A rule is taken to call a good text bad at most once in ``1 / noise`` and a text of its own
-    kind good at most once in ten, so that the classes keep their meaning.
+    Rules are independent given whether a text is good. A text is at first as likely bad as its votes say, a bad
+    vote counting four times a good one. The priors are those of ten texts a rule, so that they fade as texts come.
     """
     k = len(RULES)
     v = (pattern[:, None] // 3 ** np.arange(k)) % 3  # 0 bad, 1 abstains, 2 good
-    one_hot = np.stack([v == 0, v == 2], 2).astype(float)
+    one_hot = np.stack([v == o for o in range(3)], 2).astype(float)
     w = count.astype(float)
-    belong = np.full((len(pattern), k + 1), 0.01)  # the last class is the good one
-    bad = v == 0
-    belong[:, :k] += bad / np.maximum(bad.sum(1, keepdims=True), 1)
-    belong[:, k] += ~bad.any(1)
-    belong /= belong.sum(1, keepdims=True)
-    own = np.arange(k)
+    against, speaking_for = (v == 0).sum(1), (v == 2).sum(1)
+    bad = np.clip((against + 0.1) / (against + speaking_for / 4 + 1), 0.02, 0.98)
+    share = 0.5
+    if_good = if_bad = np.full((k, 3), 1 / 3)
     for _ in range(rounds):
-        old = belong
-        said = np.einsum("p,pc,pko->cko", w, belong, one_hot) + 1
-        says_bad = said[:, :, 0] / said.sum(2)
-        says_bad[own, own] = np.maximum(says_bad[own, own], 0.9)
-        says_bad[k] = np.minimum(says_bad[k], noise)
-        table = np.stack([says_bad, 1 - says_bad], 2)
-        prior = w @ belong + 1
-        prior /= prior.sum()
-        like = np.log(prior) + np.einsum("pko,cko->pc", one_hot, np.log(table))
-        belong = np.exp(like - like.max(1, keepdims=True))
-        belong /= belong.sum(1, keepdims=True)
-        if np.abs(belong - old).max(initial=0) < 1e-9:
+        old = bad
+        if_good = np.einsum("p,pko->ko", w * (1 - bad), one_hot) + SEEN_IF_GOOD
+        if_bad = np.einsum("p,pko->ko", w * bad, one_hot) + SEEN_IF_BAD
+        if_good, if_bad = (x / x.sum(1, keepdims=True) for x in (if_good, if_bad))
+        share = (w @ bad + SEEN_TEXTS[1]) / (w.sum() + sum(SEEN_TEXTS))
+        ratio = np.log(share / (1 - share)) + np.einsum("pko,ko->p", one_hot, np.log(if_bad / if_good))
+        bad = 1 / (1 + np.exp(-np.clip(ratio, -500, 500)))
+        if np.abs(bad - old).max(initial=0) < 1e-10:
             break
-    accuracy = {r: {"bad_if_good": float(table[k, i, 0]), "bad_if_own_kind": float(table[i, i, 0])} for i, r in enumerate(RULES)} if len(pattern) else {}
-    return belong[:, k], accuracy
+    accuracy = {r: {"bad_if_good": float(if_good[i, 0]), "bad_if_bad": float(if_bad[i, 0]), "good_if_good": float(if_good[i, 2]), "good_if_bad": float(if_bad[i, 2])} for i, r in enumerate(RULES)}
+    return 1 - bad, accuracy | {"share_bad": float(share)}
 
 
 def posteriors(rows: DataFrame) -> dict[int, float]:
-    """Posterior of good of every vote pattern met; at most 3**9 rows reach the driver."""
+    """Posterior of good of every vote pattern met; at most 3**11 rows reach the driver."""
     seen = rows.filter(F.col("n_words") > 0).groupBy("pattern").count().collect()
     pattern = np.array([r["pattern"] for r in seen], np.int64)
     good, _ = fitted(pattern, np.array([r["count"] for r in seen], np.int64))
@@ -175,9 +182,10 @@ def posteriors(rows: DataFrame) -> dict[int, float]:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, max_repeat_percent: int = 50, min_words: int = 50) -> DataFrame:
     """Per row: id, counts, ``base_failed``, ``quality`` (posterior of good) and ``kept``.
 
-    One pass counts vote patterns, one joins the posteriors, whose table is broadcast as it has a fixed bound.
+    Texts are counted once and the counts written to the shared folder; the posteriors' table is broadcast as it has
+    a fixed bound.
     """
-    rows = measured(docs, id_col, text_col)
+    rows = written(measured(docs, id_col, text_col), "counts")
     model = docs.sparkSession.createDataFrame(list(posteriors(rows).items()), "pattern int, quality double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (
