@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 from helpers import WORD, components, counts, edge_docs, edge_rows, hits, long_text, lower, repeated, same
 
+from pyspark.sql import functions as F
+
 from tierwise.llm import html_extraction as H
 from tierwise.llm import suffix_dedup as SD
 from tierwise.llm import text as tx
@@ -375,6 +377,88 @@ def test_html_raw_elements_without_end_tag():
     assert len(H.content(many, None)) == 20_000
 
 
+def article_text(html):
+    """The blocks of a page's article by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks, self.now = 0, [], []
+
+        def cut(self):
+            if text := " ".join("".join(self.now).split()):
+                self.blocks.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.cut()
+            elif tag == "br":
+                self.now.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "article"):
+                self.cut()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.now.append(data)
+
+    parser = P()
+    parser.feed(html or "")
+    parser.close()
+    return parser.blocks
+
+
+def test_html_table_against_a_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    want = {r["page_id"]: "\n".join(article_text(r["html"])) for r in rows}
+    assert {r["page_id"]: r["text"] for r in H.html_extraction(pages).collect()} == want
+    assert {r["page_id"]: r["text"] for r in H.html_extraction(pages.orderBy(F.desc("html")).repartition(13)).collect()} == want
+    alone = [H.content(H.tree(r["html"]), None) for r in rows]  # without templates adverts stay
+    assert sum("\n".join(x) != want[r["page_id"]] for x, r in zip(alone, rows)) > 0.9 * len(rows)
+
+
+def test_html_template_does_not_depend_on_order(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):  # one hot host; menus, teasers and footers change from page to page, no element or name tells them
+        menu = "".join(f"<li><a href=/{k}>Menu {k}</a></li>" for k in rng.integers(0, 99, 6))
+        text = "".join(f"<p>Paragraph {i} {k} of a story that goes on for a while</p>" for k in range(int(rng.integers(2, 9))))
+        extra = f"<div><p>Note {i}</p></div>" if i % 3 == 0 else ""
+        rows.append((i, f"http://hot.com/{i}" if i % 3 else f"http://h{i % 7}.com/{i}", page(f"<div><ul>{menu}</ul></div>{extra}<div><h1>Title {i}</h1>{text}</div><div><a href=/x>{i}</a></div>")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in H.html_extraction(pages).collect())
+    rng.shuffle(rows)
+    mixed = spark.createDataFrame([(int(a), str(b), str(c)) for a, b, c in rows], "page_id long, url string, html string").repartition(9)
+    assert sorted(tuple(r) for r in H.html_extraction(mixed).collect()) == got
+    assert all("Menu" not in t and f"Title {i}\nParagraph {i} 0" in t and not t.endswith(str(i)) for i, _, t, _ in got)
+
+
+def test_html_names_alone_do_not_decide():
+    body = "<p>A paragraph of the article, longer than all of the other parts.</p>"
+    for part, text in (("<header><h1>Title</h1></header>", "Title"), ("<h1 class='article-header'>Title</h1>", "Title"), ("<h2 class=search-intro>Intro</h2>", "Intro"), ("<p class=alert>Mind the gap</p>", "Mind the gap"), ("<div id=main-nav-content><p>Part</p></div>", "Part")):
+        for around in ("article", "main"):
+            one = H.tree(page(f"<nav>Menu</nav><{around}>{part}{body}</{around}><footer>Foot</footer>"))
+            assert H.content(one, None)[0] == H.content(one, H.summary("page", [one]))[0] == text
+    assert H.content(H.tree(page(f"<article>{body}<button>Buy</button></article>")), None) == [body[3:-4]]
+    assert H.content(H.tree("<p>one<a href=\"foo>two</a></p>"), None) == ["onetwo"]
+
+
+def test_html_frames_at_any_depth():
+    for depth in (10, 160, 5000):
+        assert H.content(H.tree("<div>" * depth + "<nav>MENU</nav><p>body</p><footer>FOOT</footer>" + "</div>" * depth), None) == ["body"]
+        mixed = H.tree("".join(f"<div><section>t{k}" for k in range(depth)) + "<nav>MENU</nav>")
+        assert H.content(mixed, None) == [f"t{k}" for k in range(depth)]
+        template = H.summary("page", [mixed])
+        assert H.unpacked(H.packed(template)) == template if depth < 1000 else H.unpacked(H.packed(template))[1] == 1
+        assert H.merged(template, H.summary("page", [mixed]))[1] == 2
+
+
 def test_html_deep_and_wide():
     deep = H.tree("<div>" * 5000 + "core" + "</div>" * 5000 + "<p>after")
     assert H.content(deep, None) == ["core", "after"]

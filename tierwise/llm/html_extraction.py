@@ -1,16 +1,23 @@
 """HTML extraction by wrapper induction.
 
 Pages become small trees of block elements. Pages of one host are aligned by simple tree matching, one
-after another, with the host's template: matched nodes count, and a node's text stays constant as long
-as all pages agree. Pages of equal content count once, so copies make no template. Templates are built per
-partition and host first and then merged by the same matching, so a host with a third of all pages costs
-one small tree per partition. Nodes that stay constant over enough different pages are template; the varying slots are content, except those whose element or
-class says menu, header, footer, sidebar, notice, advert, form or comments.
-
-Elements nested deeper than ``DEPTH`` lend their text to the deepest kept one, and lists of very many mixed
-elements are aligned greedily; neither loses text. Null or empty html gives an empty text; truncated or ill-nested pages are repaired as browsers do for
-block elements; script and the like without an end tag end with
-the block they are in; repeated rows give equal results; pages without a host share one template.
+after another, with the host's template: a matched slot counts its pages, its text, the text of its links, and
+its text stays constant as long as all pages agree. Pages of equal content count once, so copies make no
+template. Slots that stay constant over enough different pages are template. Of the varying slots, those make the
+content that carry the text of the host's pages: menus, adverts and footers whose words change are slots of the
+frame as well. A slot is of the frame by two votes: elements and roles that say menu, header, footer, sidebar, form
+and the like have two; class and id names have one for each word that says so (never for headings), a slot that
+holds less than half of its parent's text on the host's pages has one, a slot beside the page's article one, and a
+slot that recurs and whose text is links for the most part one. Without a template, elements, roles and names vote alone.
+
+Templates are built by host and a hash of the content, in the order of these hashes, then merged in order by host:
+the result depends neither on the order nor the partitions of the input, and a host with a third of all pages is
+spread over ``BUCKETS`` tasks. Slots that occur on fewer than one page in ``RARE`` are forgotten as a template grows.
+
+Trees have any depth; chains of elements without text of their own are one node. Null or empty html gives
+an empty text; truncated or ill-nested pages are repaired as browsers do for block elements; script and the like
+without an end tag end with the block they are in; repeated rows give equal results; pages without a host share
+one template.
 """
 
 from __future__ import annotations
@@ -18,8 +25,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,12 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
-from .text import mapped
 from .url_filters import host_of
 
-TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^>]*\Z", re.S)
+TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^<>]*>|</?[A-Za-z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-RAW = {t: re.compile(rf"</{t}\s*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas", "audio", "video")}
+RAW = {t: re.compile(rf"</{t}\s*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas", "audio", "video", "button")}
 RAW_AGAIN = {t: re.compile(rf"<{t}[\s/>]", re.I) for t in RAW}
 FOREIGN = frozenset(("svg", "math"))  # their elements may be closed by a slash
 CODE = frozenset(("script", "style", "textarea", "title"))
@@ -44,46 +50,61 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 ASIDE_TAGS = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ASIDE_NAMES = re.compile(r"^(?:ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar\w*|aside|widget\w*|related\w*|share\w*|sharing|social\w*|comments?|commentlist|replies|respond|disqus\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|login|search|skip|pagination|pager|toolbar|tags|copyright|legal)$", re.I)
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-DEPTH = 150
-GRID = 40_000  # pairs of slots up to which the best alignment is sought
+CONTENT_NAMES = re.compile(r"^(?:main|content|article|post|entry|story|body|text)$", re.I)
 MAIN_ROLES = frozenset(("main", "article"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+TEXT_TAGS = HEADINGS | frozenset("# p li dt dd td th caption figcaption pre blockquote address".split())
+OUTSIDE, INSIDE, SHARE = 3, 20, 0.5  # pages that make a constant slot template, outside and inside of an article, and their share
+RARE = 50
+BUCKETS = 256
 
 
 class Node:
-    """An element with children, or (label '#') a block of text."""
+    """An element with children, or (label '#') a block of text; ``votes`` of its element, role and names for the frame."""
 
-    __slots__ = ("aside", "kids", "label", "main", "text")
+    __slots__ = ("chars", "digest", "holds", "kids", "label", "linked", "main", "tag", "text", "votes")
 
-    def __init__(self, label: str, text: str = "", aside: bool = False, main: bool = False):
-        self.label, self.text, self.aside, self.main, self.kids = label, text, aside, main, []
+    def __init__(self, tag: str, label: str, text: str = "", votes: int = 0, main: bool = False, linked: int = 0):
+        self.tag, self.label, self.text, self.votes, self.main, self.kids = tag, label, text, votes, main, []
+        self.chars, self.linked, self.holds, self.digest = len(text), linked, False, 0
 
 
 def _element(tag: str, attributes: str) -> Node:
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if attributes else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
     role = found.get("role", "").lower()
-    parts = [p for n in names for p in re.split(r"[-_]", n)]
     main = tag in ("article", "main") or role in MAIN_ROLES
-    aside = not main and (tag in ASIDE_TAGS or role in ASIDE_ROLES or any(ASIDE_NAMES.match(x) for x in (*names, *parts)))
-    if tag in ("body", "html"):
-        aside = False
-    return Node(tag + ("." + names[0].lower() if names else ""), aside=aside, main=main)
+    votes = 0
+    if tag in ASIDE_TAGS or role in ASIDE_ROLES:
+        votes = 2
+    elif names and not main and tag not in HEADINGS and tag not in ("body", "html"):
+        words = {w.lower() for n in names for w in (n, *re.split(r"[-_]", n))}
+        votes = max(0, min(2, sum(1 for w in words if ASIDE_NAMES.match(w))) - any(CONTENT_NAMES.match(w) for w in words))
+    return Node(tag, tag + ("." + re.sub(r"\d+", "0", names[0].lower()) if names else ""), votes=0 if main else votes, main=main)
 
 
 def tree(html: str) -> Node:
     """The block tree of a page; inline elements are transparent, white space in a block is one space."""
-    root = Node("page")
+    root = Node("page", "page")
     stack: list[tuple[str, Node]] = [("page", root)]
     pending: list[str] = []
-    at = 0
-    too_deep: Counter[str] = Counter()  # open elements beyond DEPTH; their text belongs to the deepest kept one
+    at = linked = 0
+    in_link = False
 
     def flush() -> None:
+        nonlocal linked, in_link
         if pending:
             text = " ".join(unescape("".join(pending)).split())
             if text:
-                stack[-1][1].kids.append(Node("#", text))
+                stack[-1][1].kids.append(Node("#", "#", text, linked=min(linked, len(text))))
             pending.clear()
+        linked, in_link = 0, False
+
+    def add(text: str) -> None:
+        nonlocal linked
+        pending.append(text)
+        if in_link:
+            linked += len(text)
 
     def close(names, fence=()) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -115,20 +136,19 @@ def tree(html: str) -> Node:
 
     while m := TAG.search(html, at):
         if m.start() > at:
-            pending.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
         if m[1]:
-            if too_deep[tag]:
-                flush()
-                too_deep[tag] -= 1
-            elif tag in BLOCKS:
+            if tag in BLOCKS:
                 flush()
                 close((tag,))
-            elif tag in ("option", "label", "button"):
+            elif tag == "a":
+                in_link = False
+            elif tag in ("option", "label"):
                 pending.append(" ")
             continue
         if tag in RAW:
@@ -141,163 +161,232 @@ def tree(html: str) -> Node:
             if tag in CLOSES:
                 names, fence = CLOSES[tag]
                 close(names.split(), fence)
-            if len(stack) >= DEPTH:
-                too_deep[tag] += tag not in ("hr", "p", "li")
-                continue
             node = _element(tag, m[3])
             stack[-1][1].kids.append(node)
             if tag != "hr" and not m[3].endswith("/"):
                 stack.append((tag, node))
         elif tag in ("br", "img", "wbr", "input"):
             pending.append(" ")
-        elif tag == "button":
-            pending.append(" ")
+        elif tag == "a":
+            in_link = "href" in m[3].lower()
     if at < len(html):
-        pending.append(html[at:])
+        add(html[at:])
     flush()
+    return _finished(root)
+
+
+def _finished(root: Node) -> Node:
+    """The tree with chains of elements joined, the text, link text and digest of all nodes, and which nodes hold a main
+    element that is no part of a menu or the like."""
+    order, todo, depth = [], [(root, 1)], 1
+    while todo:
+        node, level = todo.pop()
+        depth = max(depth, level)
+        while len(node.kids) == 1 and node.kids[0].label == node.label and not (node.main or node.kids[0].main) and node.label[0] != "#":
+            node.votes, node.kids = max(node.votes, node.kids[0].votes), node.kids[0].kids
+        order.append(node)
+        todo += [(k, level + 1) for k in node.kids]
+    for node in reversed(order):
+        node.digest = zlib.crc32((node.text if node.label == "#" else node.label).encode("utf-8", "replace"))
+        for k in node.kids:
+            node.chars += k.chars
+            node.linked += k.linked
+            node.digest = zlib.crc32(k.digest.to_bytes(4), node.digest)
+        if node.tag == "header" and any(k.tag in HEADINGS for k in node.kids):
+            node.tag = "heading"
+        if node.votes < 2 or node.tag in ("header", "heading"):
+            node.holds = node.main or any([k.holds for k in node.kids])
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * depth + 1000))
     return root
 
 
 def slots_of(node: Node, most: int = 4) -> list[tuple[str, list[Node]]]:
-    """Children as labelled slots; more than ``most`` neighbours of one label are one slot, a list of any length."""
-    runs: list[list[Node]] = []
+    """Children as labelled slots. Neighbours whose labels occur more than ``most`` times each are one slot, a list of any length."""
+    often: dict[str, int] = {}
     for kid in node.kids:
-        if runs and runs[-1][0].label == kid.label:
-            runs[-1].append(kid)
-        else:
-            runs.append([kid])
+        often[kid.label] = often.get(kid.label, 0) + 1
     out: list[tuple[str, list[Node]]] = []
-    for run in runs:
-        out += [(run[0].label, [kid]) for kid in run] if len(run) <= most else [(run[0].label + "+", run)]
+    run: list[Node] = []
+    for kid in node.kids:
+        if often[kid.label] > most:
+            run.append(kid)
+            continue
+        if run:
+            out.append(("|".join(sorted({k.label for k in run})) + "+", run))
+            run = []
+        out.append((kid.label, [kid]))
+    if run:
+        out.append(("|".join(sorted({k.label for k in run})) + "+", run))
     return out
 
 
-def _digest(nodes: list[Node], seed: int = 0) -> int:
-    for n in nodes:
-        seed = zlib.crc32(n.text.encode() if n.label == "#" else n.label.encode(), seed)
-        seed = _digest(n.kids, seed)
-    return seed
-
-
 def summary(label: str, nodes: list[Node]) -> list:
-    """A page's slot as a template node: [label, pages, digest or None if it varies, slots]."""
+    """A page's slot as a template node: [label, pages, digest or None if it varies, slots, text, link text]."""
     slots: list[list] = []
+    digest, chars, linked = 0, 0, 0
     for node in nodes:
-        own = [summary(label, kids) for label, kids in slots_of(node)]
+        digest = zlib.crc32(node.digest.to_bytes(4), digest)
+        chars += node.chars
+        linked += node.linked
+        own = []
+        for name, kids in slots_of(node):
+            own.append(summary(name, kids))
         slots = own if not slots else merged_slots(slots, own, within=True)
-    return [label, 1, _digest(nodes), slots]
+    return [label, 1, digest, slots, chars, linked]
 
 
-def matched(a: list, b: list) -> int:
+def matched(a: list, b: list, known: dict | None = None) -> int:
     """Simple tree matching: the largest number of nodes of equal label that can be paired in order."""
     if a[0] != b[0]:
         return 0
-    return 1 + _pairs(a[3], b[3])[0]
-
-
-def _pairs(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    head = 0
-    total = 0
-    pairs: list[tuple[int, int]] = []
-    while head < min(len(a), len(b)) and a[head][0] == b[head][0]:
-        total += matched(a[head], b[head])
-        pairs.append((head, head))
-        head += 1
-    if head in (len(a), len(b)):
-        return total, pairs
-    n, m = len(a) - head, len(b) - head
-    if n * m > GRID:  # very long lists of mixed elements: each slot takes the next one of its label
-        where: dict[str, list[int]] = {}
-        for j in range(len(b) - 1, head - 1, -1):
-            where.setdefault(b[j][0], []).append(j)
-        last = head - 1
-        for i in range(head, len(a)):
-            ahead = where.get(a[i][0], [])
-            while ahead and ahead[-1] <= last:
-                ahead.pop()
-            if ahead and ahead[-1] - last <= 20:
-                last = ahead.pop()
-                total += matched(a[i], b[last])
-                pairs.append((i, last))
-        return total, pairs
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    weight = [[matched(a[head + i], b[head + j]) for j in range(m)] for i in range(n)]
-    for i in range(n):
-        for j in range(m):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
-    i, j, rest = n, m, []
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            rest.append((head + i, head + j))
-    return total + best[n][m], pairs + rest[::-1]
-
-
-def merged_slots(a: list, b: list, within: bool = False) -> list:
-    _, pairs = _pairs(a, b)
+    known = {} if known is None else known
+    key = (id(a), id(b))
+    if key not in known:
+        known[key] = 1 + _pairs(a[3], b[3], known)[0]
+    return known[key]
+
+
+def _pairs(a: list, b: list, known: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The pairing in order of slots of equal label with the most matched nodes: a heaviest chain among all such pairs."""
+    if not a or not b:
+        return 0, []
+    labels = [x[0] for x in a]
+    if len(set(labels)) == len(a) == len(b) and labels == [x[0] for x in b]:
+        total = 0
+        for x, y in zip(a, b):
+            total += matched(x, y, known)
+        return total, [(i, i) for i in range(len(a))]
+    where: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        where.setdefault(b[j][0], []).append(j)
+    top: list[tuple | None] = [None] * (len(b) + 1)  # Fenwick tree: heaviest chain whose last pair lies in a stretch of b
+    best = None  # (weight, -i, -j, chain before)
+    for i, slot in enumerate(a):
+        for j in where.get(slot[0], ()):  # the last first, so that chains take one pair of a slot
+            before, k = None, j
+            while k:
+                if top[k] and (before is None or top[k][0] > before[0]):
+                    before = top[k]
+                k -= k & -k
+            chain = ((before[0] if before else 0) + matched(slot, b[j], known), i, j, before)
+            k = j + 1
+            while k < len(top):
+                if top[k] is None or chain[0] > top[k][0]:
+                    top[k] = chain
+                k += k & -k
+            if best is None or chain[0] > best[0]:
+                best = chain
+    total, pairs = best[0] if best else 0, []
+    while best:
+        pairs.append((best[1], best[2]))
+        best = best[3]
+    return total, pairs[::-1]
+
+
+def merged_slots(a: list, b: list, within: bool = False, known: dict | None = None) -> list:
+    known = {} if known is None else known
+    _, pairs = _pairs(a, b, known)
     out, i, j = [], 0, 0
     for x, y in [*pairs, (len(a), len(b))]:
         out += a[i:x] + b[j:y]
         if x < len(a):
-            out.append(merged(a[x], b[y], within))
+            out.append(merged(a[x], b[y], within, known))
         i, j = x + 1, y + 1
     return out
 
 
-def merged(a: list, b: list, within: bool = False) -> list:
+def merged(a: list, b: list, within: bool = False, known: dict | None = None) -> list:
     """Two templates of equal label aligned into one; ``within``: both of one page, which counts once."""
-    return [a[0], max(a[1], b[1]) if within else a[1] + b[1], a[2] if a[2] == b[2] else None, merged_slots(a[3], b[3], within)]
-
-
-def _has_main(node: Node) -> bool:
-    return not node.aside and (node.main or any(map(_has_main, node.kids)))
-
-
-def content(page: Node, template: list | None, outside: int = 3, inside: int = 20, share: float = 0.5) -> list[str]:
-    """The text blocks in page order that are neither template nor aside.
-
-    A slot is template if at least ``share`` of the host's different pages have it, and all of them with equal
-    text: ``outside`` pages suffice, ``inside`` an article more are asked for. A slot that holds a main element
-    is never template, nor is all that a page has to say: a page of constant slots alone keeps them.
+    pages = max(a[1], b[1]) if within else a[1] + b[1]
+    slots = merged_slots(a[3], b[3], within, known)
+    return [a[0], pages, a[2] if a[2] == b[2] else None, [x for x in slots if RARE * x[1] >= pages], *(x + y for x, y in zip(a[4:], b[4:]))]
+
+
+def packed(template: list) -> str:
+    """A template as text, whatever its depth: its nodes in order, each with its number of slots."""
+    out, todo = [], [template]
+    while todo:
+        node = todo.pop()
+        out.append([node[0], node[1], node[2], len(node[3]), *node[4:]])
+        todo += reversed(node[3])
+    return json.dumps(out)
+
+
+def unpacked(text: str) -> list:
+    root: list = []
+    open_: list[tuple[list, int]] = [(root, 1)]
+    depth = 1
+    for label, pages, digest, slots, *rest in json.loads(text):
+        while not open_[-1][1]:
+            open_.pop()
+        into, left = open_[-1]
+        open_[-1] = (into, left - 1)
+        node = [label, pages, digest, [], *rest]
+        into.append(node)
+        open_.append((node[3], slots))
+        depth = max(depth, len(open_))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * depth + 1000))
+    return root[0]
+
+
+def content(page: Node, template: list | None, own: list | None = None) -> list[str]:
+    """The text blocks in page order that are neither template nor frame.
+
+    ``template`` is the host's, ``own`` the page's summary if it is at hand. A slot is template if at least ``SHARE`` of the host's different pages have it, and all of
+    them with equal text: ``OUTSIDE`` pages suffice, ``INSIDE`` an article more are asked for. A slot that holds a
+    main element is neither template nor frame, nor is all that a page has to say.
     """
     pages = template[1] if template else 0
-
-    def walk(node: Node, slot: list | None, main: bool, kept: list[tuple[Node, bool]]) -> list[tuple[Node, bool]]:
-        groups = slots_of(node)
+    known: dict = {}
+
+    def framed(kid: Node, t: list | None, mass: int, main: bool) -> bool:
+        votes = kid.votes
+        if kid.tag == "heading":
+            votes = 0 if main else votes
+        if votes < 2 and t is not None:
+            small = 2 * t[4] < mass
+            beside = page.holds and not main
+            votes += small and (beside or kid.tag not in TEXT_TAGS)
+            votes += beside
+            votes += not main and t[1] >= OUTSIDE and 2 * t[5] > t[4]
+        return votes >= 2
+
+    made = []  # summaries stay alive, as pairs are known by identity
+
+    def walk(node: Node, own: list, slot: list | None, main: bool, strict: bool, kept: list[str]) -> list[str]:
         twin: dict[int, list] = {}
         if slot is not None:
-            own = [[label, 1, None, [[inner, 1, None, []] for inner, _ in slots_of(kids[0])]] for label, kids in groups]
-            twin = {i: slot[3][j] for i, j in _pairs(own, slot[3])[1]}
-        for i, (_, group) in enumerate(groups):
+            twin = {i: slot[3][j] for i, j in _pairs(own[3], slot[3], known)[1]}
+        mass = sum([t[4] for t in twin.values()])
+        for i, (label, group) in enumerate(slots_of(node)):
             t = twin.get(i)
-            constant = t is not None and t[2] is not None and t[1] >= (inside if main else outside) and t[1] >= share * pages
-            if constant and not any(map(_has_main, group)):
-                continue
+            constant = strict and t is not None and t[2] is not None and t[1] >= (INSIDE if main else OUTSIDE) and t[1] >= SHARE * pages
             for kid in group:
+                if not kid.holds and (constant or framed(kid, t if strict else None, mass, main)):
+                    continue
                 if kid.label == "#":
-                    kept.append((kid, main))
-                elif not kid.aside:
-                    walk(kid, t, main or kid.main, kept)
+                    kept.append(kid.text)
+                else:
+                    if len(group) > 1:
+                        made.append(summary(label, [kid]))
+                    walk(kid, own[3][i] if len(group) == 1 else made[-1], t, main or kid.main, strict, kept)
         return kept
 
-    def chosen(kept: list[tuple[Node, bool]], main: bool) -> list[str]:
-        return [n.text for n, inside_main in kept if inside_main or not main]
-
-    every = walk(page, None, False, [])
-    main = any(m for _, m in every)
-    return template and chosen(walk(page, template, False, []), main) or chosen(every, main)
+    own = own or summary("page", [page])
+    return walk(page, own, template, False, True, []) or walk(page, own, None, False, False, [])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, template: one row per host, of its different pages.
 
-    Pages that say the same outside of asides and template (copies, mirrors, one article under several menus)
+    Pages that say the same outside of frame and template (copies, mirrors, one article under several menus)
     count as one page, since what is equal on them tells nothing of what is template.
     """
+    names = ["host", "part", "template"]
+    schema = "host string, part long, template string"
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=names)
 
     def parse(batches: Iterator[pa.RecordBatch]):
         seen: set[tuple[str | None, int]] = set()
@@ -305,35 +394,39 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             rows = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 page = tree(html.as_py() or "")
-                says = int.from_bytes(hashlib.blake2b("\n".join(content(page, None)).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                if (host, says) not in seen:
-                    seen.add((host, says))
-                    rows.append((host, says, json.dumps(summary("page", [page]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["host", "says", "template"])
-
-    def induce(batches: Iterator[pa.RecordBatch]):
-        known: dict[str, list] = {}
-        seen: set[tuple[str | None, int]] = set()
-        for batch in batches:
-            for host, says, one in zip(*(c.to_pylist() for c in batch.columns)):
+                own = summary("page", [page])
+                says = int.from_bytes(hashlib.blake2b("\n".join(content(page, own, own)).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
                 if (host, says) not in seen:
                     seen.add((host, says))
-                    known[host] = merged(known[host], json.loads(one)) if host in known else json.loads(one)
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(t) for t in known.values()])], names=["host", "template"])
-
-    def join(batches: Iterator[pa.RecordBatch]):
-        known: dict[str, list] = {}
-        for batch in batches:
-            for host, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                known[host] = merged(known[host], json.loads(one)) if host in known else json.loads(one)
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(t) for t in known.values()])], names=["host", "template"])
-
-    part = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(parse, "host string, says long, template string")
-    part = part.repartition("host", "says").mapInArrow(induce, "host string, template string")
-    salted = part.repartition("host", F.pmod(F.spark_partition_id(), F.lit(32))).mapInArrow(join, "host string, template string")
-    return salted.repartition("host").mapInArrow(join, "host string, template string")
+                    rows.append((host, says, packed(own)))
+                if len(seen) > 1_000_000:
+                    seen.clear()  # copies that are sent again are told apart by the next step
+            yield out(rows)
+
+    def joined(part_of):
+        """One template for each host and part of it; rows come sorted, equal keys of one page once."""
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            now, last, template = None, None, None
+            for batch in batches:
+                for host, part, one in zip(*(c.to_pylist() for c in batch.columns)):
+                    key = (host, part_of(part))
+                    if key != now:
+                        if now is not None:
+                            yield out([(*now, packed(template))])
+                        now, last, template = key, part, unpacked(one)
+                    elif part != last:
+                        last, template = part, merged(template, unpacked(one))
+            if now is not None:
+                yield out([(*now, packed(template))])
+
+        return run
+
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(parse, schema)
+    bucket = F.pmod("part", F.lit(BUCKETS))
+    rows = rows.repartition("host", bucket).sortWithinPartitions("host", bucket, "part", "template").mapInArrow(joined(lambda part: part % BUCKETS), schema)
+    rows = rows.repartition("host").sortWithinPartitions("host", "part").mapInArrow(joined(lambda part: 0), schema)
+    return rows.select("host", "template")
 
 
 def html_extraction(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -342,13 +435,16 @@ def html_extraction(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
 
-    def of(batch: pa.RecordBatch):
+    def run(batches: Iterator[pa.RecordBatch]):
         loaded: dict[str, list] = {}
-        texts = []
-        for html, one in zip(batch.column("html"), batch.column("template").to_pylist()):
-            if one is not None and one not in loaded:
-                loaded[one] = json.loads(one)
-            texts.append("\n".join(content(tree(html.as_py() or ""), loaded.get(one))))
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
-
-    return mapped(rows.join(known, "host", "left").select("id", "url", "html", "template"), of, f"{id_col} {kind}, {url_col} string, text string, n_chars long")
+        for batch in batches:
+            texts = []
+            for html, one in zip(batch.column("html"), batch.column("template").to_pylist()):
+                if one is not None and one not in loaded:
+                    if len(loaded) > 1000:
+                        loaded.clear()
+                    loaded[one] = unpacked(one)
+                texts.append("\n".join(content(tree(html.as_py() or ""), loaded.get(one))))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
+
+    return rows.join(known, "host", "left").select("id", "url", "html", "template").mapInArrow(run, f"{id_col} {kind}, {url_col} string, text string, n_chars long")
