@@ -16,6 +16,7 @@ from tierwise.llm import suffix_dedup as SD
 from tierwise.llm import text as tx
 from tierwise.llm import warc as WA
 from tierwise.llm.decontamination import clean_rows, decontamination
+from tierwise.llm import license_scan as LS
 from tierwise.llm.license_scan import FAMILIES, TEMPLATES, license_scan
 from tierwise.llm.lm_scoring import lm_scoring
 from tierwise.llm.ngram_join import ngram_components, one_of_each
@@ -185,6 +186,60 @@ def test_license_scan_on_the_table(spark):
         assert want == got[r["doc_id"]], (r["doc_id"], want, got[r["doc_id"]])
 
 
+def corpus_lines():
+    import pyarrow.parquet as pq
+
+    return sorted({x[:400] for t in pq.read_table(f"{DATA}/documents.parquet")["text"].to_pylist() for x in (t or "").split("\n") if len(x.split()) > 3 and "licen" not in x.lower()})[:1500]
+
+
+def families_of(model, text):
+    t = next(tx.slices(pa.array([text], pa.large_string())))
+    words, offset, _, fresh, _ = LS.paragraphs(t)
+    return [FAMILIES[k] for _, _, k, _ in model.judge(words, offset, fresh, 0.9, 12)]
+
+
+def test_license_features_and_probabilities_against_plain_ones():
+    lines = ["Licensed under the MIT license.", "one", "a b a b a", "under under THE mit"]
+    words, offset = LS.hashed(lines)
+    column, ptr = LS.features(words, offset)
+    name = lambda w: next(iter(tx.slices(pa.array([w], pa.large_string())))).hashes(np.array([0]), np.array([len(w)]))[0]
+    rng = np.random.default_rng(1)
+    model = LS.Regression(3)
+    model.weight[:] = rng.normal(size=model.weight.shape)
+    got = model.probabilities(model.sums(column, ptr), np.diff(ptr))
+    for i, line in enumerate(lines):
+        w = [name(x) for x in re.findall("[a-z0-9]+", line.lower())]
+        want = [int(tx.mix(np.array([x], np.uint64))[0] % np.uint64(LS.COLUMNS)) for x in w]
+        want += [int(tx.windows(np.array(w[k : k + 2], np.uint64), np.array([0, 2]), 2)[0][0] % np.uint64(LS.COLUMNS)) for k in range(len(w) - 1)]
+        want = sorted(set(want))
+        assert want == column[ptr[i] : ptr[i + 1]].tolist()
+        z = sum(model.weight[c].astype(float) for c in want) / np.sqrt(len(want) + LS.FLOOR)
+        assert got[i] == pytest.approx(np.exp(z) / np.exp(z).sum(), rel=1e-6)
+
+
+def test_license_families_left_out_are_unknown():
+    plain, lone = corpus_lines(), []
+    for left in LS.KNOWN:
+        model = LS.fitted(plain, [k for k in LS.KNOWN if k != left], copies=12)
+        for s in TEMPLATES[left]:
+            assert set(families_of(model, s)) <= {"other"}  # never another family
+            lone.append(families_of(model, s) == ["other"])
+        for body in LS.BODIES.get(left, [])[:1]:
+            assert families_of(model, TEMPLATES[left][-1] + "\n" + body) == ["other"]
+    assert np.mean(lone) >= 0.85
+
+
+def test_license_classifier_is_needed():
+    """Sentences that hold a whole template and only talk about it: the classifier tells them, templates alone do not."""
+    model = LS.fitted(corpus_lines())
+    talk = [f"{lead} licensed under the {LS.NAMES[k]}{tail}" for k in ("MIT", "BSD") for lead in ("What does it mean that software is", "Students discussed whether a work that is") for tail in (" in class?", ", and its history.")]
+    alone = [max(model.held(LS.hashed([x])[0], k, 0.9) for k in range(len(LS.KNOWN))) for x in talk]
+    assert min(alone) == 1.0 and [families_of(model, x) for x in talk] == [[]] * len(talk)
+    for s in ("Eclipse Public License v2.0", "Licensed under the Boost Software License, Version 1.0", "ISC License", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED', LS.BODIES["Apache-2.0"][0], "All rights reserved."):
+        assert families_of(model, s) == ["other"]
+    assert families_of(model, "SPDX-License-Identifier: MIT") == ["MIT"]
+
+
 def test_suffix_rounds():
     rng = np.random.default_rng(1)
     for _ in range(50):
