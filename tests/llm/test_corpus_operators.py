@@ -549,6 +549,25 @@ def test_warc_round_trip(spark):
     assert WA.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_warc_payload_of_half_the_rows(spark, tmp_path, broadcast_rows):
+    hot, once = "<p>" + "h" * 300, "<p>" + "o" * 300
+    rows = [(i, f"http://a/{i}", hot if i % 2 else f"<p>page {i}" + "x" * 200) for i in range(400)] + [(None, "http://n/1", once), (500, "http://n/2", once), (None, "http://n/3", "<p>" + "z" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    WA.records(pages, broadcast_rows=broadcast_rows).write.option("lineSep", "\r\n\r\n").text(str(tmp_path / "w"))
+    got = {r["metadata"]["fields"]["id"]: r["response"] for r in WA.transactions(WA.read_records(spark, str(tmp_path / "w"))).collect() if r["metadata"]["fields"]["id"]}
+    assert len(got) == 401 and got["1"]["record_type"] == got["500"]["record_type"] == "response"
+    assert all(got[str(i)]["record_type"] == ("revisit" if i % 2 and i > 1 else "response") for i in range(400))
+    assert all("capture:1:" in got[str(i)]["refers_to"] for i in range(3, 400, 2))
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"{i} " * 20_000) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    WA.write_archives(pages, str(tmp_path / "w"), file_bytes=200_000)
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 4
+    assert WA.read_records(spark, str(tmp_path / "w")).filter("record_type = 'response'").count() == 12
+
+
 def test_warc_payloads_and_links(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/x?y", "<p>é\r\n\r\n</p>"), (2, None, None)], "page_id long, url string, html string")
     WA.write_archives(pages, str(tmp_path / "w"))

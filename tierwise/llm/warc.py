@@ -1,6 +1,7 @@
 """WARC archives: written as text, read back, and assembled into one nested row per capture.
 
-Writing. Every row becomes a response (or revisit), a request and a metadata record; the last two name
+Writing. Only digests meet to find equal payloads: the table of digests that occur more than once is broadcast if it
+has at most ``broadcast_rows`` rows, else joined, where Spark splits a digest that very many rows share. Every row becomes a response (or revisit), a request and a metadata record; the last two name
 the first in WARC-Concurrent-To. Payloads are UTF-8, so a file of records is a text file whose lines end
 with the CRLF CRLF that closes a WARC record, and Spark's own text sink writes it to any file system.
 Reading. Files come through ``binaryFile`` and are parsed by Content-Length. Assembly groups records by
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import fresh_path
+from ..sources.storage import fresh_path, written
 from .text import mapped
 
 RECORDS = "record_type string, record_id string, concurrent_to string, target_uri string, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean, fields map<string,string>, payload binary"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", broadcast_rows: int = 500_000) -> DataFrame:
     """One row per record, its text in ``value``."""
     rows = pages.select(
         F.col(id_col).alias("id"),
@@ -38,13 +39,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ).withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "size": F.octet_length("payload")})
     rows = rows.withColumn("capture", F.concat(F.lit("<urn:capture:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.concat_ws("\n", F.coalesce("url", F.lit("")), "digest").cast("binary")), F.lit(">")))
     first = (
-        rows.filter((F.col("size") >= min_revisit_bytes) & F.col("id").isNotNull())
+        rows.filter(F.col("size") >= min_revisit_bytes)
         .groupBy("digest")
-        .agg(F.min(F.struct("id", "capture")).alias("first"), F.count(F.lit(1)).alias("copies"))
-        .filter("copies > 1 or first.id is not null")
-        .select("digest", "first")
+        .agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "capture"))).alias("first"), F.count(F.lit(1)).alias("copies"))
+        .filter("copies > 1 and first is not null")
     )
-    rows = rows.join(first, "digest", "left").withColumn(
+    first = written(first.select("digest", "first"), "first")
+    small = first.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = rows.join(F.broadcast(first) if small else first, "digest", "left").withColumn(
         "refers", F.when((F.col("size") >= min_revisit_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id")), F.col("first.capture"))
     )
     nl = F.lit("\r\n")
@@ -76,10 +78,13 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
 
-def write_archives(pages: DataFrame, path: str, captures_per_file: int = 4000, **columns) -> None:
-    """Gzipped archives below ``path``; no file holds more than ``captures_per_file`` captures."""
+def write_archives(pages: DataFrame, path: str, captures_per_file: int = 4000, file_bytes: int = 1 << 30, html_col: str = "html", **columns) -> None:
+    """Gzipped archives below ``path``. No file holds more than ``captures_per_file`` captures, nor so many that their
+    payloads could exceed ``file_bytes``, unless it is one capture."""
+    largest = pages.agg(F.max(F.octet_length(F.col(html_col))).alias("n")).first()["n"] or 0
+    captures_per_file = max(1, min(captures_per_file, file_bytes // (largest + 4096)))
     (
-        records(pages, **columns)
+        records(pages, html_col=html_col, **columns)
         .write.option("lineSep", "\r\n\r\n")
         .option("compression", "gzip")
         .option("maxRecordsPerFile", 3 * captures_per_file)
