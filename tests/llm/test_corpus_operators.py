@@ -584,8 +584,20 @@ def test_decontamination_edges(spark):
     same(decontamination(edge_docs(spark, rows), bench), hits(rows, items))
     same(decontamination(edge_docs(spark, rows), bench.limit(0)), hits(rows, []))
     assert decontamination(edge_docs(spark, []), bench).count() == 0
-    with pytest.raises(ValueError, match="parts"):
-        decontamination(edge_docs(spark, rows), bench, max_benchmark_words=5)
+    same(decontamination(edge_docs(spark, rows), bench, part_words=25), hits(rows, items))  # part by part
+    keep = Counter((i, t) for (i, t), h in zip(rows, hits(rows, items)) if not h[-1])
+    for size in (25, 500_000):
+        assert Counter((r["doc_id"], r["text"]) for r in clean_rows(edge_docs(spark, rows), bench, part_words=size).collect()) == keep
+
+
+def test_decontamination_of_overlapping_parts(spark):
+    """Hits of different parts overlap, so that counts of parts cannot be added up."""
+    line = " ".join(f"v{i}" for i in range(60))
+    items = [(k, " ".join(line.split()[4 * k : 4 * k + 20])) for k in range(10)]
+    rows = [(1, "x y z " + line), (1, "x y z " + line), (2, line[:60]), (3, " ".join(line.split()[10:24]) + " w" * 200)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (10, 60, 1000):
+        same(decontamination(docs, bench, part_words=size), hits(rows, items))
 
 
 def test_decontamination_table(spark):
