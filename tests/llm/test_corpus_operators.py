@@ -93,6 +93,11 @@ def test_url_filters(spark):
     got = url_filters(spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string"), rules)
     same(got, [(i, *judged(u)) for i, u in rows])
     assert url_filters(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+    assert {r["verdict"] for r in url_filters(got.select("page_id", F.lit("http://a.b/").alias("url")), rules.limit(0)).collect()} == {"allow"}
+    odd = spark.createDataFrame([("Example.COM", "/en", "block"), ("example.com", "/en/x.ht", "allow"), (None, "/", "block"), ("example.com", None, "block"), ("com", "", "allow")], "host string, path string, verdict string")
+    urls = [(1, "http://example.com/en"), (2, "http://a.example.com/en/x"), (3, "http://example.com/english"), (4, "http://example.com/en/x.html"), (5, "http://example.com/e"), (6, "http://example.com")]
+    verdicts = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters(spark.createDataFrame(urls, "page_id long, url string"), odd).collect()}
+    assert verdicts == {1: ("example.com/en", "block"), 2: ("example.com/en", "block"), 3: ("example.com/en", "block"), 4: ("example.com/en/x.ht", "allow"), 5: ("com", "allow"), 6: ("com", "allow")}
 
 
 @pytest.mark.parametrize("shares", [{}, {"word_share": 2e-3, "context_share": 2e-3, "listed_share": 1e-3}])

@@ -1,13 +1,14 @@
 """URL filters: hash-prefix lookup of host-suffix and path-prefix expressions.
 
 A rule is a host, a path and a verdict. Each distinct (host, path) of the table is expanded into the
-expressions that could be rules: host suffixes at label boundaries times path prefixes that end at a
-slash, plus the whole path. Expressions meet rules on the first bytes of their SHA-256 only; the full
+expressions that could be rules: host suffixes at label boundaries times path prefixes of the lengths that
+rules have (a set no larger than the longest rule path, read once from the rules). Expressions meet rules on the first bytes of their SHA-256 only; the full
 digest confirms, and the longest confirmed rule decides. All of it is DataFrame code.
 
 Null URLs and URLs without ``://`` have empty host and path, fit no rule and get the default verdict.
 Repeated rows get equal results. Rules are unique by (host, path); of two rules of equal length that
-both fit, the one with the longer host wins.
+both fit, the one with the longer host wins. Hosts of rules are lower-cased (A-Z); a rule with a null host or path fits
+nothing.
 """
 
 from __future__ import annotations
@@ -36,20 +37,20 @@ def host_suffixes(host: Column) -> Column:
     )
 
 
-def path_prefixes(path: Column) -> Column:
-    """/a/b -> [/, /a/, /a/b]: the prefixes that end at a slash, the whole path, and the empty one."""
-    parts = F.split(path, "/")
-    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), F.lit("/")).otherwise(F.lit(""))))
-    return F.array_distinct(F.concat(F.array(F.lit("")), upto))
+def path_prefixes(path: Column, lengths: list[int]) -> Column:
+    """The prefixes of the given lengths that the path has."""
+    return F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
 
 
 def url_filters(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Per row: id, host, path, rule (host and path as one string, null if none fits), verdict.
 
-    ``rules`` has columns host, path, verdict; rule paths end with a slash or are whole paths. Only the
-    distinct (host, path) pairs are expanded; Spark broadcasts either side of a join only if it measures
-    it below its own threshold.
+    ``rules`` has columns host, path, verdict. Only the distinct (host, path) pairs are expanded; Spark broadcasts
+    either side of a join only if it measures it below its own threshold.
     """
+    rules = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").filter("host is not null and path is not null")
+    lengths = sorted(r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect())
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     digest = lambda h, p: F.sha2(F.concat(h, F.lit("\n"), p), 256)
     listed = rules.select(
@@ -58,10 +59,11 @@ def url_filters(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         F.length("host").alias("host_len"),
         F.col("verdict").alias("said"),
     ).withColumn("prefix", F.substring("full", 1, PREFIX_DIGITS))
-    keys = rows.select("host", "path").distinct().filter("host <> ''")
+    # dealt by number, as little that comes in becomes much
+    keys = rows.select("host", "path").filter("host <> ''").repartition(tasks, "host", "path").distinct()
     expanded = (
         keys.withColumn("h", F.explode(host_suffixes(F.col("host"))))
-        .withColumn("p", F.explode(path_prefixes(F.col("path"))))
+        .withColumn("p", F.explode(path_prefixes(F.col("path"), lengths)))
         .select("host", "path", digest(F.col("h"), F.col("p")).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     )
