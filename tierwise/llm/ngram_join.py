@@ -2,20 +2,25 @@
 
 Rows are the distinct shingle sets (equal sets are one class from the start), columns are shingles in one
 global order, rare ones first. Two sets can only reach the threshold if they share a column among each
-one's first columns; how many follows from their sizes, so only those entries are kept. The columns are
-dealt into blocks. Every block multiplies its columns in two turns:
+one's first columns; how many follows from their sizes. Those first entries say which cells of the product are
+worth having, and are looked at in two turns:
 
 1. In each column the entry with the smallest position, that is the row with the fewest rarer columns, is
-   the centre; it is paired with the others. These pairs grow with the entries, not with their square.
-   Confirmed pairs are joined to components.
+   the centre; its cells with the others are asked for. These grow with the entries, not with their square.
 2. Entries of different components that still meet in a column are paired in full. Copies of one text are
    one component by then, so this turn finds what the centres missed, and leaves no pair out.
 
-Pairs whose sizes, positions or accumulated overlap rule out the threshold are discarded; the rest are
-compared set against set. The order of columns comes from counts in a table of fixed size over all
-documents; any order gives the same result, a good one gives fewer pairs.
+Cells whose sizes and positions rule out the threshold are not asked for. The others are computed block by block:
+the columns are dealt into ``SET_BLOCKS`` blocks, a task multiplies the part of a centre's row that lies in one block
+with the parts of its partners there, and the partial overlap counts are summed over the blocks. A pair whose sum
+stays below what the two sizes ask for is discarded; the others are links, and are joined to components. No more
+than a block of a row is ever compared at once, and a centre of many partners is dealt over several tasks.
 
-Shingles are 64-bit hashes, and sets are compared as sorted 40-bit remainders of them.
+The order of columns comes from counts in a table of fixed size over all documents; any order gives the same
+result, a good one gives fewer pairs.
+
+Shingles are 64-bit hashes. The product compares the lowest 40 bits of them inside a block, which the highest bits
+name: with 4 blocks two different shingles of a pair of sets count as equal if 42 bits are.
 Null, empty and blank texts have no shingles and link with nothing; a text of fewer than k words is one
 shingle. Repeated rows are one class. Null ids are kept and never become a component's name unless all
 ids in it are null.
@@ -37,6 +42,7 @@ from . import text as tx
 U = np.uint64
 BLOCK_BITS = 14
 BYTES_PER_SHINGLE = 5
+SET_BLOCKS = 4
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -215,8 +221,8 @@ def _products(docs: DataFrame, text_col: str, k: int, bits: int, counts, bounds:
     return dealt.repartition(blocks, "block").mapInArrow(multiply, "a long, b long, column long, n long, pos long")
 
 
-def _confirmed(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, classes: DataFrame, bounds: Bounds, broadcast_rows: int, per_task: int = 4096) -> DataFrame:
-    """Those of the pairs (centre, other) whose sets reach the threshold.
+def _accumulated(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, classes: DataFrame, bounds: Bounds, broadcast_rows: int, per_task: int = 4096) -> DataFrame:
+    """Those of the pairs (centre, other) whose accumulated overlap reaches the threshold, as nodes (a, b).
 
     Only texts of classes in the pairs are cut into shingles again, and a set is sent once for each centre
     it is compared with. A centre of more than ``per_task`` pairs is sent to several tasks.
@@ -228,30 +234,37 @@ def _confirmed(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, classes
         .unionByName(shards.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))).select(F.col("centre").alias("digest"), F.struct("centre", "shard", F.lit(True).alias("leads")).alias("to")))
         .groupBy("digest").agg(F.collect_set("to").alias("to"))
     )
-    wanted = written(asked.join(classes, "digest").select("hash", "digest", "to"), "wanted")
+    wanted = written(asked.join(classes, "digest").select("hash", "digest", "first", "to"), "wanted")
     small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
     rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
-    NAMES = ["centre", "shard", "leads", "digest", "n", "held"]
+    NAMES = ["centre", "shard", "block", "leads", "digest", "first", "n", "held"]
+    kind = classes.schema["first"].dataType.simpleString()
+    sizes = "a long, b long, a_first {0}, b_first {0}, shared long, a_n long, b_n long".format(kind)
 
     def packed(batches: Iterator[pa.RecordBatch]):
         seen: set[int] = set()
         rows: list[tuple] = []
-        held = 0
+        held, types = 0, None
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], names=NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=NAMES)
 
         for batch in batches:
-            asked, to = batch.column(1).to_pylist(), batch.column(2)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), batch.schema.field(2).type, pa.int64(), pa.binary())
+            asked, first, to = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
             for i, s in sets_of(batch.column(0), k):
                 if asked[i] in seen or digest(s) != asked[i]:
                     continue
                 seen.add(asked[i])
-                short = np.unique(s & U((1 << 40) - 1))
-                blob = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES_PER_SHINGLE].tobytes()
-                for x in to[i].as_py():
-                    rows.append((x["centre"], x["shard"], x["leads"], asked[i], len(s), blob))
-                    held += len(blob)
+                cut = np.searchsorted(s, [U(b << 62) for b in range(SET_BLOCKS)])
+                for block, part in enumerate(np.split(s, cut[1:])):
+                    if not len(part) and block:  # the first block is always sent, so that each pair is met
+                        continue
+                    short = np.unique(part & U((1 << 40) - 1))
+                    blob = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES_PER_SHINGLE].tobytes()
+                    for x in to[i].as_py():
+                        rows.append((x["centre"], x["shard"], block, x["leads"], asked[i], first[i], len(s), blob))
+                        held += len(blob) + 64
                 if held > 8 << 20:
                     yield out()
                     rows, held = [], 0
@@ -263,23 +276,32 @@ def _confirmed(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, classes
         out[:, :BYTES_PER_SHINGLE] = np.frombuffer(blob, np.uint8).reshape(-1, BYTES_PER_SHINGLE)
         return out.view("<u8").ravel()
 
-    def compare(batches: Iterator[pa.RecordBatch]):
-        centre, own, n = None, None, 0  # the rows of a centre follow one another, its own set first
+    def multiply(batches: Iterator[pa.RecordBatch]):
+        """Partial overlap counts of one block after another; a centre's own part comes first, if it has one in the block."""
+        centre, own = None, None
         for batch in batches:
             found = []
-            for c, name, m, blob in zip(batch["centre"].to_pylist(), batch["digest"].to_pylist(), batch["n"].to_pylist(), batch["held"]):
-                if name == c:
-                    if c != centre:
-                        centre, own, n = c, full(blob.as_py()), m
-                elif c == centre:
-                    shared = len(np.intersect1d(own, full(blob.as_py()), assume_unique=True))
-                    if 100 * shared >= bounds.percent * (n + m - shared):
-                        found.append((c, name))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            for c, shard, block, leads, name, first, m, blob in zip(*(batch.column(x).to_pylist() if x != "held" else batch.column(x) for x in NAMES)):
+                if leads:
+                    centre, own, n, centre_first = (c, shard, block), full(blob.as_py()), m, first
+                elif centre == (c, shard, block):
+                    found.append((c, name, centre_first, first, len(np.intersect1d(own, full(blob.as_py()), assume_unique=True)), n, m))
+                elif block == 0:
+                    raise RuntimeError(f"the set {c} that others are to be compared with did not arrive")
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), batch.column("first").type, batch.column("first").type, *[pa.int64()] * 3))], names=["a", "b", "a_first", "b_first", "shared", "a_n", "b_n"])
+
+    sets = rows.join(F.broadcast(wanted) if small else wanted, "hash").select("text", "digest", "first", "to")
+    sets = sets.mapInArrow(packed, f"centre long, shard long, block int, leads boolean, digest long, first {kind}, n long, held binary")
+    met = sets.repartition("centre", "shard", "block").sortWithinPartitions("centre", "shard", "block", F.desc("leads"))
+    partial = met.mapInArrow(multiply, sizes).withColumnsRenamed({"a_first": "a1", "b_first": "b1"})
+    total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"), F.max("a1").alias("a1"), F.max("b1").alias("b1"))
+    links = total.filter(100 * F.col("shared") >= bounds.percent * (F.col("a_n") + F.col("b_n") - F.col("shared")))
+    return links.select(_node("a1", "a").alias("a"), _node("b1", "b").alias("b"))
+
 
-    sets = rows.join(F.broadcast(wanted) if small else wanted, "hash").select("text", "digest", "to").mapInArrow(packed, "centre long, shard long, leads boolean, digest long, n long, held binary")
-    met = sets.repartition("centre", "shard").sortWithinPartitions("centre", "shard", F.desc("leads"))
-    return met.mapInArrow(compare, "a long, b long").distinct()
+def _node(first: str, name: str):
+    """A class as a node: ordered by its smallest id, classes without one last."""
+    return F.struct(F.col(first).isNull().alias("none"), F.col(first).alias("first"), F.col(name).alias("name"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, table_bits: int = 20, blocks: int | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -297,24 +319,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = spark.sparkContext.broadcast(_counted(survey, table_bits))
     found = written(_products(docs, text_col, k, table_bits, counts, bounds, blocks), "products")
 
-    links = written(_confirmed(docs, text_col, k, found.filter("b is not null").select(F.col("a").alias("centre"), F.col("b").alias("other")).distinct(), classes, bounds, broadcast_rows), "links")
-    part = connected_components(links, "a", "b")
+    pairs = found.filter("b is not null").select(F.col("a").alias("centre"), F.col("b").alias("other")).distinct()
+    links = written(_accumulated(docs, text_col, k, pairs, classes, bounds, broadcast_rows), "links")
+    part = written(connected_components(links, "a", "b").select(F.col("node.name").alias("node"), "component"), "parts")
     entry = found.filter("b is null").select(F.col("a").alias("name"), "column", "n", "pos")
-    entry = entry.join(part, entry["name"] == part["node"], "left").select("name", "column", "n", "pos", F.coalesce("component", "name").alias("part")).repartition(blocks, "column")
+    entry = entry.join(part.select("node", F.col("component.name").alias("part")), entry["name"] == part["node"], "left").select("name", "column", "n", "pos", F.coalesce("part", "name").alias("part"))
     mixed = entry.groupBy("column").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("column")
     entry = written(entry.join(mixed, "column"), "entries")
     x, y = entry.alias("x"), entry.alias("y")
     rest = x.join(y, F.expr(f"x.column = y.column and x.part < y.part and {bounds.possible_sql()}")).select(F.col("x.name").alias("centre"), F.col("y.name").alias("other")).distinct()
-    rest = written(rest, "rest")
-    more = written(_confirmed(docs, text_col, k, rest, classes, bounds, broadcast_rows), "links")
-    part = connected_components(links.unionByName(more), "a", "b")
-
-    named = classes.join(part, classes["digest"] == part["node"], "left").select("digest", "first", F.coalesce("component", "digest").alias("part"))
-    least = named.groupBy("part").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "part").select("digest", "component_id")
-    return rows.join(named, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    )
+    more = written(_accumulated(docs, text_col, k, rest, classes, bounds, broadcast_rows), "links")
+    # the first turn's components stand for its links
+    known = part.join(more.select(F.explode(F.array("a.name", "b.name")).alias("node")).distinct(), "node", "left_semi")
+    named = classes.select(F.col("digest").alias("node"), _node("first", "digest").alias("own"))
+    known = known.join(named, "node").select(F.col("own").alias("a"), F.col("component").alias("b"))
+    joined = connected_components(more.unionByName(known), "a", "b").withColumnsRenamed({"node": "old", "component": "new"})
+    lone = joined.join(part.select("node"), F.col("old.name") == F.col("node"), "left_anti").select(F.col("old.name").alias("digest"), F.col("new.first").alias("component_id"))
+    part = part.join(joined, part["component"] == joined["old"], "left").select(F.col("node").alias("digest"), F.coalesce("new.first", "component.first").alias("component_id"))
+    named = part.unionByName(lone)
+    rows = rows.join(classes.select("digest", F.col("first").alias("own")), "digest", "left").join(named, "digest", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "own")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
