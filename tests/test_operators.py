@@ -256,3 +256,74 @@ def test_grown_by_connected_piece(spark):
     assert bag(P.grown(a, e, rule, max_atoms=9)) == sorted(want, key=repr)
     with pytest.raises(ValueError, match="too large"):
         P.grown(a, e, rule, max_atoms=8)
+
+
+def test_near_pairs_and_boxes_against_all_pairs(spark):
+    from math import asin, cos, radians, sin, sqrt
+
+    rng = random.Random(7)
+    places = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(60)] + [(x, y) for x in (-180.0, -179.9, 179.95, 180.0) for y in (-89.99, -60.0, 0.0, 89.5, 90.0)] + [(10.0, 50.0 + k / 40) for k in range(20)] + [(10.0 + k / 20, 50.0) for k in range(20)]
+    km = lambda p, q: 2 * 6371.0 * asin(min(1, sqrt(sin(radians(q[1] - p[1]) / 2) ** 2 + cos(radians(p[1])) * cos(radians(q[1])) * sin(radians(q[0] - p[0]) / 2) ** 2)))
+    for limit in (5.0, 150.0, 4000.0):
+        got = S.near_pairs(spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id int, lon double, lat double"), limit)
+        want = sorted((i, j) for i, j in itertools.combinations(range(len(places)), 2) if km(places[i], places[j]) <= limit)
+        assert sorted((r["a"], r["b"]) for r in got.collect()) == want
+    boxes = [(i, x, x + rng.choice((0, 1, 7)), y, y + rng.choice((0, 2, 9))) for i, (x, y) in enumerate((rng.randrange(-20, 20), rng.randrange(-20, 20)) for _ in range(60))]
+    b = spark.createDataFrame([(i, *map(float, r)) for i, *r in boxes], "id int, x0 double, x1 double, y0 double, y1 double")
+    want = sorted((p[0], q[0]) for p in boxes for q in boxes if p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4])
+    assert sorted(tuple(r) for r in S.box_pairs(b, b, 3.0).collect()) == want
+
+
+def test_points_in_a_long_ring_against_parity(spark):
+    rng = random.Random(9)
+    ring = [(float(k), (5.0 if k % 2 else 1.0) + rng.random()) for k in range(40)] + [(39.0, -3.0), (0.0, -3.0)]
+    ring.append(ring[0])
+    points = [(i, rng.uniform(-1, 40), rng.uniform(-4, 7)) for i in range(200)]
+    inside = [i for i, px, py in points if sum((a[1] > py) != (b[1] > py) and px < (b[0] - a[0]) * (py - a[1]) / (b[1] - a[1]) + a[0] for a, b in itertools.pairwise(ring)) % 2]
+    v = spark.createDataFrame([("r", i, x, y) for i, (x, y) in enumerate(ring)], "geom string, seq int, x double, y double")
+    got = S.points_in_rings(spark.createDataFrame(points, "id int, x double, y double"), v, ["geom"], 1.5)
+    assert sorted(r["id"] for r in got.collect()) == inside
+
+
+def test_stitched_rings(spark):
+    def fragment(geom, ref, *points):
+        return [(geom, ref, i, float(x), float(y)) for i, (x, y) in enumerate(points)]
+
+    rows = fragment("two", 1, (0, 0), (4, 0), (4, 4)) + fragment("two", 2, (0, 0), (0, 4), (4, 4))
+    rows += fragment("one", 3, *SQUARE) + fragment("one", 4, (9, 9))
+    rows += fragment("open", 5, (0, 0), (1, 0)) + fragment("open", 6, (2, 0), (1, 0))
+    rows += fragment("many", 7, (0, 0), (4, 0)) + fragment("many", 8, (4, 4), (4, 0)) + fragment("many", 9, (0, 4), (4, 4)) + fragment("many", 10, (0, 4), (0, 0)) + fragment("many", 11, (20, 20), (24, 20), (24, 24), (20, 20))
+    rows += fragment("star", 12, (0, 0), (1, 0)) + fragment("star", 13, (0, 0), (0, 1)) + fragment("star", 14, (0, 0), (-1, 0))
+    random.Random(3).shuffle(rows)
+    rings, counts, branches = S.stitched(spark.createDataFrame(rows, "geom string, ref long, seq int, x double, y double"), ["geom"])
+    assert bag(counts) == [("many", 2, 0), ("one", 1, 0), ("open", 0, 1), ("star", 0, 3), ("two", 1, 0)]
+    assert bag(branches) == [("star", 0.0, 0.0)]
+    area = {(r["geom"], r["ring"]): abs(r["doubled"]) / 2 for r in S.doubled_areas(rings, ["geom", "ring"]).collect()}
+    assert area == {("two", 1): 16.0, ("one", 3): 16.0, ("many", 7): 16.0, ("many", 11): 8.0}
+    ends = rings.groupBy("geom", "ring").agg(F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in ends)
+
+
+def test_category_regions_leave_out_what_they_must_not_place(spark):
+    scope = spark.createDataFrame([(x,) for x in "AABCDEFG"], "atom string")
+    facts = spark.createDataFrame([("A", "Alpha", 5), ("B", "Alpha", 4), ("C", None, 3), ("D", "Alpha", 9), ("E", "Beta", None), ("F", "Beta", 1), ("Z", "Beta", 1)], "atom string, category string, population int")
+    r = G.category_regions(scope, facts, lambda m: spark.createDataFrame(LINE, "src string, dst string"))
+    assert bag(r.refused) == [("A", "named twice"), ("E", "no population"), ("G", "no facts")] and bag(r.unassigned) == [("C",)]
+    assert {(x["component"], x["name"]) for x in r.regions.collect()} == {("B", "Alpha (B)"), ("D", "Alpha (D)"), ("F", "Beta")}
+
+
+def test_gate_and_digests(spark, tmp_path):
+    import hashlib
+
+    from tierwise.sources import artifacts as SA
+
+    df = spark.createDataFrame([("way", True, None)] * 9 + [("way", False, None), ("node", None, None)], "type string, geometry boolean, remark string")
+    tell = lambda d, least, remark=None: tuple(SA.gate(d, F.col("type"), F.col("geometry"), SA.Gate("way", least), remark).first())
+    assert tell(df, 10) == (10, 1, 0.1, 0, True) and tell(df, 11)[-1] is False
+    assert tell(df, 10, F.col("remark"))[-1] is True
+    assert tell(df.union(spark.createDataFrame([("node", True, "timed out")], df.schema)), 10, F.col("remark")) == (10, 2, 0.1, 1, False)
+    assert tell(df.limit(0), 1) == (0, 0, None, 0, False)
+    (tmp_path / "a.json").write_bytes(b"{}")
+    (tmp_path / "b.json").write_bytes(b"\xff\x00" * 1000)
+    want = sorted((f.name, f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.glob("*.json"))
+    assert bag(SA.digests(spark, str(tmp_path))) == want

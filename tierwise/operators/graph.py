@@ -6,7 +6,8 @@ edges between keys go before components are sought.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,34 @@ def grouped(edges: DataFrame, members: DataFrame, keys: Sequence[str], populatio
     )
 
 
+@dataclass(frozen=True)
+class Regions:
+    """Regions of a scope; atoms without a category; atoms that the rule must not place, with the reason."""
+
+    regions: DataFrame
+    unassigned: DataFrame
+    refused: DataFrame
+
+
+def category_regions(scope: DataFrame, facts: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> Regions:
+    """Connected groups of one category over ``scope`` (atom), from ``facts`` (atom, category, population).
+
+    Regions (category, component, size, population, principal, name) are named by their category, with the principal
+    atom where a category has several. Atoms whose category is null are unassigned. Atoms that the scope names twice, that
+    the facts do not reach, or that have no population are refused: they are no part of any region, and a caller that
+    wants all or nothing passes ``refused`` to ``rows.strict``. ``edges_of`` gives the edges among (atom, category) rows.
+    """
+    named = scope.groupBy("atom").agg(F.count(F.lit(1)).alias("times")).join(facts.withColumn("known", F.lit(True)), "atom", "left")
+    reason = F.when(F.col("times") > 1, "named twice").when(F.col("known").isNull(), "no facts").when(F.col("population").isNull(), "no population")
+    judged = named.withColumn("reason", reason)
+    members = judged.filter("reason is null and category is not null").select("atom", "category", "population")
+    groups = grouped(edges_of(members), members, ["category"], "population")
+    several = groups.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("n") > 1, F.concat("category", F.lit(" ("), F.col("principal").cast("string"), F.lit(")"))).otherwise(F.col("category"))
+    regions = groups.join(several, "category").withColumn("name", name).drop("n")
+    return Regions(regions, judged.filter("reason is null and category is null").select("atom"), judged.filter("reason is not null").select("atom", "reason"))
+
+
 def not_sole(groups: DataFrame, category: str) -> DataFrame:
     """Categories that are not exactly one group."""
     return groups.groupBy(category).agg(F.count(F.lit(1)).alias("groups")).filter("groups <> 1")

@@ -95,9 +95,9 @@ def ag10(t: Tables):
     return d.select("o_custkey", F.round(F.when(F.col("dominant").isNotNull(), A.share_of(best, total)), 6).alias("share"), F.round(A.share_of(F.col(f"`{RESIDUAL}`"), total), 6).alias("residual"))
 
 
-@query("ag11_collisions", "select p_brand, string_agg(distinct p_type, ',' order by p_type) as names from part where p_size < 5 group by 1 having count(distinct p_type) > 1")
+@query("ag11_collisions", "select p_brand, string_agg(distinct p_type, ',' order by p_type) as names from part group by 1 having count(distinct p_type) > 1")
 def ag11(t: Tables):
-    return J.collisions(t.part.filter("p_size < 5"), "p_brand", "p_type").select("p_brand", F.array_join("names", ",").alias("names"))
+    return J.collisions(t.part, "p_brand", "p_type").select("p_brand", F.array_join("names", ",").alias("names"))
 
 
 _RATES = "select p_partkey as atom, p_size / 50.0 as a, (p_partkey % 97) / 96.0 as b, case when p_partkey % 101 = 0 then 1.5 else (p_partkey % 31) / 30.0 end as c from part"

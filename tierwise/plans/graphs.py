@@ -81,9 +81,27 @@ def regions(t: Tables):
     return G.grouped(*within(t, m.filter("category is not null"), ["category"]), "population")
 
 
-@query("g4_category_regions", _REGIONS + " select * from g")
+def _scope(t: Tables) -> G.Regions:
+    """All suppliers, some named twice; facts lack some, others have no population."""
+    k = F.col("atom")
+    scope = t.supplier.select(F.col("s_suppkey").alias("atom"))
+    facts = atoms(t).filter(k % 17 != 1).select("atom", F.when(k % 9 != 0, F.concat(F.lit("cat "), k % 3)).alias("category"), F.when(k % 19 != 2, F.col("population")).alias("population"))
+    return G.category_regions(scope.unionByName(scope.filter("atom % 23 = 3")), facts, lambda m: within(t, m, ["category"])[0])
+
+
+_SCOPE = f"select m.atom, case when m.atom % 23 = 3 then 'named twice' when m.atom % 17 = 1 then 'no facts' when m.atom % 19 = 2 then 'no population' end as reason, case when m.atom % 9 <> 0 then 'cat ' || (m.atom % 3) end as category, population from ({_M}) m"
+
+
+@query("g4_category_regions", components_sql(f"select atom, category, population from ({_SCOPE}) where reason is null and category is not null", "category") + """, g as (select category, component, count(*) as size, cast(sum(population) as bigint) as population, first(atom order by population desc, atom) as principal from c join m using (atom) group by 1, 2)
+select *, case when count(*) over (partition by category) > 1 then category || ' (' || principal || ')' else category end as name from g""")
 def g4(t: Tables):
-    return regions(t)
+    return _scope(t).regions
+
+
+@query("g4_unplaced", f"select atom, coalesce(reason, 'no category') as reason from ({_SCOPE}) where reason is not null or category is null")
+def g4_unplaced(t: Tables):
+    s = _scope(t)
+    return s.refused.unionByName(s.unassigned.withColumn("reason", F.lit("no category")))
 
 
 @query("g5_not_sole", _REGIONS + " select category, count(*) as groups from g group by 1 having count(*) <> 1")

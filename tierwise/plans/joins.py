@@ -196,9 +196,9 @@ def jn16(t: Tables):
     return J.excesses(ours, t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 5).alias("b")), "k", "a", "b")
 
 
-@query("jn17_shared_keys", "select l_partkey, min(l_orderkey) as l_orderkey from lineitem where l_suppkey = 1 and l_partkey in (select l_partkey from lineitem where l_suppkey % 10 = 2) group by 1")
+@query("jn17_shared_keys", "select l_partkey, min(l_orderkey) as l_orderkey from lineitem where l_suppkey % 10 = 1 and l_partkey in (select l_partkey from lineitem where l_suppkey % 10 = 2) group by 1")
 def jn17(t: Tables):
-    near = t.lineitem.filter("l_suppkey = 1").select("l_partkey", "l_orderkey")
+    near = t.lineitem.filter("l_suppkey % 10 = 1").select("l_partkey", "l_orderkey")
     return J.shared_keys(near, t.lineitem.filter("l_suppkey % 10 = 2").select("l_partkey"), "l_partkey", ["l_orderkey"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import partition as P
 from ..registry import Tables, query
-from .graphs import atoms, edges
+from .graphs import atoms, components_sql, edges
 
 RULE = P.Rule(ceiling=60_000, km=900.0, floor=0.3)
 
@@ -44,9 +44,16 @@ def g8(t: Tables):
     return P.rule_problems(broken, edges(t), P.Rule(9000, 300.0, 0.3))
 
 
-@query("g9_grown_problems", "select '' as what, '' as problem where false")
+_U = "select s_suppkey as atom, s_suppkey % 4 as centre from supplier where s_suppkey % 13 <> 0"
+
+
+@query("g9_grown_problems", components_sql(_U, "centre") + """ select cast(s_suppkey as varchar) as what, 'unplaced' as problem from supplier where s_suppkey % 13 = 0
+union all select cast(centre as varchar), 'not contiguous' from c join m using (atom) group by centre having count(distinct component) > 1""")
 def g9(t: Tables):
-    return P.grown_problems(rule_atoms(t), P.grown(rule_atoms(t), edges(t), RULE), edges(t))
+    """Units that the rule would not make: some atoms have none, and neighbours are torn apart."""
+    k = F.col("atom")
+    units = rule_atoms(t).filter(k % 13 != 0).select("atom", (k % 4).alias("centre"))
+    return P.grown_problems(rule_atoms(t), units, edges(t))
 
 
 @query("g10_unit_list")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..registry import Tables, query
@@ -50,9 +52,21 @@ def src5(t: Tables):
     return R.digests(t.spark, f"{t.sf_dir}/region.parquet").unionByName(R.digests(t.spark, f"{t.sf_dir}/nation.parquet"))
 
 
-@query("src6_gate", "select count(*) as rows, count(*) filter (event_type <> 'click') as wrong, round(count(*) filter (value < 1) / count(*), 6) as without, count(*) >= 100 and count(*) filter (event_type <> 'click') = 0 and round(count(*) filter (value < 1) / count(*), 6) <= 0.1 as accepted from events where user_id % 2 = 0")
+_GATE = """select {0} as source, count(*) filter (event_type = '{1}') as rows, count(*) filter (event_type <> '{1}') as others, round(count(*) filter (event_type = '{1}' and value < {2}) / count(*) filter (event_type = '{1}'), 6) as without, count(*) filter ({3}) as remarks,
+count(*) filter (event_type = '{1}') >= {4} and count(*) filter (event_type = '{1}' and value < {2}) <= 0.1 * count(*) filter (event_type = '{1}') and count(*) filter ({3}) = 0 as accepted from events"""
+
+
+@query("src6_gate", " union all ".join((_GATE.format("'plain'", "click", 1, "false", 100), _GATE.format("'bare'", "click", 30, "false", 100), _GATE.format("'remarked'", "view", 1, "event_type = 'error'", 100), _GATE.format("'short'", "view", 1, "false", 10**9))))
 def src6(t: Tables):
-    return R.gate(t.events.filter("user_id % 2 = 0"), F.col("event_type"), F.col("value") >= 1, R.Gate("click", 100))
+    """One source that is fine, one without enough geometry, one with error remarks, one with too few rows."""
+    remark = F.when(F.col("event_type") == "error", "runtime error")
+    gates = {
+        "plain": R.gate(t.events, F.col("event_type"), F.col("value") >= 1, R.Gate("click", 100)),
+        "bare": R.gate(t.events, F.col("event_type"), F.col("value") >= 30, R.Gate("click", 100)),
+        "remarked": R.gate(t.events, F.col("event_type"), F.col("value") >= 1, R.Gate("view", 100), remark),
+        "short": R.gate(t.events, F.col("event_type"), F.col("value") >= 1, R.Gate("view", 10**9)),
+    }
+    return reduce(lambda a, b: a.unionByName(b), [g.select(F.lit(n).alias("source"), "*") for n, g in gates.items()])
 
 
 @query("src7_summary", "select coalesce(nullif(case when user_id % 5 = 0 then ' ' else event_type end, ' '), 'untagged') as level, count(*) as rows, count(*) filter (user_id % 3 <> 0) as named from events group by 1")
@@ -67,10 +81,10 @@ def src8(t: Tables):
     return R.other_run(t.nation.filter("n_regionkey < 2").select(run), t.nation.select(run))
 
 
-@query("snk1_rows", "select c_custkey, c_name from customer where c_custkey < 1000")
+@query("snk1_rows", "select c_custkey, c_name from customer")
 def snk1(t: Tables):
     path = fresh_path(t.spark, "rows")
-    R.write_rows(t.customer.filter("c_custkey < 1000").select("c_custkey", "c_name"), path, "c_custkey")
+    R.write_rows(t.customer.select("c_custkey", "c_name"), path, "c_custkey")
     return t.spark.read.schema("c_custkey long, c_name string").json(path)
 
 

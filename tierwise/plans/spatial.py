@@ -100,6 +100,21 @@ def g19(t: Tables):
     return owned.select(F.col("id.geom").alias("hole"), F.col("outer.geom").alias("outer"))
 
 
+_OPEN = "n_nationkey % 5 = 4"
+
+
+@query("g19_stitched", f"select n_name as geom, case when {_OPEN} then 0 else 1 end as rings, case when {_OPEN} then 1 else 0 end as unclosed, case when {_OPEN} then 0.0 else 1.0 end as area from nation")
+def g19_stitched(t: Tables):
+    """Each outline in three fragments, the second one reversed; some lack their last fragment."""
+    n = t.nation.select(F.col("n_name").alias("geom"), F.col("n_nationkey").alias("k"))
+    c = cells(t).filter("ring = 0").join(n, "geom")
+    part = lambda i, low, high: c.filter(F.col("seq").between(low, high)).select("geom", (F.col("k") * 3 + i).alias("ref"), (F.lit(high) - F.col("seq") if i == 1 else F.col("seq") - low).alias("seq"), "x", "y", "k")
+    fragments = part(0, 0, 1).unionByName(part(1, 1, 3)).unionByName(part(2, 3, 4).filter("k % 5 <> 4")).drop("k")
+    rings, counts, _ = S.stitched(fragments, ["geom"])
+    area = S.doubled_areas(rings, ["geom", "ring"]).groupBy("geom").agg(F.sum(F.abs("doubled") / 2).alias("area"))
+    return counts.join(area, "geom", "left").select("geom", F.col("rings").cast("int").alias("rings"), F.col("unclosed").cast("int").alias("unclosed"), F.coalesce("area", F.lit(0.0)).alias("area"))
+
+
 @query("g20_sides", "select n_name as geom, 'island' as side from nation where n_nationkey % 5 <= 2 and n_nationkey % 2 = 0 union all select n_name, 'water' from nation where n_nationkey % 5 <= 2 and n_nationkey % 2 = 1")
 def g20(t: Tables):
     odd = t.nation.select(F.col("n_name").alias("geom"), F.col("n_nationkey"))

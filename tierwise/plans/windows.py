@@ -88,17 +88,17 @@ def wn13(t: Tables):
     return O.paired(t.events, ["user_id"], ["ts", "event_id"], ["value"]).select("user_id", "event_id", F.round(F.col("next_value") - F.col("value"), 4).alias("step"))
 
 
-_P = "select distinct l_partkey from lineitem where l_suppkey = {0}"
+_P = "select distinct l_partkey from lineitem where l_suppkey % 10 = {0}"
 
 
 @query("st1_compared", f"select l_partkey, 'shared' as side from ({_P.format(1)} intersect {_P.format(2)}) union all select l_partkey, 'claimed' from ({_P.format(1)} except {_P.format(2)}) union all select l_partkey, 'derived' from ({_P.format(2)} except {_P.format(1)})")
 def st1(t: Tables):
-    return O.compared_sets(t.lineitem.filter("l_suppkey = 1"), t.lineitem.filter("l_suppkey = 2"), "l_partkey")
+    return O.compared_sets(t.lineitem.filter("l_suppkey % 10 = 1"), t.lineitem.filter("l_suppkey % 10 = 2"), "l_partkey")
 
 
-@query("st2_remainder", "select s_suppkey, s_nationkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49)")
+@query("st2_remainder", "select s_suppkey, s_nationkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49 and l_orderkey % 97 = 0)")
 def st2(t: Tables):
-    return O.remainder(t.supplier.select("s_suppkey", "s_nationkey"), t.lineitem.filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey")
+    return O.remainder(t.supplier.select("s_suppkey", "s_nationkey"), t.lineitem.filter("l_quantity > 49 and l_orderkey % 97 = 0").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey")
 
 
 @query("st3_intact_frame", "select s_suppkey, 'Frame ' || n_regionkey as unit, 'intact' as kind from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1 and s_suppkey % 3 <> 0")
@@ -118,9 +118,9 @@ def st5(t: Tables):
     return t.supplier.join(t.nation.filter(F.col("n_regionkey").isin(0, 1, 2)), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
 
 
-@query("st6_uncovered", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("st6_uncovered", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)")
 def st6(t: Tables):
-    return O.remainder(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return O.remainder(t.customer.select("c_custkey"), t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("st7_same_sets", "with a as (select n_regionkey as name, string_agg(cast(n_nationkey as varchar), ',' order by n_nationkey) as m from nation group by 1), b as (select n_regionkey as name, string_agg(cast(n_nationkey as varchar), ',' order by n_nationkey) as m from nation where n_nationkey <> 7 group by 1) select name from a join b using (name, m)")

@@ -56,14 +56,18 @@ class Gate:
     most_without_geometry: float = 0.10
 
 
-def gate(df: DataFrame, type_of: Column, has_geometry: Column, rule: Gate) -> DataFrame:
-    """One row: rows, wrong types, share without geometry, and whether the source is accepted."""
-    n = F.count(F.lit(1))
-    share = F.coalesce(F.count_if(~has_geometry) / n, F.lit(1.0))
-    wrong = F.count_if(~F.coalesce(type_of == rule.type, F.lit(False)))
-    return df.agg(n.alias("rows"), wrong.alias("wrong"), F.round(share, 6).alias("without")).withColumn(
-        "accepted", (F.col("rows") >= rule.at_least) & (F.col("wrong") == 0) & (F.col("without") <= rule.most_without_geometry)
-    )
+def gate(df: DataFrame, type_of: Column, has_geometry: Column, rule: Gate, remark: Column | None = None) -> DataFrame:
+    """One row: rows of the wanted type, others, the share of the wanted without geometry, remarks, and whether the source is accepted.
+
+    Only rows of the wanted type count, as a source may bring others along; a source that carries an error remark
+    (``remark`` filled on any row) is refused whatever else it holds, as its rows may be cut short.
+    """
+    wanted = F.coalesce(type_of == rule.type, F.lit(False))
+    bare = F.count_if(wanted & ~F.coalesce(has_geometry, F.lit(False)))
+    remarks = F.count_if(F.coalesce(F.length(remark) > 0, F.lit(False))) if remark is not None else F.lit(0).cast("long")
+    counts = df.agg(F.count_if(wanted).alias("rows"), F.count_if(~wanted).alias("others"), bare.alias("bare"), remarks.alias("remarks"))
+    accepted = (F.col("rows") >= rule.at_least) & (F.col("bare") <= rule.most_without_geometry * F.col("rows")) & (F.col("remarks") == 0)
+    return counts.select("rows", "others", F.round(F.try_divide("bare", "rows"), 6).alias("without"), "remarks", accepted.alias("accepted"))
 
 
 def summary(df: DataFrame, name: Column, level: Column) -> DataFrame:
