@@ -176,7 +176,7 @@ def _united(docs: DataFrame, parts: Iterator) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((keys.type, pa.int64(), pa.binary(), pa.list_(pa.string())))], names=["key", "hash", "hits", "items"])
 
         kind = docs.schema["key"].dataType.simpleString()
-        one = written(docs.select("key", "hash", "text").mapInArrow(run, f"key {kind}, hash long, hits binary, items array<string>").distinct(), "hits")
+        one = written(docs.select("key", "hash", "text").mapInArrow(tx.trimmed(run), f"key {kind}, hash long, hits binary, items array<string>").distinct(), "hits")
         found = one if found is None else found.unionByName(one)
     return found.groupBy("key", "hash").agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 

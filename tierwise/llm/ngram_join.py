@@ -109,7 +109,7 @@ def _surveyed(docs: DataFrame, id_col: str, text_col: str, k: int, bits: int) ->
 
     NAMES = ["id", "hash", "n", "digest", "block", "counts"]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
-    return rows.mapInArrow(run, f"id {kind}, hash long, n long, digest long, block int, counts binary")
+    return rows.mapInArrow(tx.trimmed(run), f"id {kind}, hash long, n long, digest long, block int, counts binary")
 
 
 def _counted(survey: DataFrame, bits: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def _counted(survey: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
     rows = survey.filter("block is not null").select("block", "counts")
-    salted = rows.repartition("block", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(add, "block int, counts binary")
+    salted = rows.repartition("block", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(tx.trimmed(add), "block int, counts binary")
 
     def finish(batches: Iterator[pa.RecordBatch]):
         total: dict[int, np.ndarray] = {}
@@ -136,7 +136,7 @@ def _counted(survey: DataFrame, bits: int) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
-    found = salted.repartition("block").mapInArrow(finish, "block int, counts binary").collect()
+    found = salted.repartition("block").mapInArrow(tx.trimmed(finish), "block int, counts binary").collect()
     out = np.zeros(1 << bits, np.uint32)
     for r in found:
         own = np.frombuffer(r["counts"], np.uint32)
@@ -217,8 +217,8 @@ def _products(docs: DataFrame, text_col: str, k: int, bits: int, counts, bounds:
             yield pa.RecordBatch.from_arrays([pa.array(name[s]), pa.nulls(len(name[s]), pa.int64()), pa.array(column[s].view(np.int64)), pa.array(n[s]), pa.array(pos[s])], names=FOUND)
 
     FOUND = ["a", "b", "column", "n", "pos"]
-    dealt = docs.select(F.col(text_col)).mapInArrow(entries, "block int, column binary, name binary, n binary, pos binary")
-    return dealt.repartition(blocks, "block").mapInArrow(multiply, "a long, b long, column long, n long, pos long")
+    dealt = docs.select(F.col(text_col)).mapInArrow(tx.trimmed(entries), "block int, column binary, name binary, n binary, pos binary")
+    return dealt.repartition(blocks, "block").mapInArrow(tx.trimmed(multiply), "a long, b long, column long, n long, pos long")
 
 
 def _accumulated(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, classes: DataFrame, bounds: Bounds, broadcast_rows: int, per_task: int = 4096) -> DataFrame:
@@ -291,9 +291,9 @@ def _accumulated(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, class
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), batch.column("first").type, batch.column("first").type, *[pa.int64()] * 3))], names=["a", "b", "a_first", "b_first", "shared", "a_n", "b_n"])
 
     sets = rows.join(F.broadcast(wanted) if small else wanted, "hash").select("text", "digest", "first", "to")
-    sets = sets.mapInArrow(packed, f"centre long, shard long, block int, leads boolean, digest long, first {kind}, n long, held binary")
+    sets = sets.mapInArrow(tx.trimmed(packed), f"centre long, shard long, block int, leads boolean, digest long, first {kind}, n long, held binary")
     met = sets.repartition("centre", "shard", "block").sortWithinPartitions("centre", "shard", "block", F.desc("leads"))
-    partial = met.mapInArrow(multiply, sizes).withColumnsRenamed({"a_first": "a1", "b_first": "b1"})
+    partial = met.mapInArrow(tx.trimmed(multiply), sizes).withColumnsRenamed({"a_first": "a1", "b_first": "b1"})
     total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"), F.max("a1").alias("a1"), F.max("b1").alias("b1"))
     links = total.filter(100 * F.col("shared") >= bounds.percent * (F.col("a_n") + F.col("b_n") - F.col("shared")))
     return links.select(_node("a1", "a").alias("a"), _node("b1", "b").alias("b"))

@@ -48,7 +48,7 @@ class Encoder:
     costs a few array operations; only new chunks are encoded. The table is emptied at ``limit`` chunks.
     """
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -253,9 +253,9 @@ def packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         if packer.done:
             yield out(packer.done, types)
 
-    first = written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pack, schema), "packing")
+    first = written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tx.trimmed(pack), schema), "packing")
     left = first.filter("ids is not null")
     size = left.agg(F.sum("length").alias("n")).first()["n"] or 0
     tasks = max(1, -(-size // (merge_windows * length)))
-    rest = left.repartition(tasks).mapInArrow(merge, schema)
+    rest = left.repartition(tasks).mapInArrow(tx.trimmed(merge), schema)
     return first.filter("ids is null").unionByName(rest).drop("ids")

@@ -7,12 +7,14 @@ here are ASCII, byte runs and code point runs are the same thing in UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_libc = ctypes.CDLL(None)
 U = np.uint64
 SLICE_BYTES = 1 << 20
 
@@ -167,4 +169,21 @@ def mapped(df, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.Recor
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, and after its last batch the memory it no longer needs goes back to the system: Spark keeps Python workers
+    for later stages, whose needs would otherwise come on top of it."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
