@@ -12,6 +12,7 @@ ids are kept. A text of any length is one document; its tokens are held in memor
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from ..sources.storage import written
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[object, Encoder] = {}
 _white = np.zeros(256, bool)
 _white[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 _alnum = np.zeros(256, bool)
@@ -45,9 +46,12 @@ class Encoder:
 
     Texts are cut where a pre-token always ends: before a lone space between two non-spaces, before an
     ASCII mark that follows a letter or digit, and after a lone line end. Chunks are found by hash, so a text
-    costs a few array operations; only new chunks are encoded. The table is emptied at ``limit`` chunks.
+    costs a few array operations; only new chunks are encoded. The table is emptied at ``limit`` chunks or four times
+    as many ids.
     """
 
+    stand_alone = False
+
     def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -115,12 +119,16 @@ class Encoder:
         inner = inner[~edge[inner] & ~(np.isin(inner, last) & (here[inner] == 0x20))]
         return np.sort(np.concatenate((inner, np.unique(starts[np.diff(t.start) > 0]))))
 
+    def spans(self, t: tx.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the chunks of a slice."""
+        cut = self.cuts(t)
+        return cut, np.append(cut[1:], len(t.data))
+
     def encode(self, t: tx.Texts) -> list[np.ndarray]:
         """The ids of each text of a slice."""
-        if self.known > self.limit:
+        if self.known > self.limit or self.used > 4 * self.limit:
             self.clear()
-        cut = self.cuts(t)
-        ends = np.append(cut[1:], len(t.data))
+        cut, ends = self.spans(t)
         hashes = t.hashes(cut, ends, tx.BYTES)
         at = self._find(hashes)
         new = np.flatnonzero(at < 0)
@@ -134,6 +142,8 @@ class Encoder:
         ids = self.ids[index].astype(np.uint32)
         total = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(cut, t.start)]
         out = [ids[a:b] for a, b in zip(total[:-1], total[1:])]
+        if self.stand_alone:
+            return out
         special = np.flatnonzero((t.data[:-1] == 0x3C) & (t.data[1:] == 0x7C))
         for i in np.unique(np.searchsorted(t.start, special, "right") - 1).tolist():
             out[i] = self.whole(t.data[t.start[i] : t.start[i + 1]].tobytes().decode())
@@ -147,6 +157,42 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class WordEncoder(Encoder):
+    """The same for a tokenizer that drops white space: chunks are the words between it.
+
+    Where the pre-tokenizer is not of that kind, texts are encoded whole.
+    """
+
+    def __init__(self, path: str, limit: int = 1_000_000):
+        super().__init__(path, limit)
+        self.stand_alone = self._drops_space()
+
+    def _drops_space(self) -> bool:
+        """Whether no token reaches over white space: an inverted split that is removed and whose pattern matches none,
+        and special strings without it."""
+        shape = json.loads(self.tokenizer.to_str())
+        steps = [p for p in [shape["pre_tokenizer"]] if p for p in p.get("pretokenizers", [p])]
+        split = bool(steps) and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        plain = not any(s["lstrip"] or s["rstrip"] or s["single_word"] or set(s["content"]) & set(" \t\n\v\f\r") for s in shape["added_tokens"])
+        pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\tc\nd\ve\ff\rg")] if split else []
+        return split and plain and "".join(pieces) == "abcdefg" and shape["post_processor"] is None
+
+    def spans(self, t: tx.Texts) -> tuple[np.ndarray, np.ndarray]:
+        return t.words(tx.SPACE_WORDS)[:2]
+
+    def encode(self, t: tx.Texts) -> list[np.ndarray]:
+        if self.stand_alone:
+            return super().encode(t)
+        return [self.whole(t.data[a:b].tobytes().decode()) for a, b in zip(t.start[:-1], t.start[1:])]
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One per Python worker and file."""
+    if (path, "words") not in _encoders:
+        _encoders[path, "words"] = WordEncoder(path)
+    return _encoders[path, "words"]
+
+
 class Packer:
     """Open windows of one task. A piece is (id, start, ids, doc_tokens)."""
 
