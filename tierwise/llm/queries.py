@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_repair import conversation_repair
 from .decontamination import decontamination
 from .html_extraction import html_extraction
 from .license_scan import license_scan
@@ -69,6 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_records": op13_token_records,
 }
 
@@ -149,4 +155,50 @@ select x.doc_id, coalesce(n, 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesc
        sha256(coalesce(items, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(n, 0) as contaminated
 from documents x left join d on x.doc_id = d.doc_id left join hit on x.doc_id = hit.doc_id left join its on x.doc_id = its.doc_id""",
+    "op12_conversation_repair": r"""
+with recursive
+bits as (select i, i as c, 0 as k from range(256) as t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+tab as (select list(c order by i) as tab from bits where k = 8),
+named as (select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+crc as (select named.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: cast(ascii(x) as bigint))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 as k from named, tab),
+r as (
+  select conv_id, turn, case when k = 4 then 'user' else coalesce(role, ' ') end as role,
+         case when k = 1 then '' when k = 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text
+  from crc, range(1, 3) as t(copy) where k <> 0 and (copy = 1 or k = 3)),
+n as (
+  select *, row_number() over (partition by conv_id, role, text order by i) as seen, regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as tail, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as c
+  from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from r)),
+f as (select *, case when tail = '' then 'blank' when seen > 1 then 'duplicate' when tail not in ('.', '!', '?') then 'truncated' else 'none' end as fault, lag(c) over (partition by conv_id order by i) as b from n),
+s as (select conv_id, i, c, role, text, case fault when 'truncated' then 1 when 'none' then 0 end as m from f),
+counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated, count(*) filter (b || c not in ('su', 'ua', 'au')) as illegal from f group by conv_id),
+v as (
+  select conv_id, n + 1 as i, [0, 4, 2, 0] as v from counts
+  union all
+  select conv_id, i, [least(e, 2 + u, 4 + a), least(s, 2 + u, 4 + a), least(u, 2 + a), least(a, 2 + u)] from (
+    select s.conv_id, s.i,
+           least(3 + v[1], coalesce(m + 2 + v[3], 99999999), coalesce(m + case c when 's' then v[2] when 'u' then v[3] end, 99999999)) as e,
+           least(3 + v[2], coalesce(m + 2 + v[3], 99999999), coalesce(m + case c when 'u' then v[3] end, 99999999)) as s,
+           least(3 + v[3], coalesce(m + 2 + v[4], 99999999), coalesce(m + case c when 'a' then v[4] end, 99999999)) as u,
+           least(3 + v[4], coalesce(m + 2 + v[3], 99999999), coalesce(m + case c when 'u' then v[3] end, 99999999)) as a
+    from v join s on v.conv_id is not distinct from s.conv_id and s.i = v.i - 1)),
+step as (
+  select here.conv_id, here.i, here.v as here, next.v as next, c, role, text, m
+  from v as here left join v as next on here.conv_id is not distinct from next.conv_id and next.i = here.i + 1 left join s on here.conv_id is not distinct from s.conv_id and here.i = s.i),
+w as (
+  select conv_id, cast(1 as bigint) as i, 1 as q, '' as audit, cast([] as varchar[]) as lines from counts
+  union all
+  select conv_id, case when letter = 'I' then i else i + 1 end, case letter when 'D' then q when 'K' then kept else due end, audit || letter,
+         case letter when 'D' then lines when 'K' then list_append(lines, role || ':' || text) else list_append(lines, case due when 3 then 'user:' else 'assistant:' end || case when letter = 'R' then text else '' end) end
+  from (
+    select *, case when 3 + next[q] = here[q] then 'D' when 2 + here[due] = here[q] then 'I' when m + next[kept] = here[q] then 'K' else 'R' end as letter
+    from (
+      select w.*, case when q = 3 then 4 else 3 end as due, case when c = 's' and q = 1 then 2 when c = 'u' and q <> 3 then 3 when c = 'a' and q = 3 then 4 end as kept, here, next, role, text, m
+      from w join step on w.conv_id is not distinct from step.conv_id and w.i = step.i where step.next is not null or q in (2, 3)))),
+done as (select w.conv_id, audit, lines from w join counts on w.conv_id is not distinct from counts.conv_id and w.i = n + 1 and w.q in (1, 4))
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       coalesce(cast(v.v[1] as bigint), 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) as a left join counts on a.conv_id is not distinct from counts.conv_id left join v on a.conv_id is not distinct from v.conv_id and v.i = 1
+left join done on a.conv_id is not distinct from done.conv_id""",
 }
