@@ -14,6 +14,7 @@ from .lm_scoring import lm_scoring
 from .ngram_join import ngram_components
 from .packing import packing
 from .quality_rules import quality_rules
+from .source_divergence import source_divergence
 from .suffix_dedup import suffix_dedup
 from .token_records import token_round_trip
 from .url_filters import url_filters
@@ -70,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair(table(spark, sf_dir, "conversations"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_token_records": op13_token_records,
 }
@@ -155,6 +161,25 @@ select x.doc_id, coalesce(n, 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesc
        sha256(coalesce(items, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(n, 0) as contaminated
 from documents x left join d on x.doc_id = d.doc_id left join hit on x.doc_id = hit.doc_id left join its on x.doc_id = its.doc_id""",
+    "op11_source_divergence": r"""
+with d as (select doc_id, row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+k as (select lang, term from d group by 1, 2 having count(distinct row) >= 30),
+c as (select lang, source, term, count(*) as c from d join k using (lang, term) group by 1, 2, 3),
+g as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+n as (select lang, source, coalesce(sum(c), 0) as n from g left join c using (lang, source) group by 1, 2),
+v as (select lang, count(*) as v from k group by 1),
+p as (
+  select n.lang, n.source, k.term, coalesce(c, 0) as c, 1 + (cast(1000000000 as hugeint) * (coalesce(c, 0) + 5)) // (n + 5 * v) as p
+  from n join v using (lang) join k using (lang) left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+q as (
+  select lang, term, 1 + (cast(1000000000 as hugeint) * (sum(c) + 5)) // (any_value(all_n) + 5 * any_value(v)) as q
+  from c join v using (lang) join (select lang, sum(n) as all_n from n group by 1) using (lang) group by 1, 2),
+f as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by 1, 2, 3),
+a as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(f.value, 0) as value
+      from g x join g y on x.lang = y.lang and x.source <> y.source left join f on f.lang = x.lang and f.source = x.source and f.item = y.source),
+b as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where c > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from a union all select * from b))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from r where part = 'pair' or rank <= 50""",
     "op12_conversation_repair": r"""
 with recursive
 bits as (select i, i as c, 0 as k from range(256) as t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
