@@ -184,7 +184,7 @@ class _Block:
 BLOCKS = "block long, turns array<long>, roles array<string>, texts array<string>, symbols string, digests array<struct<place int, digest binary>>"
 
 
-def _blocked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocked(batches: Iterable[pa.RecordBatch], most_rows: int, most_chars: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (part, conv, turn, role, text, gone) as one row per block, with the symbols that a row alone decides."""
     out: list[tuple] = []
     number = None
@@ -215,7 +215,7 @@ def _blocked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number is None and rows.num_rows:
             number = rows.column(0)[0].as_py() << 33
         for _, conv, turn, role, text, gone in zip(*(c.to_pylist() for c in rows.columns)):
-            if block is None or conv != now or len(block.turns) >= BLOCK_ROWS or block.chars >= BLOCK_CHARS:
+            if block is None or conv != now or len(block.turns) >= most_rows or block.chars >= most_chars:
                 if block is not None:
                     close(now, block)
                 now, block = conv, _Block()
@@ -386,7 +386,7 @@ def _stream(rows: DataFrame) -> DataFrame:
     dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order, F.asc("tie"))
     dealt = dealt.sortWithinPartitions(*order[:3], F.asc("text")).select(F.spark_partition_id().alias("part"), "conv", "turn", "role", "text", "gone")
     kind = rows.schema["conv"].dataType.simpleString()
-    blocks = written(dealt.mapInArrow(tx.trimmed(_blocked), f"conv {kind}, {BLOCKS}"), "conversations")
+    blocks = written(dealt.mapInArrow(tx.trimmed(functools.partial(_blocked, most_rows=BLOCK_ROWS, most_chars=BLOCK_CHARS)), f"conv {kind}, {BLOCKS}"), "conversations")
 
     digests = blocks.select("conv", "block", F.explode("digests").alias("d"))
     firsts = digests.groupBy("conv", "d.digest").agg(F.min(F.struct("block", "d.place")).alias("at")).groupBy(F.col("at.block").alias("block")).agg(F.collect_list("at.place").alias("firsts"))

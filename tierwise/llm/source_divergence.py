@@ -21,10 +21,10 @@ or no distance where V is 0. An empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -79,7 +79,7 @@ def _terms(t: tx.Texts, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.nda
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], most: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, text) as counts, with a row without a term for every group."""
     held: list[pa.Table] = []
     rows = 0
@@ -97,15 +97,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = len(first)
         held.append(pa.table([*names.select(["lang", "source"]).columns, pa.nulls(mark, pa.large_string()), pa.array(np.zeros(mark, np.int64)), pa.array(np.zeros(mark, np.int64))], names=["lang", "source", "term", "n", "docs"]))
         rows += mark
-        for t in tx.slices(batch.column(2), SLICE):
+        for t in tx.slices(batch.column(2), slice_bytes):
             code, term, n, docs = _terms(t, group[t.first : t.first + t.n])
             own = names.select(["lang", "source"]).take(pa.array(code))
             held.append(pa.table([*own.columns, term, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"]))
             rows += len(n)
-            if rows > HELD:
+            if rows > most:
                 held = [joined()]
                 rows = len(held[0])
-                if rows > HELD // 2:
+                if rows > most // 2:
                     yield from held[0].cast(_COUNTS).combine_chunks().to_batches()
                     held, rows = [], 0
     if held:
@@ -119,7 +119,7 @@ def kept_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     """(lang, source, term, n, total) of each kept term in the groups that have it, ``total`` its count in the language, and
     one row without a term for every group."""
     rows = docs.select(*[F.col(c).cast("string").alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    parts = rows.mapInArrow(tx.trimmed(_counted), COUNTS)
+    parts = rows.mapInArrow(tx.trimmed(partial(_counted, most=HELD, slice_bytes=SLICE)), COUNTS)
     counts = parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_term = W.partitionBy("lang", "term")
     known = counts.withColumns({"total": F.sum("n").over(by_term), "in_docs": F.sum("docs").over(by_term)})
@@ -138,7 +138,7 @@ def runs_of(place: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray
     return edge[1:][last], value[last]
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _columns(batches: Iterator[pa.RecordBatch], most_terms: int, most_entries: int) -> Iterator[pa.RecordBatch]:
     """Terms in order (part, lang, entries) as blocks: one row without a source for its size, one for each source in it."""
     number, held, size, entries, now = None, [], 0, 0, None
 
@@ -168,10 +168,10 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = flat.field(0).cast(pa.string()), flat.field(1).to_numpy()
         i = 0
         while i < len(langs):
-            if size and (langs[i] != now or size >= BLOCK_TERMS or entries >= BLOCK_ENTRIES):
+            if size and (langs[i] != now or size >= most_terms or entries >= most_entries):
                 yield close()
             now, j = langs[i], i
-            while j < len(langs) and langs[j] == now and size + j - i < BLOCK_TERMS and entries + offset[j] - offset[i] < BLOCK_ENTRIES:
+            while j < len(langs) and langs[j] == now and size + j - i < most_terms and entries + offset[j] - offset[i] < most_entries:
                 j += 1
             a, b = offset[i], offset[j]
             held.append((names[a:b], size + np.repeat(np.arange(j - i), np.diff(offset[i : j + 1])), counts[a:b]))
@@ -186,7 +186,7 @@ def blocks_of(kept: DataFrame) -> DataFrame:
     order = [F.col("lang"), F.slice("entries", 1, 8).alias("head"), F.xxhash64("entries").alias("vector"), F.xxhash64("term").alias("tie")]
     keyed = terms.select(*order, "entries")
     dealt = keyed.repartitionByRange("lang", "head", "vector", "tie").sortWithinPartitions("lang", "head", "vector", "tie")
-    return written(dealt.select(F.spark_partition_id().alias("part"), "lang", "entries").mapInArrow(tx.trimmed(_columns), RUNS), "columns")
+    return written(dealt.select(F.spark_partition_id().alias("part"), "lang", "entries").mapInArrow(tx.trimmed(partial(_columns, most_terms=BLOCK_TERMS, most_entries=BLOCK_ENTRIES)), RUNS), "columns")
 
 
 def distance(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
@@ -196,16 +196,16 @@ def distance(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     return int((np.abs(p - q) * np.diff(ends, prepend=0)).sum())
 
 
-def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
+def _tile(rows: pa.Table) -> pa.Table:
     """Distances inside a tile, or between the columns of two tiles, of one block."""
     columns = []
-    for size, ends, counts, total, terms in zip(pdf["size"], pdf["ends"], pdf["counts"], pdf["total"], pdf["terms"]):
-        ends, counts = (np.array([size], np.int64), np.zeros(1, np.int64)) if ends is None else (np.asarray(ends, np.int64), np.asarray(counts, np.int64))
-        columns.append((ends, p_array(counts, int(total), int(terms)) if size else counts))
-    names, sides = pdf["source"].tolist(), pdf["tile"].tolist()
-    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    pairs = [(a, b) for a, b in combinations(range(len(names)), 2) if same or sides[a] != sides[b]]
-    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "a": [names[a] for a, _ in pairs], "b": [names[b] for _, b in pairs], "value": np.array([distance(columns[a], columns[b]) for a, b in pairs], np.int64)})
+    for size, ends, counts, total, terms in zip(*(rows.column(n).to_pylist() for n in ("size", "ends", "counts", "total", "terms"))):
+        ends, counts = (np.array(x, np.int64) for x in (([size], [0]) if ends is None else (ends, counts)))
+        columns.append((ends, p_array(counts, total, terms) if size else counts))
+    names, sides, lang, i, j = (rows.column(n).to_pylist() for n in ("source", "tile", "lang", "i", "j"))
+    pairs = [(a, b) for a, b in combinations(range(len(names)), 2) if i[0] == j[0] or sides[a] != sides[b]]
+    out = [lang[:1] * len(pairs), [names[a] for a, _ in pairs], [names[b] for _, b in pairs], [distance(columns[a], columns[b]) for a, b in pairs]]
+    return pa.table([pa.array(c, t) for c, t in zip(out, (*[pa.string()] * 3, pa.int64()))], names=["lang", "a", "b", "value"])
 
 
 def groups_of(kept: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def pair_distances(groups: DataFrame, blocks: DataFrame) -> DataFrame:
     tiles = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     dense = dense.join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int"))
     dealt = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-    sums = dealt.select("lang", "block", "source", "size", "ends", "counts", "total", "terms", "tile", "i", "j").groupBy("lang", "block", "i", "j").applyInPandas(_tile, "lang string, a string, b string, value long")
+    sums = dealt.select("lang", "block", "source", "size", "ends", "counts", "total", "terms", "tile", "i", "j").groupBy("lang", "block", "i", "j").applyInArrow(_tile, "lang string, a string, b string, value long")
     pairs = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")).withColumn("way", F.explode(F.array(F.lit(False), F.lit(True))))
     return pairs.select("lang", F.when(F.col("way"), F.col("b")).otherwise(F.col("a")).alias("source"), F.when(F.col("way"), F.col("a")).otherwise(F.col("b")).alias("other"), "value")
 
