@@ -153,8 +153,7 @@ def test_grown_units(spark):
     assert bag(units(rule, shuffled)) == got
     count = lambda r: len({(x[0], x[2]) for x in bag(units(r))})
     assert count(P.Rule(9000, 150.0, 0.3)) <= count(rule) <= count(P.Rule(4000, 60.0, 0.3))
-    with pytest.raises(ValueError, match="too large"):
-        P.grown(spark.createDataFrame(atoms, schema), e, rule, max_atoms=3)
+    assert bag(P.grown(spark.createDataFrame(atoms, schema), e, rule, block_atoms=3)) == got
 
 
 def test_claims(spark):
@@ -239,23 +238,97 @@ def test_more_than_ten_thousand_bands(spark):
     assert len(got) == 104 and all(r["band"] == f"b{int(r['v'])}" for r in got)
 
 
-def test_grown_by_connected_piece(spark):
+GROWTH = "atom string, frame string, population long, score double, lon double, lat double, seat boolean"
+
+
+def grown_plainly(atoms, edges, rule):
+    """Unit after unit, over all atoms of a frame."""
+    from math import asin, cos, radians, sin, sqrt
+
+    own, near, centre = {a[0]: a for a in atoms}, {}, {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+
+    def km(a, b):
+        (x, y), (u, v) = (map(radians, own[k][4:6]) for k in (a, b))
+        return 2 * 6371.0 * asin(min(1, sqrt(sin((v - y) / 2) ** 2 + cos(y) * cos(v) * sin((u - x) / 2) ** 2)))
+
+    first = {a[0]: bool(a[6]) and a[3] is not None and a[3] >= rule.floor for a in atoms}
+    for seats in (True, False):
+        for c in sorted(own, key=lambda a: (-own[a][2], a)):
+            if c in centre or seats and not first[c]:
+                continue
+            unit, total = [c], own[c][2]
+            centre[c] = (c, "seat" if seats else "fallback")
+            while True:
+                edge = {b for a in unit for b in near.get(a, ()) if b not in centre and own[b][1] == own[c][1] and km(c, b) <= rule.km and total + own[b][2] <= rule.ceiling}
+                if not edge:
+                    break
+                b = min(edge, key=lambda b: (km(c, b), b))
+                centre[b], total = centre[c], total + own[b][2]
+                unit.append(b)
+    return sorted(((own[a][1], a, *centre[a], own[a][2]) for a in own), key=repr)
+
+
+def test_grown_against_a_plain_version(spark):
     atoms, edges = grid()
-    schema = "atom string, frame string, population long, score double, lon double, lat double, seat boolean"
     cut = [(a, b) for a, b in edges if {a[2], b[2]} != {"1", "2"}]  # each frame falls into two pieces
-    a, e = spark.createDataFrame([(x, None if f == "g" else f, *rest) for x, f, *rest in atoms], schema), spark.createDataFrame(cut, "src string, dst string")
+    rows = [(x, None if f == "g" else f, *rest) for x, f, *rest in atoms]
     rule = P.Rule(3000, 200.0, 0.5)
-    import pandas as pd
-
-    want = []
-    for f in ("f", "g"):
-        own = [x for x in atoms if x[1] == f]
-        pdf = pd.DataFrame(own, columns=[c.split()[0] for c in schema.split(", ")])
-        pdf["neighbours"] = [[d for s, d in cut if s == x] for x in pdf["atom"]]
-        want += [(None if f == "g" else f, *r[1:]) for r in P._grow(rule)(pdf).itertuples(index=False)]
-    assert bag(P.grown(a, e, rule, max_atoms=9)) == sorted(want, key=repr)
-    with pytest.raises(ValueError, match="too large"):
-        P.grown(a, e, rule, max_atoms=8)
+    a, e = spark.createDataFrame(rows, GROWTH), spark.createDataFrame(cut, "src string, dst string")
+    for block in (20_000, 4):
+        assert bag(P.grown(a, e, rule, block_atoms=block)) == grown_plainly(rows, cut, rule)
+
+
+@pytest.mark.parametrize("km, ceiling", [(25.0, 900), (60.0, 10**6), (12.0, 400), (400.0, 2500)])
+def test_grown_in_blocks_against_a_plain_version(spark, km, ceiling):
+    """Many centres a round, over the date line and near a pole, with ties; the blocks change nothing."""
+    rng = random.Random(km)
+    n = 26
+    atoms = []
+    for i, j in itertools.product(range(n), range(n)):
+        lon, lat = (178 + 0.1 * j, 10 + 0.1 * i) if i < 20 else (15.0 * j, 89.0 + 0.03 * (i - 20))
+        atoms.append((f"a{i:02}{j:02}", "f" if j < 23 else "g", rng.choice([50, 50, 100, 300, 301]), rng.random(), lon - 360 * (lon > 180), lat, rng.random() < 0.1))
+    edges = both([(f"a{i:02}{j:02}", f"a{x:02}{y:02}") for i, j in itertools.product(range(n), range(n)) for x, y in ((i + 1, j), (i, j + 1), (i + 1, j + 1)) if x < n and y < n and rng.random() < 0.8])
+    rule = P.Rule(ceiling, km, 0.4)
+    a, e = spark.createDataFrame(atoms, GROWTH), spark.createDataFrame(edges, "src string, dst string")
+    want = grown_plainly(atoms, edges, rule)
+    assert bag(P.grown(a, e, rule)) == want
+    assert bag(P.grown(a, e, rule, block_atoms=40)) == want
+
+
+def test_grown_of_nothing(spark):
+    a, e = spark.createDataFrame([], GROWTH), spark.createDataFrame([], "src string, dst string")
+    assert P.grown(a, e, P.Rule(10, 1.0, 0.5)).count() == 0
+
+
+def test_components_on_each_way(spark):
+    """In one task, with the star rounds, and between: paths, cliques and random edges of numbers, names and structs."""
+    rng = random.Random(2)
+    of = {"long": lambda i: i, "string": lambda i: f"é{i}", "struct<a:boolean,b:bigint,c:string>": lambda i: (i % 3 == 0, i if i % 5 else None, str(i))}
+    key = lambda x: (x[0], (x[1] is not None, x[1] or 0), x[2]) if isinstance(x, tuple) else x
+    for kind, node in of.items():
+        ids = rng.sample(range(400), 400)
+        pairs = [(ids[i], ids[i + 1]) for i in range(150) if i % 37] + [(ids[rng.randrange(160, 300)], ids[rng.randrange(160, 300)]) for _ in range(120)]
+        pairs += [(ids[300 + 10 * (i // 20) + rng.randrange(10)], ids[300 + 10 * (i // 20) + rng.randrange(10)]) for i in range(200)]
+        rows = [(node(a), node(b)) for a, b in pairs] + [(None, node(3)), (node(5), node(5))]
+        rng.shuffle(rows)
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in rows:
+            if a is not None and a != b:
+                a, b = find(key(a)), find(key(b))
+                root[max(a, b)] = min(a, b)
+        df = spark.createDataFrame(rows, f"src {kind}, dst {kind}").repartition(5)
+        plain = lambda x: key(tuple(x)) if isinstance(x, tuple) else x
+        for bound in (1 << 19, 150, 15):
+            got = {plain(r[0]): plain(r[1]) for r in connected_components(df, task_edges=bound).collect()}
+            assert got == {x: find(x) for x in list(root)}
 
 
 def test_near_pairs_and_boxes_against_all_pairs(spark):

@@ -3,27 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, slug
-from ..sources.storage import written
 from . import aggregates as A
 from .graph import components_within
+from .growth import Rule, grown  # noqa: F401
 from .joins import folded
 from .windows import free_short_names
 
 
-@dataclass(frozen=True)
-class Rule:
-    ceiling: int
-    km: float
-    floor: float
-
-
 def rule_problems(atoms: DataFrame, edges: DataFrame, rule: Rule) -> DataFrame:
     """(atom, problem) of atoms (atom, frame, population, score, lon, lat, seat) that a rule cannot use."""
     dup = atoms.groupBy("atom").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("atom", F.lit("duplicate").alias("problem"))
@@ -33,57 +24,6 @@ def rule_problems(atoms: DataFrame, edges: DataFrame, rule: Rule) -> DataFrame:
     return dup.unionByName(found).unionByName(lone)
 
 
-def _grow(rule: Rule):
-    """The units of a connected piece of a frame, grown one after another: the order decides, so a piece is one task."""
-    import numpy as np
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("atom", kind="stable").reset_index(drop=True)
-        names, population = pdf["atom"].tolist(), pdf["population"].to_numpy()
-        lon, lat = np.radians(pdf["lon"].to_numpy(float)), np.radians(pdf["lat"].to_numpy(float))
-        place = {a: i for i, a in enumerate(names)}
-        near = [[place[b] for b in row if b in place] for row in pdf["neighbours"]]
-        order = np.lexsort((np.arange(len(names)), -population))
-        qualifies = pdf["seat"].to_numpy(bool) & (pdf["score"].to_numpy(float) >= rule.floor)
-        unit = np.full(len(names), -1)
-        centres = []
-        for seats_only in (True, False):
-            for centre in order:
-                if unit[centre] >= 0 or seats_only and not qualifies[centre]:
-                    continue
-                h = np.sin((lat - lat[centre]) / 2) ** 2 + np.cos(lat) * np.cos(lat[centre]) * np.sin((lon - lon[centre]) / 2) ** 2
-                km = 2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(h)))
-                k = len(centres)
-                centres.append((names[centre], "fallback" if not seats_only else "seat"))
-                unit[centre], total = k, population[centre]
-                edge = {j for j in near[centre] if unit[j] < 0 and km[j] <= rule.km}
-                while fits := [j for j in edge if total + population[j] <= rule.ceiling]:
-                    take = min(fits, key=lambda j: (km[j], j))
-                    unit[take], total = k, total + population[take]
-                    edge.discard(take)
-                    edge |= {j for j in near[take] if unit[j] < 0 and km[j] <= rule.km}
-        return pd.DataFrame({"frame": pdf["frame"], "atom": names, "centre": [centres[u][0] for u in unit], "centre_kind": [centres[u][1] for u in unit], "population": population})
-
-    return grow
-
-
-def grown(atoms: DataFrame, edges: DataFrame, rule: Rule, max_atoms: int = 200_000) -> DataFrame:
-    """Units of each frame: from the largest qualifying seat, else the largest atom left, the nearest neighbour
-    that keeps both limits is taken until none is left. Gives (frame, atom, centre, centre_kind, population).
-
-    Growth never leaves a connected piece of a frame, so pieces run in parallel, a piece in one task; a piece of
-    over ``max_atoms`` atoms raises ValueError.
-    """
-    atoms = written(components_within(edges, atoms, ["frame"]), "pieces")
-    big = [(r["frame"], r["component"]) for r in atoms.groupBy("frame", "component").count().filter(F.col("count") > max_atoms).limit(20).collect()]
-    if big:
-        raise ValueError(f"connected pieces (frame, smallest atom) too large for one task: {big}")
-    near = edges.groupBy(F.col("src").alias("atom")).agg(F.collect_list("dst").alias("neighbours"))
-    rows = atoms.join(near, "atom", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(near.schema["neighbours"].dataType)))
-    kind = atoms.schema["atom"].dataType.simpleString()
-    return rows.groupBy("frame", "component").applyInPandas(_grow(rule), f"frame {atoms.schema['frame'].dataType.simpleString()}, atom {kind}, centre {kind}, centre_kind string, population {atoms.schema['population'].dataType.simpleString()}")
-
-
 def grown_problems(atoms: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
     """(what, problem): atoms without unit, and units in several pieces."""
     lost = atoms.select("atom").join(units, "atom", "left_anti").select(F.col("atom").cast("string").alias("what"), F.lit("unplaced").alias("problem"))
