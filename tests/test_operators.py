@@ -238,6 +238,64 @@ def test_more_than_ten_thousand_bands(spark):
     assert len(got) == 104 and all(r["band"] == f"b{int(r['v'])}" for r in got)
 
 
+@pytest.mark.parametrize("plan_cuts", [4096, 300, 3])
+def test_banded_against_a_plain_version(spark, plan_cuts):
+    """As arrays in the plan and by ranges: gaps, cuts themselves, nulls, empty bands, and values that many rows have."""
+    rng = random.Random(1)
+    cuts = sorted(rng.uniform(0, 100) for _ in range(301))
+    rows = [(f"b{i}", a, b if i % 7 else (a + b) / 2) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))] + [("empty", 5.0, 5.0), ("open", None, 3.0), ("closed", 200.0, None)]
+    values = list(enumerate([rng.uniform(-5, 105) for _ in range(300)] + cuts + [None, float("nan"), float("inf"), -float("inf")] + [50.0] * 600))
+    df = spark.createDataFrame(values, "id int, v double")
+    bands = spark.createDataFrame(rows, "band string, `from` double, `to` double")
+    want = {i: next((b for b, f, t in rows if None not in (v, f, t) and f <= v < t), None) for i, v in values}
+    out = A.banded(df, "v", bands, plan_cuts)
+    assert out.columns == ["id", "v", "band"] and {r["id"]: r["band"] for r in out.collect()} == want
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_bands_refuse_overlaps_and_name_rows_outside(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 7.0), (3, None), (4, float("nan"))], "id int, v double")
+    bands = lambda rows: spark.createDataFrame(rows, "band string, `from` double, `to` double")
+    for plan_cuts in (4096, 1):
+        with pytest.raises(Exception, match="bands overlap"):
+            A.banded(df, "v", bands([("a", 0.0, 2.0), ("b", 1.0, 3.0), ("c", 4.0, 5.0)]), plan_cuts).collect()
+    split = A.split_by_band(df, "v", bands([("a", 0.0, 1.0)]))
+    assert bag(split.ok) == [(1, 0.5, "a")] and sorted(r["id"] for r in split.rejected.collect()) == [2, 3, 4]
+    with pytest.raises(ValueError, match="outside.*7.0"):
+        R.strict(split.rejected.filter("v = 7"), "outside")
+    assert {r["band"] for r in A.banded(df, "v", bands([])).collect()} == {None}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"task_weights": 20, "cuts": 4}, {"task_weights": 1, "cuts": 7}])
+def test_kept_fraction_cut_by_refined_ranges(spark, bounds):
+    rng = random.Random(3)
+    rows = [("hot", rng.choice([1.5, rng.uniform(0, 9), rng.gauss(0, 1e6)])) for _ in range(900)] + [("one", 2.0), (None, 1.0), (None, 3.0), ("same", 4.0), ("same", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, w double").repartition(4)
+    for fraction in (0.0, 0.77):
+        want = {}
+        for g in {g for g, w in rows if w is not None}:
+            own = sorted(w for x, w in rows if x == g and w is not None)
+            want[g] = own[int((1 - fraction) * (len(own) - 1) // 1)]
+        assert dict(map(tuple, A.kept_fraction_cut(df, "g", "w", fraction, **bounds).collect())) == want
+
+
+@pytest.mark.parametrize("task_nodes", [1 << 19, 40])
+def test_chains_by_contraction(spark, task_nodes):
+    rng = random.Random(4)
+    nodes = rng.sample(range(10_000), 300)
+    chains, at = [], 0
+    while at < len(nodes):
+        n = rng.choice([1, 2, 5, 60])
+        chains.append(nodes[at : at + n])
+        at += n
+    rows = [(x, c[i - 1] if i else None) for c in chains for i, x in enumerate(c)]
+    rng.shuffle(rows)
+    want = sorted((x, c[0], i) for c in chains for i, x in enumerate(c))
+    assert sorted(tuple(r) for r in S._ranked(spark.createDataFrame(rows, "node long, prev long"), task_nodes).collect()) == want
+    named = spark.createDataFrame([((f"r{a}", a % 2), None if b is None else (f"r{b}", b % 2)) for a, b in rows], "node struct<ref:string,d:int>, prev struct<ref:string,d:int>")
+    assert sorted((int(r["node"]["ref"][1:]), int(r["head"]["ref"][1:]), r["rank"]) for r in S._ranked(named, task_nodes).collect()) == want
+
+
 GROWTH = "atom string, frame string, population long, score double, lon double, lat double, seat boolean"
 
 

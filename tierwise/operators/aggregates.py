@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+from .rows import Split
+
 
 def sums_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
@@ -61,10 +64,53 @@ def index_of(rates: Sequence[str]) -> Column:
     return F.when(sound, F.round(reduce(lambda a, b: a + b, [F.col(r) for r in rates]) / len(rates), 6))
 
 
-def banded(df: DataFrame, value: str, bands: DataFrame) -> DataFrame:
-    """``band`` with from <= value < to, null where no band holds the value."""
-    b = bands.select(F.col("band"), F.col("from").alias("__from"), F.col("to").alias("__to"))
-    return df.join(b, (F.col(value) >= F.col("__from")) & (F.col(value) < F.col("__to")), "left").drop("__from", "__to")
+#: Cuts that go into a plan as a literal array; more are dealt into ranges between so many of them.
+PLAN_CUTS = 4096
+
+
+def _last_at_most(value: Column, cuts: Column, steps: Column) -> Column:
+    """How many of the ascending cuts are at most ``value``, by binary search in descending powers of two."""
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
+
+
+def _steps(n: int) -> Column:
+    return F.lit([1 << b for b in range(max(n, 1).bit_length() - 1, -1, -1)])
+
+
+def banded(df: DataFrame, value: str, bands: DataFrame, plan_cuts: int = PLAN_CUTS) -> DataFrame:
+    """``band`` of bands (band, from, to) with from <= value < to, null where no band holds the value.
+
+    Bands are disjoint; overlapping ones raise an error, empty ones and those without a bound hold nothing. Up to
+    ``plan_cuts`` bands are searched as arrays in the plan. More are dealt by ranges between quantiles of their cuts,
+    so that a row meets one short array, whatever the number of bands; the rows of a range are joined by its number.
+    """
+    b = bands.select("band", "from", "to").filter("`from` < `to`")
+    few = b.orderBy("from").limit(plan_cuts + 1).collect()  # bounded
+    if not few:
+        return df.withColumn("band", F.lit(None).cast(bands.schema["band"].dataType))
+    if len(few) <= plan_cuts:
+        if any(x["to"] > y["from"] for x, y in zip(few, few[1:])):
+            raise ValueError("bands overlap: " + ", ".join(f"{x['band']} and {y['band']}" for x, y in zip(few, few[1:]) if x["to"] > y["from"]))
+        at = _last_at_most(F.col(value), F.lit([r["from"] for r in few]), _steps(len(few))) - 1
+        return df.withColumn("__at", at).withColumn("band", F.when((F.col("__at") >= 0) & (F.col(value) < F.get(F.lit([r["to"] for r in few]), "__at")), F.get(F.lit([r["band"] for r in few]), "__at"))).drop("__at")
+    cuts = sorted(set(b.agg(F.percentile_approx("from", [i / plan_cuts for i in range(plan_cuts)], 10 * plan_cuts)).first()[0]) | {few[0]["from"]})
+    of = lambda c: _last_at_most(F.col(c), F.lit(cuts), _steps(len(cuts)))
+    ranges = b.withColumn("__range", of("from")).groupBy("__range").agg(F.array_sort(F.collect_list(F.struct("from", "to", "band"))).alias("s"))
+    ranges = ranges.select("__range", F.col("s.from").alias("__froms"), F.col("s.to").alias("__tos"), F.col("s.band").alias("__names"))
+    later = F.concat(F.slice("__froms", 2, F.size("__froms")), F.array_compact(F.array(F.get(F.lit(cuts), "__range"))))
+    clash = F.exists(F.arrays_zip(F.slice("__tos", 1, F.size(later)).alias("t"), later.alias("f")), lambda x: x["t"] > x["f"])
+    bits = F.floor(F.log2(F.size("__froms"))).cast("int")
+    ranges = ranges.withColumns({"__tos": F.when(clash, F.raise_error(F.lit("bands overlap"))).otherwise(F.col("__tos")), "__steps": F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda x: F.call_function("shiftleft", F.lit(1), x))})
+    found = df.withColumn("__range", of(value)).join(ranges, "__range", "left")
+    at = _last_at_most(F.col(value), F.col("__froms"), F.col("__steps")) - 1
+    found = found.withColumn("__at", at).withColumn("band", F.when(F.col(value) < F.get("__tos", "__at"), F.get("__names", "__at")))
+    return found.drop("__range", "__froms", "__tos", "__names", "__steps", "__at")
+
+
+def split_by_band(df: DataFrame, value: str, bands: DataFrame) -> Split:
+    """Rows with their band, and those whose value is null or in no band, for ``rows.strict`` to refuse."""
+    rows = banded(df, value, bands)
+    return Split(rows.filter("band is not null"), rows.filter("band is null").drop("band"))
 
 
 def band_counts(df: DataFrame, bands: DataFrame) -> DataFrame:
@@ -144,15 +190,28 @@ def changes(df: DataFrame, key: str, before: str, after: str, more_than: float)
     return g.filter(F.abs("change") > more_than).orderBy("change", key)
 
 
-def kept_fraction_cut(df: DataFrame, group: str, weight: str, fraction: float) -> DataFrame:
+def kept_fraction_cut(df: DataFrame, group: str, weight: str, fraction: float, task_weights: int = 1_000_000, cuts: int = 1000) -> DataFrame:
     """The weight at index floor((1 - fraction) * (n - 1)) of each group's sorted weights; nulls are no weights.
 
-    Equal weights are counted together first, so a group is ranked by its distinct weights only.
+    Equal weights are counted together first. While a group has more than ``task_weights`` distinct weights, they are counted
+    between ``cuts`` quantiles of it, and only the range that holds the index stays: exact, as the counts are, whatever
+    the quantiles. What is left of a group is then ranked by one task.
     """
-    w = df.filter(F.col(weight).isNotNull()).groupBy(group, weight).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(W.partitionBy(group).orderBy(weight))
-    at = F.floor(F.lit(1 - fraction) * (F.sum("__n").over(W.partitionBy(group)) - 1)) + 1
-    return w.withColumns({"__upto": upto, "__at": at}).filter("__upto >= __at").groupBy(group).agg(F.min(weight).alias("cut"))
+    w = df.filter(F.col(weight).isNotNull()).groupBy(F.col(group).alias("g"), F.col(weight).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    w = written(w, "weights")
+    total = w.groupBy("g").agg((F.floor(F.lit(1 - fraction) * (F.sum("n") - 1)) + 1).alias("at"), F.count(F.lit(1)).alias("size"))
+    while (total.agg(F.max("size").alias("most")).first()["most"] or 0) > task_weights:
+        found = w.groupBy("g").agg(F.array_distinct(F.percentile_approx("w", [i / cuts for i in range(cuts)], 10 * cuts)).alias("cuts"))
+        ranged = w.join(found.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).withColumn("range", _last_at_most(F.col("w"), F.col("cuts"), _steps(cuts))).select("g", "w", "n", "range")
+        counts = ranged.groupBy("g", "range").agg(F.sum("n").alias("in_range")).join(total.select(F.col("g").alias("h"), "at"), F.col("g").eqNullSafe(F.col("h")))
+        counts = counts.withColumn("before", F.sum("in_range").over(W.partitionBy("g").orderBy("range")) - F.col("in_range"))  # at most cuts + 1 rows a group
+        here = counts.filter((F.col("before") < F.col("at")) & (F.col("at") <= F.col("before") + F.col("in_range"))).select("h", F.col("range").alias("own"), (F.col("at") - F.col("before")).alias("at"))
+        w = written(ranged.join(here, F.col("g").eqNullSafe(F.col("h")) & (F.col("range") == F.col("own"))).select("g", "w", "n", "at"), "weights")
+        total = w.groupBy("g").agg(F.first("at").alias("at"), F.count(F.lit(1)).alias("size"))
+        w = w.select("g", "w", "n")
+    upto = F.sum("n").over(W.partitionBy("g").orderBy("w"))
+    ranked = w.withColumn("upto", upto).join(total.select(F.col("g").alias("h"), "at"), F.col("g").eqNullSafe(F.col("h")))
+    return ranked.filter("upto >= at").groupBy(F.col("g").alias(group)).agg(F.min("w").alias("cut"))
 
 
 def presence(categories: DataFrame, dominants: DataFrame, category: str) -> DataFrame:

@@ -28,12 +28,12 @@ from ..sources.storage import written
 TASK_EDGES = 1 << 19
 
 
-def _order_codes(values: pa.Array) -> np.ndarray:
+def order_codes(values: pa.Array) -> np.ndarray:
     """Integers in the order of ``values``, equal for equal ones; structs are ordered field by field, nulls first."""
     if pa.types.is_struct(values.type):
         code = np.zeros(len(values), np.int64)
         for field in values.flatten():
-            own = _order_codes(field)
+            own = order_codes(field)
             code = np.unique(code * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
         return code
     if pa.types.is_integer(values.type) and not values.null_count:
@@ -68,7 +68,7 @@ def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 def _forest(edges: pa.Table, names: tuple[str, str], trees: bool) -> pa.Table:
     """An edge from each node to its root, those of the roots themselves only with ``trees``."""
     ends = pa.concat_arrays([edges.column(k).combine_chunks() for k in (0, 1)])
-    code, at = _order_codes(ends), None
+    code, at = order_codes(ends), None
     found, at, code = np.unique(code, return_index=True, return_inverse=True)
     root = roots(code[: len(edges)], code[len(edges) :], len(found))
     own = np.flatnonzero((root != np.arange(len(root))) | trees)

@@ -137,6 +137,12 @@ def ag14(t: Tables):
     return A.banded(indexed(t).select("atom", "score"), "score", bands(t))
 
 
+@query("ag14_outside", f"select atom, score from ({_INDEX}) where not exists (select 1 from {_BANDS} where score >= f and score < t)")
+def ag14_outside(t: Tables):
+    """Rows that no band holds, as an output; ``rows.strict`` makes them an error."""
+    return A.split_by_band(indexed(t).select("atom", "score"), "score", bands(t)).rejected
+
+
 @query("ag15_band_counts", f"select band, count(score) as rows from {_BANDS} left join ({_INDEX}) on score >= f and score < t group by 1")
 def ag15(t: Tables):
     return A.band_counts(A.banded(indexed(t), "score", bands(t)), bands(t)).select("band", "rows")
