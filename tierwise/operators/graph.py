@@ -31,16 +31,17 @@ def adjacency(incidence: DataFrame, arc: str, atom: str, max_owners: int = 1000)
     return edges, n.filter(F.col("owners") > max_owners)
 
 
-def links(incidence: DataFrame, arc: str, atom: str, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+def links(incidence: DataFrame, arc: str, atom: str, members: DataFrame, keys: Sequence[str], once: bool = False) -> DataFrame:
     """Edges that connect what ``adjacency`` connects inside each key: from each atom of an arc to the smallest one.
 
     As many as there are owners at most, and in the place of ``adjacency`` for connected groups inside ``keys`` only.
+    With ``once`` they come in one direction and may be repeated, which is all that components need.
     """
     own = incidence.select(F.col(arc).alias("arc"), F.col(atom).alias("atom")).filter("arc is not null and atom is not null")
-    own = own.join(members.select("atom", F.struct(*keys).alias("__key")), "atom").distinct()
+    own = own.join(members.select("atom", F.struct(*keys).alias("__key")), "atom")
     least = own.groupBy("arc", "__key").agg(F.min("atom").alias("dst"))
-    out = own.join(least, ["arc", "__key"]).filter("atom <> dst").select(F.col("atom").alias("src"), "dst").distinct()
-    return out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    out = own.join(least, ["arc", "__key"]).filter("atom <> dst").select(F.col("atom").alias("src"), "dst")
+    return out if once else out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def graph_problems(edges: DataFrame, roster: DataFrame, incidence: DataFrame | None = None) -> DataFrame:
@@ -59,33 +60,37 @@ def graph_problems(edges: DataFrame, roster: DataFrame, incidence: DataFrame | N
     return out
 
 
-def components_within(edges: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``members`` (atom, keys) with ``component``, the smallest atom that is reachable without leaving the key."""
-    a = members.select(F.col("atom").alias("src"), F.struct(*keys).alias("__a"))
-    b = members.select(F.col("atom").alias("dst"), F.struct(*keys).alias("__b"))
-    inner = edges.join(a, "src").join(b, "dst").filter("__a = __b").select("src", "dst")
-    found = connected_components(inner)
+def components_within(edges: DataFrame, members: DataFrame, keys: Sequence[str], inner: bool = False) -> DataFrame:
+    """``members`` (atom, keys) with ``component``, the smallest atom that is reachable without leaving the key.
+
+    ``inner`` says that no edge leaves its key, as with ``links``, so that keys need not be looked up.
+    """
+    if not inner:
+        a = members.select(F.col("atom").alias("src"), F.struct(*keys).alias("__a"))
+        b = members.select(F.col("atom").alias("dst"), F.struct(*keys).alias("__b"))
+        edges = edges.join(a, "src").join(b, "dst").filter("__a = __b").select("src", "dst")
+    found = connected_components(edges)
     return members.join(found, members["atom"] == found["node"], "left").withColumn("component", F.coalesce("component", "atom")).drop("node")
 
 
-def contiguity(edges: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+def contiguity(edges: DataFrame, members: DataFrame, keys: Sequence[str], inner: bool = False) -> DataFrame:
     """Per key its pieces, whether it is one, and the sizes of its pieces, largest first."""
-    pieces = components_within(edges, members, keys).groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
+    pieces = components_within(edges, members, keys, inner).groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.col("component"))))
     return pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("pieces"), order.alias("o")).select(*keys, "pieces", (F.col("pieces") == 1).alias("contiguous"), F.transform("o", lambda x: -x["neg"]).alias("sizes"))
 
 
-def detached(edges: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+def detached(edges: DataFrame, members: DataFrame, keys: Sequence[str], inner: bool = False) -> DataFrame:
     """Atoms outside the largest piece of their key (of equals the one with the smallest atom)."""
-    c = components_within(edges, members, keys)
+    c = components_within(edges, members, keys, inner)
     size = c.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
     main = size.groupBy(*keys).agg(F.min_by("component", F.struct(-F.col("size"), F.col("component"))).alias("main"))
     return c.join(main, list(keys)).filter("component <> main").drop("main")
 
 
-def grouped(edges: DataFrame, members: DataFrame, keys: Sequence[str], population: str) -> DataFrame:
+def grouped(edges: DataFrame, members: DataFrame, keys: Sequence[str], population: str, inner: bool = False) -> DataFrame:
     """Connected groups of one key: size, population and principal atom (the most populous, then the smallest)."""
-    c = components_within(edges, members, keys)
+    c = components_within(edges, members, keys, inner)
     return c.groupBy(*keys, "component").agg(
         F.count(F.lit(1)).alias("size"), F.sum(population).alias("population"), F.min_by("atom", F.struct(-F.col(population), F.col("atom"))).alias("principal")
     )
@@ -100,7 +105,7 @@ class Regions:
     refused: DataFrame
 
 
-def category_regions(scope: DataFrame, facts: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> Regions:
+def category_regions(scope: DataFrame, facts: DataFrame, edges_of: Callable[[DataFrame], DataFrame], inner: bool = False) -> Regions:
     """Connected groups of one category over ``scope`` (atom), from ``facts`` (atom, category, population).
 
     Regions (category, component, size, population, principal, name) are named by their category, with the principal
@@ -112,7 +117,7 @@ def category_regions(scope: DataFrame, facts: DataFrame, edges_of: Callable[[Dat
     reason = F.when(F.col("times") > 1, "named twice").when(F.col("known").isNull(), "no facts").when(F.col("population").isNull(), "no population")
     judged = named.withColumn("reason", reason)
     members = judged.filter("reason is null and category is not null").select("atom", "category", "population")
-    groups = grouped(edges_of(members), members, ["category"], "population")
+    groups = grouped(edges_of(members), members, ["category"], "population", inner)
     several = groups.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     name = F.when(F.col("n") > 1, F.concat("category", F.lit(" ("), F.col("principal").cast("string"), F.lit(")"))).otherwise(F.col("category"))
     regions = groups.join(several, "category").withColumn("name", name).drop("n")

@@ -22,7 +22,7 @@ def edges(t: Tables):
 
 def within(t: Tables, members, keys: list[str]):
     """(links, members, keys) of the groups that are connected inside ``keys``."""
-    return G.links(incidence(t), "arc", "atom", members, keys), members, keys
+    return G.links(incidence(t), "arc", "atom", members, keys, once=True), members, keys
 
 
 def atoms(t: Tables):
@@ -63,13 +63,13 @@ def g2(t: Tables):
 @query("g3_contiguity", components_sql(_M, "frame") + """, p as (select frame, component, count(*) as size from c join m using (atom) group by 1, 2)
 select frame, count(*) as pieces, count(*) = 1 as contiguous, string_agg(cast(size as varchar), ',' order by size desc, component) as sizes from p group by 1""")
 def g3(t: Tables):
-    return G.contiguity(*within(t, atoms(t).select("atom", "frame"), ["frame"])).withColumn("sizes", F.array_join(F.col("sizes").cast("array<string>"), ","))
+    return G.contiguity(*within(t, atoms(t).select("atom", "frame"), ["frame"]), inner=True).withColumn("sizes", F.array_join(F.col("sizes").cast("array<string>"), ","))
 
 
 @query("wn12_detached", components_sql(_M, "frame") + """, p as (select frame, component, row_number() over (partition by frame order by count(*) desc, component) as k from c join m using (atom) group by 1, 2)
 select atom, frame, component from c join m using (atom) join p using (frame, component) where k > 1""")
 def wn12(t: Tables):
-    return G.detached(*within(t, atoms(t).select("atom", "frame"), ["frame"])).select("atom", "frame", "component")
+    return G.detached(*within(t, atoms(t).select("atom", "frame"), ["frame"]), inner=True).select("atom", "frame", "component")
 
 
 _CAT = f"select m.atom, case when m.atom % 9 <> 0 then 'cat ' || (m.atom % 3) end as category, population from ({_M}) m"
@@ -78,7 +78,7 @@ _REGIONS = components_sql(f"select * from ({_CAT}) where category is not null",
 
 def regions(t: Tables):
     m = atoms(t).select("atom", F.when(F.col("atom") % 9 != 0, F.concat(F.lit("cat "), F.col("atom") % 3)).alias("category"), "population")
-    return G.grouped(*within(t, m.filter("category is not null"), ["category"]), "population")
+    return G.grouped(*within(t, m.filter("category is not null"), ["category"]), "population", inner=True)
 
 
 def _scope(t: Tables) -> G.Regions:
@@ -86,7 +86,7 @@ def _scope(t: Tables) -> G.Regions:
     k = F.col("atom")
     scope = t.supplier.select(F.col("s_suppkey").alias("atom"))
     facts = atoms(t).filter(k % 17 != 1).select("atom", F.when(k % 9 != 0, F.concat(F.lit("cat "), k % 3)).alias("category"), F.when(k % 19 != 2, F.col("population")).alias("population"))
-    return G.category_regions(scope.unionByName(scope.filter("atom % 23 = 3")), facts, lambda m: within(t, m, ["category"])[0])
+    return G.category_regions(scope.unionByName(scope.filter("atom % 23 = 3")), facts, lambda m: within(t, m, ["category"])[0], inner=True)
 
 
 _SCOPE = f"select m.atom, case when m.atom % 23 = 3 then 'named twice' when m.atom % 17 = 1 then 'no facts' when m.atom % 19 = 2 then 'no population' end as reason, case when m.atom % 9 <> 0 then 'cat ' || (m.atom % 3) end as category, population from ({_M}) m"
@@ -115,7 +115,7 @@ _BAND = "case when s_acctbal < 2500 then 'low' when s_acctbal < 6000 then 'middl
 @query("g6_band_groups", components_sql(_M.replace("select ", f"select {_BAND} as band, ", 1), "frame, band") + " select frame, band, component, count(*) as size, cast(sum(population) as bigint) as population, first(atom order by population desc, atom) as principal from c join m using (atom) group by 1, 2, 3")
 def g6(t: Tables):
     cuts = t.spark.createDataFrame([("low", -1e9, 2500.0), ("middle", 2500.0, 6000.0), ("high", 6000.0, 1e9)], "band string, `from` double, `to` double")
-    return G.grouped(*within(t, A.banded(atoms(t), "s_acctbal", cuts).select("atom", "frame", "band", "population"), ["frame", "band"]), "population")
+    return G.grouped(*within(t, A.banded(atoms(t), "s_acctbal", cuts).select("atom", "frame", "band", "population"), ["frame", "band"]), "population", inner=True)
 
 
 @query("ag28_edge_count", f"select (select count(*) from ({_E})) // 2 as edges, (select count(*) from supplier where s_suppkey not in (select src from ({_E}))) as isolated")
@@ -128,5 +128,5 @@ def ag28(t: Tables):
 
 @query("ag29_component_attributes", components_sql(_M, "frame") + " select component, round(avg(population), 4) as mean, cast(sum(population) as bigint) as population, first(atom order by population desc, atom) as principal from c join m using (atom) group by 1")
 def ag29(t: Tables):
-    g = G.grouped(*within(t, atoms(t).select("atom", "frame", "population"), ["frame"]), "population")
+    g = G.grouped(*within(t, atoms(t).select("atom", "frame", "population"), ["frame"]), "population", inner=True)
     return g.select("component", F.round(F.col("population") / F.col("size"), 4).alias("mean"), "population", "principal")
