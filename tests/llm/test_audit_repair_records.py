@@ -298,7 +298,7 @@ def summed(rows):
     return out
 
 
-ODD = ["A b c　d", "x\x1cy\x1dz\x85w", "é éé", " ́a", "ΣΑΣ ΣΣ Σ", "İstanbul ﬁ ① it's 'S 'Re", "<|endoftext|>x <|startoftext|> <| endoftext|>", "a\x00b \x00", "12 345,6", "日本 語", "​q‍ r", "Ǆ ǅ", "﻿bom"]
+ODD = ["A b c　d", "x\x1cy\x1dz\x85w", "é éé", " ́a", "ΣΑΣ ΣΣ Σ", "İstanbul ﬁ ① it's 'S 'Re", "<|endoftext|>x <|startoftext|> <| endoftext|>", "a\x00b \x00", "12 345,6", "日本 語", "​q‍ r", "The THE the, the. (the) [the]'s it's, 'tis ''s a-b_c a'-s 1,000.5 x=y;z #tag @me e\u0301, ,\u0301a É.É <|ENDOFTEXT|> <|endoftext|>", "Ǆ ǅ", "﻿bom"]
 
 
 def test_records_round_trip_of_edges(spark):

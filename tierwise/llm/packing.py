@@ -50,7 +50,7 @@ class Encoder:
     as many ids.
     """
 
-    stand_alone = False
+    table = tx.BYTES
 
     def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -129,7 +129,7 @@ class Encoder:
         if self.known > self.limit or self.used > 4 * self.limit:
             self.clear()
         cut, ends = self.spans(t)
-        hashes = t.hashes(cut, ends, tx.BYTES)
+        hashes = t.hashes(cut, ends, self.table)
         at = self._find(hashes)
         new = np.flatnonzero(at < 0)
         if len(new):
@@ -142,8 +142,6 @@ class Encoder:
         ids = self.ids[index].astype(np.uint32)
         total = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(cut, t.start)]
         out = [ids[a:b] for a, b in zip(total[:-1], total[1:])]
-        if self.stand_alone:
-            return out
         special = np.flatnonzero((t.data[:-1] == 0x3C) & (t.data[1:] == 0x7C))
         for i in np.unique(np.searchsorted(t.start, special, "right") - 1).tolist():
             out[i] = self.whole(t.data[t.start[i] : t.start[i + 1]].tobytes().decode())
@@ -157,31 +155,46 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+#: Fixed value: a pre-tokenizer's pattern that takes letters, digits and marks apart, but for contractions.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder(Encoder):
     """The same for a tokenizer that drops white space: chunks are the words between it.
 
-    Where the pre-tokenizer is not of that kind, texts are encoded whole.
+    Words are also cut between ASCII letters or digits and marks other than the apostrophe where the pre-tokenizer does, and
+    are told without regard to ASCII case where the normalizer lowers it. Texts with special-token strings are encoded whole,
+    as are all where the pre-tokenizer is not of that kind.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
         super().__init__(path, limit)
-        self.stand_alone = self._drops_space()
-
-    def _drops_space(self) -> bool:
-        """Whether no token reaches over white space: an inverted split that is removed and whose pattern matches none,
-        and special strings without it."""
         shape = json.loads(self.tokenizer.to_str())
+        normal = [n for n in [shape["normalizer"]] if n for n in n.get("normalizers", [n])]
         steps = [p for p in [shape["pre_tokenizer"]] if p for p in p.get("pretokenizers", [p])]
+        self.drops_space = self._drops_space(shape, steps)
+        self.cuts_marks = self.drops_space and steps[0]["pattern"] == {"Regex": APART} and all(n["type"] in ("NFC", "Lowercase", "Replace") for n in normal)
+        self.table = tx.BYTES_LOWER if any(n["type"] == "Lowercase" for n in normal) else tx.BYTES
+
+    def _drops_space(self, shape: dict, steps: list[dict]) -> bool:
+        """Whether no token reaches over white space: an inverted split that is removed and whose pattern matches none."""
         split = bool(steps) and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
-        plain = not any(s["lstrip"] or s["rstrip"] or s["single_word"] or set(s["content"]) & set(" \t\n\v\f\r") for s in shape["added_tokens"])
+        special = all(s["content"].startswith("<|") for s in shape["added_tokens"])
         pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\tc\nd\ve\ff\rg")] if split else []
-        return split and plain and "".join(pieces) == "abcdefg" and shape["post_processor"] is None
+        return split and special and "".join(pieces) == "abcdefg" and shape["post_processor"] is None
 
     def spans(self, t: tx.Texts) -> tuple[np.ndarray, np.ndarray]:
-        return t.words(tx.SPACE_WORDS)[:2]
+        starts, ends, _ = t.words(tx.SPACE_WORDS)
+        if not self.cuts_marks or not len(t.data):
+            return starts, ends
+        cut = np.zeros(len(t.data), bool)
+        cut[1:] = _mark[t.data[1:]] & _alnum[t.data[:-1]] | _alnum[t.data[1:]] & _mark[t.data[:-1]]
+        cut[t.start[:-1][t.start[:-1] < len(cut)]] = False
+        cut = np.flatnonzero(cut)
+        return np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
 
     def encode(self, t: tx.Texts) -> list[np.ndarray]:
-        if self.stand_alone:
+        if self.drops_space:
             return super().encode(t)
         return [self.whole(t.data[a:b].tobytes().decode()) for a, b in zip(t.start[:-1], t.start[1:])]
 
