@@ -458,3 +458,73 @@ def test_gate_and_digests(spark, tmp_path):
     (tmp_path / "b.json").write_bytes(b"\xff\x00" * 1000)
     want = sorted((f.name, f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.glob("*.json"))
     assert bag(SA.digests(spark, str(tmp_path))) == want
+
+
+def test_envelopes_in_ranges(spark, tmp_path):
+    """Brackets, quotes and escapes in text, other fields on both sides, any piece and range size, several files."""
+    import json
+
+    from tierwise.sources import artifacts as SA
+    from tierwise.sources import envelopes as SE
+
+    rng = random.Random(7)
+    odd = ['a"b', "x\\", "}]{[", "é日本", '\\"', "line\nbreak", "", ":", '"elements": [']
+    elements = [{"type": "node", "id": i, "tags": {rng.choice(odd): rng.choice(odd)}, "members": [{"type": "way", "ref": i, "role": rng.choice(odd)}] * (i % 3)} for i in range(60)]
+    whole = {"note": {"elements": [1, {"a": "]"}]}, 'el"em': [{"x": 1}], "elements": elements, "remark": 'cut "short"', "list": [[], {}]}
+    (tmp_path / "a.json").write_text(json.dumps(whole, ensure_ascii=False))
+    (tmp_path / "b.json").write_text(json.dumps({"elements": elements[:5]}, indent=2))
+    for name, value in (("none", {"remark": "x"}), ("null", {"elements": None}), ("empty", {"elements": []}), ("other", [1])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    for piece in (1, 7, 64, 1 << 20):
+        for size in (1, 300, 1 << 20):
+            text = (tmp_path / "a.json").read_bytes()
+            envelope, ranges = SE.walked(str(tmp_path / "a.json"), "elements", size, piece)
+            assert json.loads(envelope) == whole | {"elements": []}
+            assert [e for a, b in ranges for e in json.loads(b"[" + text[a:b].lstrip(b", ") + b"]")] == elements
+            assert len(ranges) == {1: 60, 1 << 20: 1}.get(size, len(ranges))
+    for size in (1, 1 << 20):
+        got = SA.read_elements(spark, str(tmp_path), size).select("remark", "id", "tags", F.size("members").alias("n")).collect()
+        want = [(r, e["id"], e["tags"], len(e["members"])) for r, own in (('cut "short"', elements), (None, elements[:5])) for e in own]
+        assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+    keyed = {'k"{' + str(i): {"region": i, "number": -i} for i in range(40)}
+    (tmp_path / "keyed").mkdir()
+    (tmp_path / "keyed" / "k.json").write_text(json.dumps({"districts": keyed, "z": 1}))
+    for size in (1, 1 << 20):
+        assert bag(SA.read_keyed(spark, str(tmp_path / "keyed"), "districts", "region: int, number: int", size)) == sorted(((k, v["region"], v["number"]) for k, v in keyed.items()), key=repr)
+    (tmp_path / "bad.json").write_text('{"elements": [{"id": 1}, {"id"')
+    with pytest.raises(Exception, match="ends early"):
+        SA.read_elements(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_artifact_is_published_whole(spark, tmp_path):
+    """A reader sees the last published run with the digests of its sources; a run that fails leaves it."""
+    import hashlib
+
+    from tierwise.sources import artifacts as SA
+
+    path, source = str(tmp_path / "artifact"), tmp_path / "s.bin"
+    source.write_bytes(bytes(range(256)) * 50_000)  # longer than a piece
+    with pytest.raises(ValueError, match="nothing is published"):
+        SA.read_artifact(spark, path)
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "k string, v int")
+    stamp = spark.createDataFrame([("first",)], "built string")
+    SA.write_artifact(rows, path, "k", stamp, SA.digests(spark, str(source)))
+    SA.write_artifact(rows.filter("k = 'a'"), path, "k", spark.createDataFrame([("second",)], "built string"), SA.digests(spark, str(source)))
+    with pytest.raises(Exception, match="by zero|DIVIDE"):
+        SA.write_artifact(rows.withColumn("v", F.expr("v div (v - 1)")), path, "k", stamp)
+    got, provenance = SA.read_artifact(spark, path)
+    assert bag(got) == [("a", 1)] and provenance.first()["built"] == "second"
+    want = [("s.bin", 256 * 50_000, hashlib.sha256(source.read_bytes()).hexdigest())]
+    assert [tuple(x) for x in provenance.first()["sources_read"]] == want
+
+
+def test_remainders_are_never_empty(spark):
+    from tierwise.operators import windows as WI
+
+    roster = spark.createDataFrame([("f", 1), ("f", 2), ("g", 3), ("h", 4)], "frame string, atom int")
+    frames, claims = spark.createDataFrame([("f",), ("g",), ("x",), ("g",)], "frame string"), spark.createDataFrame([(2,), (3,), (None,)], "atom int")
+    split = WI.remainders(roster, frames, claims, "frame", "atom")
+    assert bag(split.ok.select("frame", "atom")) == [("f", 1)]
+    assert bag(split.rejected) == [("g", "nothing left"), ("x", "not in the roster")]
+    with pytest.raises(ValueError, match="remainder.*nothing left"):
+        R.strict(split.rejected, "remainder")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import Split
+
 from ..functions.names import letters
 
 
@@ -76,6 +78,19 @@ def remainder(members: DataFrame, claimed: DataFrame, key: str) -> DataFrame:
     return members.join(claimed.select(key).distinct(), key, "left_anti")
 
 
+def remainders(roster: DataFrame, frames: DataFrame, claimed: DataFrame, frame: str, key: str) -> Split:
+    """What claims leave of the wanted ``frames``, and as rejected (frame, problem) those that give no unit.
+
+    ``claimed`` has the resolved keys; a claim that resolved to nothing (null) takes nothing. A frame that is not in the
+    roster is no frame, and one of which nothing is left is to be written as itself; ``rows.strict`` refuses both.
+    """
+    wanted = frames.select(frame).distinct()
+    rows = remainder(roster.join(wanted, frame, "left_semi"), claimed, key)
+    known = wanted.join(roster.select(frame).distinct().withColumn("known", F.lit(True)), frame, "left").join(rows.select(frame).distinct().withColumn("left", F.lit(True)), frame, "left")
+    problem = F.when(F.col("known").isNull(), "not in the roster").when(F.col("left").isNull(), "nothing left")
+    return Split(rows, known.select(frame, problem.alias("problem")).filter("problem is not null"))
+
+
 def same_sets(a: DataFrame, b: DataFrame, name: str, member: str) -> DataFrame:
     """Names under which both sides hold the same members."""
     sets = lambda df: df.groupBy(name).agg(F.array_sort(F.collect_set(member)).alias("members"))

@@ -101,6 +101,25 @@ def st2(t: Tables):
     return O.remainder(t.supplier.select("s_suppkey", "s_nationkey"), t.lineitem.filter("l_quantity > 49 and l_orderkey % 97 = 0").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey")
 
 
+_TAKEN = "select l_suppkey as s_suppkey from lineitem where l_quantity > 49 and l_orderkey % 97 = 0 union select s_suppkey from supplier where s_nationkey % 4 = 1"
+
+
+def _remainders(t: Tables):
+    """All nations as frames: some have no supplier, others lose all of theirs."""
+    taken = t.lineitem.filter("l_quantity > 49 and l_orderkey % 97 = 0").select(F.col("l_suppkey").alias("s_suppkey")).unionByName(t.supplier.filter("s_nationkey % 4 = 1").select("s_suppkey"))
+    return O.remainders(t.supplier.select("s_suppkey", "s_nationkey"), t.nation.select(F.col("n_nationkey").alias("s_nationkey")), taken, "s_nationkey", "s_suppkey")
+
+
+@query("st2_left", f"select s_suppkey, s_nationkey from supplier where s_suppkey not in ({_TAKEN})")
+def st2_left(t: Tables):
+    return _remainders(t).ok
+
+
+@query("st2_refused", f"select n_nationkey as s_nationkey, case when n_nationkey in (select s_nationkey from supplier) then 'nothing left' else 'not in the roster' end as problem from nation where n_nationkey not in (select s_nationkey from supplier where s_suppkey not in ({_TAKEN}))")
+def st2_refused(t: Tables):
+    return _remainders(t).rejected
+
+
 @query("st3_intact_frame", "select s_suppkey, 'Frame ' || n_regionkey as unit, 'intact' as kind from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1 and s_suppkey % 3 <> 0")
 def st3(t: Tables):
     s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).filter("n_regionkey = 1")

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ELEMENTS = """elements array<struct<type: string, id: long, tags: map<string, string>, lat: double, lon: double,
+from .envelopes import RANGE_BYTES, envelope_parts
+from .storage import opened
+
+ELEMENTS = """array<struct<type: string, id: long, tags: map<string, string>, lat: double, lon: double,
   members: array<struct<type: string, ref: long, role: string, geometry: array<struct<lat: double, lon: double>>>>,
-  geometry: array<struct<lat: double, lon: double>>>>, remark string"""
+  geometry: array<struct<lat: double, lon: double>>>>"""
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """One row per element of envelope files {elements: [...]}; a file is one JSON value."""
-    raw = spark.read.schema(ELEMENTS).option("multiLine", True).json(path)
-    return raw.select("remark", F.explode("elements").alias("e")).select("remark", "e.*")
+def read_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """One row per element of envelope files {elements: [...], remark: ...}; a large file is read by several tasks."""
+    parts = envelope_parts(spark, path, "elements", ELEMENTS, range_bytes)
+    return parts.select(F.get_json_object("envelope", "$.remark").alias("remark"), F.explode("entries").alias("e")).select("remark", "e.*")
 
 
 def member_rows(elements: DataFrame) -> DataFrame:
@@ -26,16 +34,16 @@ def vertex_rows(elements: DataFrame) -> DataFrame:
     return elements.select("id", F.posexplode("geometry").alias("seq", "g")).select("id", "seq", F.col("g.lon").alias("lon"), F.col("g.lat").alias("lat"))
 
 
-def read_keyed(spark: SparkSession, path: str, field: str, record: str) -> DataFrame:
+def read_keyed(spark: SparkSession, path: str, field: str, record: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(key, record fields) of files {field: {key: {...}}}; ``record`` is the record's schema."""
-    raw = spark.read.schema(f"{field} map<string, struct<{record}>>").option("multiLine", True).json(path)
-    return raw.select(F.explode(field).alias("key", "r")).select("key", "r.*")
+    parts = envelope_parts(spark, path, field, f"map<string, struct<{record}>>", range_bytes)
+    return parts.select(F.explode("entries").alias("key", "r")).select("key", "r.*")
 
 
-def read_published(spark: SparkSession, path: str, rows: str, totals: str) -> tuple[DataFrame, DataFrame]:
+def read_published(spark: SparkSession, path: str, rows: str, totals: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows and published totals that stand in one file {rows: [...], published: [...]}."""
-    raw = spark.read.schema(f"rows array<struct<{rows}>>, published array<struct<{totals}>>").option("multiLine", True).json(path)
-    return raw.select(F.inline("rows")), raw.select(F.inline("published"))
+    part = lambda field, record: envelope_parts(spark, path, field, f"array<struct<{record}>>", range_bytes).select(F.inline("entries"))
+    return part("rows", rows), part("published", totals)
 
 
 def typed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -43,10 +51,28 @@ def typed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of source files, for provenance. A file has to fit a task."""
-    f = spark.read.format("binaryFile").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+DIGESTS = "file string, bytes long, sha256 string"
+READ_BYTES = 1 << 22
+
+
+def digests(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, bytes, sha256) of source files, for provenance. A file is read in pieces, so its size is no matter."""
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length")  # the content is not read
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for uri in batch.column(0).to_pylist():
+                system, path = opened(uri)
+                digest = hashlib.sha256()
+                with system.open_input_stream(path) as f:
+                    while piece := f.read(READ_BYTES):
+                        digest.update(piece)
+                out.append(digest.hexdigest())
+            names = [u.rsplit("/", 1)[-1] for u in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1), pa.array(out, pa.string())], names=["file", "bytes", "sha256"])
+
+    return files.mapInArrow(hashed, DIGESTS)
 
 
 @dataclass(frozen=True)
@@ -81,10 +107,45 @@ def write_rows(df: DataFrame, path: str, *order: str) -> None:
     df.orderBy(*order).write.mode("error").json(path)
 
 
-def write_artifact(df: DataFrame, path: str, order: str, provenance: DataFrame) -> None:
-    """Rows sorted by key, and beside them one table of where they come from."""
-    df.orderBy(order).write.mode("error").parquet(f"{path}/rows")
-    provenance.write.mode("error").parquet(f"{path}/provenance")
+def write_artifact(df: DataFrame, path: str, order: str, provenance: DataFrame, sources: DataFrame | None = None) -> str:
+    """Writes rows sorted by key with their provenance, and publishes both at once; returns the run's name.
+
+    ``provenance`` is one row; the digests of ``sources`` go into it, sorted by file, as the nested column
+    ``sources_read``. A run is written to a folder of its own; readers see it only when its name has been added to
+    ``published``, which is the last step. So a run that fails leaves the artifact as it was.
+    """
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    stamp = provenance
+    if sources is not None:
+        read = sources.agg(F.array_sort(F.collect_list(F.struct("file", "bytes", "sha256"))).alias("sources_read"))
+        stamp = provenance.withColumn("__one", F.lit(1)).join(read.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    df.orderBy(order).write.mode("error").parquet(f"{path}/runs/{run}/rows")
+    stamp.write.mode("error").parquet(f"{path}/runs/{run}/provenance")
+    number = (_published(spark, path) or (0, ""))[0] + 1
+    spark.createDataFrame([(number, run, order)], PUBLISHED).coalesce(1).write.mode("append").parquet(f"{path}/published")
+    return run
+
+
+PUBLISHED = "number long, run string, order string"
+
+
+def _published(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
+    try:
+        known = spark.read.schema(PUBLISHED).parquet(f"{path}/published")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = known.orderBy(F.desc("number"), "run").first()
+    return None if last is None else tuple(last)
+
+
+def read_artifact(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and the one row of provenance of the run that was published last. Raises ValueError where there is none."""
+    last = _published(spark, path)
+    if last is None:
+        raise ValueError(f"nothing is published at {path}")
+    return tuple(spark.read.parquet(f"{path}/runs/{last[1]}/{part}") for part in ("rows", "provenance"))
 
 
 def neighbour_lists(edges: DataFrame, roster: DataFrame) -> DataFrame:

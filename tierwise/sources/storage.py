@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +36,10 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     path = fresh_path(spark, name)
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a file's or folder's URI, and its path there; for reads in pieces inside tasks."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
