@@ -528,3 +528,60 @@ def test_remainders_are_never_empty(spark):
     assert bag(split.rejected) == [("g", "nothing left"), ("x", "not in the roster")]
     with pytest.raises(ValueError, match="remainder.*nothing left"):
         R.strict(split.rejected, "remainder")
+
+
+def test_tagged_rows_are_counted_and_refused_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (None, "b", 1.0), (3, " ", 1.5), (4, None, -1.0), (5, "e", None)], "id int, name string, n double")
+    rows = R.tagged(df, {"id": F.col("id").isNotNull(), "name": R.is_text(F.col("name")), "n": R.is_optional_count(F.col("n"))})
+    assert [r["tag"] for r in rows.orderBy(F.asc_nulls_first("id")).collect()] == ["id", "ok", "name", "name", "ok"]
+    seen_rows, seen = R.observed(rows, ["ok", "id", "n"])
+    seen_rows.collect()
+    assert seen.get == {"ok": 2, "id": 1, "n": 0, "other": 2}
+    assert bag(R.refusing(rows.filter("tag = 'ok'"), "cells")) == [(1, "a", 2.0), (5, "e", None)]
+    with pytest.raises(Exception, match='cells: .*"tag":"id"'):
+        R.refusing(rows, "cells").collect()
+
+
+def test_tagged_facts_account_for_every_row(spark):
+    """One scan of the facts, a third of them without an atom; the parts are those of the separate joins."""
+    rng = random.Random(5)
+    facts = [(i, rng.choice([None, "a", "b", "c", "zz"]), rng.choice(["f", "g", None])) for i in range(300)]
+    f = spark.createDataFrame(facts, "id int, atom string, frame string")
+    r = spark.createDataFrame([("a", "f"), ("b", "g"), ("c", None), ("d", "g")], "atom string, frame string")
+    rows = J.tagged_facts(f, r, "frame")
+    frame = {"a": "f", "b": "g", "c": None}
+    want = [(i, a, x, frame.get(a), "unmatched" if a not in frame else "ok" if x == frame[a] else "misplaced") for i, a, x in facts] + [(None, "d", None, "g", "missing")]
+    assert bag(rows.select("id", "atom", "frame", "roster_frame", "tag")) == sorted(want, key=repr)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD[id") == 1
+    parts, whole = J.apart(rows, J.FACT_TAGS), J.facts_to_roster(f, r, "frame")
+    assert bag(parts["ok"].select("id", "atom")) == bag(whole.ok.select("id", "atom")) and bag(parts["misplaced"].select("id")) == bag(whole.misplaced.select("id"))
+    assert bag(parts["missing"].select("atom")) == bag(whole.missing.select("atom"))
+    assert J.tagged_facts(f.limit(0), r, "frame").filter("tag = 'missing'").count() == 4
+
+
+def test_growth_queries_against_a_plain_version(spark):
+    """g7, g10 and g21 on the smallest tables: the rule applied one centre after another to the rows of the tables."""
+    import duckdb
+
+    from tierwise.plans.partitions import RULE
+    from tierwise.registry import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("supplier", "nation", "lineitem"):
+        con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    atoms = con.execute("""select s_suppkey, n_regionkey, cast(floor(s_acctbal) as bigint), (s_suppkey % 97) / 96.0, 60 + (s_suppkey * 37 % 200) / 10.0, 24 + (s_suppkey * 53 % 130) / 10.0,
+        row_number() over (partition by s_nationkey order by floor(s_acctbal) desc, s_suppkey) = 1 from supplier join nation on s_nationkey = n_nationkey""").fetchall()
+    edges = con.execute("select distinct a.l_suppkey, b.l_suppkey from lineitem a join lineitem b on a.l_partkey = b.l_partkey and a.l_shipdate = b.l_shipdate and a.l_suppkey <> b.l_suppkey").fetchall()
+    want = grown_plainly(atoms, edges, RULE)
+    assert bag(QUERIES["g7_grown"](spark, data).select("frame", "atom", "centre", "centre_kind", "population")) == want
+    units = {}
+    for _, _, centre, kind, population in want:
+        total, n, _ = units.get(centre, (0, 0, kind))
+        units[centre] = (total + population, n + 1, kind)
+    got = QUERIES["g10_unit_list"](spark, data).collect()
+    assert sorted((r["centre"], r["population"], r["atoms"], r["centre_kind"]) for r in got) == sorted((c, *v) for c, v in units.items())
+    assert len({r["unit"] for r in got}) == len(got) and [r["population"] for r in got] == sorted((r["population"] for r in got), reverse=True)
+    rule = {(f"around {centre}", atom) for _, atom, centre, _, _ in want}
+    derived = QUERIES["g21_derived_variants"](spark, data)
+    assert {(r["unit"], r["atom"]) for r in derived.filter("variant = 'rule'").collect()} == rule

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, strip_suffix
+from ..sources.storage import written
 
 
 def dictionary(roster: DataFrame, *layers: DataFrame) -> DataFrame:
@@ -95,6 +96,31 @@ def facts_to_roster(facts: DataFrame, roster: DataFrame, frame: str) -> Joined:
     )
 
 
+#: What a row of ``tagged_facts`` can be.
+FACT_TAGS = ["ok", "misplaced", "unmatched", "missing"]
+
+
+def tagged_facts(facts: DataFrame, roster: DataFrame, frame: str, salts: int = 64) -> DataFrame:
+    """Facts with ``atom`` (null: unmatched) against roster (atom, frame) as one frame with ``tag``, from one join.
+
+    Every fact is ``ok``, ``misplaced`` (its own frame is another) or ``unmatched`` (no atom, or one that the roster
+    lacks); atoms without a fact are rows with tag ``missing`` and null facts. A fact's frame stays, the roster's comes as
+    ``roster_frame``. Facts without an atom are dealt over ``salts`` keys, as they may be many.
+    """
+    salt = F.when(F.col("atom").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)
+    f = facts.withColumns({"__salt": salt, "__fact": F.lit(True)})
+    r = roster.select(F.col("atom").alias("__atom"), F.col("frame").alias("roster_frame"), F.lit(0).cast("long").alias("__zero"), F.lit(True).alias("__known"))
+    both = f.join(r, (F.col("atom") == F.col("__atom")) & (F.col("__salt") == F.col("__zero")), "full_outer")
+    tag = F.when(F.col("__fact").isNull(), "missing").when(F.col("__known").isNull(), "unmatched").when(F.col(frame).eqNullSafe(F.col("roster_frame")), "ok").otherwise("misplaced")
+    return both.withColumns({"tag": tag, "atom": F.coalesce("atom", "__atom")}).drop("__salt", "__fact", "__atom", "__zero", "__known")
+
+
+def apart(rows: DataFrame, tags: list[str]) -> dict[str, DataFrame]:
+    """Rows of each tag, written once by tag, so that the plan behind ``rows`` runs once however many are read."""
+    kept = written(rows, "tagged", by=["tag"])
+    return {t: kept.filter(F.col("tag") == t).drop("tag") for t in tags}
+
+
 def collisions(df: DataFrame, atom: str, name: str) -> DataFrame:
     """Atoms reached under several published names, all of them listed."""
     return df.groupBy(atom).agg(F.array_sort(F.collect_set(name)).alias("names")).filter(F.size("names") > 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -41,6 +42,24 @@ def strict(rejected: DataFrame, what: str, show: int = 20) -> None:
         raise ValueError(f"{what}: " + "; ".join(found))
 
 
+def tagged(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """All rows with ``tag``: the first rule that a row breaks (null counts as broken), or ``ok``; one pass, no row lost."""
+    return df.withColumn("tag", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()], F.lit("ok")))
+
+
+def observed(df: DataFrame, tags: list[str], name: str | None = None) -> tuple[DataFrame, Observation]:
+    """``df`` and its number of rows by ``tag``, which the first action on it counts on the way; other tags count as ``other``."""
+    seen = Observation(name or f"tags-{uuid.uuid4().hex}")
+    counts = [F.count_if(F.col("tag") == t).alias(t) for t in tags]
+    return df.observe(seen, *counts, F.count_if(~F.col("tag").isin(tags)).alias("other")), seen
+
+
+def refusing(df: DataFrame, what: str) -> DataFrame:
+    """Rows tagged ``ok`` without their tag; any other row fails the job that meets it, naming its values."""
+    shown = F.to_json(F.struct(*df.columns))
+    return df.filter(F.when(F.col("tag") == "ok", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), shown)).cast("boolean"))).drop("tag")
+
+
 def only(df: DataFrame, column: str, values: list) -> DataFrame:
     """A filter that the scan can use."""
     return df.filter(F.col(column).isin(values))

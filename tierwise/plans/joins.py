@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import rows as R
 from ..operators.spatial import box_pairs, near_pairs
 from ..registry import Tables, query
 
@@ -123,12 +126,36 @@ union all select 'duplicates', count(*) from (select atom from c where atom is n
 union all select 'misplaced', count(*) from c join r using (atom) where c.frame <> r.frame""")
 def jn8(t: Tables):
     roster = _roster(t)
-    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    facts = c.select("c_custkey", F.when(F.col("c_nationkey") < 22, F.col("n_name")).alias("atom"), F.when(F.col("c_custkey") % 97 == 0, F.lit("elsewhere")).otherwise(F.col("r_name")).alias("frame"))
-    j = J.facts_to_roster(facts, roster, "frame")
+    j = J.facts_to_roster(_facts(t), roster, "frame")
     n = lambda df, part: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(part).alias("part"), "rows")
     return n(j.ok, "ok").unionByName(n(j.unmatched, "unmatched")).unionByName(n(j.missing, "missing")).unionByName(n(j.duplicates, "duplicates")).unionByName(n(j.misplaced, "misplaced"))
 
+_CUSTOMERS = """with c as (select c_custkey, case when c_nationkey < 22 then n_name end as atom, case when c_custkey % 97 = 0 then 'elsewhere' else r_name end as frame from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+r as (select n_name as atom, r_name as roster_frame from nation join region on n_regionkey = r_regionkey)"""
+
+
+def _facts(t: Tables):
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.select("c_custkey", F.when(F.col("c_nationkey") < 22, F.col("n_name")).alias("atom"), F.when(F.col("c_custkey") % 97 == 0, F.lit("elsewhere")).otherwise(F.col("r_name")).alias("frame"))
+
+
+@query("jn8_tagged", f"""{_CUSTOMERS} select c_custkey, coalesce(c.atom, r.atom) as atom, frame, roster_frame,
+case when c_custkey is null then 'missing' when r.atom is null then 'unmatched' when frame = roster_frame then 'ok' else 'misplaced' end as tag from c full join r on c.atom = r.atom""")
+def jn8_tagged(t: Tables):
+    """Every customer and every atom without one in a frame of its own tag, from one join."""
+    return J.tagged_facts(_facts(t), _roster(t), "frame")
+
+
+@query("jn8_tag_counts", f"""{_CUSTOMERS}, j as (select case when c_custkey is null then 'missing' when r.atom is null then 'unmatched' when frame = roster_frame then 'ok' else 'misplaced' end as tag from c full join r on c.atom = r.atom)
+select k as tag, count(tag) as rows from (values ('ok'), ('misplaced'), ('unmatched'), ('missing')) v(k) left join j on k = tag group by 1""")
+def jn8_tag_counts(t: Tables):
+    """Rows by tag, counted while the tagged rows are written, and each part read back alone."""
+    rows, seen = R.observed(J.tagged_facts(_facts(t), _roster(t), "frame"), J.FACT_TAGS)
+    parts = J.apart(rows, J.FACT_TAGS)
+    counted = seen.get
+    out = [parts[k].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("tag"), F.when(F.col("rows") == counted[k], F.col("rows")).alias("rows")) for k in J.FACT_TAGS]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
 
 @query("jn9_collisions", "select n_name as atom, string_agg(distinct published, ',' order by published) as names from (select n_name, case when s_suppkey % 7 = 0 then upper(n_name) || '*' else n_name end as published from supplier join nation on s_nationkey = n_nationkey) group by 1 having count(distinct published) > 1")
 def jn9(t: Tables):

@@ -143,6 +143,13 @@ def prj3(t: Tables):
     return sides.agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"))
 
 
+@query("prj3_tagged", "select p_partkey, case when not coalesce(p_size - 1 >= 0 and p_size - 1 = floor(p_size - 1), false) then 'size' when not coalesce(length(trim(p_name)) > 0, false) then 'name' when not coalesce(p_brand <> 'Brand#13', false) then 'brand' when floor(p_retailprice) < 0 then 'price' else 'ok' end as tag from part")
+def prj3_tagged(t: Tables):
+    """Each part with the first rule that it breaks, in one pass over the table."""
+    rules = {"size": R.is_count(F.col("p_size") - 1), "name": R.is_text(F.col("p_name")), "brand": F.col("p_brand") != "Brand#13", "price": R.is_optional_count(F.floor("p_retailprice"))}
+    return R.tagged(t.part, rules).select("p_partkey", "tag")
+
+
 @query("prj4_scan_filter", "select event_id, event_type, value from events where event_type in ('click', 'view')")
 def prj4(t: Tables):
     return R.only(t.events, "event_type", ["click", "view"]).select("event_id", "event_type", "value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: lineage ends there, and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: lineage ends there, and a lost executor costs nothing.
+
+    ``by`` are columns whose values become folders, so that a reader of one value reads no other.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.options(**(options or {})).parquet(path)
+    df.write.options(**(options or {})).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
