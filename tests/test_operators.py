@@ -403,6 +403,7 @@ def test_near_pairs_and_boxes_against_all_pairs(spark):
     b = spark.createDataFrame([(i, *map(float, r)) for i, *r in boxes], "id int, x0 double, x1 double, y0 double, y1 double")
     want = sorted((p[0], q[0]) for p in boxes for q in boxes if p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4])
     assert sorted(tuple(r) for r in S.box_pairs(b, b, 3.0).collect()) == want
+    assert sorted(tuple(r) for r in S.box_pairs(b, b).collect()) == want
 
 
 def test_points_in_a_long_ring_against_parity(spark):
@@ -585,3 +586,18 @@ def test_growth_queries_against_a_plain_version(spark):
     rule = {(f"around {centre}", atom) for _, atom, centre, _, _ in want}
     derived = QUERIES["g21_derived_variants"](spark, data)
     assert {(r["unit"], r["atom"]) for r in derived.filter("variant = 'rule'").collect()} == rule
+
+
+def test_grid_follows_the_points(spark):
+    """A third of all points in a place as small as a billionth: cells stay even, and results are those of a fixed grid."""
+    rng = random.Random(9)
+    points = [(i, 5 + rng.random() * 1e-9, 5 + rng.random() * 1e-9) if i % 3 == 0 else (i, rng.uniform(-100, 100), rng.uniform(-100, 100)) for i in range(3000)] + [(-1, None, 1.0), (-2, float("nan"), 1.0)]
+    p = spark.createDataFrame(points, "id int, x double, y double")
+    grid = S.DenseGrid(p, "x", "y", 16)
+    sizes = p.filter("id >= 0").withColumn("cx", grid.x(F.col("x"))).withColumn("cy", grid.y(F.col("y"), F.col("cx"))).groupBy("cx", "cy").count()
+    assert sizes.count() > 200 and sizes.agg(F.max("count")).first()[0] < 40
+    ring = lambda g, x, y, r: [(g, i, x + a * r, y + b * r) for i, (a, b) in enumerate(((-1, -1), (1, -1), (1.1, 0.3), (0, 1), (-1, -1)))]
+    v = spark.createDataFrame([*ring("all", 0.0, 0.0, 90.0), *ring("tiny", 5.0, 5.0, 5e-10), *ring("far", 300.0, 300.0, 1.0)], "geom string, seq int, x double, y double")
+    got = sorted(tuple(r) for r in S.points_in_rings(p, v, ["geom"]).collect())
+    assert got == sorted(tuple(r) for r in S.points_in_rings(p, v, ["geom"], 20.0).collect()) and len({g for _, g in got}) == 2
+    assert S.points_in_rings(p.limit(0), v, ["geom"]).count() == 0

@@ -68,12 +68,12 @@ def index_of(rates: Sequence[str]) -> Column:
 PLAN_CUTS = 4096
 
 
-def _last_at_most(value: Column, cuts: Column, steps: Column) -> Column:
+def last_at_most(value: Column, cuts: Column, steps: Column) -> Column:
     """How many of the ascending cuts are at most ``value``, by binary search in descending powers of two."""
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
 
 
-def _steps(n: int) -> Column:
+def search_steps(n: int) -> Column:
     return F.lit([1 << b for b in range(max(n, 1).bit_length() - 1, -1, -1)])
 
 
@@ -91,10 +91,10 @@ def banded(df: DataFrame, value: str, bands: DataFrame, plan_cuts: int = PLAN_CU
     if len(few) <= plan_cuts:
         if any(x["to"] > y["from"] for x, y in zip(few, few[1:])):
             raise ValueError("bands overlap: " + ", ".join(f"{x['band']} and {y['band']}" for x, y in zip(few, few[1:]) if x["to"] > y["from"]))
-        at = _last_at_most(F.col(value), F.lit([r["from"] for r in few]), _steps(len(few))) - 1
+        at = last_at_most(F.col(value), F.lit([r["from"] for r in few]), search_steps(len(few))) - 1
         return df.withColumn("__at", at).withColumn("band", F.when((F.col("__at") >= 0) & (F.col(value) < F.get(F.lit([r["to"] for r in few]), "__at")), F.get(F.lit([r["band"] for r in few]), "__at"))).drop("__at")
     cuts = sorted(set(b.agg(F.percentile_approx("from", [i / plan_cuts for i in range(plan_cuts)], 10 * plan_cuts)).first()[0]) | {few[0]["from"]})
-    of = lambda c: _last_at_most(F.col(c), F.lit(cuts), _steps(len(cuts)))
+    of = lambda c: last_at_most(F.col(c), F.lit(cuts), search_steps(len(cuts)))
     ranges = b.withColumn("__range", of("from")).groupBy("__range").agg(F.array_sort(F.collect_list(F.struct("from", "to", "band"))).alias("s"))
     ranges = ranges.select("__range", F.col("s.from").alias("__froms"), F.col("s.to").alias("__tos"), F.col("s.band").alias("__names"))
     later = F.concat(F.slice("__froms", 2, F.size("__froms")), F.array_compact(F.array(F.get(F.lit(cuts), "__range"))))
@@ -102,7 +102,7 @@ def banded(df: DataFrame, value: str, bands: DataFrame, plan_cuts: int = PLAN_CU
     bits = F.floor(F.log2(F.size("__froms"))).cast("int")
     ranges = ranges.withColumns({"__tos": F.when(clash, F.raise_error(F.lit("bands overlap"))).otherwise(F.col("__tos")), "__steps": F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda x: F.call_function("shiftleft", F.lit(1), x))})
     found = df.withColumn("__range", of(value)).join(ranges, "__range", "left")
-    at = _last_at_most(F.col(value), F.col("__froms"), F.col("__steps")) - 1
+    at = last_at_most(F.col(value), F.col("__froms"), F.col("__steps")) - 1
     found = found.withColumn("__at", at).withColumn("band", F.when(F.col(value) < F.get("__tos", "__at"), F.get("__names", "__at")))
     return found.drop("__range", "__froms", "__tos", "__names", "__steps", "__at")
 
@@ -202,7 +202,7 @@ def kept_fraction_cut(df: DataFrame, group: str, weight: str, fraction: float, t
     total = w.groupBy("g").agg((F.floor(F.lit(1 - fraction) * (F.sum("n") - 1)) + 1).alias("at"), F.count(F.lit(1)).alias("size"))
     while (total.agg(F.max("size").alias("most")).first()["most"] or 0) > task_weights:
         found = w.groupBy("g").agg(F.array_distinct(F.percentile_approx("w", [i / cuts for i in range(cuts)], 10 * cuts)).alias("cuts"))
-        ranged = w.join(found.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).withColumn("range", _last_at_most(F.col("w"), F.col("cuts"), _steps(cuts))).select("g", "w", "n", "range")
+        ranged = w.join(found.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).withColumn("range", last_at_most(F.col("w"), F.col("cuts"), search_steps(cuts))).select("g", "w", "n", "range")
         counts = ranged.groupBy("g", "range").agg(F.sum("n").alias("in_range")).join(total.select(F.col("g").alias("h"), "at"), F.col("g").eqNullSafe(F.col("h")))
         counts = counts.withColumn("before", F.sum("in_range").over(W.partitionBy("g").orderBy("range")) - F.col("in_range"))  # at most cuts + 1 rows a group
         here = counts.filter((F.col("before") < F.col("at")) & (F.col("at") <= F.col("before") + F.col("in_range"))).select("h", F.col("range").alias("own"), (F.col("at") - F.col("before")).alias("at"))

@@ -61,12 +61,21 @@ def spots(t: Tables):
 _SPOTS = "select c_custkey as id, (c_custkey * 37 % 1201) / 200.0 + 0.0013 as x, (c_custkey * 53 % 1103) / 200.0 + 0.0017 as y from customer"
 
 
-@query("jn23_located", f"""select id, n_name as geom from ({_SPOTS}) left join nation on floor(x) = n_nationkey % 5 and x < 5 and floor(y) = n_nationkey // 5
-and not (n_nationkey % 4 = 0 and x - floor(x) between 0.25 and 0.75 and y - floor(y) between 0.25 and 0.75)""")
+_LOCATED = f"""select id, n_name as geom from ({_SPOTS}) left join nation on floor(x) = n_nationkey % 5 and x < 5 and floor(y) = n_nationkey // 5
+and not (n_nationkey % 4 = 0 and x - floor(x) between 0.25 and 0.75 and y - floor(y) between 0.25 and 0.75)"""
+
+
+@query("jn23_located", _LOCATED)
 def jn23(t: Tables):
     return S.located(spots(t), cells(t), t.nation.select(F.col("n_name").alias("geom"), F.col("n_nationkey").alias("pos")), 1.0).select("id", "geom")
 
 
+@query("jn23_dense", _LOCATED)
+def jn23_dense(t: Tables):
+    """The same with a grid that follows the points."""
+    return S.located(spots(t), cells(t), t.nation.select(F.col("n_name").alias("geom"), F.col("n_nationkey").alias("pos"))).select("id", "geom")
+
+
 @query("ag22_parity", f"select id, n_name as geom from ({_SPOTS}) join nation on floor(x) = n_nationkey % 5 and x < 5 and floor(y) = n_nationkey // 5")
 def ag22(t: Tables):
     return S.points_in_rings(spots(t), cells(t).filter("ring = 0"), ["geom"], 1.0)
