@@ -519,6 +519,45 @@ def test_html_frames_at_any_depth():
         assert H.merged(template, H.summary("page", [mixed]))[1] == 2
 
 
+PROSE = "A long sentence of the story that says something with no link in it, number {0} of page {1}, told at some length so that it is prose."
+
+
+def host_pages(article, around, n=30):
+    """Pages of a host with a story of their own; ``article`` and ``around`` give html from (page, sentence)."""
+    say = lambda i, k: PROSE.format(k, i)
+    return [f"<html><body><nav><a href=/>Home {i}</a></nav>{article(i, lambda k, i=i: say(i, k))}{around(i, lambda k, i=i: say(i, k))}<footer>Foot {i}</footer></body></html>" for i in range(n)]
+
+
+def texts_of(spark, htmls):
+    pages = spark.createDataFrame([(i, f"https://blog.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in H.html_extraction(pages).collect()}
+
+
+def story(i, say):
+    return f"<article><h1>Title {i}</h1><p>{say(1)}</p><p>{say(2)}</p></article>"
+
+
+def test_html_reader_comments_go(spark):
+    """As articles in a list, and as a section inside the article that is longer than it; also on a page without a template."""
+    listed = host_pages(story, lambda i, say: "<div class='comment-list'>" + "".join(f"<article class='comment'><p>{say(10 + k)}</p></article>" for k in range(i % 4 + 1)) + "</div>")
+    inside = host_pages(lambda i, say: story(i, say).replace("</article>", "<section class='comments'>" + "".join(f"<div><p>{say(20 + k)}</p></div>" for k in range(8)) + "</section></article>"), lambda i, say: "")
+    for htmls in (listed, inside, listed[:1], inside[:1]):
+        for i, text in texts_of(spark, htmls).items():
+            assert text == f"Title {i}\n{PROSE.format(1, i)}\n{PROSE.format(2, i)}"
+
+
+def test_html_cards_of_other_stories_go(spark):
+    cards = host_pages(story, lambda i, say: "<section class='related posts'>" + "".join(f"<article class='card'><h3>Other {k}</h3><p>Teaser {i} {k}</p></article>" for k in range(3)) + "</section>")
+    for i, text in texts_of(spark, cards).items():
+        assert text == f"Title {i}\n{PROSE.format(1, i)}\n{PROSE.format(2, i)}"
+
+
+def test_html_parts_of_an_article_stay_whatever_a_part_of_their_name_says(spark):
+    parts = host_pages(lambda i, say: story(i, say).replace("</article>", f"<div class='related-work'><p>{say(3)}</p></div><div class='widget-photo'><p>{say(4)}</p></div><div class='share-buttons'><a href=/s>Share {i}</a></div></article>"), lambda i, say: "")
+    for i, text in texts_of(spark, parts).items():
+        assert text == "\n".join([f"Title {i}", *(PROSE.format(k, i) for k in (1, 2, 3, 4))])
+
+
 def test_html_deep_and_wide():
     deep = H.tree("<div>" * 5000 + "core" + "</div>" * 5000 + "<p>after")
     assert H.content(deep, None) == ["core", "after"]

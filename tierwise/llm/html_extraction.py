@@ -6,7 +6,8 @@ its text stays constant as long as all pages agree. Pages of equal content count
 template. Slots that stay constant over enough different pages are template. Of the varying slots, those make the
 content that carry the text of the host's pages: menus, adverts and footers whose words change are slots of the
 frame as well. A slot is of the frame by two votes: elements and roles that say menu, header, footer, sidebar, form
-and the like have two; class and id names have one for each word that says so (never for headings), a slot that
+and the like have two, and so have names of reader comments; other class and id names have one for each word that says so
+(never for headings; of an article's parts with prose in them, only for whole names), a slot that
 holds less than half of its parent's text on the host's pages has one, a slot beside the page's article one, and a
 slot that recurs and whose text is links for the most part one. Without a template, elements, roles and names vote alone.
 
@@ -27,6 +28,7 @@ import json
 import re
 import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -50,37 +52,46 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 ASIDE_TAGS = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ASIDE_NAMES = re.compile(r"^(?:ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar\w*|aside|widget\w*|related\w*|share\w*|sharing|social\w*|comments?|commentlist|replies|respond|disqus\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|login|search|skip|pagination|pager|toolbar|tags|copyright|legal)$", re.I)
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+COMMENT_NAMES = re.compile(r"^(?:comments?|commentlist|replies|respond|disqus\w*)$", re.I)
+CONTAINERS = frozenset("div section article ul ol li dl table details".split())
 CONTENT_NAMES = re.compile(r"^(?:main|content|article|post|entry|story|body|text)$", re.I)
 MAIN_ROLES = frozenset(("main", "article"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TEXT_TAGS = HEADINGS | frozenset("# p li dt dd td th caption figcaption pre blockquote address".split())
 OUTSIDE, INSIDE, SHARE = 3, 20, 0.5  # pages that make a constant slot template, outside and inside of an article, and their share
 RARE = 50
+PROSE = 100  # code points of a text block, for the most part no link, that is more than a label or a slogan
 BUCKETS = 256
 
 
 class Node:
     """An element with children, or (label '#') a block of text; ``votes`` of its element, role and names for the frame."""
 
-    __slots__ = ("chars", "digest", "holds", "kids", "label", "linked", "main", "tag", "text", "votes")
+    __slots__ = ("article", "chars", "digest", "holds", "kids", "label", "linked", "main", "prose", "spare", "tag", "text", "votes", "whole")
 
-    def __init__(self, tag: str, label: str, text: str = "", votes: int = 0, main: bool = False, linked: int = 0):
-        self.tag, self.label, self.text, self.votes, self.main, self.kids = tag, label, text, votes, main, []
+    def __init__(self, tag: str, label: str, text: str = "", votes: int = 0, main: bool = False, linked: int = 0, whole: int = 0, article: bool = False):
+        self.tag, self.label, self.text, self.main, self.article, self.kids = tag, label, text, main, article, []
+        self.votes, self.spare, self.whole = 0 if main else votes, votes, whole
         self.chars, self.linked, self.holds, self.digest = len(text), linked, False, 0
+        self.prose = len(text) >= PROSE and 2 * linked <= len(text)
 
 
 def _element(tag: str, attributes: str) -> Node:
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if attributes else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
     role = found.get("role", "").lower()
-    main = tag in ("article", "main") or role in MAIN_ROLES
-    votes = 0
+    article = tag == "article" or role == "article"
+    main = article or tag == "main" or role == "main"
+    words = {w.lower() for n in names for w in (n, *re.split(r"[-_]", n))}
+    votes = whole = 0
     if tag in ASIDE_TAGS or role in ASIDE_ROLES:
-        votes = 2
-    elif names and not main and tag not in HEADINGS and tag not in ("body", "html"):
-        words = {w.lower() for n in names for w in (n, *re.split(r"[-_]", n))}
-        votes = max(0, min(2, sum(1 for w in words if ASIDE_NAMES.match(w))) - any(CONTENT_NAMES.match(w) for w in words))
-    return Node(tag, tag + ("." + re.sub(r"\d+", "0", names[0].lower()) if names else ""), votes=0 if main else votes, main=main)
+        votes = whole = 2
+    elif tag in CONTAINERS and any(COMMENT_NAMES.match(w) for w in words):
+        votes, whole, main = 2, 2, False
+    elif names and tag not in HEADINGS and tag not in ("body", "html"):
+        content_ = any(CONTENT_NAMES.match(w) for w in words)
+        votes, whole = (max(0, min(2, sum(1 for w in some if ASIDE_NAMES.match(w))) - content_) for some in (words, {n.lower() for n in names}))
+    return Node(tag, tag + ("." + re.sub(r"\d+", "0", names[0].lower()) if names else ""), votes=votes, main=main, whole=whole, article=article)
 
 
 def tree(html: str) -> Node:
@@ -177,19 +188,30 @@ def tree(html: str) -> Node:
 
 def _finished(root: Node) -> Node:
     """The tree with chains of elements joined, the text, link text and digest of all nodes, and which nodes hold a main
-    element that is no part of a menu or the like."""
-    order, todo, depth = [], [(root, 1)], 1
+    element that is no part of a menu or the like.
+
+    An article inside an article, inside an element whose names vote for the frame, or beside others of its label is a
+    comment, a card of another story or an entry of a list, and no main element.
+    """
+    order, todo, depth = [], [(root, 1, False, False)], 1
     while todo:
-        node, level = todo.pop()
+        node, level, framed, nested = todo.pop()
         depth = max(depth, level)
+        framed |= node.votes > 0 and node.tag != "header"
+        nested |= node.article and node.main
+        alike = Counter([k.label for k in node.kids if k.article])
+        for k in node.kids:
+            if k.main and k.article and (framed or nested or alike[k.label] > 1):
+                k.main, k.votes = False, k.spare
         while len(node.kids) == 1 and node.kids[0].label == node.label and not (node.main or node.kids[0].main) and node.label[0] != "#":
             node.votes, node.kids = max(node.votes, node.kids[0].votes), node.kids[0].kids
         order.append(node)
-        todo += [(k, level + 1) for k in node.kids]
+        todo += [(k, level + 1, framed, nested) for k in node.kids]
     for node in reversed(order):
         node.digest = zlib.crc32((node.text if node.label == "#" else node.label).encode("utf-8", "replace"))
         for k in node.kids:
             node.chars += k.chars
+            node.prose |= k.prose
             node.linked += k.linked
             node.digest = zlib.crc32(k.digest.to_bytes(4), node.digest)
         if node.tag == "header" and any(k.tag in HEADINGS for k in node.kids):
@@ -340,7 +362,7 @@ def content(page: Node, template: list | None, own: list | None = None) -> list[
     known: dict = {}
 
     def framed(kid: Node, t: list | None, mass: int, main: bool) -> bool:
-        votes = kid.votes
+        votes = kid.whole if main and kid.prose else kid.votes
         if kid.tag == "heading":
             votes = 0 if main else votes
         if votes < 2 and t is not None:
