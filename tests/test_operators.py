@@ -601,3 +601,21 @@ def test_grid_follows_the_points(spark):
     got = sorted(tuple(r) for r in S.points_in_rings(p, v, ["geom"]).collect())
     assert got == sorted(tuple(r) for r in S.points_in_rings(p, v, ["geom"], 20.0).collect()) and len({g for _, g in got}) == 2
     assert S.points_in_rings(p.limit(0), v, ["geom"]).count() == 0
+
+
+def test_run_folder_is_deleted(spark):
+    import os
+
+    from tierwise.sources.storage import fresh_path, run_folder, shared_folder, written
+
+    base = shared_folder(spark).removeprefix("file://")
+    with run_folder(spark) as outer:
+        a = written(spark.range(5), "a")
+        with pytest.raises(KeyError), run_folder(spark) as inner:
+            assert inner.startswith(outer) and written(spark.range(3), "b").count() == 3
+            raise KeyError
+        assert not os.path.exists(inner.removeprefix("file://")) and a.count() == 5
+    assert not os.path.exists(outer.removeprefix("file://"))
+    assert fresh_path(spark, "c").removeprefix("file://").startswith(f"{base}/c-")
+    with run_folder(spark):
+        pass

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """What the library writes inside the block goes into a folder of its own, which is deleted behind it.
+
+    Results that are still to be read have to be written elsewhere first. Without such a block everything stays in
+    the shared folder. Blocks may be nested.
+    """
+    path = f"{(_run.get() or shared_folder(spark)).rstrip('/')}/run-{uuid.uuid4().hex}"
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        system, folder = opened(path)
+        if system.get_file_info(folder).type != fs.FileType.NotFound:
+            system.delete_dir(folder)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(_run.get() or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, options: dict[str, str] | None = None, by: Sequence[str] = ()) -> DataFrame:
