@@ -183,7 +183,9 @@ def _columns(batches: Iterator[pa.RecordBatch], most_terms: int, most_entries: i
 def blocks_of(kept: DataFrame) -> DataFrame:
     """Run-length columns of ``kept_counts``: (lang, block, source, size, ends, counts), and a row without a source per block."""
     terms = kept.filter("term is not null").groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("entries"))
-    order = [F.col("lang"), F.slice("entries", 1, 8).alias("head"), F.xxhash64("entries").alias("vector"), F.xxhash64("term").alias("tie")]
+    # bounds of ranges go through the driver, so the vector's first entries are put in few bytes; its hash keeps equal ones together
+    head = F.flatten(F.transform(F.slice("entries", 1, 4), lambda e: F.array(F.hash(e["source"]).cast("long"), e["n"])))
+    order = [F.col("lang"), head.alias("head"), F.xxhash64("entries").alias("vector"), F.xxhash64("term").alias("tie")]
     keyed = terms.select(*order, "entries")
     dealt = keyed.repartitionByRange("lang", "head", "vector", "tie").sortWithinPartitions("lang", "head", "vector", "tie")
     return written(dealt.select(F.spark_partition_id().alias("part"), "lang", "entries").mapInArrow(tx.trimmed(partial(_columns, most_terms=BLOCK_TERMS, most_entries=BLOCK_ENTRIES)), RUNS), "columns")
