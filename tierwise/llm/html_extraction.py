@@ -23,6 +23,7 @@ one template.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -76,7 +77,9 @@ class Node:
         self.prose = len(text) >= PROSE and 2 * linked <= len(text)
 
 
-def _element(tag: str, attributes: str) -> Node:
+@functools.lru_cache(maxsize=8192)
+def _traits(tag: str, attributes: str) -> tuple[str, int, bool, int, bool]:
+    """Label, votes, whether it may be main, votes of whole names, and whether it is an article; the same few tags recur on all pages."""
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if attributes else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
     role = found.get("role", "").lower()
@@ -91,7 +94,12 @@ def _element(tag: str, attributes: str) -> Node:
     elif names and tag not in HEADINGS and tag not in ("body", "html"):
         content_ = any(CONTENT_NAMES.match(w) for w in words)
         votes, whole = (max(0, min(2, sum(1 for w in some if ASIDE_NAMES.match(w))) - content_) for some in (words, {n.lower() for n in names}))
-    return Node(tag, tag + ("." + re.sub(r"\d+", "0", names[0].lower()) if names else ""), votes=votes, main=main, whole=whole, article=article)
+    return tag + ("." + re.sub(r"\d+", "0", names[0].lower()) if names else ""), votes, main, whole, article
+
+
+def _element(tag: str, attributes: str) -> Node:
+    label, votes, main, whole, article = _traits(tag, attributes)
+    return Node(tag, label, votes=votes, main=main, whole=whole, article=article)
 
 
 def tree(html: str) -> Node:
@@ -199,10 +207,12 @@ def _finished(root: Node) -> Node:
         depth = max(depth, level)
         framed |= node.votes > 0 and node.tag != "header"
         nested |= node.article and node.main
-        alike = Counter([k.label for k in node.kids if k.article])
-        for k in node.kids:
-            if k.main and k.article and (framed or nested or alike[k.label] > 1):
-                k.main, k.votes = False, k.spare
+        articles = [k for k in node.kids if k.article and k.main]
+        if articles:
+            alike = Counter([k.label for k in articles])
+            for k in articles:
+                if framed or nested or alike[k.label] > 1:
+                    k.main, k.votes = False, k.spare
         while len(node.kids) == 1 and node.kids[0].label == node.label and not (node.main or node.kids[0].main) and node.label[0] != "#":
             node.votes, node.kids = max(node.votes, node.kids[0].votes), node.kids[0].kids
         order.append(node)
