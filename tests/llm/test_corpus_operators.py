@@ -100,7 +100,69 @@ def test_url_filters(spark):
     assert verdicts == {1: ("example.com/en", "block"), 2: ("example.com/en", "block"), 3: ("example.com/en", "block"), 4: ("example.com/en/x.ht", "allow"), 5: ("com", "allow"), 6: ("com", "allow")}
 
 
-@pytest.mark.parametrize("shares", [{}, {"word_share": 2e-3, "context_share": 2e-3, "listed_share": 1e-3}])
+def plain_tree(texts, depth, context_count, entry_count):
+    """log10 probability of a text by the rules of the tree, from dictionaries of runs."""
+    text_of = [(None, *w) for w in texts]
+    n = [Counter(t[i - k : i + 1] for t in text_of for i in range(max(k, 1), len(t))) for k in range(depth + 1)]
+    total, distinct = sum(n[0].values()), len(n[0])
+    state = {}  # context: listed probabilities, rest, rest above
+
+    def probability(context, word):
+        for k in range(len(context)):
+            if context[k:] in state:
+                listed, rest, above = state[context[k:]]
+                return listed[word] if word in listed else rest / above * probability(context[k + 1 :], word)
+        return (n[0][(word,)] + 0.1) / (total + 0.1 * (distinct + 1))
+
+    for k in range(1, depth + 1):
+        lists, new = defaultdict(dict), {}
+        for run, count in n[k].items():
+            if count >= entry_count and n[k - 1][run[:-1]] >= context_count:
+                lists[run[:-1]][run[-1]] = count
+        for context, words in lists.items():
+            size = n[k - 1][context]
+            p = {w: max(c - 0.75, 0.1) / size for w, c in words.items()}
+            up = {w: probability(context[1:], w) for w in words}
+            rest, above = (max(1 - sum(x.values()), 1e-9) for x in (p, up))
+            gain = size * (sum(p[w] * np.log(p[w] / up[w]) for w in p) + rest * np.log(rest / above))
+            if gain - 0.5 * len(p) * np.log(max(size, 2)) > 0:
+                new[context] = (p, rest, above)
+        state |= new
+    return state, lambda t: sum(np.log10(probability((None, *t)[max(i - depth, 0) : i], w)) for i, w in enumerate(t, 1)), probability
+
+
+@pytest.mark.parametrize("depth, bits", [(1, 12), (4, 26), (6, 10)])
+def test_lm_scoring_equals_plain_tree(spark, depth, bits):
+    rng = np.random.default_rng(5)
+    phrases = [" ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(2, 9))) for _ in range(12)]
+    rows = [(i, " ".join(phrases[x] for x in rng.integers(0, 12, rng.integers(0, 12)))) for i in range(300)]
+    rows += [(None, "w1 w2"), (None, "w1 w2"), (400, None), (401, "w3 unseen w4 w4"), (402, long_text(4000)), (402, long_text(4000))]
+    words = [tuple(lower(w) for w in re.findall(WORD, t or "")) + (None,) for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    state, plain, probability = plain_tree([w for w, h in zip(words, held) if not h], depth, 6, 2)
+    assert {len(c) for c in state} >= set(range(1, min(depth, 4) + 1))
+    seen = {w for ws, h in zip(words, held) if not h for w in ws}
+    for context in state:  # what is left is for unseen words
+        assert sum(probability(context, w) for w in seen) <= 1 + 1e-9
+    exp = defaultdict(list)
+    for (i, _), w in zip(rows, words):
+        exp[i].append(plain(w))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = lm_scoring(docs, depth=depth, context_count=6, entry_count=2, filter_bits=bits, block_bytes=2000).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = exp[r["doc_id"]]
+        assert r["score"] == pytest.approx(want[0], rel=1e-9)
+
+
+def test_lm_scoring_without_training_rows(spark):
+    assert lm_scoring(edge_docs(spark, [])).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    r = lm_scoring(edge_docs(spark, [(held, "a b")])).first()
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("shares", [{}, {"context_count": 8, "entry_count": 3, "depth": 2}])
 def test_lm_scoring_base(spark, shares):
     rows = table_rows(spark)
     rows += [(None, None), (1000, ""), (1001, long_text(3000)), (1001, long_text(3000))]
@@ -125,22 +187,6 @@ def test_lm_scoring_base(spark, shares):
         assert per_token[1] > per_token[0]  # the tree tells held-out texts better than word frequencies do
 
 
-def test_lm_states_are_distributions(spark):
-    from tierwise.llm.lm_scoring import Tree
-
-    words = np.sort(tx.mix(np.arange(1, 6, dtype=np.uint64)))
-    tree = Tree(words, np.array([40, 30, 20, 10, 5]), 105, 5)
-    state = tree.grow(np.array([0, 1]), np.array([40.0, 30.0]), np.array([-1, -1]), np.array([0, 0, 1]), np.array([1, 2, 3]), np.array([25, 10, 28]))
-    assert (state >= 0).all()
-    deep = tree.grow(np.array([9]), np.array([25.0]), np.array([state[0]]), np.array([0]), np.array([4]), np.array([24]))
-    unknown = 1 - 10 ** tree.root.astype(float)
-    for s in [*state, *deep]:
-        p = 10 ** tree.logs(np.full(5, s), np.arange(5))
-        rare = 10 ** tree.logs(np.array([s]), np.array([-1]))[0] * (1 - (10**tree.root).sum())
-        assert p.sum() + rare == pytest.approx(1.0, abs=1e-6)
-    assert (unknown > 0).all()
-
-
 def test_license_scan(spark):
     rows = [(i, f"some words of the corpus number {i}\n{s}\nmore words") for i, s in enumerate(x for v in TEMPLATES.values() for x in v)]
     plain = [(1000 + i, t) for i, t in enumerate(("nothing here\nat all", None, "", " \n ", long_text(20_000)))]

@@ -1,19 +1,22 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The alphabet is the words of the training texts and one end token. States are contexts of up to two
-words. A context is a candidate if it makes up at least ``context_share`` of the training tokens, and
-lists the next words that make up at least ``listed_share`` of them; both counts run over all training
-documents. A candidate stays if the divergence of its next-word distribution from that of the longest
-kept suffix, times its count, exceeds the cost of its list (half the list's length times the logarithm of
-the count). Listed probabilities are counts less a discount; the rest of the mass follows the shorter
-context, down to the smoothed word frequencies. A token is scored in the longest kept suffix of what
-precedes it; before the first word stands an end token.
-
-As shares bound the number of contexts and entries (1 / share each), the tree is broadcast. Counts of
-rare words are not: they meet their documents in a join by word, packed and dealt by hash.
+The alphabet is the words of the training texts and one end token. States are contexts of 1 to ``depth`` words; before
+the first word of a text stands an end token. A context is a candidate if it occurs ``context_count`` times in the
+training texts, and lists the next words that follow it ``entry_count`` times: absolute counts over all documents, so the
+tree gets wider and deeper as the corpus grows. A candidate stays if the divergence of its next-word distribution from
+that of its longest kept suffix, times its count, exceeds the cost of its list (half the list's length times the
+logarithm of the count). Listed probabilities are counts less a discount; the rest of the mass follows the longest kept
+suffix, down to the smoothed word frequencies. A token is scored in the longest kept suffix of what precedes it.
+
+One code path serves every length. Runs of n words are counted only where the run without its last word may be a
+candidate and the run without its first may be listed; two bitmaps of ``2**filter_bits`` bits tell, whatever the size of
+the corpus, and what they let through by mistake is dropped by exact joins. Nothing that grows with the corpus is broadcast or
+collected: texts are dealt into blocks of ``block_bytes``, a block asks for the distinct runs that it holds, these meet
+counts and states in joins, and a block is scored with the answers to its own questions.
 
 Null texts are empty: one end token. Rows with a null id are training rows. Repeated rows count again in
-training and get equal scores. Without training tokens all probabilities are those of the smoothing.
+training and get equal scores. Without training tokens all probabilities are those of the smoothing. Words and runs are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +36,9 @@ from . import text as tx
 U = np.uint64
 END = U(0x0E4D0F7E87000001)
 HOLD = 3_000_000
-ROWS_BITS = 10  # rows whose sums are gathered together
 DISCOUNT = 0.75
 PACKED = "bucket int, keys binary, counts binary"
+BUCKET_BYTES = 1 << 24  # bytes of text for each bucket of counts
 
 
 class Index:
@@ -78,18 +82,19 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
 
 
-def counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int) -> DataFrame:
-    """Packed (bucket, keys, counts) of what ``keys_of`` makes of the tokens of all training texts."""
+def counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int, least: int = 1) -> DataFrame:
+    """Packed (bucket, keys, counts of ``least`` and more) of what ``keys_of`` makes of the tokens of all training texts.
+
+    A bucket is a range of keys.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]):
         held_k, held_c, total = [np.empty(0, U)], [np.empty(0, np.int64)], 0
 
         def out():
             keys, counts = summed(np.concatenate(held_k), np.concatenate(held_c))
-            bucket = tx.mix(keys) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
-            rows = [(b, keys[order[x:y]].tobytes(), counts[order[x:y]].astype(np.uint32).tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+            cut = np.searchsorted((keys >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1, dtype=U))
+            rows = [(b, keys[x:y].tobytes(), counts[x:y].astype(np.uint32).tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
 
         for batch in batches:
@@ -111,271 +116,270 @@ def counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndar
             keys = np.frombuffer(b"".join(r[1] for r in rows if r[0] == bucket), U)
             counts = np.frombuffer(b"".join(r[2] for r in rows if r[0] == bucket), np.uint32).astype(np.int64)
             keys, counts = summed(keys, counts)
+            keys, counts = keys[counts >= least], counts[counts >= least]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
 
     rows = docs.filter("not held_out").select("text").mapInArrow(tx.trimmed(count), PACKED)
     return rows.repartition(buckets, "bucket").mapInArrow(tx.trimmed(add), PACKED)
 
 
-def frequent(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and counts of at least ``least``; their number is bounded by the share behind it."""
+def runs(words: np.ndarray, offset: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The place of each token in its text, and keys of the runs of 1 to ``most`` tokens that end there.
+
+    An end token is put before each text, at place 0. A key of n tokens means nothing at places below n - 1.
+    """
+    n = len(offset) - 1
+    start = offset[:-1] + np.arange(n)
+    padded = np.full(len(words) + n, END)
+    inner = np.ones(len(padded), bool)
+    inner[start] = False
+    padded[inner] = words
+    place = np.arange(len(padded)) - np.repeat(start, np.diff(offset) + 1)
+    keys, total = [], np.zeros(len(padded), U)
+    for k in range(most):
+        total[k:] += padded[: len(padded) - k] * tx.LANES[k]
+        keys.append(tx.mix(total + U(k + 1)))
+    return place, keys
+
+
+def earlier(keys: np.ndarray) -> np.ndarray:
+    """The key of the run that ends one token before."""
+    return np.concatenate((keys[:1], keys[:-1]))
+
+
+class Bits:
+    """A set of keys by their leading bits: it may hold a key by mistake and misses none."""
 
-    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def __init__(self, bits: int, parts: list[tuple[int, bytes]]):
+        self.shift, self.byte = U(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
+        for first, part in parts:
+            self.byte[first : first + len(part)] |= np.frombuffer(part, np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> self.shift
+        return (self.byte[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def marked(table: DataFrame, bits: int, levels: tuple[int, int]) -> tuple[Bits, Bits]:
+    """The keys with counts of at least each level. Buckets are ranges, so all parts together are as long as the bitmaps."""
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for b, k, c in zip(*(x.to_pylist() for x in batch.columns)):
+        for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             keys, counts = np.frombuffer(k, U), np.frombuffer(c, np.int64)
-            out.append((b, keys[counts >= least].tobytes(), counts[counts >= least].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
-
-    rows = tx.mapped(table, pick, PACKED).collect()
-    keys = np.frombuffer(b"".join(bytes(r["keys"]) for r in rows), U)
-    counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-class Tree:
-    """The kept contexts. Words are numbers among the frequent ones; a state is a number, -1 the root."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.index, self.count, self.size = Index(words), counts, max(len(words), 1)
-        self.norm = total + 0.1 * (distinct + 1)
-        self.root = np.log10((counts + 0.1) / self.norm)
-        self.one = np.full(self.size, -1, np.int32)  # state of a word as context
-        self.two = Index(np.empty(0, U))  # contexts of two words that are states
-        self.two_state = np.empty(0, np.int64)
-        self.parent = np.empty(0, np.int64)
-        self.alpha = np.empty(0)
-        self.entries, self.value = Index(np.empty(0, U)), np.empty(0)
-
-    def word(self, hashes: np.ndarray) -> np.ndarray:
-        return self.index.find(hashes)
-
-    def pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return first.astype(U) * U(self.size) + second.astype(U)
-
-    def states(self, words: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """The longest kept suffix before each token; before a text stands its end token."""
-        end = int(self.word(np.array([END]))[0])
-        before = np.concatenate(([end], words[:-1]))
-        before[offset[:-1]] = end
-        state = np.where(before >= 0, self.one[np.maximum(before, 0)], -1).astype(np.int64)
-        if len(self.two.keys):
-            earlier = np.concatenate(([-1], before[:-1]))
-            earlier[offset[:-1]] = -1
-            can = np.flatnonzero((earlier >= 0) & (before >= 0))
-            at = self.two.find(self.pair(earlier[can], before[can]))
-            state[can[at >= 0]] = self.two_state[at[at >= 0]]
-        return state
-
-    def logs(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability in its state; for rare words (-1) without the root's part."""
-        out = np.zeros(len(words))
-        todo = np.arange(len(words))
-        now = state.copy()
-        while len(todo := todo[now[todo] >= 0]):
-            known = words[todo] >= 0
-            at = np.full(len(todo), -1, np.int64)
-            at[known] = self.entries.find(self.pair(now[todo[known]], words[todo[known]]))
-            hit = at >= 0
-            out[todo[hit]] += self.value[at[hit]]
-            now[todo[hit]] = -2
-            miss = todo[~hit]
-            out[miss] += self.alpha[now[miss]]
-            now[miss] = self.parent[now[miss]]
-        rest = (now == -1) & (words >= 0)
-        out[rest] += self.root[words[rest]]
-        return out
-
-    def grow(self, context: np.ndarray, size: np.ndarray, parent: np.ndarray, which: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Adds those candidates that pass the divergence test; gives their state numbers, else -1.
-
-        ``which`` tells the candidate of each listed entry (sorted), with its next word and count.
-        """
-        m = len(context)
-        new = np.full(m, -1, np.int64)
-        if not len(which):
-            return new
-        p = np.maximum(count - DISCOUNT, 0.1) / size[which]
-        up = 10 ** self.logs(parent[which], word)
-        mass, mass_up = (np.bincount(which, x, m) for x in (p, up))
-        rest, rest_up = np.maximum(1 - mass, 1e-9), np.maximum(1 - mass_up, 1e-9)
-        gain = size * (np.bincount(which, p * np.log(p / up), m) + rest * np.log(rest / rest_up))
-        listed = np.bincount(which, minlength=m)
-        keep = (listed > 0) & (gain > 0.5 * listed * np.log(np.maximum(size, 2)))
-        new[keep] = len(self.parent) + np.arange(int(keep.sum()))
-        self.parent = np.concatenate((self.parent, parent[keep]))
-        self.alpha = np.concatenate((self.alpha, np.log10(rest[keep] / rest_up[keep])))
-        e = keep[which]
-        keys = np.concatenate((self.entries.keys, self.pair(new[which[e]], word[e])))
-        value = np.concatenate((self.value, np.log10(p[e])))
-        order = np.argsort(keys)
-        self.entries, self.value = Index(keys[order]), value[order]
-        return new
-
-
-def trained(docs: DataFrame, table: DataFrame, total: int, distinct: int, buckets: int, word_share: float, context_share: float, listed_share: float) -> Tree:
-    """The tree of the training texts. ``table`` has the packed counts of all words."""
-    sc = docs.sparkSession.sparkContext
-    least = max(1, int(np.ceil(total * word_share)))
-    tree = Tree(*frequent(table, least), total, distinct)
-    if not len(tree.count):
-        return tree
-    in_context, in_list = max(2, int(np.ceil(total * context_share))), max(2, int(np.ceil(total * listed_share)))
-    shared = sc.broadcast((tree, tree.count >= in_context))
-
-    def pairs(hashes: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        model, is_context = shared.value
-        word = model.word(hashes)
-        end = int(model.word(np.array([END]))[0])
-        before = np.concatenate(([end], word[:-1]))
-        before[offset[:-1]] = end
-        ok = (before >= 0) & (word >= 0)
-        ok[ok] = is_context[before[ok]]
-        return model.pair(before[ok], word[ok])
-
-    keys, counts = frequent(counted(docs, pairs, buckets), in_list)
-    first, second = (keys // U(tree.size)).astype(np.int64), (keys % U(tree.size)).astype(np.int64)
-    context, which = np.unique(first, return_inverse=True)
-    state = tree.grow(context, tree.count[context].astype(float), np.full(len(context), -1, np.int64), which, second, counts)
-    tree.one[context] = state
-
-    deep = np.flatnonzero(counts >= in_context)
-    end = int(tree.word(np.array([END]))[0])
-    deep = deep[second[deep] != end]
-    twos, size, parent = keys[deep], counts[deep].astype(float), tree.one[second[deep]].astype(np.int64)
-    shared_two = sc.broadcast((tree, Index(twos)))
-
-    def triples(hashes: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        model, index = shared_two.value
-        word = model.word(hashes)
-        end = int(model.word(np.array([END]))[0])
-        before = np.concatenate(([end], word[:-1]))
-        before[offset[:-1]] = end
-        earlier = np.concatenate(([-1], before[:-1]))
-        earlier[offset[:-1]] = -1
-        ok = np.flatnonzero((earlier >= 0) & (before >= 0) & (word >= 0))
-        at = index.find(model.pair(earlier[ok], before[ok]))
-        ok, at = ok[at >= 0], at[at >= 0]
-        return model.pair(at, word[ok])
-
-    if len(twos):
-        keys, counts = frequent(counted(docs, triples, buckets), in_list)
-        which, word = (keys // U(tree.size)).astype(np.int64), (keys % U(tree.size)).astype(np.int64)
-        state = tree.grow(twos, size, parent, which, word, counts)
-        kept = state >= 0
-        order = np.argsort(twos[kept])
-        tree.two, tree.two_state = Index(twos[kept][order]), state[kept][order]
-    return tree
-
-
-def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = 5e-7, context_share: float = 2e-5, listed_share: float = 1e-6, buckets: int | None = None) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. See the module for the method."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
+            for which, least in enumerate(levels):
+                at = np.unique(keys[counts >= least] >> U(64 - bits)).astype(np.int64)
+                if len(at):
+                    first = int(at[0]) >> 3
+                    flags = np.zeros(((int(at[-1]) >> 3) - first + 1) * 8, np.uint8)
+                    flags[at - 8 * first] = 1
+                    out.append((which, first, np.packbits(flags, bitorder="little").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["which", "first", "part"])
 
-    table = written(counted(own, lambda hashes, offset: hashes, buckets), "words")
-    size = tx.mapped(
-        table,
-        lambda b: pa.RecordBatch.from_arrays([pa.array([len(k.as_py()) // 8 for k in b.column(1)], pa.int64()), pa.array([int(np.frombuffer(c.as_py(), np.int64).sum()) for c in b.column(2)], pa.int64())], names=["n", "total"]),
-        "n long, total long",
-    ).agg(F.sum("n").alias("distinct"), F.sum("total").alias("total")).first()
-    total, distinct = int(size["total"] or 0), int(size["distinct"] or 0)
-    model = sc.broadcast(trained(own, table, total, distinct, buckets, word_share, context_share, listed_share))
+    rows = tx.mapped(table, mark, "which int, first long, part binary").collect()
+    high, low = (Bits(bits, [(r["first"], bytes(r["part"])) for r in rows if r["which"] == w]) for w in (0, 1))
+    return high, low
 
-    def score(batches: Iterator[pa.RecordBatch]):
-        tree = model.value
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for t in tx.slices(batch.column(1)):
-                hashes, offset = tokens(t)
-                word = tree.word(hashes)
-                logs = tree.logs(tree.states(word, offset), word)
-                root = np.where(word >= 0, tree.root[np.maximum(word, 0)] if len(tree.root) else 0.0, 0.0)
-                rare = [hashes[a:b][word[a:b] < 0].tobytes() for a, b in zip(offset[:-1], offset[1:])]
-                n = np.diff(offset)
-                sums = [np.add.reduceat(x, offset[:-1]) for x in (root, logs, (word >= 0).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(t.n)), batch.column(0).slice(t.first, t.n), batch.column(2).slice(t.first, t.n), pa.array(n.astype(np.int64)),
-                        pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.array(rare, pa.binary()),
-                    ],
-                    names=["row", "id", "held_out", "n_tokens", "known", "base", "tree", "rare"],
-                )
-                row += t.n
-
-    scored = written(own.select("id", "text", "held_out").mapInArrow(tx.trimmed(score), f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, tree double, rare binary"), "scored")
 
-    def deal(batches: Iterator[pa.RecordBatch]):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        total = 0
+def unpacked(table: DataFrame) -> DataFrame:
+    """Rows (g, n) of packed counts."""
 
-        def out():
-            keys, rows = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            bucket = tx.mix(keys) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
-            found = [(b, keys[order[x:y]].tobytes(), rows[order[x:y]].tobytes(), True) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()))], names=["bucket", "keys", "counts", "asks"])
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["g", "n"])
+
+    return tx.mapped(table, rows, "g long, n long")
 
+
+def dealt(own: DataFrame, kind: str, block_bytes: int) -> DataFrame:
+    """``own`` with the number of a block of about ``block_bytes`` of text, written once so that numbers stay."""
+
+    def deal(batches: Iterator[pa.RecordBatch]):
+        base, done = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
-            for row, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = np.frombuffer(rare, U)
-                held.append((keys, np.full(len(keys), row, np.int64)))
-                total += len(keys)
-                if total > 1 << 20:
-                    yield out()
-                    held, total = [], 0
-        if total:
-            yield out()
+            size = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            after = done + np.cumsum(size + 1)
+            if len(after):
+                yield pa.RecordBatch.from_arrays([pa.array(base + (after - size - 1) // block_bytes), *batch.columns], names=["block", "id", "held_out", "text"])
+                done = int(after[-1])
+
+    return written(own.mapInArrow(tx.trimmed(deal), f"block long, id {kind}, held_out boolean, text string"), "blocks", {"compression": "zstd"})
+
 
-    norm = np.log10(max(total + 0.1 * (distinct + 1), 0.1))
+def asked(blocks: DataFrame, shared, depth: int) -> DataFrame:
+    """(block, level, g, c, s): the runs of a block that may matter, with the runs without their last and first token."""
+
+    def ask(batches: Iterator[pa.RecordBatch]):
+        high, low = shared.value
+        held: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
+        now, total = None, 0
+
+        def out():
+            for k, many in enumerate(held):
+                if many:
+                    rows = np.concatenate(many, axis=1)
+                    rows = rows[:, np.unique(rows[0], return_index=True)[1]]
+                    n = rows.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), pa.array(np.full(n, k + 1, np.int32)), *(pa.array(r.view(np.int64)) for r in rows)], names=["block", "level", "g", "c", "s"])
+                    many.clear()
 
-    def answer(batches: Iterator[pa.RecordBatch]):
-        words, asked = [], []
         for batch in batches:
-            for b, k, c, asks in zip(*(x.to_pylist() for x in batch.columns)):
-                (asked if asks else words).append((k, c))
-        if not asked:
-            return
-        keys, rows = np.frombuffer(b"".join(a[0] for a in asked), U), np.frombuffer(b"".join(a[1] for a in asked), np.int64)
-        known, counts = np.frombuffer(b"".join(w[0] for w in words), U), np.frombuffer(b"".join(w[1] for w in words), np.int64)
-        order = np.argsort(known)
-        at = Index(known[order]).find(keys)
-        count = np.where(at >= 0, counts[order][np.maximum(at, 0)] if len(counts) else 0, 0)
-        order = np.argsort(rows, kind="stable")
-        rows, count = rows[order], count[order]
-        cut = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        logs, seen = np.add.reduceat(np.log10(count + 0.1) - norm, cut), np.add.reduceat((count > 0).astype(np.int64), cut)
-        row = rows[cut]
-        block = row >> ROWS_BITS
-        edge = np.append(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), len(row))
-        for i in range(0, len(edge) - 1, 1000):
-            span = list(zip(edge[i:-1], edge[i + 1 :]))[:1000]
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[x]) for x, _ in span]), *(pa.array([v[x:y].tobytes() for x, y in span], pa.binary()) for v in (row, logs, seen))], names=["block", "rows", "logs", "seen"])
-
-    def gather(batches: Iterator[pa.RecordBatch]):
-        held: list[list[np.ndarray]] = [[], [], []]
+            block = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if now is not None and (block[x] != now or total > HOLD):
+                    yield from out()
+                    total = 0
+                now = int(block[x])
+                for t in tx.slices(batch.column(1).slice(x, y - x)):
+                    place, keys = runs(*tokens(t), depth + 1)
+                    for k, g in enumerate(keys):
+                        ok = place >= max(k, 1)
+                        if k:
+                            ok = np.flatnonzero(ok)
+                            ok = ok[low[k].has(g[ok])]
+                            ok = ok[high[k - 1].has(keys[k - 1][ok - 1])]
+                        own = np.stack((g[ok], keys[k - 1][ok - 1], keys[k - 1][ok])) if k else np.stack((g[ok], np.zeros_like(g[ok]), np.zeros_like(g[ok])))
+                        own = own[:, np.unique(own[0], return_index=True)[1]]
+                        held[k].append(own)
+                        total += own.shape[1]
+        if now is not None:
+            yield from out()
+
+    return blocks.select("block", "text").mapInArrow(tx.trimmed(ask), "block long, level int, g long, c long, s long")
+
+
+def tree(counts: list[DataFrame], asks: DataFrame, norm: float, context_count: int) -> DataFrame:
+    """(g, v, a) of all words and runs: ``v`` the log10 probability of the last word in its context, if that is a state, or
+    of a word alone; ``a`` the log10 weight of the shorter context, if the run is a state itself."""
+    below = unpacked(counts[0]).withColumn("q", (F.col("n") + 0.1) / F.lit(norm)).withColumn("v", F.log10("q"))
+    found = None
+    for level, packed in enumerate(counts[1:], 2):
+        links = asks.filter(F.col("level") == level).groupBy("g").agg(F.min("c").alias("c"), F.min("s").alias("s"))
+        up = below.select(F.col("g").alias("s"), F.col("q").alias("up"))
+        context = below.filter(F.col("n") >= context_count).select(F.col("g").alias("c"), F.col("n").alias("size"))
+        entries = unpacked(packed).join(links, "g").join(up, "s").join(context, "c")
+        entries = written(entries.select("g", "c", "n", "size", "up", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.1)) / F.col("size")).alias("p")), "entries")
+        state = entries.groupBy("c").agg(
+            F.greatest(1 - F.sum("p"), F.lit(1e-9)).alias("rest"), F.greatest(1 - F.sum("up"), F.lit(1e-9)).alias("rest_up"),
+            F.sum(F.col("p") * F.log(F.col("p") / F.col("up"))).alias("part"), F.count(F.lit(1)).alias("listed"), F.min("size").alias("size"),
+        )
+        gain = F.col("size") * (F.col("part") + F.col("rest") * F.log(F.col("rest") / F.col("rest_up")))
+        state = state.filter(F.round(gain - 0.5 * F.col("listed") * F.log(F.greatest("size", F.lit(2))), 6) > 0)
+        state = written(state.select("c", F.log10(F.col("rest") / F.col("rest_up")).alias("a")), "states")
+        own = below.join(state.withColumnRenamed("c", "g"), "g", "left").select("g", "v", "a")
+        found = own if found is None else found.unionByName(own)
+        is_state = F.col("a").isNotNull()
+        below = entries.join(state, "c", "left").select("g", "n", F.when(is_state, F.col("p")).otherwise(F.col("up")).alias("q"), F.when(is_state, F.log10("p")).alias("v"))
+        below = written(below, "level")
+    last = below.select("g", "v", F.lit(None).cast("double").alias("a"))
+    found = last if found is None else found.unionByName(last)
+    return found.filter("v is not null or a is not null")
+
+
+class Answers:
+    """What a block was told about its runs."""
+
+    def __init__(self, keys: np.ndarray, value: np.ndarray, weight: np.ndarray):
+        keys, first = np.unique(keys, return_index=True)
+        self.index, self.value, self.weight = Index(keys), np.append(value[first], np.nan), np.append(weight[first], np.nan)
+
+    def logs(self, words: np.ndarray, offset: np.ndarray, depth: int, unseen: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: if it is known, its log10 probability alone and in the longest state before it."""
+        place, keys = runs(words, offset, depth + 1)
+        at = [self.index.find(k) for k in keys]  # -1 is the last item, which is not a number
+        root = self.value[at[0]]
+        known = ~np.isnan(root)
+        root = np.where(known, root, unseen)
+        out, open_ = np.zeros(len(place)), place > 0
+        for k in range(depth, 0, -1):
+            weight = self.weight[earlier(at[k - 1])]
+            here = np.flatnonzero(open_ & (place >= k) & ~np.isnan(weight))
+            value = self.value[at[k][here]]
+            listed = ~np.isnan(value)
+            out[here] += np.where(listed, value, weight[here])
+            open_[here[listed]] = False
+        out[open_] += root[open_]
+        token = place > 0
+        return known[token], root[token], out[token]
+
+
+def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 32, entry_count: int = 4, filter_bits: int = 26, block_bytes: int = 1 << 25, buckets: int | None = None) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. See the module for the method.
+
+    ``context_count`` has to be at least ``entry_count``. ``filter_bits``, ``block_bytes`` and ``buckets`` change no result.
+    """
+    if not 1 <= entry_count <= context_count or depth < 1:
+        raise ValueError("1 <= entry_count <= context_count and depth >= 1 are needed")
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    kind = docs.schema[id_col].dataType.simpleString()
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    own = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    blocks = dealt(own, kind, block_bytes)
+    if buckets is None:
+        size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+    def words(hashes: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        place, keys = runs(hashes, offset, 1)
+        return keys[0][place > 0]
+
+    counts = [written(counted(blocks, words, buckets), "counts")]
+    sums = tx.mapped(
+        counts[0],
+        lambda b: pa.RecordBatch.from_arrays([pa.array([len(k.as_py()) // 8 for k in b.column(1)], pa.int64()), pa.array([int(np.frombuffer(c.as_py(), np.int64).sum()) for c in b.column(2)], pa.int64())], names=["n", "total"]),
+        "n long, total long",
+    ).agg(F.sum("n").alias("distinct"), F.sum("total").alias("total")).first()
+    total, distinct = int(sums["total"] or 0), int(sums["distinct"] or 0)
+    norm = total + 0.1 * (distinct + 1)
+
+    high, low = [], []
+    for k in range(1, depth + 1):
+        both = marked(counts[-1], filter_bits, (context_count, entry_count))
+        high.append(both[0])
+        low.append(both[1])
+        shared = sc.broadcast(both)
+
+        def longer(hashes: np.ndarray, offset: np.ndarray, k: int = k, shared=shared) -> np.ndarray:
+            is_context, is_listed = shared.value
+            place, keys = runs(hashes, offset, k + 1)
+            at = np.flatnonzero(place >= k)
+            at = at[is_context.has(keys[k - 1][at - 1])]
+            return keys[k][at[is_listed.has(keys[k - 1][at])]]
+
+        counts.append(written(counted(blocks, longer, buckets, entry_count), "counts"))
+    low.append(marked(counts[-1], filter_bits, (context_count, entry_count))[1])
+
+    asks = written(asked(blocks, sc.broadcast((high, low)), depth), "asks")
+    answers = asks.select("block", "g").join(tree(counts, asks, norm, context_count), "g")
+    unseen = float(np.log10(0.1 / norm))
+
+    def score(batches: Iterator[pa.RecordBatch]):
+        now, told, model = None, [], None
         for batch in batches:
-            for k, t in enumerate((np.int64, np.float64, np.int64)):
-                held[k] += [np.frombuffer(x, t) for x in batch.column(k + 1).to_pylist()]
-        if not held[0]:
-            return
-        row, logs, seen = (np.concatenate(h) for h in held)
-        order = np.argsort(row, kind="stable")
-        row, logs, seen = row[order], logs[order], seen[order]
-        cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(row[cut]), pa.array(np.add.reduceat(logs, cut)), pa.array(np.add.reduceat(seen, cut))], names=["row", "logs", "seen"])
-
-    asks = scored.select("row", "rare").filter(F.octet_length("rare") > 0).mapInArrow(tx.trimmed(deal), PACKED + ", asks boolean")
-    rare = asks.unionByName(table.withColumn("asks", F.lit(False))).repartition(buckets, "bucket").mapInArrow(tx.trimmed(answer), "block long, rows binary, logs binary, seen binary")
-    rare = rare.repartition(buckets, "block").mapInArrow(tx.trimmed(gather), "row long, logs double, seen long")
-    more = F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare").join(rare, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("tree") + more).alias("score"),
-    )
+            block, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1]), [True])))
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if block[x] != now:
+                    now, told, model = block[x], [], None
+                part = batch.slice(x, y - x)
+                if not is_text[x]:
+                    told.append((part.column(5).to_numpy().view(U), *(part.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (6, 7))))
+                    continue
+                if model is None:
+                    model = Answers(*(np.concatenate(c) for c in zip((np.empty(0, U), np.empty(0), np.empty(0)), *told)))
+                    told = []
+                for t in tx.slices(part.column(4)):
+                    hashes, offset = tokens(t)
+                    known, root, logs = model.logs(hashes, offset, depth, unseen)
+                    sums = [np.add.reduceat(v, offset[:-1]) for v in (known.astype(np.int64), root, logs)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(2).slice(t.first, t.n), part.column(3).slice(t.first, t.n), pa.array(np.diff(offset).astype(np.int64)), pa.array(sums[0]), pa.array(np.full(t.n, total)), pa.array(sums[1]), pa.array(sums[2])],
+                        names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
+
+    texts = blocks.select("block", F.lit(1).alias("kind"), "id", "held_out", "text", *(F.lit(None).cast(t).alias(c) for c, t in (("g", "long"), ("v", "double"), ("a", "double"))))
+    told = answers.select("block", F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("id", kind), ("held_out", "boolean"), ("text", "string"))), "g", "v", "a")
+    both = told.unionByName(texts).repartition(buckets, "block").sortWithinPartitions("block", "kind")
+    return both.mapInArrow(tx.trimmed(score), f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
