@@ -9,10 +9,10 @@ logarithm of the count). Listed probabilities are counts less a discount; the re
 suffix, down to the smoothed word frequencies. A token is scored in the longest kept suffix of what precedes it.
 
 One code path serves every length. Runs of n words are counted only where the run without its last word may be a
-candidate and the run without its first may be listed; two bitmaps of ``2**filter_bits`` bits tell, whatever the size of
-the corpus, and what they let through by mistake is dropped by exact joins. Nothing that grows with the corpus is broadcast or
-collected: texts are dealt into blocks of ``block_bytes``, a block asks for the distinct runs that it holds, these meet
-counts and states in joins, and a block is scored with the answers to its own questions.
+candidate and the run without its first may be listed; bitmaps of a bit for each 32 bytes of text, at most
+``2**filter_bits`` bits, tell, and what they let through by mistake is dropped by exact joins. Nothing else that grows with the
+corpus is broadcast or collected: texts are written in blocks of about ``block_bytes``, a block asks for the distinct runs
+that it holds, these meet counts and states in joins, and a task that has the answers to a block's questions reads and scores it.
 
 Null texts are empty: one end token. Rows with a null id are training rows. Repeated rows count again in
 training and get equal scores. Without training tokens all probabilities are those of the smoothing. Words and runs are
@@ -26,11 +26,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.storage import written
+from ..sources.storage import fresh_path, opened, written
 from . import text as tx
 
 U = np.uint64
@@ -191,8 +194,8 @@ def unpacked(table: DataFrame) -> DataFrame:
     return tx.mapped(table, rows, "g long, n long")
 
 
-def dealt(own: DataFrame, kind: str, block_bytes: int) -> DataFrame:
-    """``own`` with the number of a block of about ``block_bytes`` of text, written once so that numbers stay."""
+def dealt(own: DataFrame, kind: str, block_bytes: int, blocks: int) -> str:
+    """The folder to which ``own`` is written once, with a folder for each block of about ``block_bytes`` of text."""
 
     def deal(batches: Iterator[pa.RecordBatch]):
         base, done = TaskContext.get().partitionId() << 36, 0
@@ -203,50 +206,54 @@ def dealt(own: DataFrame, kind: str, block_bytes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(base + (after - size - 1) // block_bytes), *batch.columns], names=["block", "id", "held_out", "text"])
                 done = int(after[-1])
 
-    return written(own.mapInArrow(tx.trimmed(deal), f"block long, id {kind}, held_out boolean, text string"), "blocks", {"compression": "zstd"})
+    path = fresh_path(own.sparkSession, "blocks")
+    rows = own.coalesce(blocks).mapInArrow(tx.trimmed(deal), f"block long, id {kind}, held_out boolean, text string")
+    rows.write.options(**{"compression": "zstd", "parquet.block.size": 1 << 24}).partitionBy("block").parquet(path)
+    return path
 
 
-def asked(blocks: DataFrame, shared, depth: int) -> DataFrame:
+def texts_of(path: str, block: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """A block's rows, from the shared folder."""
+    system, folder = opened(f"{path}/block={block}")
+    for info in sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda i: i.path):
+        if info.base_name.endswith(".parquet") and not info.base_name.startswith((".", "_")):
+            with system.open_input_file(info.path) as source:
+                yield from pq.ParquetFile(source).iter_batches(batch_size=1024, columns=columns, use_threads=False)
+
+
+def asked(blocks: DataFrame, path: str, shared, depth: int) -> DataFrame:
     """(block, level, g, c, s): the runs of a block that may matter, with the runs without their last and first token."""
 
     def ask(batches: Iterator[pa.RecordBatch]):
-        high, low = shared.value
+        listed = shared.value
         held: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
-        now, total = None, 0
 
-        def out():
-            for k, many in enumerate(held):
-                if many:
-                    rows = np.concatenate(many, axis=1)
-                    rows = rows[:, np.unique(rows[0], return_index=True)[1]]
-                    n = rows.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), pa.array(np.full(n, k + 1, np.int32)), *(pa.array(r.view(np.int64)) for r in rows)], names=["block", "level", "g", "c", "s"])
-                    many.clear()
+        def distinct(rows: np.ndarray) -> np.ndarray:
+            return rows[:, np.unique(rows[0], return_index=True)[1]]
 
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if now is not None and (block[x] != now or total > HOLD):
-                    yield from out()
-                    total = 0
-                now = int(block[x])
-                for t in tx.slices(batch.column(1).slice(x, y - x)):
+        for block in (b for batch in batches for b in batch.column(0).to_pylist()):
+            total = 0
+            for batch in texts_of(path, block, ["text"]):
+                for t in tx.slices(batch.column(0)):
                     place, keys = runs(*tokens(t), depth + 1)
                     for k, g in enumerate(keys):
-                        ok = place >= max(k, 1)
+                        at = np.flatnonzero(place >= max(k, 1))
                         if k:
-                            ok = np.flatnonzero(ok)
-                            ok = ok[low[k].has(g[ok])]
-                            ok = ok[high[k - 1].has(keys[k - 1][ok - 1])]
-                        own = np.stack((g[ok], keys[k - 1][ok - 1], keys[k - 1][ok])) if k else np.stack((g[ok], np.zeros_like(g[ok]), np.zeros_like(g[ok])))
-                        own = own[:, np.unique(own[0], return_index=True)[1]]
-                        held[k].append(own)
-                        total += own.shape[1]
-        if now is not None:
-            yield from out()
+                            at = at[listed[k - 1].has(g[at])]
+                        held[k].append(distinct(np.stack((g[at], keys[k - 1][at - 1], keys[k - 1][at])) if k else g[at][None]))
+                        total += held[k][-1].shape[1]
+                if total > HOLD:
+                    held = [[distinct(np.concatenate(many, axis=1))] for many in held]
+                    total = 0
+            for k, many in enumerate(held):
+                rows = distinct(np.concatenate(many, axis=1)) if many else np.empty((3, 0), U)
+                many.clear()
+                for x in range(0, rows.shape[1], 1 << 17):
+                    part = [pa.array(r[x : x + (1 << 17)].view(np.int64)) for r in rows]
+                    n = len(part[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, k + 1, np.int32)), *part, *[pa.nulls(n, pa.int64())] * (3 - len(part))], names=["block", "level", "g", "c", "s"])
 
-    return blocks.select("block", "text").mapInArrow(tx.trimmed(ask), "block long, level int, g long, c long, s long")
+    return blocks.mapInArrow(tx.trimmed(ask), "block long, level int, g long, c long, s long")
 
 
 def tree(counts: list[DataFrame], asks: DataFrame, norm: float, context_count: int) -> DataFrame:
@@ -304,7 +311,7 @@ class Answers:
         return known[token], root[token], out[token]
 
 
-def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 32, entry_count: int = 4, filter_bits: int = 26, block_bytes: int = 1 << 25, buckets: int | None = None) -> DataFrame:
+def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 64, entry_count: int = 8, filter_bits: int = 27, block_bytes: int = 1 << 27, buckets: int | None = None) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. See the module for the method.
 
     ``context_count`` has to be at least ``entry_count``. ``filter_bits``, ``block_bytes`` and ``buckets`` change no result.
@@ -316,16 +323,17 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
     own = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    blocks = dealt(own, kind, block_bytes)
-    if buckets is None:
-        size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    size = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    filter_bits = min(filter_bits, max(10, (size // 32).bit_length()))
+    path = dealt(own, kind, block_bytes, max(1, size // block_bytes))
+    texts = spark.read.schema("held_out boolean, text string, block long").parquet(path)
 
     def words(hashes: np.ndarray, offset: np.ndarray) -> np.ndarray:
         place, keys = runs(hashes, offset, 1)
         return keys[0][place > 0]
 
-    counts = [written(counted(blocks, words, buckets), "counts")]
+    counts = [written(counted(texts, words, buckets), "counts")]
     sums = tx.mapped(
         counts[0],
         lambda b: pa.RecordBatch.from_arrays([pa.array([len(k.as_py()) // 8 for k in b.column(1)], pa.int64()), pa.array([int(np.frombuffer(c.as_py(), np.int64).sum()) for c in b.column(2)], pa.int64())], names=["n", "total"]),
@@ -334,52 +342,49 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, distinct = int(sums["total"] or 0), int(sums["distinct"] or 0)
     norm = total + 0.1 * (distinct + 1)
 
-    high, low = [], []
+    listed = []
     for k in range(1, depth + 1):
         both = marked(counts[-1], filter_bits, (context_count, entry_count))
-        high.append(both[0])
-        low.append(both[1])
+        listed.append(both[1])
         shared = sc.broadcast(both)
 
         def longer(hashes: np.ndarray, offset: np.ndarray, k: int = k, shared=shared) -> np.ndarray:
-            is_context, is_listed = shared.value
+            may_be_context, may_be_listed = shared.value
             place, keys = runs(hashes, offset, k + 1)
             at = np.flatnonzero(place >= k)
-            at = at[is_context.has(keys[k - 1][at - 1])]
-            return keys[k][at[is_listed.has(keys[k - 1][at])]]
+            at = at[may_be_context.has(keys[k - 1][at - 1])]
+            return keys[k][at[may_be_listed.has(keys[k - 1][at])]]
 
-        counts.append(written(counted(blocks, longer, buckets, entry_count), "counts"))
-    low.append(marked(counts[-1], filter_bits, (context_count, entry_count))[1])
+        counts.append(written(counted(texts, longer, buckets, entry_count), "counts"))
+    listed.append(marked(counts[-1], filter_bits, (context_count, entry_count))[1])
 
-    asks = written(asked(blocks, sc.broadcast((high, low)), depth), "asks")
+    blocks = texts.select("block").distinct()
+    asks = written(asked(blocks.repartition(buckets, "block"), path, sc.broadcast(listed[1:]), depth), "asks")
     answers = asks.select("block", "g").join(tree(counts, asks, norm, context_count), "g")
     unseen = float(np.log10(0.1 / norm))
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def score(batches: Iterator[pa.RecordBatch]):
-        now, told, model = None, [], None
+        told: list[tuple] = []
         for batch in batches:
             block, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edge = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1]), [True])))
-            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if block[x] != now:
-                    now, told, model = block[x], [], None
-                part = batch.slice(x, y - x)
-                if not is_text[x]:
-                    told.append((part.column(5).to_numpy().view(U), *(part.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (6, 7))))
-                    continue
-                if model is None:
-                    model = Answers(*(np.concatenate(c) for c in zip((np.empty(0, U), np.empty(0), np.empty(0)), *told)))
-                    told = []
-                for t in tx.slices(part.column(4)):
-                    hashes, offset = tokens(t)
-                    known, root, logs = model.logs(hashes, offset, depth, unseen)
-                    sums = [np.add.reduceat(v, offset[:-1]) for v in (known.astype(np.int64), root, logs)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(2).slice(t.first, t.n), part.column(3).slice(t.first, t.n), pa.array(np.diff(offset).astype(np.int64)), pa.array(sums[0]), pa.array(np.full(t.n, total)), pa.array(sums[1]), pa.array(sums[2])],
-                        names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                    )
-
-    texts = blocks.select("block", F.lit(1).alias("kind"), "id", "held_out", "text", *(F.lit(None).cast(t).alias(c) for c, t in (("g", "long"), ("v", "double"), ("a", "double"))))
-    told = answers.select("block", F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("id", kind), ("held_out", "boolean"), ("text", "string"))), "g", "v", "a")
-    both = told.unionByName(texts).repartition(buckets, "block").sortWithinPartitions("block", "kind")
+            last = 0
+            for i in [*np.flatnonzero(is_text).tolist(), len(block)]:  # the answers to a block's questions come before its row
+                part = batch.slice(last, i - last)
+                told.append((part.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(U), *(part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (3, 4))))
+                last = i + 1
+                if i < len(block):
+                    model, told = Answers(*(np.concatenate(c) for c in zip(*told))), []
+                    for rows in texts_of(path, int(block[i]), ["id", "held_out", "text"]):
+                        for t in tx.slices(rows.column(2)):
+                            hashes, offset = tokens(t)
+                            known, root, logs = model.logs(hashes, offset, depth, unseen)
+                            sums = [np.add.reduceat(v, offset[:-1]) for v in (known.astype(np.int64), root, logs)]
+                            yield pa.RecordBatch.from_arrays(
+                                [rows.column(0).slice(t.first, t.n).cast(id_type), rows.column(1).slice(t.first, t.n), pa.array(np.diff(offset).astype(np.int64)), pa.array(sums[0]), pa.array(np.full(t.n, total)), pa.array(sums[1]), pa.array(sums[2])],
+                                names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                            )
+
+    ends = blocks.select("block", F.lit(1).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("g", "long"), ("v", "double"), ("a", "double"))))
+    both = answers.select("block", F.lit(0).alias("kind"), "g", "v", "a").unionByName(ends).repartition(buckets, "block").sortWithinPartitions("block", "kind")
     return both.mapInArrow(tx.trimmed(score), f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
