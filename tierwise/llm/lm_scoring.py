@@ -311,7 +311,7 @@ class Answers:
         return known[token], root[token], out[token]
 
 
-def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 64, entry_count: int = 8, filter_bits: int = 27, block_bytes: int = 1 << 27, buckets: int | None = None) -> DataFrame:
+def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 64, entry_count: int = 8, filter_bits: int = 27, block_bytes: int = 1 << 25, buckets: int | None = None) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. See the module for the method.
 
     ``context_count`` has to be at least ``entry_count``. ``filter_bits``, ``block_bytes`` and ``buckets`` change no result.
@@ -359,7 +359,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed.append(marked(counts[-1], filter_bits, (context_count, entry_count))[1])
 
     blocks = texts.select("block").distinct()
-    asks = written(asked(blocks.repartition(buckets, "block"), path, sc.broadcast(listed[1:]), depth), "asks")
+    asks = written(asked(blocks.repartition(buckets), path, sc.broadcast(listed[1:]), depth), "asks")
     answers = asks.select("block", "g").join(tree(counts, asks, norm, context_count), "g")
     unseen = float(np.log10(0.1 / norm))
     id_type = to_arrow_type(docs.schema[id_col].dataType)
