@@ -311,7 +311,7 @@ class Answers:
         return known[token], root[token], out[token]
 
 
-def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 64, entry_count: int = 8, filter_bits: int = 27, block_bytes: int = 1 << 25, buckets: int | None = None) -> DataFrame:
+def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 32, entry_count: int = 4, filter_bits: int = 27, block_bytes: int = 1 << 25, buckets: int | None = None) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. See the module for the method.
 
     ``context_count`` has to be at least ``entry_count``. ``filter_bits``, ``block_bytes`` and ``buckets`` change no result.
