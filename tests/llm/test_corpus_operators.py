@@ -779,3 +779,28 @@ def test_filters_keep_columns(spark):
     assert base not in {t for _, t in left}
     assert [i for i, _ in left].count(5) == 1  # rows are judged apart, also those that share an id
     assert 200 in {r["doc_id"] for r in kept_rows(docs).collect()}
+
+
+def test_copies_in_several_tasks_count_once(spark):
+    core, common = [f"core{i}" for i in range(40)], [[f"{side}{i}" for i in range(10)] for side in "pq"]
+    rows = [(i, " ".join(core + common[i % 2])) for i in range(24)]
+    rows += [(1000 + i, " ".join([f"own{i}_{j}" for j in range(60)] + common[i % 2])) for i in range(120)]  # their ends are common ones
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    for most in (1_000_000, 0):
+        same(ngram_components(docs, broadcast_rows=most), components(rows))
+
+
+def mirrored(bits: int = 11) -> list[str]:
+    """Two words of 2**bits letters whose difference as polynomials is a product of (x**2**i - 1)."""
+    turn = [bin(i).count("1") % 2 for i in range(1 << bits)]
+    return ["".join(pair[t] for t in turn) for pair in ("ab", "ba")]
+
+
+def test_long_words_whose_polynomials_agree_are_told_apart(spark):
+    x, y = mirrored()
+    data = np.frombuffer((x + " " + y + " " + x.upper()).encode(), np.uint8)
+    t = tx.Texts(data, np.array([0, len(data)]), 0)
+    a, b, c = t.hashes(*t.words(tx.SPACE_WORDS)[:2])
+    assert a != b and a == c
+    rows = [(1, f"{x} b c d e"), (2, f"{y} b c d e"), (3, f"{x} b c d e {y} b c d e"), (4, f"{x.upper()} b c d e")]
+    same(ngram_components(spark.createDataFrame(rows, "doc_id long, text string")), components(rows))

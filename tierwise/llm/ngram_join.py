@@ -277,11 +277,16 @@ def _accumulated(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, class
         return out.view("<u8").ravel()
 
     def multiply(batches: Iterator[pa.RecordBatch]):
-        """Partial overlap counts of one block after another; a centre's own part comes first, if it has one in the block."""
-        centre, own = None, None
+        """Partial overlap counts of one block after another; a centre's own part comes first, if it has one in the block.
+
+        Copies of a text that lay in several tasks send the same part again; it is counted once.
+        """
+        centre, own, last = None, None, None
         for batch in batches:
             found = []
             for c, shard, block, leads, name, first, m, blob in zip(*(batch.column(x).to_pylist() if x != "held" else batch.column(x) for x in NAMES)):
+                if last == (last := (c, shard, block, leads, name)):
+                    continue
                 if leads:
                     centre, own, n, centre_first = (c, shard, block), full(blob.as_py()), m, first
                 elif centre == (c, shard, block):
@@ -292,7 +297,7 @@ def _accumulated(docs: DataFrame, text_col: str, k: int, pairs: DataFrame, class
 
     sets = rows.join(F.broadcast(wanted) if small else wanted, "hash").select("text", "digest", "first", "to")
     sets = sets.mapInArrow(tx.trimmed(packed), f"centre long, shard long, block int, leads boolean, digest long, first {kind}, n long, held binary")
-    met = sets.repartition("centre", "shard", "block").sortWithinPartitions("centre", "shard", "block", F.desc("leads"))
+    met = sets.repartition("centre", "shard", "block").sortWithinPartitions("centre", "shard", "block", F.desc("leads"), "digest")
     partial = met.mapInArrow(tx.trimmed(multiply), sizes).withColumnsRenamed({"a_first": "a1", "b_first": "b1"})
     total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"), F.max("a1").alias("a1"), F.max("b1").alias("b1"))
     links = total.filter(100 * F.col("shared") >= bounds.percent * (F.col("a_n") + F.col("b_n") - F.col("shared")))
