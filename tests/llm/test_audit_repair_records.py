@@ -10,6 +10,7 @@ from itertools import groupby
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import CLASHING, edge_docs, edge_rows, long_text, lower, same
 
@@ -126,6 +127,21 @@ def test_divergence_other_bounds_and_empty_table(spark):
     assert SV.source_divergence(docs_frame(spark, [])).count() == 0
 
 
+def test_a_pair_has_one_name_in_all_blocks():
+    rows = [("en", 7, s, 2, [2], [n], 9, 2, 0, 0, 0) for s, n in (("b", 1), ("a", 3))]
+    names = ["lang", "block", "source", "size", "ends", "counts", "total", "terms", "tile", "i", "j"]
+    for given in (rows, rows[::-1]):
+        found = SV._tile(pa.table([list(c) for c in zip(*given)], names=names)).to_pylist()
+        assert [(r["a"], r["b"]) for r in found] == [("a", "b")]
+
+
+def test_divergence_tells_long_terms_apart_whose_polynomials_agree(spark):
+    turn = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    x, y = ("".join(pair[t] for t in turn) for pair in ("ab", "ba"))
+    rows = [("en", "st"[i % 2], f"{x} {y} {y} common" if i % 3 else f"{y} common") for i in range(90)]
+    same(SV.source_divergence(docs_frame(spark, rows)).select("lang", "source", "part", "item", "value", "rank"), divergence(rows))
+
+
 def test_runs_and_distances():
     rng = np.random.default_rng(2)
     for _ in range(200):

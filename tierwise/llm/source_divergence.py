@@ -205,7 +205,8 @@ def _tile(rows: pa.Table) -> pa.Table:
         ends, counts = (np.array(x, np.int64) for x in (([size], [0]) if ends is None else (ends, counts)))
         columns.append((ends, p_array(counts, total, terms) if size else counts))
     names, sides, lang, i, j = (rows.column(n).to_pylist() for n in ("source", "tile", "lang", "i", "j"))
-    pairs = [(a, b) for a, b in combinations(range(len(names)), 2) if i[0] == j[0] or sides[a] != sides[b]]
+    # a pair is named in one order in all blocks, in whatever order the rows of a group come
+    pairs = [(a, b) if names[a] < names[b] else (b, a) for a, b in combinations(range(len(names)), 2) if i[0] == j[0] or sides[a] != sides[b]]
     out = [lang[:1] * len(pairs), [names[a] for a, _ in pairs], [names[b] for _, b in pairs], [distance(columns[a], columns[b]) for a, b in pairs]]
     return pa.table([pa.array(c, t) for c, t in zip(out, (*[pa.string()] * 3, pa.int64()))], names=["lang", "a", "b", "value"])
 
