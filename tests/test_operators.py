@@ -13,6 +13,7 @@ from tierwise.operators import joins as J
 from tierwise.operators import partition as P
 from tierwise.operators import rows as R
 from tierwise.operators import spatial as S
+from tierwise.operators import windows as O
 from tierwise.operators.components import connected_components
 
 
@@ -619,3 +620,18 @@ def test_run_folder_is_deleted(spark):
     assert fresh_path(spark, "c").removeprefix("file://").startswith(f"{base}/c-")
     with run_folder(spark):
         pass
+
+
+def test_boxes_of_one_cell_are_dealt_over_tasks(spark):
+    b = spark.range(60).selectExpr("cast(id as int) as id", "id / 100 as x0", "id / 100 + 3 as x1", "0.0D as y0", "2.0D as y1")
+    for cell in (5.0, None):
+        pairs = S.box_pairs(b, b, cell, part_boxes=8).withColumn("task", F.spark_partition_id())
+        assert pairs.count() == 3600 and pairs.select("a", "b").distinct().count() == 3600
+        assert pairs.select("task").distinct().count() > 3
+
+
+def test_seats_of_equal_names_go_by_key(spark):
+    rows = [(k, 1, float(k % 7), "Nation 1", "NATION_1") for k in range(40)]
+    for seed in range(3):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, 40), "k long, tier int, size double, atom string, name string").repartition(4)
+        assert [r["k"] for r in O.seats(df, ["tier"], "atom", "name", "size", ["k"]).collect()] == [0]
