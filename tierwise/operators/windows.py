@@ -13,10 +13,10 @@ from .rows import Split
 from ..functions.names import letters
 
 
-def seats(df: DataFrame, tier: Sequence[str], atom: str, tier_name: str, size: str) -> DataFrame:
-    """The seat of each tier: the atom named as the tier is, else the largest; ties to the smaller name."""
+def seats(df: DataFrame, tier: Sequence[str], atom: str, tier_name: str, size: str, tie: Sequence[str] = ()) -> DataFrame:
+    """The seat of each tier: the atom named as the tier is, else the largest; ties to the smaller name, of equal names by ``tie``."""
     eponymous = F.coalesce(letters(F.col(atom)) == letters(F.col(tier_name)), F.lit(False))
-    w = W.partitionBy(*tier).orderBy(F.desc("__own"), F.desc(F.when(~F.col("__own"), F.col(size))), F.col(atom))
+    w = W.partitionBy(*tier).orderBy(F.desc("__own"), F.desc(F.when(~F.col("__own"), F.col(size))), F.col(atom), *tie)
     return df.withColumn("__own", eponymous).withColumn("__k", F.row_number().over(w)).filter("__k = 1").withColumnRenamed("__own", "eponymous").drop("__k")
 
 

@@ -16,7 +16,7 @@ _LETTERS = "regexp_replace(lower({0}), '[^a-z]', '', 'g')"
 def _seats(t: Tables):
     s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     s = s.select("s_suppkey", "s_nationkey", "s_acctbal", F.when(F.col("s_suppkey") % 17 == 0, F.concat(F.lit("Nation "), "s_nationkey")).otherwise(F.col("s_name")).alias("atom"), "n_name")
-    return O.seats(s, ["s_nationkey"], "atom", "n_name", "s_acctbal")
+    return O.seats(s, ["s_nationkey"], "atom", "n_name", "s_acctbal", ["s_suppkey"])
 
 
 _SEATS = f"""select s_nationkey, atom, s_acctbal, own as eponymous from (select *, row_number() over (partition by s_nationkey order by own desc, case when not own then s_acctbal end desc, atom) as k
