@@ -635,3 +635,12 @@ def test_seats_of_equal_names_go_by_key(spark):
     for seed in range(3):
         df = spark.createDataFrame(random.Random(seed).sample(rows, 40), "k long, tier int, size double, atom string, name string").repartition(4)
         assert [r["k"] for r in O.seats(df, ["tier"], "atom", "name", "size", ["k"]).collect()] == [0]
+
+
+def test_sides_are_dealt_over_tasks_by_their_rows(spark):
+    a, b = spark.range(0, 1000).withColumnRenamed("id", "k"), spark.range(400, 1500).union(spark.range(500, 600)).withColumnRenamed("id", "k")
+    got = R.sides(a, b, "k", task_rows=100).withColumn("task", F.spark_partition_id())
+    assert bag(got.select("k", "in_a", "in_b")) == sorted([(k, k < 1000, k >= 400) for k in range(1500)], key=repr)
+    assert got.select("task").distinct().count() == 22
+    none = spark.createDataFrame([(None,), (1,)], "k long")
+    assert bag(J.coverage(none, none, "k")) == [(None, "missing"), (None, "unexpected")]

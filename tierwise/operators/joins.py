@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, strip_suffix
 from ..sources.storage import written
+from .rows import sides
 
 
 def dictionary(roster: DataFrame, *layers: DataFrame) -> DataFrame:
@@ -140,8 +141,9 @@ def totals_off_but(ours: DataFrame, theirs: DataFrame, pinned: DataFrame, key: s
 
 def coverage(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """(key, problem): expected keys that are missing and present keys that are unexpected."""
-    a, b = expected.select(key).distinct(), present.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("problem", F.lit("unexpected")))
+    lone = lambda own, other, problem: F.when(F.col(own) & (~F.col(other) | F.col(key).isNull()), F.lit(problem))
+    problems = F.array_compact(F.array(lone("in_a", "in_b", "missing"), lone("in_b", "in_a", "unexpected")))
+    return sides(expected, present, key).select(key, F.explode(problems).alias("problem"))
 
 
 def disagreements(a: DataFrame, b: DataFrame, key: str, left: str, right: str) -> DataFrame:

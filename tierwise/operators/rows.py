@@ -65,6 +65,20 @@ def only(df: DataFrame, column: str, values: list) -> DataFrame:
     return df.filter(F.col(column).isin(values))
 
 
+#: Rows of a task where their number is to follow the input.
+TASK_ROWS = 1 << 20
+
+
+def sides(a: DataFrame, b: DataFrame, key: str, task_rows: int | None = None) -> DataFrame:
+    """(key, in_a, in_b) of each key of either side, once; null is a key.
+
+    Rows are dealt over as many tasks as they need at about ``task_rows`` each, so a task's memory does not grow with the input.
+    """
+    rows = a.select(key, F.lit(True).alias("in_a")).unionByName(b.select(key, F.lit(False).alias("in_a")))
+    tasks = max(-(-rows.count() // (task_rows or TASK_ROWS)), int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, key).groupBy(key).agg(F.bool_or("in_a").alias("in_a"), F.bool_or(~F.col("in_a")).alias("in_b"))
+
+
 def without_rollups(df: DataFrame, is_total: Column) -> DataFrame:
     """Rows that are not published totals of other rows; a null condition keeps the row."""
     return df.filter(~F.coalesce(is_total, F.lit(False)))
