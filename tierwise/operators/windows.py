@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .rows import Split
+from .rows import Split, sides
 
 from ..functions.names import letters
 
@@ -70,8 +70,8 @@ def paired(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: S
 
 def compared_sets(claimed: DataFrame, derived: DataFrame, key: str) -> DataFrame:
     """(key, side): shared, claimed only, derived only."""
-    a, b = claimed.select(key).distinct(), derived.select(key).distinct()
-    return a.join(b, key, "left_semi").withColumn("side", F.lit("shared")).unionByName(a.join(b, key, "left_anti").withColumn("side", F.lit("claimed"))).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("derived")))
+    side = F.when(F.col("in_a") & F.col("in_b"), "shared").when(F.col("in_a"), "claimed").otherwise("derived")
+    return sides(claimed, derived, key).select(key, side.alias("side"))
 
 
 def remainder(members: DataFrame, claimed: DataFrame, key: str) -> DataFrame:
