@@ -644,3 +644,28 @@ def test_sides_are_dealt_over_tasks_by_their_rows(spark):
     assert got.select("task").distinct().count() == 22
     none = spark.createDataFrame([(None,), (1,)], "k long")
     assert bag(J.coverage(none, none, "k")) == [(None, "missing"), (None, "unexpected")]
+
+
+def test_chains_of_small_components_need_no_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    refs, rows, want, at = rng.sample(range(10**6), 400), [], {}, 0
+    for size in [1, 2, 3, 5, 9, 40] * 6:
+        own, closed = refs[at : at + size], size in (1, 3, 9) and at % 2 == 0
+        at += size
+        if closed:  # a ring is cut at its smallest ref
+            low = own.index(min(own))
+            own = own[low:] + own[:low]
+        nodes = [10 * r for r in own] + [10 * own[0] if closed else -own[-1] - 1]
+        rows += [(r, nodes[k], nodes[k + 1]) for k, r in enumerate(own)]
+        want |= {r: (own[0], k, closed) for k, r in enumerate(own)}
+    ways = spark.createDataFrame(rng.sample(rows, len(rows)), "ref long, first long, last long").repartition(5)
+    got = lambda df: {r["ref"]: (r["chain"], r["rank"], r["closed"]) for r in df.collect()}
+    for bound in (6, 1):
+        assert got(S.directed_chains(ways, bound)[0]) == want
+    open_ends = {r["ref"]: (r["chain"], r["closed"]) for r in S.undirected_chains(ways, 6)[0].collect()}
+    names = {}
+    for r, (head, _, _) in want.items():
+        names[head] = min(names.get(head, r), r)
+    assert open_ends == {r: (names[head], closed) for r, (head, _, closed) in want.items()}
+    monkeypatch.setattr(S, "_ranked", lambda *_: pytest.fail("ranked in rounds"))
+    assert got(S.directed_chains(ways)[0]) == want
