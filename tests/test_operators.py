@@ -669,3 +669,12 @@ def test_chains_of_small_components_need_no_rounds(spark, monkeypatch):
     assert open_ends == {r: (names[head], closed) for r, (head, _, closed) in want.items()}
     monkeypatch.setattr(S, "_ranked", lambda *_: pytest.fail("ranked in rounds"))
     assert got(S.directed_chains(ways)[0]) == want
+
+
+def test_derived_variants_make_their_edges_once(spark, monkeypatch):
+    from tierwise.plans import partitions as PP
+    from tierwise.registry import QUERIES
+
+    names, plain = [], PP.written
+    monkeypatch.setattr(PP, "written", lambda df, name: names.append(name) or plain(df, name))
+    assert QUERIES["g21_derived_variants"](spark, "/root/testdata/sf0.001").count() > 0 and names == ["edges"]

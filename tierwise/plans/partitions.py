@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import partition as P
 from ..registry import Tables, query
+from ..sources.storage import written
 from .graphs import atoms, components_sql, edges
 
 RULE = P.Rule(ceiling=60_000, km=900.0, floor=0.3)
@@ -155,7 +156,7 @@ def g16(t: Tables):
 @query("g21_derived_variants")
 def g21(t: Tables):
     """Variants end to end: category regions and grown units, each a partition of all atoms with its leftovers."""
-    a, e = atoms(t), edges(t)
+    a, e = atoms(t), written(edges(t), "edges")  # three readers, one self-join
     by_category = a.select("atom", F.concat(F.lit("cat "), F.col("atom") % 3).alias("category"))
     regions = G.components_within(e, by_category, ["category"]).select(F.lit("category").alias("variant"), F.concat("category", F.lit(" of "), "component").alias("unit"), "atom")
     by_rule = P.grown(rule_atoms(t), e, RULE).select(F.lit("rule").alias("variant"), F.concat(F.lit("around "), "centre").alias("unit"), "atom")
