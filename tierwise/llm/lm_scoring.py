@@ -11,8 +11,11 @@ suffix, down to the smoothed word frequencies. A token is scored in the longest
 One code path serves every length. Runs of n words are counted only where the run without its last word may be a
 candidate and the run without its first may be listed; bitmaps of a bit for each 32 bytes of text, at most
 ``2**filter_bits`` bits, tell, and what they let through by mistake is dropped by exact joins. Nothing else that grows with the
-corpus is broadcast or collected: texts are written in blocks of about ``block_bytes``, a block asks for the distinct runs
-that it holds, these meet counts and states in joins, and a task that has the answers to a block's questions reads and scores it.
+corpus is broadcast or collected, but for the names of blocks: texts are written in blocks of about ``block_bytes``, the tree
+in buckets, which are ranges of keys. Blocks are scored in rounds, about ``rounds`` of them where there are enough blocks for
+all cores: a block asks each bucket for the distinct words and runs that it holds, and a task that has the answers reads
+and scores the block. A round's shuffle files go when it ends, and the tree's steps go when the tree is written, so the disk
+holds the texts, the tree and one round.
 
 Null texts are empty: one end token. Rows with a null id are training rows. Repeated rows count again in
 training and get equal scores. Without training tokens all probabilities are those of the smoothing. Words and runs are
@@ -33,15 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.storage import fresh_path, opened, written
+from ..sources.storage import fresh_path, opened, run_folder, shuffles_dropped, written
 from . import text as tx
 
 U = np.uint64
 END = U(0x0E4D0F7E87000001)
 HOLD = 3_000_000
 DISCOUNT = 0.75
-PACKED = "bucket int, keys binary, counts binary"
+PACKED = "bucket int, keys binary, counts binary, contexts binary"
+FOUND = "bucket int, word boolean, keys binary, value binary, weight binary"
 BUCKET_BYTES = 1 << 24  # bytes of text for each bucket of counts
+LINE_BITS, MARKS = 9, 3  # a key sets so many bits of a line of 2**LINE_BITS bits in a bitmap
 
 
 class Index:
@@ -78,49 +83,61 @@ def tokens(t: tx.Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate(([0], end + 1))
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The ranges of 64-bit keys."""
+    return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int, least: int = 1) -> DataFrame:
-    """Packed (bucket, keys, counts of ``least`` and more) of what ``keys_of`` makes of the tokens of all training texts.
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of the columns of ``schema``."""
+    types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[name for name, _ in fields])
 
-    A bucket is a range of keys.
+
+def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One column of ``rows`` for each value of their first line, in order, and the sums of its counts."""
+    order = np.argsort(rows[0], kind="stable")
+    rows, counts = rows[:, order], counts[order]
+    cut = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))) if len(counts) else np.empty(0, np.int64)
+    return rows[:, cut], np.add.reduceat(counts, cut) if len(cut) else counts
+
+
+def counted(docs: DataFrame, rows_of: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int, least: int = 1) -> DataFrame:
+    """Packed (bucket, keys, counts of ``least`` and more, contexts) of what ``rows_of`` makes of the tokens of all training texts.
+
+    Its first line are keys, the second, if any, those of the runs without their last token. A bucket is a range of keys.
     """
 
     def count(batches: Iterator[pa.RecordBatch]):
-        held_k, held_c, total = [np.empty(0, U)], [np.empty(0, np.int64)], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        total = 0
 
         def out():
-            keys, counts = summed(np.concatenate(held_k), np.concatenate(held_c))
-            cut = np.searchsorted((keys >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1, dtype=U))
-            rows = [(b, keys[x:y].tobytes(), counts[x:y].astype(np.uint32).tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
+            rows, counts = summed(np.concatenate([r for r, _ in held], axis=1), np.concatenate([c for _, c in held]))
+            cut = np.searchsorted(bucket_of(rows[0], buckets), np.arange(buckets + 1))
+            return batch_of([(b, rows[0, x:y].tobytes(), counts[x:y].astype(np.uint32).tobytes(), rows[1:, x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x], PACKED)
 
         for batch in batches:
             for t in tx.slices(batch.column(0)):
-                keys = keys_of(*tokens(t))
-                keys, counts = np.unique(keys, return_counts=True)
-                held_k.append(keys)
-                held_c.append(counts)
-                total += len(keys)
+                rows = rows_of(*tokens(t))
+                _, first, counts = np.unique(rows[0], return_index=True, return_counts=True)
+                held.append((rows[:, first], counts))
+                total += len(first)
                 if total > HOLD:
                     yield out()
-                    held_k, held_c, total = [np.empty(0, U)], [np.empty(0, np.int64)], 0
+                    held, total = [], 0
         if total:
             yield out()
 
     def add(batches: Iterator[pa.RecordBatch]):
-        rows = [(b, k, c) for batch in batches for b, k, c in zip(*(x.to_pylist() for x in batch.columns))]
-        for bucket in sorted({r[0] for r in rows}):
-            keys = np.frombuffer(b"".join(r[1] for r in rows if r[0] == bucket), U)
-            counts = np.frombuffer(b"".join(r[2] for r in rows if r[0] == bucket), np.uint32).astype(np.int64)
-            keys, counts = summed(keys, counts)
-            keys, counts = keys[counts >= least], counts[counts >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
+        got = [r for batch in batches for r in zip(*(x.to_pylist() for x in batch.columns))]
+        for bucket in sorted({r[0] for r in got}):
+            own = [r for r in got if r[0] == bucket]
+            rows = np.concatenate([np.frombuffer(k + x, U).reshape(-1, len(k) // 8) for _, k, _, x in own], axis=1)
+            rows, counts = summed(rows, np.concatenate([np.frombuffer(c, np.uint32) for _, _, c, _ in own]).astype(np.int64))
+            rows, counts = rows[:, counts >= least], counts[counts >= least]
+            yield batch_of([(bucket, rows[0].tobytes(), counts.tobytes(), rows[1:].tobytes())], PACKED)
 
     rows = docs.filter("not held_out").select("text").mapInArrow(tx.trimmed(count), PACKED)
     return rows.repartition(buckets, "bucket").mapInArrow(tx.trimmed(add), PACKED)
@@ -129,7 +146,8 @@ def counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndar
 def runs(words: np.ndarray, offset: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The place of each token in its text, and keys of the runs of 1 to ``most`` tokens that end there.
 
-    An end token is put before each text, at place 0. A key of n tokens means nothing at places below n - 1.
+    An end token is put before each text, at place 0. A key of n tokens means nothing at places below n - 1. It is made of
+    the keys of the run without its last and of the run without its first token, so that one of them gives the other.
     """
     n = len(offset) - 1
     start = offset[:-1] + np.arange(n)
@@ -138,60 +156,74 @@ def runs(words: np.ndarray, offset: np.ndarray, most: int) -> tuple[np.ndarray,
     inner[start] = False
     padded[inner] = words
     place = np.arange(len(padded)) - np.repeat(start, np.diff(offset) + 1)
-    keys, total = [], np.zeros(len(padded), U)
-    for k in range(most):
-        total[k:] += padded[: len(padded) - k] * tx.LANES[k]
-        keys.append(tx.mix(total + U(k + 1)))
+    keys = [tx.mix(padded + U(1))]
+    for k in range(1, most):
+        keys.append(tx.mix(earlier(keys[-1]) * tx.LANES[k] + keys[-1] + U(k + 1)))
     return place, keys
 
 
+def without_first(keys: np.ndarray, contexts: np.ndarray, k: int) -> np.ndarray:
+    """The keys of runs of k + 1 tokens without their first, from those without their last."""
+    return tx.unmix(keys) - contexts * tx.LANES[k] - U(k + 1)
+
+
 def earlier(keys: np.ndarray) -> np.ndarray:
     """The key of the run that ends one token before."""
     return np.concatenate((keys[:1], keys[:-1]))
 
 
+def places(keys: np.ndarray, bits: int, mark: int) -> np.ndarray:
+    """The bit of each key for one of ``MARKS``: leading bits choose a line, others the bit in it."""
+    return ((keys >> U(64 - bits + LINE_BITS)) << U(LINE_BITS)) | ((keys >> U(LINE_BITS * mark)) & U((1 << LINE_BITS) - 1))
+
+
 class Bits:
-    """A set of keys by their leading bits: it may hold a key by mistake and misses none."""
+    """A set of keys by a few bits of each: it may hold a key by mistake and misses none."""
 
     def __init__(self, bits: int, parts: list[tuple[int, bytes]]):
-        self.shift, self.byte = U(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
+        self.bits, self.byte = bits, np.zeros(1 << (bits - 3), np.uint8)
         for first, part in parts:
             self.byte[first : first + len(part)] |= np.frombuffer(part, np.uint8)
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> self.shift
-        return (self.byte[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) > 0
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """The positions of keys that may be in the set."""
+        left = np.arange(len(keys))
+        for mark in range(MARKS):
+            at = places(keys[left], self.bits, mark)
+            left = left[(self.byte[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) > 0]
+        return left
 
 
-def marked(table: DataFrame, bits: int, levels: tuple[int, int]) -> tuple[Bits, Bits]:
-    """The keys with counts of at least each level. Buckets are ranges, so all parts together are as long as the bitmaps."""
+def marked(table: DataFrame, bits: int, sets: int, sets_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> list[Bits]:
+    """So many sets, of the keys that ``sets_of`` gives for rows of buckets. Buckets are ranges, so all parts of a set together are
+    as long as its bitmap."""
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            keys, counts = np.frombuffer(k, U), np.frombuffer(c, np.int64)
-            for which, least in enumerate(levels):
-                at = np.unique(keys[counts >= least] >> U(64 - bits)).astype(np.int64)
-                if len(at):
-                    first = int(at[0]) >> 3
-                    flags = np.zeros(((int(at[-1]) >> 3) - first + 1) * 8, np.uint8)
-                    flags[at - 8 * first] = 1
-                    out.append((which, first, np.packbits(flags, bitorder="little").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["which", "first", "part"])
+        for which, keys in sets_of(batch):
+            at = np.unique(np.concatenate([places(keys, bits, m) for m in range(MARKS)])).astype(np.int64)
+            if len(at):
+                first = int(at[0]) >> 3
+                flags = np.zeros(((int(at[-1]) >> 3) - first + 1) * 8, np.uint8)
+                flags[at - 8 * first] = 1
+                out.append((which, first, np.packbits(flags, bitorder="little").tobytes()))
+        return batch_of(out, "which int, first long, part binary")
 
     rows = tx.mapped(table, mark, "which int, first long, part binary").collect()
-    high, low = (Bits(bits, [(r["first"], bytes(r["part"])) for r in rows if r["which"] == w]) for w in (0, 1))
-    return high, low
+    return [Bits(bits, [(r["first"], bytes(r["part"])) for r in rows if r["which"] == w]) for w in range(sets)]
 
 
-def unpacked(table: DataFrame) -> DataFrame:
-    """Rows (g, n) of packed counts."""
+def unpacked(table: DataFrame, k: int) -> DataFrame:
+    """Rows (g, n, c, s) of packed counts of runs of k + 1 tokens: c without their last, s without their first; null for words."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["g", "n"])
+        for _, g, n, c in zip(*(column.to_pylist() for column in batch.columns)):
+            g, c = np.frombuffer(g, U), np.frombuffer(c, U)
+            links = [c, without_first(g, c, k)] if k else []
+            columns = [pa.array(x.view(np.int64)) for x in (g, np.frombuffer(n, np.int64), *links)]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(g), pa.int64())] * (4 - len(columns))], names=["g", "n", "c", "s"])
 
-    return tx.mapped(table, rows, "g long, n long")
+    return tx.mapped(table, rows, "g long, n long, c long, s long")
 
 
 def dealt(own: DataFrame, kind: str, block_bytes: int, blocks: int) -> str:
@@ -213,59 +245,56 @@ def dealt(own: DataFrame, kind: str, block_bytes: int, blocks: int) -> str:
 
 
 def texts_of(path: str, block: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """A block's rows, from the shared folder."""
-    system, folder = opened(f"{path}/block={block}")
-    for info in sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda i: i.path):
+    """A block's rows."""
+    return folder_rows(f"{path}/block={block}", columns)
+
+
+def folder_rows(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a folder's Parquet files, from the shared folder; none where the folder is absent."""
+    system, folder = opened(path)
+    for info in sorted(system.get_file_info(fs.FileSelector(folder, allow_not_found=True)), key=lambda i: i.path):
         if info.base_name.endswith(".parquet") and not info.base_name.startswith((".", "_")):
             with system.open_input_file(info.path) as source:
                 yield from pq.ParquetFile(source).iter_batches(batch_size=1024, columns=columns, use_threads=False)
 
 
-def asked(blocks: DataFrame, path: str, shared, depth: int) -> DataFrame:
-    """(block, level, g, c, s): the runs of a block that may matter, with the runs without their last and first token."""
-
-    def ask(batches: Iterator[pa.RecordBatch]):
-        listed = shared.value
-        held: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
+def asked(blocks: DataFrame, names: list[int], path: str, shared, depth: int, buckets: int) -> DataFrame:
+    """(bucket, block, keys): the distinct words and runs of a block that the tree may tell of, for rows of positions in ``names``."""
 
-        def distinct(rows: np.ndarray) -> np.ndarray:
-            return rows[:, np.unique(rows[0], return_index=True)[1]]
+    def distinct(many: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.concatenate([np.empty(0, U), *many]))
 
-        for block in (b for batch in batches for b in batch.column(0).to_pylist()):
-            total = 0
+    def ask(batches: Iterator[pa.RecordBatch]):
+        known = shared.value
+        for block in (names[i] for batch in batches for i in batch.column(0).to_pylist()):
+            held, total = [], 0
             for batch in texts_of(path, block, ["text"]):
                 for t in tx.slices(batch.column(0)):
                     place, keys = runs(*tokens(t), depth + 1)
                     for k, g in enumerate(keys):
-                        at = np.flatnonzero(place >= max(k, 1))
-                        if k:
-                            at = at[listed[k - 1].has(g[at])]
-                        held[k].append(distinct(np.stack((g[at], keys[k - 1][at - 1], keys[k - 1][at])) if k else g[at][None]))
-                        total += held[k][-1].shape[1]
+                        g = g[place >= max(k, 1)]
+                        held.append(distinct([g[known.among(g)] if k else g]))
+                        total += len(held[-1])
                 if total > HOLD:
-                    held = [[distinct(np.concatenate(many, axis=1))] for many in held]
-                    total = 0
-            for k, many in enumerate(held):
-                rows = distinct(np.concatenate(many, axis=1)) if many else np.empty((3, 0), U)
-                many.clear()
-                for x in range(0, rows.shape[1], 1 << 17):
-                    part = [pa.array(r[x : x + (1 << 17)].view(np.int64)) for r in rows]
-                    n = len(part[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, k + 1, np.int32)), *part, *[pa.nulls(n, pa.int64())] * (3 - len(part))], names=["block", "level", "g", "c", "s"])
+                    held, total = [distinct(held)], 0
+            keys = distinct(held)
+            cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+            own = [(b, block, keys[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+            for x in range(0, len(own), 256):
+                yield batch_of(own[x : x + 256], "bucket int, block long, keys binary")
 
-    return blocks.mapInArrow(tx.trimmed(ask), "block long, level int, g long, c long, s long")
+    return blocks.mapInArrow(tx.trimmed(ask), "bucket int, block long, keys binary")
 
 
-def tree(counts: list[DataFrame], asks: DataFrame, norm: float, context_count: int) -> DataFrame:
-    """(g, v, a) of all words and runs: ``v`` the log10 probability of the last word in its context, if that is a state, or
+def tree(counts: list[DataFrame], norm: float, context_count: int, entry_count: int) -> DataFrame:
+    """(g, word, v, a) of all words and runs: ``v`` the log10 probability of the last word in its context, if that is a state, or
     of a word alone; ``a`` the log10 weight of the shorter context, if the run is a state itself."""
-    below = unpacked(counts[0]).withColumn("q", (F.col("n") + 0.1) / F.lit(norm)).withColumn("v", F.log10("q"))
+    below = unpacked(counts[0], 0).select("g", "n").withColumn("q", (F.col("n") + 0.1) / F.lit(norm)).withColumn("v", F.log10("q"))
     found = None
-    for level, packed in enumerate(counts[1:], 2):
-        links = asks.filter(F.col("level") == level).groupBy("g").agg(F.min("c").alias("c"), F.min("s").alias("s"))
-        up = below.select(F.col("g").alias("s"), F.col("q").alias("up"))
+    for k, packed in enumerate(counts[1:], 1):
+        up = below.filter(F.col("n") >= entry_count).select(F.col("g").alias("s"), F.col("q").alias("up"))  # a run is no more frequent than its end
         context = below.filter(F.col("n") >= context_count).select(F.col("g").alias("c"), F.col("n").alias("size"))
-        entries = unpacked(packed).join(links, "g").join(up, "s").join(context, "c")
+        entries = unpacked(packed, k).join(up, "s").join(context, "c")
         entries = written(entries.select("g", "c", "n", "size", "up", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.1)) / F.col("size")).alias("p")), "entries")
         state = entries.groupBy("c").agg(
             F.greatest(1 - F.sum("p"), F.lit(1e-9)).alias("rest"), F.greatest(1 - F.sum("up"), F.lit(1e-9)).alias("rest_up"),
@@ -274,20 +303,68 @@ def tree(counts: list[DataFrame], asks: DataFrame, norm: float, context_count: i
         gain = F.col("size") * (F.col("part") + F.col("rest") * F.log(F.col("rest") / F.col("rest_up")))
         state = state.filter(F.round(gain - 0.5 * F.col("listed") * F.log(F.greatest("size", F.lit(2))), 6) > 0)
         state = written(state.select("c", F.log10(F.col("rest") / F.col("rest_up")).alias("a")), "states")
-        own = below.join(state.withColumnRenamed("c", "g"), "g", "left").select("g", "v", "a")
+        own = below.join(state.withColumnRenamed("c", "g"), "g", "left").select("g", F.lit(found is None).alias("word"), "v", "a")
         found = own if found is None else found.unionByName(own)
         is_state = F.col("a").isNotNull()
         below = entries.join(state, "c", "left").select("g", "n", F.when(is_state, F.col("p")).otherwise(F.col("up")).alias("q"), F.when(is_state, F.log10("p")).alias("v"))
         below = written(below, "level")
-    last = below.select("g", "v", F.lit(None).cast("double").alias("a"))
-    found = last if found is None else found.unionByName(last)
-    return found.filter("v is not null or a is not null")
+    last = below.select("g", F.lit(False).alias("word"), "v", F.lit(None).cast("double").alias("a"))
+    return found.unionByName(last).filter("v is not null or a is not null")
+
+
+def packed_tree(found: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``FOUND``: a bucket's words and its runs, with not a number where there is no value or weight."""
+
+    def pack(batches: Iterator[pa.RecordBatch]):
+        got = [[column.to_numpy(zero_copy_only=False) for column in batch.columns] for batch in batches]
+        if not got:
+            return
+        bucket, word, g, v, a = (np.concatenate(c) for c in zip(*got))
+        kind = bucket.astype(np.int64) * 2 + word
+        g = g.view(U)
+        order = np.lexsort((g, kind))
+        for own in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            yield batch_of([(int(bucket[own[0]]), bool(word[own[0]]), g[own].tobytes(), v[own].astype(float).tobytes(), a[own].astype(float).tobytes())], FOUND)
+
+    high = F.shiftrightunsigned("g", 32) * F.lit(buckets).cast("long")
+    return found.select(F.shiftrightunsigned(high, 32).cast("int").alias("bucket"), "word", "g", "v", "a").repartition(buckets, "bucket").mapInArrow(tx.trimmed(pack), FOUND)
+
+
+ANSWERS = "block long, kind int, keys binary, value binary, is_state binary, weight binary"
+
+
+def answered(asks: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Rows of ``ANSWERS``: what the tree at ``path`` tells of the keys that blocks ask its buckets for."""
+
+    def answer(batches: Iterator[pa.RecordBatch]):
+        bucket, index, value, weight = -1, None, None, None
+        for batch in batches:
+            out = []
+            for b, block, asked_for in zip(*(column.to_pylist() for column in batch.columns)):
+                if b != bucket:
+                    rows = [r for part in folder_rows(f"{path}/bucket={b}", ["keys", "value", "weight"]) for r in zip(*(c.to_pylist() for c in part.columns))]
+                    keys, value, weight = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((U, float, float)))
+                    order = np.argsort(keys)
+                    bucket, index, value, weight = b, Index(keys[order]), value[order], weight[order]
+                keys = np.frombuffer(asked_for, U)
+                at = index.find(keys)
+                keys, at = keys[at >= 0], at[at >= 0]
+                is_state = ~np.isnan(weight[at])
+                if len(at):
+                    out.append((block, 0, keys.tobytes(), value[at].tobytes(), np.packbits(is_state).tobytes(), weight[at][is_state].tobytes()))
+            yield batch_of(out, ANSWERS)
+
+    return asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tx.trimmed(answer), ANSWERS)
 
 
 class Answers:
-    """What a block was told about its runs."""
+    """What a block was told about its words and runs, by rows of ``ANSWERS``."""
 
-    def __init__(self, keys: np.ndarray, value: np.ndarray, weight: np.ndarray):
+    def __init__(self, rows: list[dict]):
+        keys, value = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("keys", U), ("value", float)))
+        weight = np.full(len(keys), np.nan)
+        is_state = [np.unpackbits(np.frombuffer(r["is_state"], np.uint8), count=len(r["keys"]) // 8) for r in rows]
+        weight[np.flatnonzero(np.concatenate(is_state)) if rows else []] = np.frombuffer(b"".join(r["weight"] for r in rows), float)
         keys, first = np.unique(keys, return_index=True)
         self.index, self.value, self.weight = Index(keys), np.append(value[first], np.nan), np.append(weight[first], np.nan)
 
@@ -311,80 +388,106 @@ class Answers:
         return known[token], root[token], out[token]
 
 
-def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 32, entry_count: int = 4, filter_bits: int = 27, block_bytes: int = 1 << 25, buckets: int | None = None) -> DataFrame:
+def lm_scoring(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, context_count: int = 32, entry_count: int = 4, filter_bits: int = 27, block_bytes: int = 1 << 25, buckets: int | None = None, rounds: int = 8
+) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. See the module for the method.
 
-    ``context_count`` has to be at least ``entry_count``. ``filter_bits``, ``block_bytes`` and ``buckets`` change no result.
+    ``context_count`` has to be at least ``entry_count``. ``filter_bits``, ``block_bytes``, ``buckets`` and ``rounds`` change no result.
     """
-    if not 1 <= entry_count <= context_count or depth < 1:
-        raise ValueError("1 <= entry_count <= context_count and depth >= 1 are needed")
+    if not 1 <= entry_count <= context_count or depth < 1 or rounds < 1:
+        raise ValueError("1 <= entry_count <= context_count, depth >= 1 and rounds >= 1 are needed")
     spark = docs.sparkSession
-    sc = spark.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
+    path = fresh_path(spark, "scores")
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
     own = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    size = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    filter_bits = min(filter_bits, max(10, (size // 32).bit_length()))
-    path = dealt(own, kind, block_bytes, max(1, size // block_bytes))
-    texts = spark.read.schema("held_out boolean, text string, block long").parquet(path)
+    with run_folder(spark), shuffles_dropped(spark):
+        size = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+        buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+        filter_bits = max(10, min(filter_bits, (size // 32).bit_length()))
+        blocks = dealt(own, kind, block_bytes, max(1, size // block_bytes))
+        texts = spark.read.schema("held_out boolean, text string, block long").parquet(blocks)
+        found = fresh_path(spark, "found")
+        with run_folder(spark):
+            total, norm = grown(texts, found, depth, context_count, entry_count, filter_bits, buckets)
+
+        def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            for word, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not word:
+                    yield 0, np.frombuffer(keys, U)
+
+        shared = spark.sparkContext.broadcast(marked(spark.read.schema("word boolean, keys binary").parquet(found), filter_bits, 1, runs_of)[0])
+        names = sorted(r["block"] for r in texts.select("block").distinct().collect())
+        rounds = max(1, min(rounds, len(names) // (2 * spark.sparkContext.defaultParallelism)))
+        for i in range(rounds):
+            part = names[i::rounds]
+            asks = asked(spark.range(0, len(part), 1, max(1, len(part))), part, blocks, shared, depth, buckets)
+            ends = spark.createDataFrame([(b, 1, b"", b"", b"", b"") for b in part], ANSWERS)
+            both = answered(asks, found, buckets).unionByName(ends).repartition(buckets, "block").sortWithinPartitions("block", "kind")
+            scored(both, blocks, schema, to_arrow_type(docs.schema[id_col].dataType), depth, total, norm).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).withColumnRenamed("id", id_col)
+
+
+def grown(texts: DataFrame, path: str, depth: int, context_count: int, entry_count: int, filter_bits: int, buckets: int) -> tuple[int, float]:
+    """The tree of the training texts is written to ``path`` by buckets; the number of training tokens, and what smoothed
+    counts of words are divided by."""
+    spark = texts.sparkSession
 
     def words(hashes: np.ndarray, offset: np.ndarray) -> np.ndarray:
         place, keys = runs(hashes, offset, 1)
-        return keys[0][place > 0]
+        return keys[0][place > 0][None]
 
     counts = [written(counted(texts, words, buckets), "counts")]
     sums = tx.mapped(
         counts[0],
-        lambda b: pa.RecordBatch.from_arrays([pa.array([len(k.as_py()) // 8 for k in b.column(1)], pa.int64()), pa.array([int(np.frombuffer(c.as_py(), np.int64).sum()) for c in b.column(2)], pa.int64())], names=["n", "total"]),
+        lambda b: batch_of([(len(k.as_py()) // 8, int(np.frombuffer(c.as_py(), np.int64).sum())) for k, c in zip(b.column(1), b.column(2))], "n long, total long"),
         "n long, total long",
     ).agg(F.sum("n").alias("distinct"), F.sum("total").alias("total")).first()
     total, distinct = int(sums["total"] or 0), int(sums["distinct"] or 0)
     norm = total + 0.1 * (distinct + 1)
 
-    listed = []
+    def frequent(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for which, least in enumerate((context_count, entry_count)):
+                yield which, np.frombuffer(k, U)[np.frombuffer(c, np.int64) >= least]
+
     for k in range(1, depth + 1):
-        both = marked(counts[-1], filter_bits, (context_count, entry_count))
-        listed.append(both[1])
-        shared = sc.broadcast(both)
+        shared = spark.sparkContext.broadcast(marked(counts[-1], filter_bits, 2, frequent))
 
         def longer(hashes: np.ndarray, offset: np.ndarray, k: int = k, shared=shared) -> np.ndarray:
             may_be_context, may_be_listed = shared.value
             place, keys = runs(hashes, offset, k + 1)
             at = np.flatnonzero(place >= k)
-            at = at[may_be_context.has(keys[k - 1][at - 1])]
-            return keys[k][at[may_be_listed.has(keys[k - 1][at])]]
+            at = at[may_be_context.among(keys[k - 1][at - 1])]
+            at = at[may_be_listed.among(keys[k - 1][at])]
+            return np.stack((keys[k][at], keys[k - 1][at - 1]))
 
         counts.append(written(counted(texts, longer, buckets, entry_count), "counts"))
-    listed.append(marked(counts[-1], filter_bits, (context_count, entry_count))[1])
+    packed_tree(tree(counts, norm, context_count, entry_count), buckets).write.options(compression="zstd").partitionBy("bucket").parquet(path)
+    return total, norm
 
-    blocks = texts.select("block").distinct()
-    asks = written(asked(blocks.repartition(buckets), path, sc.broadcast(listed[1:]), depth), "asks")
-    answers = asks.select("block", "g").join(tree(counts, asks, norm, context_count), "g")
+
+def scored(answers: DataFrame, path: str, schema: str, id_type: pa.DataType, depth: int, total: int, norm: float) -> DataFrame:
+    """The scores of blocks, in whose order ``answers`` come, each block's row of kind 1 last."""
     unseen = float(np.log10(0.1 / norm))
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def score(batches: Iterator[pa.RecordBatch]):
-        told: list[tuple] = []
-        for batch in batches:
-            block, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            last = 0
-            for i in [*np.flatnonzero(is_text).tolist(), len(block)]:  # the answers to a block's questions come before its row
-                part = batch.slice(last, i - last)
-                told.append((part.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(U), *(part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (3, 4))))
-                last = i + 1
-                if i < len(block):
-                    model, told = Answers(*(np.concatenate(c) for c in zip(*told))), []
-                    for rows in texts_of(path, int(block[i]), ["id", "held_out", "text"]):
-                        for t in tx.slices(rows.column(2)):
-                            hashes, offset = tokens(t)
-                            known, root, logs = model.logs(hashes, offset, depth, unseen)
-                            sums = [np.add.reduceat(v, offset[:-1]) for v in (known.astype(np.int64), root, logs)]
-                            yield pa.RecordBatch.from_arrays(
-                                [rows.column(0).slice(t.first, t.n).cast(id_type), rows.column(1).slice(t.first, t.n), pa.array(np.diff(offset).astype(np.int64)), pa.array(sums[0]), pa.array(np.full(t.n, total)), pa.array(sums[1]), pa.array(sums[2])],
-                                names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                            )
-
-    ends = blocks.select("block", F.lit(1).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("g", "long"), ("v", "double"), ("a", "double"))))
-    both = answers.select("block", F.lit(0).alias("kind"), "g", "v", "a").unionByName(ends).repartition(buckets, "block").sortWithinPartitions("block", "kind")
-    return both.mapInArrow(tx.trimmed(score), f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        told: list[dict] = []
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            if row["kind"] == 0:
+                told.append(row)
+                continue
+            model, told = Answers(told), []
+            for rows in texts_of(path, row["block"], ["id", "held_out", "text"]):
+                for t in tx.slices(rows.column(2)):
+                    hashes, offset = tokens(t)
+                    known, root, logs = model.logs(hashes, offset, depth, unseen)
+                    sums = [np.add.reduceat(v, offset[:-1]) for v in (known.astype(np.int64), root, logs)]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0).slice(t.first, t.n).cast(id_type), rows.column(1).slice(t.first, t.n), pa.array(np.diff(offset).astype(np.int64)), pa.array(sums[0]), pa.array(np.full(t.n, total)), pa.array(sums[1]), pa.array(sums[2])],
+                        names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
+
+    return answers.mapInArrow(tx.trimmed(score), schema)
