@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,14 @@ from tierwise.llm import warc as WA
 from tierwise.llm.decontamination import clean_rows, decontamination
 from tierwise.llm import license_scan as LS
 from tierwise.llm.license_scan import FAMILIES, TEMPLATES, license_scan
-from tierwise.llm.lm_scoring import lm_scoring
+from tierwise.llm.lm_scoring import MARKS, Bits, lm_scoring, pack, places, runs, unpack, without_first
 from tierwise.llm.ngram_join import ngram_components, one_of_each
 from tierwise.llm.packing import packing
 from tierwise.llm.quality_rules import RULES, fitted, kept_rows, measured, quality_rules, votes
 from tierwise.llm.quality_rules import counts as quality_counts
 from tierwise.llm.suffix_dedup import deduplicated, suffix_dedup
 from tierwise.llm.url_filters import url_filters
+from tierwise.sources.storage import run_folder
 
 DATA = "/root/testdata/sf0.001"
 
@@ -155,6 +157,36 @@ def test_lm_scoring_equals_plain_tree(spark, depth, bits):
         assert r["score"] == pytest.approx(want[0], rel=1e-9)
 
 
+def test_lm_scoring_leaves_only_scores(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(200))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = []
+    for rounds in (1, 3):
+        with run_folder(spark) as path:
+            got = lm_scoring(docs, context_count=6, entry_count=2, block_bytes=2000, rounds=rounds)
+            runs.append({r["doc_id"]: r["score"] for r in got.collect()})
+            left = {p.name.split("-")[0] for p in Path(path.removeprefix("file://").removeprefix("file:")).iterdir()}
+            assert left == {"scores"}  # texts, counts, steps and tree take no disk any more
+    assert runs[0].keys() == runs[1].keys() == {i for i, _ in rows}
+    assert all(runs[0][i] == pytest.approx(runs[1][i], rel=1e-12) for i in runs[0])
+
+
+def test_lm_keys_and_bitmaps():
+    rng = np.random.default_rng(1)
+    place, keys = runs(rng.integers(0, 2**64, 50, dtype=np.uint64), np.array([0, 20, 50]), 4)
+    for k in (1, 2, 3):
+        at = np.flatnonzero(place >= k)
+        assert (without_first(keys[k][at], keys[k - 1][at - 1], k) == keys[k - 1][at]).all()
+    held, other = np.sort(rng.integers(0, 2**64, 5000, dtype=np.uint64)), rng.integers(0, 2**64, 20000, dtype=np.uint64)
+    byte = np.zeros(1 << 16, bool)
+    for m in range(MARKS):
+        byte[places(held, 16, m).astype(np.int64)] = True
+    bits = Bits(16, [(0, np.packbits(byte, bitorder="little").tobytes())])
+    assert (bits.among(held) == np.arange(5000)).all()
+    assert len(bits.among(other)) < 0.04 * 20000  # one bit for each key lets 0.07 through
+    assert (unpack(pack(held)) == held).all()
+
+
 def test_lm_scoring_without_training_rows(spark):
     assert lm_scoring(edge_docs(spark, [])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)

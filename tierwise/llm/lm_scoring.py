@@ -24,6 +24,7 @@ told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.storage import fresh_path, opened, run_folder, shuffles_dropped, written
+from ..sources.storage import deleted, fresh_path, opened, run_folder, shuffles_dropped, written
 from . import text as tx
 
 U = np.uint64
@@ -46,6 +47,7 @@ DISCOUNT = 0.75
 PACKED = "bucket int, keys binary, counts binary, contexts binary"
 FOUND = "bucket int, word boolean, keys binary, value binary, weight binary"
 BUCKET_BYTES = 1 << 24  # bytes of text for each bucket of counts
+PARTS = 3  # runs of two words, the most numerous, are counted in so many parts
 LINE_BITS, MARKS = 9, 3  # a key sets so many bits of a line of 2**LINE_BITS bits in a bitmap
 
 
@@ -88,6 +90,15 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Items of 8 bytes, first byte of all, second byte of all and so on: of sorted keys and of logarithms some compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(x: bytes, kind: type = U) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     """Rows of the columns of ``schema``."""
     types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
@@ -103,24 +114,27 @@ def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[:, cut], np.add.reduceat(counts, cut) if len(cut) else counts
 
 
-def counted(docs: DataFrame, rows_of: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int, least: int = 1) -> DataFrame:
-    """Packed (bucket, keys, counts of ``least`` and more, contexts) of what ``rows_of`` makes of the tokens of all training texts.
+def counted(docs: DataFrame, rows_of: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int, least: int = 1, parts: int = 1) -> DataFrame:
+    """Written and packed (bucket, keys, counts of ``least`` and more, contexts) of what ``rows_of`` makes of the tokens of all training texts.
 
-    Its first line are keys, the second, if any, those of the runs without their last token. A bucket is a range of keys.
+    Its first line are keys, the second, if any, those of the runs without their last token. A bucket is a range of keys, and so
+    is each of the parts that are counted one after the other.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]):
+    def count(batches: Iterator[pa.RecordBatch], part: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         total = 0
 
         def out():
             rows, counts = summed(np.concatenate([r for r, _ in held], axis=1), np.concatenate([c for _, c in held]))
             cut = np.searchsorted(bucket_of(rows[0], buckets), np.arange(buckets + 1))
-            return batch_of([(b, rows[0, x:y].tobytes(), counts[x:y].astype(np.uint32).tobytes(), rows[1:, x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x], PACKED)
+            return batch_of([(b, pack(rows[0, x:y]), counts[x:y].astype(np.uint32).tobytes(), rows[1:, x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x], PACKED)
 
         for batch in batches:
             for t in tx.slices(batch.column(0)):
                 rows = rows_of(*tokens(t))
+                if parts > 1:
+                    rows = rows[:, bucket_of(rows[0], parts) == part]
                 _, first, counts = np.unique(rows[0], return_index=True, return_counts=True)
                 held.append((rows[:, first], counts))
                 total += len(first)
@@ -134,13 +148,17 @@ def counted(docs: DataFrame, rows_of: Callable[[np.ndarray, np.ndarray], np.ndar
         got = [r for batch in batches for r in zip(*(x.to_pylist() for x in batch.columns))]
         for bucket in sorted({r[0] for r in got}):
             own = [r for r in got if r[0] == bucket]
-            rows = np.concatenate([np.frombuffer(k + x, U).reshape(-1, len(k) // 8) for _, k, _, x in own], axis=1)
+            rows = np.concatenate([np.stack((unpack(k), np.frombuffer(x, U))) if x else unpack(k)[None] for _, k, _, x in own], axis=1)
             rows, counts = summed(rows, np.concatenate([np.frombuffer(c, np.uint32) for _, _, c, _ in own]).astype(np.int64))
             rows, counts = rows[:, counts >= least], counts[counts >= least]
-            yield batch_of([(bucket, rows[0].tobytes(), counts.tobytes(), rows[1:].tobytes())], PACKED)
+            if len(counts):
+                yield batch_of([(bucket, pack(rows[0]), counts.tobytes(), rows[1:].tobytes())], PACKED)
 
-    rows = docs.filter("not held_out").select("text").mapInArrow(tx.trimmed(count), PACKED)
-    return rows.repartition(buckets, "bucket").mapInArrow(tx.trimmed(add), PACKED)
+    path = fresh_path(docs.sparkSession, "counts")
+    for part in range(parts):
+        rows = docs.filter("not held_out").select("text").mapInArrow(tx.trimmed(functools.partial(count, part=part)), PACKED)
+        rows.repartition(buckets, "bucket").mapInArrow(tx.trimmed(add), PACKED).write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(PACKED).parquet(path)
 
 
 def runs(words: np.ndarray, offset: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -218,7 +236,7 @@ def unpacked(table: DataFrame, k: int) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, g, n, c in zip(*(column.to_pylist() for column in batch.columns)):
-            g, c = np.frombuffer(g, U), np.frombuffer(c, U)
+            g, c = unpack(g), np.frombuffer(c, U)
             links = [c, without_first(g, c, k)] if k else []
             columns = [pa.array(x.view(np.int64)) for x in (g, np.frombuffer(n, np.int64), *links)]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(g), pa.int64())] * (4 - len(columns))], names=["g", "n", "c", "s"])
@@ -279,23 +297,23 @@ def asked(blocks: DataFrame, names: list[int], path: str, shared, depth: int, bu
                     held, total = [distinct(held)], 0
             keys = distinct(held)
             cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-            own = [(b, block, keys[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+            own = [(b, block, pack(keys[x:y])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
             for x in range(0, len(own), 256):
                 yield batch_of(own[x : x + 256], "bucket int, block long, keys binary")
 
     return blocks.mapInArrow(tx.trimmed(ask), "bucket int, block long, keys binary")
 
 
-def tree(counts: list[DataFrame], norm: float, context_count: int, entry_count: int) -> DataFrame:
-    """(g, word, v, a) of all words and runs: ``v`` the log10 probability of the last word in its context, if that is a state, or
+def tree(counts: list[DataFrame], norm: float, context_count: int, entry_count: int) -> Iterator[DataFrame]:
+    """Frames of (g, word, v, a), all words and runs in turn: ``v`` the log10 probability of the last word in its context, if that is a state, or
     of a word alone; ``a`` the log10 weight of the shorter context, if the run is a state itself."""
     below = unpacked(counts[0], 0).select("g", "n").withColumn("q", (F.col("n") + 0.1) / F.lit(norm)).withColumn("v", F.log10("q"))
-    found = None
     for k, packed in enumerate(counts[1:], 1):
         up = below.filter(F.col("n") >= entry_count).select(F.col("g").alias("s"), F.col("q").alias("up"))  # a run is no more frequent than its end
         context = below.filter(F.col("n") >= context_count).select(F.col("g").alias("c"), F.col("n").alias("size"))
         entries = unpacked(packed, k).join(up, "s").join(context, "c")
-        entries = written(entries.select("g", "c", "n", "size", "up", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.1)) / F.col("size")).alias("p")), "entries")
+        step = fresh_path(packed.sparkSession, "entries")
+        entries = written(entries.select("g", "c", "n", "size", "up", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.1)) / F.col("size")).alias("p")), "entries", path=step)
         state = entries.groupBy("c").agg(
             F.greatest(1 - F.sum("p"), F.lit(1e-9)).alias("rest"), F.greatest(1 - F.sum("up"), F.lit(1e-9)).alias("rest_up"),
             F.sum(F.col("p") * F.log(F.col("p") / F.col("up"))).alias("part"), F.count(F.lit(1)).alias("listed"), F.min("size").alias("size"),
@@ -303,19 +321,19 @@ def tree(counts: list[DataFrame], norm: float, context_count: int, entry_count:
         gain = F.col("size") * (F.col("part") + F.col("rest") * F.log(F.col("rest") / F.col("rest_up")))
         state = state.filter(F.round(gain - 0.5 * F.col("listed") * F.log(F.greatest("size", F.lit(2))), 6) > 0)
         state = written(state.select("c", F.log10(F.col("rest") / F.col("rest_up")).alias("a")), "states")
-        own = below.join(state.withColumnRenamed("c", "g"), "g", "left").select("g", F.lit(found is None).alias("word"), "v", "a")
-        found = own if found is None else found.unionByName(own)
+        own = below.filter(F.col("n") >= context_count).join(state.withColumnRenamed("c", "g"), "g", "left").unionByName(below.filter(F.col("n") < context_count), allowMissingColumns=True)
+        yield own.select("g", F.lit(k == 1).alias("word"), "v", "a").filter("v is not null or a is not null")
         is_state = F.col("a").isNotNull()
         below = entries.join(state, "c", "left").select("g", "n", F.when(is_state, F.col("p")).otherwise(F.col("up")).alias("q"), F.when(is_state, F.log10("p")).alias("v"))
         below = written(below, "level")
-    last = below.select("g", F.lit(False).alias("word"), "v", F.lit(None).cast("double").alias("a"))
-    return found.unionByName(last).filter("v is not null or a is not null")
+        deleted(step)
+    yield below.select("g", F.lit(False).alias("word"), "v", F.lit(None).cast("double").alias("a")).filter("v is not null")
 
 
 def packed_tree(found: DataFrame, buckets: int) -> DataFrame:
     """Rows of ``FOUND``: a bucket's words and its runs, with not a number where there is no value or weight."""
 
-    def pack(batches: Iterator[pa.RecordBatch]):
+    def by_bucket(batches: Iterator[pa.RecordBatch]):
         got = [[column.to_numpy(zero_copy_only=False) for column in batch.columns] for batch in batches]
         if not got:
             return
@@ -324,10 +342,10 @@ def packed_tree(found: DataFrame, buckets: int) -> DataFrame:
         g = g.view(U)
         order = np.lexsort((g, kind))
         for own in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
-            yield batch_of([(int(bucket[own[0]]), bool(word[own[0]]), g[own].tobytes(), v[own].astype(float).tobytes(), a[own].astype(float).tobytes())], FOUND)
+            yield batch_of([(int(bucket[own[0]]), bool(word[own[0]]), pack(g[own]), pack(v[own].astype(float)), pack(a[own].astype(float)))], FOUND)
 
     high = F.shiftrightunsigned("g", 32) * F.lit(buckets).cast("long")
-    return found.select(F.shiftrightunsigned(high, 32).cast("int").alias("bucket"), "word", "g", "v", "a").repartition(buckets, "bucket").mapInArrow(tx.trimmed(pack), FOUND)
+    return found.select(F.shiftrightunsigned(high, 32).cast("int").alias("bucket"), "word", "g", "v", "a").repartition(buckets, "bucket").mapInArrow(tx.trimmed(by_bucket), FOUND)
 
 
 ANSWERS = "block long, kind int, keys binary, value binary, is_state binary, weight binary"
@@ -343,15 +361,15 @@ def answered(asks: DataFrame, path: str, buckets: int) -> DataFrame:
             for b, block, asked_for in zip(*(column.to_pylist() for column in batch.columns)):
                 if b != bucket:
                     rows = [r for part in folder_rows(f"{path}/bucket={b}", ["keys", "value", "weight"]) for r in zip(*(c.to_pylist() for c in part.columns))]
-                    keys, value, weight = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((U, float, float)))
+                    keys, value, weight = (np.concatenate([np.empty(0, t), *[unpack(r[i], t) for r in rows]]) for i, t in enumerate((U, float, float)))
                     order = np.argsort(keys)
                     bucket, index, value, weight = b, Index(keys[order]), value[order], weight[order]
-                keys = np.frombuffer(asked_for, U)
+                keys = unpack(asked_for)
                 at = index.find(keys)
                 keys, at = keys[at >= 0], at[at >= 0]
                 is_state = ~np.isnan(weight[at])
                 if len(at):
-                    out.append((block, 0, keys.tobytes(), value[at].tobytes(), np.packbits(is_state).tobytes(), weight[at][is_state].tobytes()))
+                    out.append((block, 0, pack(keys), pack(value[at]), np.packbits(is_state).tobytes(), weight[at][is_state].tobytes()))
             yield batch_of(out, ANSWERS)
 
     return asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tx.trimmed(answer), ANSWERS)
@@ -361,17 +379,21 @@ class Answers:
     """What a block was told about its words and runs, by rows of ``ANSWERS``."""
 
     def __init__(self, rows: list[dict]):
-        keys, value = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("keys", U), ("value", float)))
+        keys, value = (np.concatenate([np.empty(0, t), *[unpack(r[c], t) for r in rows]]) for c, t in (("keys", U), ("value", float)))
         weight = np.full(len(keys), np.nan)
         is_state = [np.unpackbits(np.frombuffer(r["is_state"], np.uint8), count=len(r["keys"]) // 8) for r in rows]
         weight[np.flatnonzero(np.concatenate(is_state)) if rows else []] = np.frombuffer(b"".join(r["weight"] for r in rows), float)
         keys, first = np.unique(keys, return_index=True)
         self.index, self.value, self.weight = Index(keys), np.append(value[first], np.nan), np.append(weight[first], np.nan)
 
-    def logs(self, words: np.ndarray, offset: np.ndarray, depth: int, unseen: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def logs(self, words: np.ndarray, offset: np.ndarray, depth: int, unseen: float, known_runs: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: if it is known, its log10 probability alone and in the longest state before it."""
         place, keys = runs(words, offset, depth + 1)
-        at = [self.index.find(k) for k in keys]  # -1 is the last item, which is not a number
+        at = [self.index.find(keys[0])]  # -1 is the last item, which is not a number
+        for k in keys[1:]:
+            some = known_runs.among(k)
+            at.append(np.full(len(k), -1, np.int64))
+            at[-1][some] = self.index.find(k[some])
         root = self.value[at[0]]
         known = ~np.isnan(root)
         root = np.where(known, root, unseen)
@@ -416,17 +438,17 @@ def lm_scoring(
         def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             for word, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not word:
-                    yield 0, np.frombuffer(keys, U)
+                    yield 0, unpack(keys)
 
         shared = spark.sparkContext.broadcast(marked(spark.read.schema("word boolean, keys binary").parquet(found), filter_bits, 1, runs_of)[0])
         names = sorted(r["block"] for r in texts.select("block").distinct().collect())
-        rounds = max(1, min(rounds, len(names) // (2 * spark.sparkContext.defaultParallelism)))
+        rounds = max(1, min(rounds, len(names) // spark.sparkContext.defaultParallelism))
         for i in range(rounds):
             part = names[i::rounds]
             asks = asked(spark.range(0, len(part), 1, max(1, len(part))), part, blocks, shared, depth, buckets)
             ends = spark.createDataFrame([(b, 1, b"", b"", b"", b"") for b in part], ANSWERS)
             both = answered(asks, found, buckets).unionByName(ends).repartition(buckets, "block").sortWithinPartitions("block", "kind")
-            scored(both, blocks, schema, to_arrow_type(docs.schema[id_col].dataType), depth, total, norm).write.mode("append").parquet(path)
+            scored(both, shared, blocks, schema, to_arrow_type(docs.schema[id_col].dataType), depth, total, norm).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path).withColumnRenamed("id", id_col)
 
 
@@ -439,7 +461,7 @@ def grown(texts: DataFrame, path: str, depth: int, context_count: int, entry_cou
         place, keys = runs(hashes, offset, 1)
         return keys[0][place > 0][None]
 
-    counts = [written(counted(texts, words, buckets), "counts")]
+    counts = [counted(texts, words, buckets)]
     sums = tx.mapped(
         counts[0],
         lambda b: batch_of([(len(k.as_py()) // 8, int(np.frombuffer(c.as_py(), np.int64).sum())) for k, c in zip(b.column(1), b.column(2))], "n long, total long"),
@@ -451,7 +473,7 @@ def grown(texts: DataFrame, path: str, depth: int, context_count: int, entry_cou
     def frequent(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             for which, least in enumerate((context_count, entry_count)):
-                yield which, np.frombuffer(k, U)[np.frombuffer(c, np.int64) >= least]
+                yield which, unpack(k)[np.frombuffer(c, np.int64) >= least]
 
     for k in range(1, depth + 1):
         shared = spark.sparkContext.broadcast(marked(counts[-1], filter_bits, 2, frequent))
@@ -464,12 +486,13 @@ def grown(texts: DataFrame, path: str, depth: int, context_count: int, entry_cou
             at = at[may_be_listed.among(keys[k - 1][at])]
             return np.stack((keys[k][at], keys[k - 1][at - 1]))
 
-        counts.append(written(counted(texts, longer, buckets, entry_count), "counts"))
-    packed_tree(tree(counts, norm, context_count, entry_count), buckets).write.options(compression="zstd").partitionBy("bucket").parquet(path)
+        counts.append(counted(texts, longer, buckets, entry_count, PARTS if k == 1 else 1))
+    for found in tree(counts, norm, context_count, entry_count):
+        packed_tree(found, buckets).write.options(compression="zstd").mode("append").partitionBy("bucket").parquet(path)
     return total, norm
 
 
-def scored(answers: DataFrame, path: str, schema: str, id_type: pa.DataType, depth: int, total: int, norm: float) -> DataFrame:
+def scored(answers: DataFrame, shared, path: str, schema: str, id_type: pa.DataType, depth: int, total: int, norm: float) -> DataFrame:
     """The scores of blocks, in whose order ``answers`` come, each block's row of kind 1 last."""
     unseen = float(np.log10(0.1 / norm))
 
@@ -483,7 +506,7 @@ def scored(answers: DataFrame, path: str, schema: str, id_type: pa.DataType, dep
             for rows in texts_of(path, row["block"], ["id", "held_out", "text"]):
                 for t in tx.slices(rows.column(2)):
                     hashes, offset = tokens(t)
-                    known, root, logs = model.logs(hashes, offset, depth, unseen)
+                    known, root, logs = model.logs(hashes, offset, depth, unseen, shared.value)
                     sums = [np.add.reduceat(v, offset[:-1]) for v in (known.astype(np.int64), root, logs)]
                     yield pa.RecordBatch.from_arrays(
                         [rows.column(0).slice(t.first, t.n).cast(id_type), rows.column(1).slice(t.first, t.n), pa.array(np.diff(offset).astype(np.int64)), pa.array(sums[0]), pa.array(np.full(t.n, total)), pa.array(sums[1]), pa.array(sums[2])],
