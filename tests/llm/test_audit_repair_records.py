@@ -4,6 +4,7 @@ import functools
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import groupby
@@ -142,6 +143,23 @@ def test_divergence_tells_long_terms_apart_whose_polynomials_agree(spark):
     same(SV.source_divergence(docs_frame(spark, rows)).select("lang", "source", "part", "item", "value", "rank"), divergence(rows))
 
 
+def test_counting_takes_bounded_memory():
+    rng = np.random.default_rng(4)
+    text = [" ".join(rng.choice(["some", "words", "x" * 300, "of", "any", "length"], 3000)) for _ in range(130)]
+    batch = pa.record_batch([pa.array(["en"] * len(text)), pa.array(["s"] * len(text)), pa.array(text)], names=["lang", "source", "text"])
+    for one in SV.tx.slices(batch.column(2), 1 << 24):
+        starts, ends, _ = one.words(SV.LETTERS)
+        for most in (1, 1000, 1 << 16):
+            assert (SV.word_hashes(one, starts, ends, most) == one.hashes(starts, ends)).all()
+    SV.tx._powers[:] = [np.ones(1, np.uint64)] * 2
+    tracemalloc.start()
+    rows = [r for b in SV._counted(iter([batch]), SV.HELD, SV.SLICE) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {r["term"]: r["n"] for r in rows if r["term"]} == Counter(w for t in text for w in t.split())
+    assert peak < 120e6  # of 20 MB of text
+
+
 def test_runs_and_distances():
     rng = np.random.default_rng(2)
     for _ in range(200):

@@ -41,8 +41,8 @@ _lower[0x41:0x5B] += 0x20
 SCALE, MORE = 10**9, 5
 #: A block's terms, its entries at most before it is closed, and the sources of a tile as expected; they change no result.
 BLOCK_TERMS, BLOCK_ENTRIES, TILE = 1 << 15, 1 << 20, 32
-#: Entries that a task counts before it sends them on, and the bytes of text counted at once.
-HELD, SLICE = 400_000, 1 << 23
+#: Entries that a task counts before it sends them on, the bytes of text counted at once, and the rows of a batch sent.
+HELD, SLICE, SENT = 400_000, 1 << 21, 1 << 15
 
 
 def p_of(count: str, total: str, terms: str) -> Column:
@@ -56,11 +56,22 @@ def p_array(count: np.ndarray, total: int, terms: int) -> np.ndarray:
     return np.array([1 + SCALE * (int(c) + MORE) // (total + MORE * terms) for c in count], np.int64)
 
 
+def word_hashes(t: tx.Texts, starts: np.ndarray, ends: np.ndarray, most: int = tx.SLICE_BYTES) -> np.ndarray:
+    """The hashes of a slice's words, by pieces of about ``most`` bytes: hashing takes some forty bytes for each byte it sees at once."""
+    out = np.empty(len(starts), tx.U)
+    cut = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(t.data), most)), len(starts)))
+    for a, b in zip(cut[:-1], cut[1:]):
+        low = starts[a]
+        piece = t.data[low : ends[b - 1]]
+        out[a:b] = tx.Texts(piece, np.array([0, len(piece)]), 0).hashes(starts[a:b] - low, ends[a:b] - low)
+    return out
+
+
 def _terms(t: tx.Texts, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Of a slice: (group, term, occurrences, documents) of each term of each group; ``group`` is per text."""
     starts, ends, offset = t.words(LETTERS)
     doc = np.repeat(np.arange(t.n), np.diff(offset))
-    joint = tx.mix(t.hashes(starts, ends) ^ tx.mix(group[doc].astype(tx.U) + tx.U(1)))
+    joint = tx.mix(word_hashes(t, starts, ends) ^ tx.mix(group[doc].astype(tx.U) + tx.U(1)))
     order = np.argsort(joint, kind="stable")  # documents ascend inside a term
     joint, doc = joint[order], doc[order]
     fresh = np.ones(len(order), bool)
@@ -106,10 +117,10 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int, slice_bytes: int) ->
                 held = [joined()]
                 rows = len(held[0])
                 if rows > most // 2:
-                    yield from held[0].cast(_COUNTS).combine_chunks().to_batches()
+                    yield from held[0].cast(_COUNTS).to_batches(SENT)
                     held, rows = [], 0
     if held:
-        yield from joined().cast(_COUNTS).combine_chunks().to_batches()
+        yield from joined().cast(_COUNTS).to_batches(SENT)
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -201,8 +212,9 @@ def distance(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
 def _tile(rows: pa.Table) -> pa.Table:
     """Distances inside a tile, or between the columns of two tiles, of one block."""
     columns = []
-    for size, ends, counts, total, terms in zip(*(rows.column(n).to_pylist() for n in ("size", "ends", "counts", "total", "terms"))):
-        ends, counts = (np.array(x, np.int64) for x in (([size], [0]) if ends is None else (ends, counts)))
+    lists = [[None if x.values is None else x.values.to_numpy().astype(np.int64) for x in rows.column(n)] for n in ("ends", "counts")]
+    for size, ends, counts, total, terms in zip(rows.column("size").to_pylist(), *lists, *(rows.column(n).to_pylist() for n in ("total", "terms"))):
+        ends, counts = (np.array([size]), np.array([0])) if ends is None else (ends, counts)
         columns.append((ends, p_array(counts, total, terms) if size else counts))
     names, sides, lang, i, j = (rows.column(n).to_pylist() for n in ("source", "tile", "lang", "i", "j"))
     # a pair is named in one order in all blocks, in whatever order the rows of a group come
