@@ -1,5 +1,7 @@
 """Operators against plain versions, edge cases included."""
 
+import functools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -454,6 +456,31 @@ def page(body, head=""):
     return f"<!DOCTYPE html><html><head><title>T</title>{head}</head><body>{body}</body></html>"
 
 
+def test_html_pairs_are_weighed_only_where_labels_leave_a_choice(monkeypatch):
+    rng = random.Random(5)
+
+    def slot(label, depth=1):
+        return [label, 1, None, [slot(rng.choice("abc"), depth - 1) for _ in range(rng.randrange(3))] if depth else [], 0, 0]
+
+    def heaviest(a, b):
+        if not a or not b:
+            return 0
+        paired = a[0][0] == b[0][0] and heaviest(a[1:], b[1:]) + 1 + heaviest(a[0][3], b[0][3])
+        return max(heaviest(a[1:], b), heaviest(a, b[1:]), paired)
+
+    for _ in range(100):
+        a, b = ([slot(x) for x in rng.sample("abcde", rng.randrange(5))] for _ in range(2))
+        if rng.random() < 0.5:
+            a, b = (sorted(x) for x in (a, b))
+        for x, y in ((a, b), (a, a), (a + a, b)):
+            total, pairs = H._pairs(x, y, {})
+            assert total == heaviest(x, y) and H.paired(x, y, {}) == pairs
+    pages = [H.tree(page(f"<nav>Menu</nav><article><h1>Head {i}</h1><p>Story {i}</p></article><footer>Foot</footer>")) for i in range(4)]
+    template = functools.reduce(H.merged, [H.summary("page", [x]) for x in pages])
+    monkeypatch.setattr(H, "summary", None)  # not needed where labels are told apart
+    assert [H.content(x, template) for x in pages] == [[f"Head {i}", f"Story {i}"] for i in range(4)]
+
+
 def test_html_extraction(spark):
     menu, foot = "<nav><a href=/a>Home</a></nav>", "<footer>&copy; us</footer>"
     rows = [

@@ -49,7 +49,7 @@ CODE = frozenset(("script", "style", "textarea", "title"))
 BLOCKS = frozenset("html head body nav header footer aside main article section div ul ol li menu dl dt dd p h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption address details summary dialog hgroup center hr".split())
 BLOCK_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in BLOCKS}
 ENDS_P = BLOCKS - {"html", "head", "body"}
-CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 ASIDE_TAGS = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ASIDE_NAMES = re.compile(r"^(?:ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar\w*|aside|widget\w*|related\w*|share\w*|sharing|social\w*|comments?|commentlist|replies|respond|disqus\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|login|search|skip|pagination|pager|toolbar|tags|copyright|legal)$", re.I)
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -99,7 +99,7 @@ def _traits(tag: str, attributes: str) -> tuple[str, int, bool, int, bool]:
 
 def _element(tag: str, attributes: str) -> Node:
     label, votes, main, whole, article = _traits(tag, attributes)
-    return Node(tag, label, votes=votes, main=main, whole=whole, article=article)
+    return Node(tag, label, "", votes, main, 0, whole, article)
 
 
 def tree(html: str) -> Node:
@@ -119,12 +119,6 @@ def tree(html: str) -> Node:
             pending.clear()
         linked, in_link = 0, False
 
-    def add(text: str) -> None:
-        nonlocal linked
-        pending.append(text)
-        if in_link:
-            linked += len(text)
-
     def close(names, fence=()) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in fence:
@@ -154,42 +148,54 @@ def tree(html: str) -> Node:
         return min(ends, default=len(html))
 
     while m := TAG.search(html, at):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        start, end = m.span()
+        if start > at:
+            pending.append(html[at:start])
+            if in_link:
+                linked += start - at
+        at = end
+        closing, tag, attributes = m.groups()
         if not tag:
             continue
         tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag in BLOCKS:
-                flush()
-                close((tag,))
+                if pending:
+                    flush()
+                linked, in_link = 0, False
+                if stack[-1][0] == tag:
+                    del stack[-1]
+                else:
+                    close((tag,))
             elif tag == "a":
                 in_link = False
             elif tag in ("option", "label"):
                 pending.append(" ")
             continue
         if tag in RAW:
-            at = raw_end(tag, m[3].endswith("/"))
+            at = raw_end(tag, attributes.endswith("/"))
             pending.append(" ")
         elif tag in BLOCKS:
-            flush()
+            if pending:
+                flush()
+            linked, in_link = 0, False
             if tag in ENDS_P:
                 close(("p",), ("td", "th", "li", "article", "section", "div", "body"))
             if tag in CLOSES:
                 names, fence = CLOSES[tag]
-                close(names.split(), fence)
-            node = _element(tag, m[3])
+                close(names, fence)
+            node = _element(tag, attributes)
             stack[-1][1].kids.append(node)
-            if tag != "hr" and not m[3].endswith("/"):
+            if tag != "hr" and not attributes.endswith("/"):
                 stack.append((tag, node))
         elif tag in ("br", "img", "wbr", "input"):
             pending.append(" ")
         elif tag == "a":
-            in_link = "href" in m[3].lower()
+            in_link = "href" in attributes.lower()
     if at < len(html):
-        add(html[at:])
+        pending.append(html[at:])
+        if in_link:
+            linked += len(html) - at
     flush()
     return _finished(root)
 
@@ -204,7 +210,10 @@ def _finished(root: Node) -> Node:
     order, todo, depth = [], [(root, 1, False, False)], 1
     while todo:
         node, level, framed, nested = todo.pop()
-        depth = max(depth, level)
+        if not node.kids:
+            order.append(node)
+            depth = max(depth, level)
+            continue
         framed |= node.votes > 0 and node.tag != "header"
         nested |= node.article and node.main
         articles = [k for k in node.kids if k.article and k.main]
@@ -218,12 +227,18 @@ def _finished(root: Node) -> Node:
         order.append(node)
         todo += [(k, level + 1, framed, nested) for k in node.kids]
     for node in reversed(order):
-        node.digest = zlib.crc32((node.text if node.label == "#" else node.label).encode("utf-8", "replace"))
+        node.digest = digest = zlib.crc32((node.text if node.label == "#" else node.label).encode("utf-8", "replace"))
+        if not node.kids:
+            if node.votes < 2 or node.tag in ("header", "heading"):
+                node.holds = node.main
+            continue
+        chars, linked = node.chars, node.linked
         for k in node.kids:
-            node.chars += k.chars
+            chars += k.chars
             node.prose |= k.prose
-            node.linked += k.linked
-            node.digest = zlib.crc32(k.digest.to_bytes(4), node.digest)
+            linked += k.linked
+            digest = zlib.crc32(k.digest.to_bytes(4), digest)
+        node.chars, node.linked, node.digest = chars, linked, digest
         if node.tag == "header" and any(k.tag in HEADINGS for k in node.kids):
             node.tag = "heading"
         if node.votes < 2 or node.tag in ("header", "heading"):
@@ -234,6 +249,8 @@ def _finished(root: Node) -> Node:
 
 def slots_of(node: Node, most: int = 4) -> list[tuple[str, list[Node]]]:
     """Children as labelled slots. Neighbours whose labels occur more than ``most`` times each are one slot, a list of any length."""
+    if len(node.kids) <= most:
+        return [(kid.label, [kid]) for kid in node.kids]
     often: dict[str, int] = {}
     for kid in node.kids:
         often[kid.label] = often.get(kid.label, 0) + 1
@@ -260,9 +277,15 @@ def summary(label: str, nodes: list[Node]) -> list:
         digest = zlib.crc32(node.digest.to_bytes(4), digest)
         chars += node.chars
         linked += node.linked
+        if not node.kids:
+            continue
         own = []
         for name, kids in slots_of(node):
-            own.append(summary(name, kids))
+            if len(kids) == 1 and not kids[0].kids:
+                kid = kids[0]
+                own.append([name, 1, zlib.crc32(kid.digest.to_bytes(4)), [], kid.chars, kid.linked])
+            else:
+                own.append(summary(name, kids))
         slots = own if not slots else merged_slots(slots, own, within=True)
     return [label, 1, digest, slots, chars, linked]
 
@@ -278,16 +301,46 @@ def matched(a: list, b: list, known: dict | None = None) -> int:
     return known[key]
 
 
+def _plain_pairs(a: list, b: list) -> list[tuple[int, int]] | None:
+    """The pairing where it is plain without weights: of a list with itself, or where no label is there twice in ``a`` or in ``b``
+    and those of both come in one order, since each pair of equal labels adds to the chain. Else None."""
+    if a is b:
+        return [(i, i) for i in range(len(a))]
+    first, second = [x[0] for x in a], [x[0] for x in b]
+    where = dict(zip(second, range(len(b))))
+    if len(where) < len(b) or len(set(first)) < len(a):
+        return None
+    if first == second:
+        return [(i, i) for i in range(len(a))]
+    out, last = [], -1
+    for i, label in enumerate(first):
+        j = where.get(label)
+        if j is not None:
+            if j < last:
+                return None
+            out.append((i, j))
+            last = j
+    return out
+
+
+def paired(a: list, b: list, known: dict) -> list[tuple[int, int]]:
+    """The pairing of ``_pairs``, without weights where it takes none."""
+    if not a or not b:
+        return []
+    plain = _plain_pairs(a, b)
+    return _pairs(a, b, known)[1] if plain is None else plain
+
+
 def _pairs(a: list, b: list, known: dict) -> tuple[int, list[tuple[int, int]]]:
     """The pairing in order of slots of equal label with the most matched nodes: a heaviest chain among all such pairs."""
     if not a or not b:
         return 0, []
-    labels = [x[0] for x in a]
-    if len(set(labels)) == len(a) == len(b) and labels == [x[0] for x in b]:
+    plain = _plain_pairs(a, b)
+    if plain is not None:
         total = 0
-        for x, y in zip(a, b):
-            total += matched(x, y, known)
-        return total, [(i, i) for i in range(len(a))]
+        for i, j in plain:
+            total += matched(a[i], b[j], known)
+        return total, plain
     where: dict[str, list[int]] = {}
     for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j][0], []).append(j)
@@ -317,9 +370,8 @@ def _pairs(a: list, b: list, known: dict) -> tuple[int, list[tuple[int, int]]]:
 
 def merged_slots(a: list, b: list, within: bool = False, known: dict | None = None) -> list:
     known = {} if known is None else known
-    _, pairs = _pairs(a, b, known)
     out, i, j = [], 0, 0
-    for x, y in [*pairs, (len(a), len(b))]:
+    for x, y in [*paired(a, b, known), (len(a), len(b))]:
         out += a[i:x] + b[j:y]
         if x < len(a):
             out.append(merged(a[x], b[y], within, known))
@@ -364,7 +416,7 @@ def unpacked(text: str) -> list:
 def content(page: Node, template: list | None, own: list | None = None) -> list[str]:
     """The text blocks in page order that are neither template nor frame.
 
-    ``template`` is the host's, ``own`` the page's summary if it is at hand. A slot is template if at least ``SHARE`` of the host's different pages have it, and all of
+    ``template`` is the host's, or the page's summary ``own``. A slot is template if at least ``SHARE`` of the host's different pages have it, and all of
     them with equal text: ``OUTSIDE`` pages suffice, ``INSIDE`` an article more are asked for. A slot that holds a
     main element is neither template nor frame, nor is all that a page has to say.
     """
@@ -385,12 +437,20 @@ def content(page: Node, template: list | None, own: list | None = None) -> list[
 
     made = []  # summaries stay alive, as pairs are known by identity
 
-    def walk(node: Node, own: list, slot: list | None, main: bool, strict: bool, kept: list[str]) -> list[str]:
+    def walk(node: Node, slot: list | None, same: bool, main: bool, strict: bool, kept: list[str]) -> list[str]:
+        """``same``: ``slot`` is the node's own summary."""
         twin: dict[int, list] = {}
-        if slot is not None:
-            twin = {i: slot[3][j] for i, j in _pairs(own[3], slot[3], known)[1]}
+        groups = slots_of(node)
+        if same:
+            twin = dict(enumerate(slot[3]))
+        elif slot is not None and slot[3] and groups:
+            pairs = _plain_pairs(groups, slot[3])
+            if pairs is None:
+                made.append([summary(label, group) for label, group in groups])
+                pairs = _pairs(made[-1], slot[3], known)[1]
+            twin = {i: slot[3][j] for i, j in pairs}
         mass = sum([t[4] for t in twin.values()])
-        for i, (label, group) in enumerate(slots_of(node)):
+        for i, (label, group) in enumerate(groups):
             t = twin.get(i)
             constant = strict and t is not None and t[2] is not None and t[1] >= (INSIDE if main else OUTSIDE) and t[1] >= SHARE * pages
             for kid in group:
@@ -398,14 +458,12 @@ def content(page: Node, template: list | None, own: list | None = None) -> list[
                     continue
                 if kid.label == "#":
                     kept.append(kid.text)
-                else:
-                    if len(group) > 1:
-                        made.append(summary(label, [kid]))
-                    walk(kid, own[3][i] if len(group) == 1 else made[-1], t, main or kid.main, strict, kept)
+                elif kid.kids:
+                    walk(kid, t, same and len(group) == 1, main or kid.main, strict, kept)
         return kept
 
-    own = own or summary("page", [page])
-    return walk(page, own, template, False, True, []) or walk(page, own, None, False, False, [])
+    same = own is not None and own is template
+    return walk(page, template, same, False, True, []) or walk(page, None, False, False, False, [])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
