@@ -15,6 +15,7 @@ from helpers import WORD, components, counts, edge_docs, edge_rows, hits, long_t
 from pyspark.sql import functions as F
 
 from tierwise.llm import html_extraction as H
+from tierwise.llm import lm_scoring as LM
 from tierwise.llm import suffix_dedup as SD
 from tierwise.llm import text as tx
 from tierwise.llm import warc as WA
@@ -159,6 +160,22 @@ def test_lm_scoring_equals_plain_tree(spark, depth, bits):
         assert r["score"] == pytest.approx(want[0], rel=1e-9)
 
 
+def test_lm_scoring_tells_keys_apart_without_hash_tables(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys, counts = rng.integers(0, 1 << 64, 500, dtype=np.uint64)[rng.integers(0, 500, 2000)], rng.integers(1, 9, 2000)
+    alone = np.unique(keys)
+    sums = [counts[keys == k].sum() for k in alone]
+    monkeypatch.setattr(np, "unique", None)  # it takes some forty times as long as a sort does
+    rows, total = LM.summed(np.stack((keys, keys + np.uint64(1))), counts)
+    assert (rows == np.stack((alone, alone + np.uint64(1)))).all() and (total == sums).all()
+    assert (LM.distinct(keys) == alone).all() and not len(LM.distinct(keys[:0]))
+    value = alone.astype(float)
+    rows = [{"keys": pack(k), "value": pack(v), "is_state": np.packbits(v > 2.0**63).tobytes(), "weight": (v[v > 2.0**63] / 2).tobytes()} for k, v in ((alone[x], value[x]) for x in (slice(200, None), slice(0, 200)))]
+    told = LM.Answers(rows)
+    at = told.index.find(alone)
+    assert (told.value[at] == value).all() and (told.weight[at[value > 2.0**63]] == value[value > 2.0**63] / 2).all() and np.isnan(told.weight[at[value <= 2.0**63]]).all()
+
+
 def test_lm_scoring_leaves_only_scores(spark):
     rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(200))) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -90,9 +90,19 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by a sort: np.unique puts numbers into a hash table first, which takes many times as long."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def pack(x: np.ndarray) -> bytes:
     """Items of 8 bytes, first byte of all, second byte of all and so on: of sorted keys and of logarithms some compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    items = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
+    out = np.empty((8, len(items)), np.uint8)
+    for i in range(8):
+        out[i] = items[:, i]
+    return out.tobytes()
 
 
 def unpack(x: bytes, kind: type = U) -> np.ndarray:
@@ -108,7 +118,7 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One column of ``rows`` for each value of their first line, in order, and the sums of its counts."""
-    order = np.argsort(rows[0], kind="stable")
+    order = np.argsort(rows[0])
     rows, counts = rows[:, order], counts[order]
     cut = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))) if len(counts) else np.empty(0, np.int64)
     return rows[:, cut], np.add.reduceat(counts, cut) if len(cut) else counts
@@ -135,9 +145,8 @@ def counted(docs: DataFrame, rows_of: Callable[[np.ndarray, np.ndarray], np.ndar
                 rows = rows_of(*tokens(t))
                 if parts > 1:
                     rows = rows[:, bucket_of(rows[0], parts) == part]
-                _, first, counts = np.unique(rows[0], return_index=True, return_counts=True)
-                held.append((rows[:, first], counts))
-                total += len(first)
+                held.append(summed(rows, np.ones(rows.shape[1], np.int64)))
+                total += len(held[-1][1])
                 if total > HOLD:
                     yield out()
                     held, total = [], 0
@@ -219,10 +228,10 @@ def marked(table: DataFrame, bits: int, sets: int, sets_of: Callable[[pa.RecordB
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for which, keys in sets_of(batch):
-            at = np.unique(np.concatenate([places(keys, bits, m) for m in range(MARKS)])).astype(np.int64)
+            at = np.concatenate([places(keys, bits, m) for m in range(MARKS)]).astype(np.int64)
             if len(at):
-                first = int(at[0]) >> 3
-                flags = np.zeros(((int(at[-1]) >> 3) - first + 1) * 8, np.uint8)
+                first = int(at.min()) >> 3
+                flags = np.zeros(((int(at.max()) >> 3) - first + 1) * 8, np.uint8)
                 flags[at - 8 * first] = 1
                 out.append((which, first, np.packbits(flags, bitorder="little").tobytes()))
         return batch_of(out, "which int, first long, part binary")
@@ -279,9 +288,6 @@ def folder_rows(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
 def asked(blocks: DataFrame, names: list[int], path: str, shared, depth: int, buckets: int) -> DataFrame:
     """(bucket, block, keys): the distinct words and runs of a block that the tree may tell of, for rows of positions in ``names``."""
 
-    def distinct(many: list[np.ndarray]) -> np.ndarray:
-        return np.unique(np.concatenate([np.empty(0, U), *many]))
-
     def ask(batches: Iterator[pa.RecordBatch]):
         known = shared.value
         for block in (names[i] for batch in batches for i in batch.column(0).to_pylist()):
@@ -291,11 +297,11 @@ def asked(blocks: DataFrame, names: list[int], path: str, shared, depth: int, bu
                     place, keys = runs(*tokens(t), depth + 1)
                     for k, g in enumerate(keys):
                         g = g[place >= max(k, 1)]
-                        held.append(distinct([g[known.among(g)] if k else g]))
+                        held.append(distinct(g[known.among(g)] if k else g))
                         total += len(held[-1])
                 if total > HOLD:
-                    held, total = [distinct(held)], 0
-            keys = distinct(held)
+                    held, total = [distinct(np.concatenate(held))], 0
+            keys = distinct(np.concatenate([np.empty(0, U), *held]))
             cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
             own = [(b, block, pack(keys[x:y])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
             for x in range(0, len(own), 256):
@@ -306,12 +312,13 @@ def asked(blocks: DataFrame, names: list[int], path: str, shared, depth: int, bu
 
 def tree(counts: list[DataFrame], norm: float, context_count: int, entry_count: int) -> Iterator[DataFrame]:
     """Frames of (g, word, v, a), all words and runs in turn: ``v`` the log10 probability of the last word in its context, if that is a state, or
-    of a word alone; ``a`` the log10 weight of the shorter context, if the run is a state itself."""
+    of a word alone; ``a`` the log10 weight of the shorter context, if the run is a state itself. Keys are unique on one side of each
+    join, and a partition of them is small, so they are hashed there and nothing is sorted."""
     below = unpacked(counts[0], 0).select("g", "n").withColumn("q", (F.col("n") + 0.1) / F.lit(norm)).withColumn("v", F.log10("q"))
     for k, packed in enumerate(counts[1:], 1):
         up = below.filter(F.col("n") >= entry_count).select(F.col("g").alias("s"), F.col("q").alias("up"))  # a run is no more frequent than its end
         context = below.filter(F.col("n") >= context_count).select(F.col("g").alias("c"), F.col("n").alias("size"))
-        entries = unpacked(packed, k).join(up, "s").join(context, "c")
+        entries = unpacked(packed, k).join(up.hint("shuffle_hash"), "s").join(context.hint("shuffle_hash"), "c")
         step = fresh_path(packed.sparkSession, "entries")
         entries = written(entries.select("g", "c", "n", "size", "up", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.1)) / F.col("size")).alias("p")), "entries", path=step)
         state = entries.groupBy("c").agg(
@@ -321,10 +328,10 @@ def tree(counts: list[DataFrame], norm: float, context_count: int, entry_count:
         gain = F.col("size") * (F.col("part") + F.col("rest") * F.log(F.col("rest") / F.col("rest_up")))
         state = state.filter(F.round(gain - 0.5 * F.col("listed") * F.log(F.greatest("size", F.lit(2))), 6) > 0)
         state = written(state.select("c", F.log10(F.col("rest") / F.col("rest_up")).alias("a")), "states")
-        own = below.filter(F.col("n") >= context_count).join(state.withColumnRenamed("c", "g"), "g", "left").unionByName(below.filter(F.col("n") < context_count), allowMissingColumns=True)
+        own = below.filter(F.col("n") >= context_count).join(state.withColumnRenamed("c", "g").hint("shuffle_hash"), "g", "left").unionByName(below.filter(F.col("n") < context_count), allowMissingColumns=True)
         yield own.select("g", F.lit(k == 1).alias("word"), "v", "a").filter("v is not null or a is not null")
         is_state = F.col("a").isNotNull()
-        below = entries.join(state, "c", "left").select("g", "n", F.when(is_state, F.col("p")).otherwise(F.col("up")).alias("q"), F.when(is_state, F.log10("p")).alias("v"))
+        below = entries.join(state.hint("shuffle_hash"), "c", "left").select("g", "n", F.when(is_state, F.col("p")).otherwise(F.col("up")).alias("q"), F.when(is_state, F.log10("p")).alias("v"))
         below = written(below, "level")
         deleted(step)
     yield below.select("g", F.lit(False).alias("word"), "v", F.lit(None).cast("double").alias("a")).filter("v is not null")
@@ -383,8 +390,8 @@ class Answers:
         weight = np.full(len(keys), np.nan)
         is_state = [np.unpackbits(np.frombuffer(r["is_state"], np.uint8), count=len(r["keys"]) // 8) for r in rows]
         weight[np.flatnonzero(np.concatenate(is_state)) if rows else []] = np.frombuffer(b"".join(r["weight"] for r in rows), float)
-        keys, first = np.unique(keys, return_index=True)
-        self.index, self.value, self.weight = Index(keys), np.append(value[first], np.nan), np.append(weight[first], np.nan)
+        order = np.argsort(keys)  # a key is in one bucket, so it is answered once
+        self.index, self.value, self.weight = Index(keys[order]), np.append(value[order], np.nan), np.append(weight[order], np.nan)
 
     def logs(self, words: np.ndarray, offset: np.ndarray, depth: int, unseen: float, known_runs: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: if it is known, its log10 probability alone and in the longest state before it."""
