@@ -380,6 +380,26 @@ def test_suffix_dedup_frequent_anchor(spark, monkeypatch):
     same(suffix_dedup(docs), want)
 
 
+def test_suffix_lookups_hash_a_slice_as_a_whole(spark, monkeypatch):
+    """Not once for each of its texts, which costs the square of a slice."""
+    runs, plain, calls = [], SD.tx.trimmed, []
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abcdefgh ", k=60))
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=40)) + passage + "".join(rng.choices("abcdefgh ", k=40))) for i in range(80)]
+    rows += [(90 + i, text) for i, (_, text) in enumerate(rows[:20])]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    marks = SD._sorted_out(SD._dealt(docs, 50, 4, spark.sparkContext.broadcast(SD._frequent(docs, 50, 1000, 2000))), 4, 2)
+    joined = SD._squeezed(docs.withColumnRenamed("id", "key"), "text", "hash").join(marks, "key").select("key", "hash", "text", "number", "context", "state").toArrow()
+    monkeypatch.setattr(SD.tx, "trimmed", lambda run: runs.append(run) or plain(run))
+    SD._looked_up(docs, marks, 50, 4)
+    hashes = SD.tx.Texts.hashes
+    monkeypatch.setattr(SD.tx.Texts, "hashes", lambda self, *a: calls.append(len(self.data)) or hashes(self, *a))
+    out = [row for batch in runs[-1](iter(joined.combine_chunks().to_batches())) for row in batch.to_pylist()]
+    assert {r["key"] for r in out if r["bucket"] is None} == set(range(90, 110)) and sum(len(SD._loaded((r["core"], r["who"], r["lead"], r["place"], r["size"], r["bytes"]))[0]) for r in out if r["bucket"] is not None) >= 80
+    assert len(calls) <= 2
+    same(suffix_dedup(docs.withColumnRenamed("id", "doc_id")), repeated(rows))
+
+
 def test_suffix_dedup_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(SD, "PIECE", 128)
     rng = np.random.default_rng(2)
