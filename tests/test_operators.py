@@ -630,6 +630,31 @@ def test_boxes_of_one_cell_are_dealt_over_tasks(spark):
         assert pairs.select("task").distinct().count() > 3
 
 
+def test_boxes_of_large_cells_meet_as_in_sql(spark):
+    rng = random.Random(5)
+    coarse = lambda k: [rng.randrange(k) / 2 for _ in range(4)]
+    rows = [(i, x, x + w, y, y + h) for i, (x, y, w, h) in enumerate(coarse(12) for _ in range(150))]
+    rows += [(200, 1.0, float("nan"), 0.0, 1.0), (201, 2.0, 1.0, 0.0, 3.0), (202, 0.0, 2.0, -0.0, 0.0), (None, 0.0, 9.0, 0.0, 9.0), (203, None, 1.0, 0.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "id long, x0 double, x1 double, y0 double, y1 double").filter("not isnan(x1)")
+    other = boxes.filter("id % 3 = 0 or id is null")
+    kinds = {"long": "id", "string": "concat('k', id)", "decimal(9,2)": "cast(id / 4 as decimal(9,2))"}
+    for kind, own in kinds.items():
+        a, b = (df.selectExpr(f"{own} as id", *(f"cast({c} as {'decimal(9,2)' if kind != 'long' else 'double'}) as {c}" for c in ("x0", "x1", "y0", "y1"))).filter("x0 <= x1") for df in (boxes, other))
+        met = a.alias("p").join(b.alias("q"), F.expr("p.x0 <= q.x1 and q.x0 <= p.x1 and p.y0 <= q.y1 and q.y0 <= p.y1")).selectExpr("p.id as a", "q.id as b").cache()
+        for cell in (50.0, 3.0) if kind == "long" else (50.0,):
+            assert bag(S.box_pairs(a, b, cell, part_boxes=40)) == bag(met)
+            assert bag(S.box_pairs(a, b, cell, part_boxes=40, ordered=True)) == bag(met.filter("a < b"))
+    assert bag(S.box_pairs(boxes, other, 3.0, part_boxes=30)) == bag(S.box_pairs(boxes, other, 3.0, part_boxes=10**6))
+
+
+def test_pairs_of_large_cells_take_little_room(spark, tmp_path):
+    """All boxes overlap: their pairs come in an order in which files pack them."""
+    b = spark.range(1500).selectExpr("id * 7919 % 1500 as id", "id / 1000 as x0", "id / 1000 + 3 as x1", "0.0D as y0", "2.0D as y1")
+    S.box_pairs(b, b, 5.0, part_boxes=256).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 1500 * 1500
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1500 * 1500 / 2
+
+
 def test_seats_of_equal_names_go_by_key(spark):
     rows = [(k, 1, float(k % 7), "Nation 1", "NATION_1") for k in range(40)]
     for seed in range(3):
